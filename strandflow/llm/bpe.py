@@ -28,7 +28,7 @@ MEMO = 250_000
 SLICE_CHARS = 2_000_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+_WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _END = "</w>"
 
 

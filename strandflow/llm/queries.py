@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe
+from strandflow.llm import bpe, pii, quality, secrets
 from strandflow.llm.common import id_and_text, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,8 +22,38 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(id_and_text(read(spark, sf_dir, "documents")))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[pii.count_of(spans, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(pii.written(pii.base_of(spans)), 256).alias("base_sha256"),
+        pii.written(spans).alias("spans"),
+    )
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(id_and_text(read(spark, sf_dir, "documents")))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(spans, k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(secrets.written(secrets.base_of(spans)), 256).alias("base_sha256"),
+        secrets.written(spans).alias("spans"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(id_and_text(read(spark, sf_dir, "documents")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
+    "op4_secrets": op4_secrets,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
