@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, pii, quality, secrets
+from strandflow.llm import bpe, langid, pii, quality, secrets, sharding
 from strandflow.llm.common import id_and_text, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +44,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(id_and_text(read(spark, sf_dir, "documents")), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = langid.is_held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(id_and_text(read(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,6 +65,8 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
     "op4_secrets": op4_secrets,
+    "op5_sharding": op5_sharding,
+    "op6_language": op6_language,
     "op9_quality": op9_quality,
 }
 
