@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, langid, pii, quality, secrets, sharding
+from strandflow.llm import bpe, langid, pii, quality, secrets, sharding, substring
 from strandflow.llm.common import id_and_text, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +61,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.dedup(id_and_text(read(spark, sf_dir, "documents")), window=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op9_quality": op9_quality,
+    "op10_substring": op10_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
