@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, langid, pii, quality, secrets, sharding, substring
+from strandflow.llm import bpe, langid, pii, quality, secrets, sharding, simhash, substring
 from strandflow.llm.common import id_and_text, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -56,6 +56,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(id_and_text(read(spark, sf_dir, "documents")))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(id_and_text(read(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -72,6 +77,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
+    "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
     "op10_substring": op10_substring,
 }
