@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, langid, pii, quality, secrets, sharding, simhash, substring
+from strandflow.llm import bpe, decontaminate, langid, licenses, pii, quality, secrets, sharding, simhash, substring
 from strandflow.llm.common import id_and_text, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(id_and_text(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.transcode(id_and_text(read(spark, sf_dir, "documents")), VOCABULARY)
     return coded.select(
@@ -61,6 +65,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(id_and_text(read(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(id_and_text(read(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -72,12 +80,14 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
     "op4_secrets": op4_secrets,
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
+    "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_substring": op10_substring,
 }
