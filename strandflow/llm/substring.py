@@ -8,7 +8,7 @@ length, so levels end there: a candidate of the last level is a repeat, and noth
 
 Skew: each task first decides among its own rows. Of equal windows within a task only the earliest stays undecided, so a
 passage that a third of all documents share costs one row for each task, not one for each document. Texts are shuffled
-by document, never by content. Windows are told apart by 96 bits of hash.
+by document, never by content. Windows are told apart by 95 bits of hash.
 
 Semantics: every word goes that is covered by a window whose word sequence also starts earlier, in a smaller doc_id or
 in the same document. Defined results: null or empty texts have no words; null ids count as larger than all others; rows
@@ -32,6 +32,7 @@ FLUSH = 2_000_000
 MEMO = 500_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_EVEN = ~np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -95,8 +96,8 @@ def _runs(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
 def _sampled(window: int):
     """(id, tag, text) to sampled short windows: (g, id, tag, again, known).
 
-    One row of each hash and task speaks for the task, `again` if the task has the hash twice. Other rows have, for a
-    document, all hashes known to be there twice; their g only spreads them.
+    One row of each hash (even) and task speaks for the task, `again` if the task has the hash twice. Other rows have, for
+    a document, all hashes known to be there twice; their g (odd) only spreads them.
     """
     half = window // 2
 
@@ -118,7 +119,7 @@ def _sampled(window: int):
             at = _runs(ids, tags)
             known = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))
             at = at[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[at]), pa.array(tags[at]), pa.array(np.ones(len(at), bool)), known], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array((g[at] | ~_EVEN).view(np.int64)), pa.array(ids[at]), pa.array(tags[at]), pa.array(np.ones(len(at), bool)), known], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, waiting = _WordHashes(), [], 0
@@ -127,7 +128,7 @@ def _sampled(window: int):
                 words = _hashes(text, memo)
                 if len(words) < window:
                     continue
-                h = short_hashes(words, half)
+                h = short_hashes(words, half) & _EVEN
                 g = h[samples(h, window - half + 1)[1]]
                 held.append((g, np.full(len(g), i, np.int64), np.full(len(g), tag, np.int32)))
                 waiting += len(g)
@@ -143,8 +144,8 @@ def _sampled(window: int):
 def _compared(window: int):
     """(doc_id, id, tag, text, repeated samples) to full windows: (h, k, id, tag, start, late).
 
-    Rows with a start are the earliest in the task with their hashes h and k. Other rows have, for a document, in `late`
-    the starts of windows that start earlier elsewhere; their h only spreads them.
+    Rows with a start are the earliest in the task with their hashes h and k (even). Other rows have, for a document, in
+    `late` the starts of windows that start earlier elsewhere; their h and k (odd) only spread them.
     """
     half = window // 2
 
@@ -166,7 +167,7 @@ def _compared(window: int):
             at = _runs(ids, tags)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(starts))
             at = at[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(k[at]), pa.array(ids[at]), pa.array(tags[at]), pa.nulls(len(at), pa.int32()), lists], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(k[at] | 1), pa.array(ids[at]), pa.array(tags[at]), pa.nulls(len(at), pa.int32()), lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, waiting = _WordHashes(), [], 0
@@ -174,12 +175,12 @@ def _compared(window: int):
             ids, tags, texts = (batch.column(k).to_pylist() for k in (1, 2, 3))
             for i, tag, text, repeated in zip(ids, tags, texts, batch.column(4), strict=True):
                 short = short_hashes(_hashes(text, memo), half)
-                least, _ = samples(short, window - half + 1)
+                least, _ = samples(short & _EVEN, window - half + 1)
                 at = np.flatnonzero(np.isin(least, repeated.values.to_numpy(zero_copy_only=False).view(np.uint64)))
                 if not len(at):
                     continue
                 h = doubled(short, half, 0)[at]
-                k = (doubled(short, half, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                k = (doubled(short, half, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32) & ~1
                 held.append((h, k, np.full(len(at), i, np.int64), np.full(len(at), tag, np.int32), at.astype(np.int32)))
                 waiting += len(at)
                 if waiting >= FLUSH:
@@ -225,13 +226,13 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key = ["id", "tag"]
 
     sampled = docs.select(*key, "text").mapInArrow(_sampled(window), "g long, id long, tag int, again boolean, known array<long>")
-    repeats = F.count("*").over(Window.partitionBy("g", F.col("known").isNull())) > 1
+    repeats = F.count("*").over(Window.partitionBy("g")) > 1
     repeated = sampled.withColumn("repeats", repeats).where("repeats or again")
     repeated = repeated.groupBy(*key).agg(F.flatten(F.collect_list(F.coalesce("known", F.array("g")))).alias("repeated"))
 
     # Both joins shuffle the same columns of the documents by the same key, so that Spark does it once.
     windows = docs.join(repeated, key).select("doc_id", *key, "text", "repeated").mapInArrow(_compared(window), "h long, k int, id long, tag int, start int, late array<int>")
-    first = F.min(F.struct("id", "start")).over(Window.partitionBy("h", "k", F.col("late").isNull()))
-    late = windows.withColumn("later", F.struct("id", "start") > first).where("later or late is not null")
+    later = F.rank().over(Window.partitionBy("h", "k").orderBy("id", "start")) > 1
+    late = windows.withColumn("later", later).where("later or late is not null")
     starts = late.groupBy(*key).agg(F.flatten(F.collect_list(F.coalesce("late", F.array("start")))).alias("starts"))
     return docs.join(starts, key, "left").select("doc_id", "text", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
