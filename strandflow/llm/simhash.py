@@ -57,14 +57,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text), text not null, to (doc_id, fingerprint)."""
+    """(doc_id, text), text not null, to (doc_id, tag, fingerprint); tag is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fingerprint"])
+            found = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["doc_id", "tag", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text").mapInArrow(run, "doc_id long, tag long, fingerprint long")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -116,12 +116,26 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, text), text not null, to (doc_id, fingerprint, component_id)."""
+    """(doc_id, text), text not null, to (doc_id, tag, fingerprint, component_id, component).
+
+    tag is a hash of the text, component a number that all documents of a component have.
+    """
     found = materialise(fingerprints(docs, shingle))
     classes = materialise(found.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = materialise(components(links(classes.select("fingerprint"), distance)))
     rooted = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint")
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    linked = join_by_hot_key(rooted, groups, "root", "members").select("fingerprint", "component_id")
-    lookup = classes.join(linked, "fingerprint", "left").select("fingerprint", "n", F.coalesce("component_id", "least").alias("component_id"))
-    return join_by_hot_key(found, lookup, "fingerprint", "n").select("doc_id", "fingerprint", "component_id")
+    linked = join_by_hot_key(rooted, groups, "root", "members").select("fingerprint", "root", "component_id")
+    lookup = classes.join(linked, "fingerprint", "left").select("fingerprint", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fingerprint").alias("component"))
+    return join_by_hot_key(found, lookup, "fingerprint", "n").select("doc_id", "tag", "fingerprint", "component_id", "component")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """docs, in the same columns, with the document of the least id of each component (null ids last)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = near_duplicates(docs.select("doc_id", text.alias("text")), shingle, distance)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
+    tagged = docs.withColumn("__text_tag", F.xxhash64(text))
+    kept = tagged.join(first, tagged["doc_id"].eqNullSafe(F.col("__id")) & (tagged["__text_tag"] == F.col("__tag")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text_tag"]).drop("__text_tag")
