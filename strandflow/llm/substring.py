@@ -23,7 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 20
@@ -83,8 +84,7 @@ def samples(h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return least, np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), span, False) == h)
 
 
-def _hashes(text: str, memo: _WordHashes) -> np.ndarray:
-    words = split(text)
+def _hashes(words: list[bytes], memo: _WordHashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
@@ -125,7 +125,7 @@ def _sampled(window: int):
         memo, held, waiting = _WordHashes(), [], 0
         for batch in batches:
             for i, tag, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = _hashes(text, memo)
+                words = _hashes(split(text), memo)
                 if len(words) < window:
                     continue
                 h = short_hashes(words, half) & _EVEN
@@ -141,8 +141,18 @@ def _sampled(window: int):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, id, tag, text) with the text's bytes compressed, for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            packed = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["doc_id", "id", "tag", "packed"])
+
+
 def _compared(window: int):
-    """(doc_id, id, tag, text, repeated samples) to full windows: (h, k, id, tag, start, late).
+    """(doc_id, id, tag, packed, repeated samples) to full windows: (h, k, id, tag, start, late).
 
     Rows with a start are the earliest in the task with their hashes h and k (even). Other rows have, for a document, in
     `late` the starts of windows that start earlier elsewhere; their h and k (odd) only spread them.
@@ -170,11 +180,11 @@ def _compared(window: int):
             yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(k[at] | 1), pa.array(ids[at]), pa.array(tags[at]), pa.nulls(len(at), pa.int32()), lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, waiting = _WordHashes(), [], 0
+        memo, held, waiting, unpack = _WordHashes(), [], 0, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids, tags, texts = (batch.column(k).to_pylist() for k in (1, 2, 3))
             for i, tag, text, repeated in zip(ids, tags, texts, batch.column(4), strict=True):
-                short = short_hashes(_hashes(text, memo), half)
+                short = short_hashes(_hashes(unpack(text).split(), memo), half)
                 least, _ = samples(short & _EVEN, window - half + 1)
                 at = np.flatnonzero(np.isin(least, repeated.values.to_numpy(zero_copy_only=False).view(np.uint64)))
                 if not len(at):
@@ -193,15 +203,16 @@ def _compared(window: int):
 
 
 def _cut(window: int):
-    """(doc_id, text, starts) to what is left."""
+    """(doc_id, packed, starts) to what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 n, removed, kept = [], [], []
                 for text, starts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    words = split(text)
+                    words = unpack(text).split()
                     n.append(len(words))
                     if starts.is_valid:
                         ends = np.zeros(len(words) + 1, np.int32)
@@ -217,6 +228,11 @@ def _cut(window: int):
     return run
 
 
+def _gathered(one: str, many: str) -> Column:
+    """Values of rows that have one, and of rows that have a list (and whose single value only spread them)."""
+    return F.concat(F.collect_list(F.when(F.col(many).isNull(), F.col(one))), F.flatten(F.collect_list(many)))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text), text not null, to (doc_id, n_words, n_removed, kept_text)."""
     if window < 2 or window % 2:
@@ -228,11 +244,12 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sampled = docs.select(*key, "text").mapInArrow(_sampled(window), "g long, id long, tag int, again boolean, known array<long>")
     repeats = F.count("*").over(Window.partitionBy("g")) > 1
     repeated = sampled.withColumn("repeats", repeats).where("repeats or again")
-    repeated = repeated.groupBy(*key).agg(F.flatten(F.collect_list(F.coalesce("known", F.array("g")))).alias("repeated"))
+    repeated = repeated.groupBy(*key).agg(_gathered("g", "known").alias("repeated"))
 
     # Both joins shuffle the same columns of the documents by the same key, so that Spark does it once.
-    windows = docs.join(repeated, key).select("doc_id", *key, "text", "repeated").mapInArrow(_compared(window), "h long, k int, id long, tag int, start int, late array<int>")
+    packed = docs.mapInArrow(_packed, "doc_id long, id long, tag int, packed binary")
+    windows = packed.join(repeated, key).select("doc_id", *key, "packed", "repeated").mapInArrow(_compared(window), "h long, k int, id long, tag int, start int, late array<int>")
     later = F.rank().over(Window.partitionBy("h", "k").orderBy("id", "start")) > 1
     late = windows.withColumn("later", later).where("later or late is not null")
-    starts = late.groupBy(*key).agg(F.flatten(F.collect_list(F.coalesce("late", F.array("start")))).alias("starts"))
-    return docs.join(starts, key, "left").select("doc_id", "text", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    starts = late.groupBy(*key).agg(_gathered("start", "late").alias("starts"))
+    return packed.join(starts, key, "left").select("doc_id", "packed", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
