@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries of each memo in a worker; a full memo is emptied.
-MEMO = 250_000
+from strandflow.llm.common import bounded_batches
+
+#: Entries of each memo in a worker; a full memo is emptied, and all are at the end of a task.
+MEMO = 150_000
 #: Characters of text that a worker handles at once (a single longer text is handled alone).
 SLICE_CHARS = 2_000_000
 
@@ -117,6 +119,11 @@ class Codec:
             return self._plain(text)
         return b"".join(self.special[s].to_bytes(4, "little") if s in self.special else self._plain(s) for s in self.at_special.split(text))
 
+    def forget(self) -> None:
+        """Empty the memos: workers outlive tasks, and others need the memory."""
+        self._words.clear()
+        self._fragments.clear()
+
     def decode(self, ids: pa.Array | pa.ChunkedArray) -> pa.Array:
         """Texts of lists of ids: their tokens joined by spaces. A null list is an empty text."""
         lists = pc.fill_null(ids.cast(pa.large_list(pa.int32())), pa.scalar([], pa.large_list(pa.int32())))
@@ -161,6 +168,7 @@ def transcode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "
 
 
 def _coded(docs: DataFrame, vocabulary: str, text: str, ids: str, decoded: str | None) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     kept = _without(docs, ids, *([decoded] if decoded else []))
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else [])
 
@@ -177,6 +185,7 @@ def _coded(docs: DataFrame, vocabulary: str, text: str, ids: str, decoded: str |
                 more = [lists] + ([use.decode(lists)] if decoded else [])
                 names = [f.name for f in fields]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
+        use.forget()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 

@@ -25,6 +25,13 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for Python workers, where the session still has Spark's defaults: texts may be long."""
+    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")):
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, ours)
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; an empty array if it has none."""
     inner = F.btrim(text, F.lit(SEPARATOR_CHARS))

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandflow.llm.common import bounded_batches
+
 N = 4
 SLOT_BITS = 20
 HASHES = 3
@@ -134,6 +136,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, language: str = "lang", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> LanguageFilter:
     """Learn from all rows given, of which language and text are not null."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     labelled = docs.where(F.col(language).isNotNull() & F.col("text").isNotNull()).select(F.col(language).alias("language"), F.col(key).alias("key"), "text")
     sizes = {r["language"]: r["n"] for r in labelled.groupBy("language").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
@@ -156,6 +159,7 @@ def fit(docs: DataFrame, language: str = "lang", key: str = "doc_id", docs_per_l
 def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and a score from 0 to 1: the corrected share of n-grams in that language."""
     kept = docs.select(*[docs[c] for c in docs.columns if c.lower() not in (lang.lower(), score.lower())])
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

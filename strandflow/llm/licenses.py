@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandflow.llm.common import bounded_batches
+
 LEAST_DICE = 0.8
 
 #: Licence templates, as (licence, text).
@@ -124,6 +126,7 @@ def matches(text: str, templates: Templates) -> list[tuple[str, float, int, int]
 
 def scan(docs: DataFrame, least: float = LEAST_DICE) -> DataFrame:
     """(doc_id, text), text not null, to (doc_id, license, dice, line, n_lines)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(least=least)

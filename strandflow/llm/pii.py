@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandflow.llm.common import bounded_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account", "iban", "ssn")
 
@@ -148,6 +150,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind"
 def find(docs: DataFrame, text: str = "text", spans: str = "spans", clean: str | None = None) -> DataFrame:
     """docs with an array of (start, end, kind); with the redacted text in column `clean`, if one is named."""
     names = [spans] + ([clean] if clean else [])
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*[docs[c] for c in docs.columns if c.lower() not in {n.lower() for n in names}])
     fields = [T.StructField(spans, SPANS)] + ([T.StructField(clean, T.StringType())] if clean else [])
 

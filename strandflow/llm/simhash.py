@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import join_by_hot_key, materialise
+from strandflow.llm.common import bounded_batches, join_by_hot_key, materialise
 from strandflow.llm.components import components
 
 SEED = 42
@@ -58,6 +58,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text), text not null, to (doc_id, tag, fingerprint); tag is a hash of the text."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.llm.common import bounded_batches
+
 WINDOW = 20
 #: Rows that a task gathers before it decides among them.
 FLUSH = 2_000_000
@@ -237,6 +239,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text), text not null, to (doc_id, n_words, n_removed, kept_text)."""
     if window < 2 or window % 2:
         raise ValueError("the window must have an even number of words")
+    bounded_batches(docs.sparkSession)
     last = (1 << 63) - 1
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(last)).alias("id"), F.hash("text").alias("tag"), "text")
     key = ["id", "tag"]
