@@ -8,7 +8,8 @@ length, so levels end there: a candidate of the last level is a repeat, and noth
 
 Skew: each task first decides among its own rows. Of equal windows within a task only the earliest stays undecided, so a
 passage that a third of all documents share costs one row for each task, not one for each document. Texts are shuffled
-by document, never by content. Windows are told apart by 95 bits of hash.
+by document, never by content. Windows are told apart by 95 bits of hash; of windows that
+agree in 63 bits alone, those unlike the earliest stay.
 
 Semantics: every word goes that is covered by a window whose word sequence also starts earlier, in a smaller doc_id or
 in the same document. Defined results: null or empty texts have no words; null ids count as larger than all others; rows
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +36,7 @@ MEMO = 500_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _EVEN = ~np.uint64(1)
+_LOW = 0xFFFFFFFF
 
 
 class _WordHashes(dict):
@@ -90,49 +91,49 @@ def _hashes(words: list[bytes], memo: _WordHashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def _runs(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Where a new document begins, and the end."""
-    return np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]), [True]]))
+def _runs(ids: np.ndarray) -> np.ndarray:
+    """Where a new id begins, and the end."""
+    return np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
 
 
 def _sampled(window: int):
-    """(id, tag, text) to sampled short windows: (g, id, tag, again, known).
+    """(id, text) to sampled short windows: (g, id, again, known).
 
     One row of each hash (even) and task speaks for the task, `again` if the task has the hash twice. Other rows have, for
-    a document, all hashes known to be there twice; their g (odd) only spreads them.
+    an id, all hashes known to be there twice; their g (odd) only spreads them.
     """
     half = window // 2
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
-        g, ids, tags = (np.concatenate(x) for x in zip(*held, strict=True))
+        g, ids = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((tags, ids, g))
-        g, ids, tags = g[order], ids[order], tags[order]
+        order = np.lexsort((ids, g))
+        g, ids = g[order], ids[order]
         first = np.concatenate([[True], g[1:] != g[:-1]])
         again = ~first
         again[:-1] |= ~first[1:]
-        names = ["g", "id", "tag", "again", "known"]
+        names = ["g", "id", "again", "known"]
         none = pa.nulls(int(first.sum()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(ids[first]), pa.array(tags[first]), pa.array(again[first]), none], names=names)
-        g, ids, tags = g[again], ids[again], tags[again]
+        yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(ids[first]), pa.array(again[first]), none], names=names)
+        g, ids = g[again], ids[again]
         if len(g):
-            order = np.lexsort((g, tags, ids))
-            g, ids, tags = g[order], ids[order], tags[order]
-            at = _runs(ids, tags)
+            order = np.lexsort((g, ids))
+            g, ids = g[order], ids[order]
+            at = _runs(ids)
             known = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))
             at = at[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array((g[at] | ~_EVEN).view(np.int64)), pa.array(ids[at]), pa.array(tags[at]), pa.array(np.ones(len(at), bool)), known], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array((g[at] | ~_EVEN).view(np.int64)), pa.array(ids[at]), pa.array(np.ones(len(at), bool)), known], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, waiting = _WordHashes(), [], 0
         for batch in batches:
-            for i, tag, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for i, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 words = _hashes(split(text), memo)
                 if len(words) < window:
                     continue
                 h = short_hashes(words, half) & _EVEN
                 g = h[samples(h, window - half + 1)[1]]
-                held.append((g, np.full(len(g), i, np.int64), np.full(len(g), tag, np.int32)))
+                held.append((g, np.full(len(g), i, np.int64)))
                 waiting += len(g)
                 if waiting >= FLUSH:
                     waiting = 0
@@ -143,21 +144,12 @@ def _sampled(window: int):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, id, tag, text) with the text's bytes compressed, for the shuffle."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            packed = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["doc_id", "id", "tag", "packed"])
-
-
 def _compared(window: int):
-    """(doc_id, id, tag, packed, repeated samples) to full windows: (h, k, id, tag, start, late).
+    """(doc_id, id, tag, text, repeated samples) to full windows: (h, kt, id, start, late).
 
-    Rows with a start are the earliest in the task with their hashes h and k (even). Other rows have, for a document, in
-    `late` the starts of windows that start earlier elsewhere; their h and k (odd) only spread them.
+    Rows with a start are the earliest in the task with their hash: h (even), and k in the upper half of kt, whose lower
+    half is the tag. Other rows have, for a document, in `late` the places (start, then tag) of windows that start earlier
+    elsewhere; their h (odd) only spreads them.
     """
     half = window // 2
 
@@ -169,30 +161,35 @@ def _compared(window: int):
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         late = (ids != ids[lead]) | (starts != starts[lead])
-        names, open_ = ["h", "k", "id", "tag", "start", "late"], ~late
-        none = pa.nulls(int(open_.sum()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(h[open_].view(np.int64)), pa.array(k[open_]), pa.array(ids[open_]), pa.array(tags[open_]), pa.array(starts[open_]), none], names=names)
-        h, k, ids, tags, starts = h[late], k[late], ids[late], tags[late], starts[late]
+        names, open_ = ["h", "kt", "id", "start", "late"], ~late
+        none = pa.nulls(int(open_.sum()), pa.list_(pa.int64()))
+        kt = (k[open_].astype(np.int64) << 32) | (tags[open_].astype(np.int64) & _LOW)
+        yield pa.RecordBatch.from_arrays([pa.array(h[open_].view(np.int64)), pa.array(kt), pa.array(ids[open_]), pa.array(starts[open_]), none], names=names)
+        h, ids, tags, starts = h[late], ids[late], tags[late], starts[late]
         if len(h):
             order = np.lexsort((starts, tags, ids))
-            h, k, ids, tags, starts = h[order], k[order], ids[order], tags[order], starts[order]
-            at = _runs(ids, tags)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(starts))
+            h, ids, tags, starts = h[order], ids[order], tags[order], starts[order]
+            at = _runs(ids)
+            places = (starts.astype(np.int64) << 32) | (tags.astype(np.int64) & _LOW)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(places))
             at = at[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(k[at] | 1), pa.array(ids[at]), pa.array(tags[at]), pa.nulls(len(at), pa.int32()), lists], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array((h[at] | ~_EVEN).view(np.int64)), pa.array(np.zeros(len(at), np.int64)), pa.array(ids[at]), pa.nulls(len(at), pa.int32()), lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, waiting, unpack = _WordHashes(), [], 0, zstandard.ZstdDecompressor().decompress
+        memo, held, waiting = _WordHashes(), [], 0
         for batch in batches:
             ids, tags, texts = (batch.column(k).to_pylist() for k in (1, 2, 3))
             for i, tag, text, repeated in zip(ids, tags, texts, batch.column(4), strict=True):
-                short = short_hashes(_hashes(unpack(text).split(), memo), half)
+                words = _hashes(split(text), memo)
+                if len(words) < window:
+                    continue
+                short = short_hashes(words, half)
                 least, _ = samples(short & _EVEN, window - half + 1)
                 at = np.flatnonzero(np.isin(least, repeated.values.to_numpy(zero_copy_only=False).view(np.uint64)))
                 if not len(at):
                     continue
-                h = doubled(short, half, 0)[at]
-                k = (doubled(short, half, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32) & ~1
+                h = doubled(short, half, 0)[at] & _EVEN
+                k = (doubled(short, half, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 held.append((h, k, np.full(len(at), i, np.int64), np.full(len(at), tag, np.int32), at.astype(np.int32)))
                 waiting += len(at)
                 if waiting >= FLUSH:
@@ -205,22 +202,22 @@ def _compared(window: int):
 
 
 def _cut(window: int):
-    """(doc_id, packed, starts) to what is left."""
+    """(doc_id, tag, text, places) to what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 n, removed, kept = [], [], []
-                for text, starts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    words = unpack(text).split()
+                for tag, text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                    words = split(text)
                     n.append(len(words))
-                    if starts.is_valid:
+                    if places.is_valid:
+                        place = places.values.to_numpy()
+                        starts = np.unique(place[(place & _LOW) == (tag & _LOW)] >> 32)
                         ends = np.zeros(len(words) + 1, np.int32)
-                        places = np.unique(starts.values.to_numpy())
-                        ends[places] += 1
-                        ends[places + window] -= 1
+                        ends[starts] += 1
+                        ends[starts + window] -= 1
                         covered = np.cumsum(ends[:-1]) > 0
                         words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
                     removed.append(n[-1] - len(words))
@@ -230,9 +227,9 @@ def _cut(window: int):
     return run
 
 
-def _gathered(one: str, many: str) -> Column:
-    """Values of rows that have one, and of rows that have a list (and whose single value only spread them)."""
-    return F.concat(F.collect_list(F.when(F.col(many).isNull(), F.col(one))), F.flatten(F.collect_list(many)))
+def _gathered(one: Column, many: str) -> Column:
+    """Values of rows that have one, and of rows that have a list (and whose single value only spreads them)."""
+    return F.concat(F.collect_list(F.when(F.col(many).isNull(), one)), F.flatten(F.collect_list(many)))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -241,18 +238,20 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError("the window must have an even number of words")
     bounded_batches(docs.sparkSession)
     last = (1 << 63) - 1
+    # The tag tells rows apart that share an id.
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(last)).alias("id"), F.hash("text").alias("tag"), "text")
-    key = ["id", "tag"]
 
-    sampled = docs.select(*key, "text").mapInArrow(_sampled(window), "g long, id long, tag int, again boolean, known array<long>")
+    sampled = docs.select("id", "text").mapInArrow(_sampled(window), "g long, id long, again boolean, known array<long>")
     repeats = F.count("*").over(Window.partitionBy("g")) > 1
     repeated = sampled.withColumn("repeats", repeats).where("repeats or again")
-    repeated = repeated.groupBy(*key).agg(_gathered("g", "known").alias("repeated"))
+    repeated = repeated.groupBy("id").agg(_gathered(F.col("g"), "known").alias("repeated"))
 
     # Both joins shuffle the same columns of the documents by the same key, so that Spark does it once.
-    packed = docs.mapInArrow(_packed, "doc_id long, id long, tag int, packed binary")
-    windows = packed.join(repeated, key).select("doc_id", *key, "packed", "repeated").mapInArrow(_compared(window), "h long, k int, id long, tag int, start int, late array<int>")
-    later = F.rank().over(Window.partitionBy("h", "k").orderBy("id", "start")) > 1
+    windows = docs.join(repeated, "id").select("doc_id", "id", "tag", "text", "repeated").mapInArrow(_compared(window), "h long, kt long, id long, start int, late array<long>")
+    order = Window.partitionBy("h").orderBy("id", "start")
+    k = F.shiftright("kt", 32)
+    later = (F.rank().over(order) > 1) & (k == F.shiftright(F.first("kt").over(order), 32))
     late = windows.withColumn("later", later).where("later or late is not null")
-    starts = late.groupBy(*key).agg(_gathered("start", "late").alias("starts"))
-    return packed.join(starts, key, "left").select("doc_id", "packed", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    place = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("kt").bitwiseAND(F.lit(_LOW)))
+    places = late.groupBy("id").agg(_gathered(place, "late").alias("places"))
+    return docs.join(places, "id", "left").select("doc_id", "tag", "text", "places").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
