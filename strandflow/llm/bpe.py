@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from strandflow.llm.common import bounded_batches
 
@@ -45,6 +46,8 @@ class Codec:
     """Encoder and decoder for one vocabulary file (JSON, BPE with word ends); lives in a worker."""
 
     def __init__(self, path: str):
+        self.path = path
+        self._library: Tokenizer | None = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -83,11 +86,20 @@ class Codec:
             ids[at : at + 2] = [best[1]]
         return tuple(ids)
 
+    def _pieces(self, word: str) -> list[str]:
+        """Pieces of a word, in stand-ins."""
+        if max(word) > "\u024f" and any(unicodedata.category(c) == "Cn" for c in word):
+            # Characters that this Python does not know yet may be letters to the library: its own rules, for this word.
+            if self._library is None:
+                self._library = Tokenizer.from_file(self.path)
+            return [piece for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(word))]
+        pieces = _PIECES.findall(word)
+        return pieces if word.isascii() and word.isprintable() else ["".join(map(self.alphabet.__getitem__, p.encode().decode("latin-1"))) for p in pieces]
+
     def _word(self, word: str) -> bytes:
         """Ids (int32) of a run of non-white-space characters, in normal form."""
         out: list[int] = []
-        for piece in _PIECES.findall(word):
-            stand_ins = piece if piece.isascii() and piece.isprintable() else "".join(map(self.alphabet.__getitem__, piece.encode().decode("latin-1")))
+        for stand_ins in self._pieces(word):
             parts = self.fragments(stand_ins)
             for k, fragment in enumerate(parts, 1 - len(parts)):
                 key = (fragment, not k)

@@ -83,7 +83,7 @@ class Templates:
         for i, g in enumerate(grams):
             for gram, n in g.items():
                 self.index.setdefault(gram, []).append((i, n))
-        self.ratio = (2 - least) / least
+        self.ratio = (2 - least) / least + 1e-9
         self.bounds = min(self.sizes) / self.ratio, max(self.sizes) * self.ratio
         #: Each bigram has a gap and a word of at least one character, after the first word.
         self.least_chars = 2 * self.bounds[0] + 1
