@@ -285,27 +285,27 @@ def name_map(t: Tables) -> DataFrame:
 
 @query(
     "species_stats",
-    f"""WITH {PAIRS} SELECT batch AS species, count(*) AS bases, round(count(*) FILTER (WHERE weight = 0) / count(*), 4) AS error_rate, round(count(*) FILTER (WHERE ref = 0 AND weight = 0) / count(*) FILTER (WHERE weight = 0), 4) AS ig_error_rate,
-    {", ".join(f"round(count(*) FILTER (WHERE ref = {k}) / count(*), 4) AS rate_{k}" for k in range(4))} FROM pairs GROUP BY batch""",
+    f"""WITH {PAIRS} SELECT batch AS species, count(*) AS bases, round(count(*) FILTER (WHERE weight = 0) / count(*), 9) AS error_rate, round(count(*) FILTER (WHERE ref = 0 AND weight = 0) / count(*) FILTER (WHERE weight = 0), 9) AS ig_error_rate,
+    {", ".join(f"round(count(*) FILTER (WHERE ref = {k}) / count(*), 9) AS rate_{k}" for k in range(4))} FROM pairs GROUP BY batch""",
 )
 def species_stats(t: Tables) -> DataFrame:
     masked, n = F.col("weight") == 0, F.count("*")
     return pairs(t).groupBy(F.col("batch").alias("species")).agg(
         n.alias("bases"),
-        F.round(F.count_if(masked) / n, 4).alias("error_rate"),
-        F.round(F.try_divide(F.count_if(masked & (F.col("ref") == 0)).cast("double"), F.count_if(masked)), 4).alias("ig_error_rate"),
-        *[F.round(F.count_if(F.col("ref") == k) / n, 4).alias(f"rate_{k}") for k in range(4)],
+        F.round(F.count_if(masked) / n, 9).alias("error_rate"),
+        F.round(F.try_divide(F.count_if(masked & (F.col("ref") == 0)).cast("double"), F.count_if(masked)), 9).alias("ig_error_rate"),
+        *[F.round(F.count_if(F.col("ref") == k) / n, 9).alias(f"rate_{k}") for k in range(4)],
     )
 
 
 @query(
     "large_eval_summary",
-    """SELECT event_type, round(median(value), 4) AS all_median, round(avg(value), 4) AS all_mean, round(stddev_pop(value), 4) AS all_std, round(median(value) FILTER (WHERE user_id % 2 = 0), 4) AS held_out_median,
-    round(avg(value) FILTER (WHERE user_id % 2 = 0), 4) AS held_out_mean, round(stddev_pop(value) FILTER (WHERE user_id % 2 = 0), 4) AS held_out_std FROM events GROUP BY event_type""",
+    """SELECT event_type, round(median(value), 9) AS all_median, round(avg(value), 9) AS all_mean, round(stddev_pop(value), 9) AS all_std, round(median(value) FILTER (WHERE user_id % 2 = 0), 9) AS held_out_median,
+    round(avg(value) FILTER (WHERE user_id % 2 = 0), 9) AS held_out_mean, round(stddev_pop(value) FILTER (WHERE user_id % 2 = 0), 9) AS held_out_std FROM events GROUP BY event_type""",
 )
 def large_eval_summary(t: Tables) -> DataFrame:
     found = D.summary(t.events, ["event_type"], "value", {"all": F.lit(True), "held_out": F.col("user_id") % 2 == 0})
-    return found.select("event_type", *[F.round(c, 4).alias(c) for c in found.columns[1:]])
+    return found.select("event_type", *[F.round(c, 9).alias(c) for c in found.columns[1:]])
 
 
 @query("describe_methods", "SELECT o_orderstatus AS method, round(avg(o_totalprice), 2) AS mean_value, round(stddev_samp(o_totalprice), 2) AS std_value, round(2 / (1 / avg(o_totalprice) + 1 / max(o_totalprice)), 2) AS harmonic FROM orders GROUP BY ALL")
@@ -314,10 +314,10 @@ def describe_methods(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.col("o_orderstatus").alias("method")).agg(F.round(F.avg(v), 2).alias("mean_value"), F.round(F.stddev_samp(v), 2).alias("std_value"), F.round(scores.harmonic_f1(F.avg(v), F.max(v)), 2).alias("harmonic"))
 
 
-@query("fraction_of_total", "WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL) SELECT c_mktsegment, c_nationkey, round(n / sum(n) OVER (PARTITION BY c_nationkey), 6) AS fraction FROM c")
+@query("fraction_of_total", "WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL) SELECT c_mktsegment, c_nationkey, round(n / sum(n) OVER (PARTITION BY c_nationkey), 9) AS fraction FROM c")
 def fraction_of_total(t: Tables) -> DataFrame:
     counts = t.customer.groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"))
-    return D.fraction_of_total(counts, ["c_nationkey"], "n").select("c_mktsegment", "c_nationkey", F.round("fraction", 6).alias("fraction"))
+    return D.fraction_of_total(counts, ["c_nationkey"], "n").select("c_mktsegment", "c_nationkey", F.round("fraction", 9).alias("fraction"))
 
 
 @query("stats_rollup", f"WITH {PAIRS} SELECT batch, ref, count(*) AS n, CAST(sum(weight) AS BIGINT) AS unmasked FROM pairs GROUP BY ROLLUP (batch, ref)")
@@ -325,11 +325,11 @@ def stats_rollup(t: Tables) -> DataFrame:
     return pairs(t).rollup("batch", "ref").agg(F.count("*").alias("n"), F.sum("weight").alias("unmasked"))
 
 
-@query("position_averages", "SELECT event_type, extract('hour' FROM ts) AS position, round(avg(value), 4) AS mean_value FROM events GROUP BY ALL")
+@query("position_averages", "SELECT event_type, extract('hour' FROM ts) AS position, round(avg(value), 9) AS mean_value FROM events GROUP BY ALL")
 def position_averages(t: Tables) -> DataFrame:
     from strandflow.operators.overlap import position_means
 
-    return position_means(t.events.withColumn("position", F.hour("ts").cast("long")), ["event_type"], "position", "value").withColumn("mean_value", F.round("mean_value", 4))
+    return position_means(t.events.withColumn("position", F.hour("ts").cast("long")), ["event_type"], "position", "value").withColumn("mean_value", F.round("mean_value", 9))
 
 
 @query("species_track_counts", "SELECT user_id AS seqid, count(*) AS n FROM events GROUP BY ALL")

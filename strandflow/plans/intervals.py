@@ -152,10 +152,10 @@ def bool_stretches(t: Tables) -> DataFrame:
     return I.runs_of(track(t).select("seqid", "pos", "genic"), ["seqid"], "pos", "genic")
 
 
-@query("coord_rates", f"""WITH {_BASES} SELECT seqid, count(*) AS n, round(avg(CASE WHEN tr = 0 THEN 1.0 ELSE 0.0 END), 4) AS intergenic_rate, round(avg(CASE WHEN intron = 1 THEN 1.0 ELSE 0.0 END), 4) AS masked_rate FROM raster GROUP BY seqid""")
+@query("coord_rates", f"""WITH {_BASES} SELECT seqid, count(*) AS n, round(avg(CASE WHEN tr = 0 THEN 1.0 ELSE 0.0 END), 9) AS intergenic_rate, round(avg(CASE WHEN intron = 1 THEN 1.0 ELSE 0.0 END), 9) AS masked_rate FROM raster GROUP BY seqid""")
 def coord_rates(t: Tables) -> DataFrame:
     raster = A.raster(features(t), ["seqid", "is_plus"], F.lit(_CLIP))
-    return raster.groupBy("seqid").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("transcript") == 0) / F.count("*"), 4).alias("intergenic_rate"), F.round(F.count_if(F.col("intron") == 1) / F.count("*"), 4).alias("masked_rate"))
+    return raster.groupBy("seqid").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("transcript") == 0) / F.count("*"), 9).alias("intergenic_rate"), F.round(F.count_if(F.col("intron") == 1) / F.count("*"), 9).alias("masked_rate"))
 
 
 @query(

@@ -24,11 +24,11 @@ def _sql_scores(cells: dict, names: str = "cm") -> str:
     each = " UNION ALL ".join(f"SELECT '{name}' AS name, {total(tp)} AS tp, {total(fp)} AS fp, {total(fn)} AS fn FROM {names}" for name, (tp, fp, fn) in cells.items())
     return f"""s AS ({each}),
       pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM s)
-      SELECT name, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM pr"""
+      SELECT name, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM pr"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select("name", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return df.select("name", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("cm_counts", _MASKED + " SELECT ref, pred, n FROM cm")
@@ -36,9 +36,9 @@ def cm_counts(t: Tables) -> DataFrame:
     return _cm(t).select("ref", "pred", "n")
 
 
-@query("cm_normalized", _MASKED + " SELECT ref, pred, n, round(n / nullif(sum(n) OVER (PARTITION BY ref), 0), 6) AS share FROM cm")
+@query("cm_normalized", _MASKED + " SELECT ref, pred, n, round(n / nullif(sum(n) OVER (PARTITION BY ref), 0), 9) AS share FROM cm")
 def cm_normalized(t: Tables) -> DataFrame:
-    return M.normalized(_cm(t)).select("ref", "pred", "n", F.round("share", 6).alias("share"))
+    return M.normalized(_cm(t)).select("ref", "pred", "n", F.round("share", 9).alias("share"))
 
 
 @query("class_prf", _MASKED + ", " + _sql_scores(M.class_cells(M.GENIC)))
@@ -56,15 +56,15 @@ def phase_prf(t: Tables) -> DataFrame:
     return _rounded(M.score(_cm(t), M.class_cells(M.PHASES) | M.phase_composites()))
 
 
-@query("total_accuracy", _MASKED + " SELECT round(sum(CASE WHEN ref = pred THEN n ELSE 0 END) / sum(n), 6) AS accuracy, CAST(sum(n) AS BIGINT) AS n FROM cm")
+@query("total_accuracy", _MASKED + " SELECT round(sum(CASE WHEN ref = pred THEN n ELSE 0 END) / sum(n), 9) AS accuracy, CAST(sum(n) AS BIGINT) AS n FROM cm")
 def total_accuracy(t: Tables) -> DataFrame:
-    return M.accuracy(_cm(t)).select(F.round("accuracy", 6).alias("accuracy"), "n")
+    return M.accuracy(_cm(t)).select(F.round("accuracy", 9).alias("accuracy"), "n")
 
 
-@query("masked_accuracy", f"WITH {PAIRS} SELECT batch, count(*) AS n, round(avg(CASE WHEN ref = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pairs WHERE weight <> 0 GROUP BY batch")
+@query("masked_accuracy", f"WITH {PAIRS} SELECT batch, count(*) AS n, round(avg(CASE WHEN ref = pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM pairs WHERE weight <> 0 GROUP BY batch")
 def masked_accuracy(t: Tables) -> DataFrame:
     cm = M.confusion(pairs(t).where("weight <> 0"), 4, ["batch"])
-    return M.accuracy(cm, ["batch"]).select("batch", "n", F.round("accuracy", 6).alias("accuracy"))
+    return M.accuracy(cm, ["batch"]).select("batch", "n", F.round("accuracy", 9).alias("accuracy"))
 
 
 @query("class_counts", f"WITH {FEATURES} SELECT type, count(*) AS n FROM features GROUP BY type")
@@ -116,27 +116,27 @@ def argmax_class(t: Tables) -> DataFrame:
 @query(
     "class_entropy",
     f"""WITH {VECTORS}, h AS (SELECT ref, batch, list_sum(list_transform(p, lambda x: -x * log2(x))) AS h FROM vectors),
-    b AS (SELECT ref, batch, avg(h) AS h FROM h GROUP BY ALL) SELECT ref, round(avg(h) / 2, 6) AS h FROM b GROUP BY ref""",
+    b AS (SELECT ref, batch, avg(h) AS h FROM h GROUP BY ALL) SELECT ref, round(avg(h) / 2, 9) AS h FROM b GROUP BY ref""",
 )
 def class_entropy(t: Tables) -> DataFrame:
-    return M.class_entropy(vectors(t), 4).select("ref", F.round("h", 6).alias("h"))
+    return M.class_entropy(vectors(t), 4).select("ref", F.round("h", 9).alias("h"))
 
 
-@query("weighted_logloss", f"WITH {VECTORS} SELECT ref, count(*) AS n, round(avg(-ln(least(greatest(p[ref + 1], 1e-7), 1 - 1e-7)) * (CASE WHEN ref = 0 THEN 0.2 ELSE 0.8 END)), 6) AS loss FROM vectors GROUP BY ref")
+@query("weighted_logloss", f"WITH {VECTORS} SELECT ref, count(*) AS n, round(avg(-ln(least(greatest(p[ref + 1], 1e-7), 1 - 1e-7)) * (CASE WHEN ref = 0 THEN 0.2 ELSE 0.8 END)), 9) AS loss FROM vectors GROUP BY ref")
 def weighted_logloss(t: Tables) -> DataFrame:
     weight = F.when(F.col("ref") == 0, 0.2).otherwise(0.8)
-    return vectors(t).groupBy("ref").agg(F.count("*").alias("n"), F.round(F.avg(scores.cross_entropy(F.col("p"), F.col("ref"), weight)), 6).alias("loss"))
+    return vectors(t).groupBy("ref").agg(F.count("*").alias("n"), F.round(F.avg(scores.cross_entropy(F.col("p"), F.col("ref"), weight)), 9).alias("loss"))
 
 
 @query(
     "summary_strip",
     f"""WITH {VECTORS}, e AS (SELECT vec_id // 25 AS bin, ref, list_transform([0, 1, 2, 3], lambda k: abs((CASE WHEN k = ref THEN 1 ELSE 0 END) - p[k + 1])) AS e FROM vectors)
-    SELECT bin, bool_or(ref = 2) AS any_coding, round(avg(CASE WHEN ref <> 0 THEN e[ref + 1] END), 6) AS mean_error FROM e GROUP BY bin""",
+    SELECT bin, bool_or(ref = 2) AS any_coding, round(avg(CASE WHEN ref <> 0 THEN e[ref + 1] END), 9) AS mean_error FROM e GROUP BY bin""",
 )
 def summary_strip(t: Tables) -> DataFrame:
     y = F.array(*[F.when(F.col("ref") == k, 1.0).otherwise(0.0) for k in range(4)])
     rows = vectors(t).select(F.floor(F.col("vec_id") / 25).alias("bin"), "ref", scores.pointwise_error(y, F.col("p")).alias("e"))
-    return rows.groupBy("bin").agg(F.bool_or(F.col("ref") == 2).alias("any_coding"), F.round(F.avg(F.when(F.col("ref") != 0, F.get("e", F.col("ref").cast("int")))), 6).alias("mean_error"))
+    return rows.groupBy("bin").agg(F.bool_or(F.col("ref") == 2).alias("any_coding"), F.round(F.avg(F.when(F.col("ref") != 0, F.get("e", F.col("ref").cast("int")))), 9).alias("mean_error"))
 
 
 @query(
@@ -149,18 +149,18 @@ def coverage_counter(t: Tables) -> DataFrame:
     return M.threshold_counts(rows, ["ref", "pred"], "cov", "scov", [0, 1, 3, 9, 27, 81])
 
 
-@query("position_profile", f"WITH {PAIRS} SELECT CAST(off // 20 AS BIGINT) AS block, count(*) AS n, CAST(count(*) FILTER (WHERE ref = pred) AS BIGINT) AS n_right, round(count(*) FILTER (WHERE ref = pred) / count(*), 6) AS accuracy FROM pairs WHERE weight <> 0 GROUP BY ALL")
+@query("position_profile", f"WITH {PAIRS} SELECT CAST(off // 20 AS BIGINT) AS block, count(*) AS n, CAST(count(*) FILTER (WHERE ref = pred) AS BIGINT) AS n_right, round(count(*) FILTER (WHERE ref = pred) / count(*), 9) AS accuracy FROM pairs WHERE weight <> 0 GROUP BY ALL")
 def position_profile(t: Tables) -> DataFrame:
-    return M.position_profile(pairs(t).where("weight <> 0"), 20).withColumn("accuracy", F.round("accuracy", 6))
+    return M.position_profile(pairs(t).where("weight <> 0"), 20).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query(
     "support_consensus",
-    f"""WITH {PAIRS} SELECT ref, round(coalesce(100 * count(*) FILTER (WHERE l_tax >= 0.04 AND ref = pred) / nullif(count(*) FILTER (WHERE l_tax >= 0.04), 0), -1), 4) AS high_pct,
-    round(coalesce(100 * count(*) FILTER (WHERE l_tax < 0.04 AND ref = pred) / nullif(count(*) FILTER (WHERE l_tax < 0.04), 0), -1), 4) AS low_pct FROM pairs GROUP BY ref""",
+    f"""WITH {PAIRS} SELECT ref, round(coalesce(100 * count(*) FILTER (WHERE l_tax >= 0.04 AND ref = pred) / nullif(count(*) FILTER (WHERE l_tax >= 0.04), 0), -1), 9) AS high_pct,
+    round(coalesce(100 * count(*) FILTER (WHERE l_tax < 0.04 AND ref = pred) / nullif(count(*) FILTER (WHERE l_tax < 0.04), 0), -1), 9) AS low_pct FROM pairs GROUP BY ref""",
 )
 def support_consensus(t: Tables) -> DataFrame:
-    return M.support_consensus(pairs(t), 0.04, "l_tax").select("ref", F.round("high_pct", 4).alias("high_pct"), F.round("low_pct", 4).alias("low_pct"))
+    return M.support_consensus(pairs(t), 0.04, "l_tax").select("ref", F.round("high_pct", 9).alias("high_pct"), F.round("low_pct", 9).alias("low_pct"))
 
 
 _EDGES = (0, 100, 500, 1000, 2000, 5000, 10000, 20000, 50000, 100000, 200000, 500000, 1000000)

@@ -41,14 +41,14 @@ def chunk_grid(t: Tables) -> DataFrame:
 _COUNT = "(length(seq) - length(replace(seq, '{0}', '')))"
 
 
-@query("base_onehot", f"WITH {SEQUENCES} SELECT seqid, " + ", ".join(f"round({_COUNT.format(b)} + 0.25 * {_COUNT.format('N')}, 4) AS sum_{b.lower()}" for b in "CATG") + ", true AS decodes FROM sequences")
+@query("base_onehot", f"WITH {SEQUENCES} SELECT seqid, " + ", ".join(f"round({_COUNT.format(b)} + 0.25 * {_COUNT.format('N')}, 9) AS sum_{b.lower()}" for b in "CATG") + ", true AS decodes FROM sequences")
 def base_onehot(t: Tables) -> DataFrame:
     x = sequences(t).select("seqid", "seq", S.encode_all(F.col("seq")).alias("x"))
     back = F.array_join(F.transform("x", S.decode), "")
     channel = lambda i: F.aggregate("x", F.lit(0.0), lambda a, v: a + F.coalesce(F.get(v, F.lit(i)), F.lit(0.0)))
     return x.select(
         "seqid",
-        *[F.round(channel(i), 4).alias(f"sum_{b.lower()}") for i, b in enumerate("CATG")],
+        *[F.round(channel(i), 9).alias(f"sum_{b.lower()}") for i, b in enumerate("CATG")],
         (back == F.col("seq")).alias("decodes"),
     )
 
@@ -101,11 +101,11 @@ def kmer_canonical(t: Tables) -> DataFrame:
     return _mers(t)
 
 
-@query("kmer_fraction", f"WITH {_MERS} SELECT species, mer, round(n / sum(n) OVER (PARTITION BY species), 6) AS fraction FROM canon")
+@query("kmer_fraction", f"WITH {_MERS} SELECT species, mer, round(n / sum(n) OVER (PARTITION BY species), 9) AS fraction FROM canon")
 def kmer_fraction(t: Tables) -> DataFrame:
     from strandflow.operators.dataset import fraction_of_total
 
-    return fraction_of_total(_mers(t), ["species"], "n").select("species", "mer", F.round("fraction", 6).alias("fraction"))
+    return fraction_of_total(_mers(t), ["species"], "n").select("species", "mer", F.round("fraction", 9).alias("fraction"))
 
 
 @query("drop_padding", f"""WITH {_GRID} SELECT seqid, CAST(sum(abs("end" - "start")) AS BIGINT) AS n_bases, CAST(sum({CHUNK} - abs("end" - "start")) AS BIGINT) AS n_padding FROM grid GROUP BY seqid""")
@@ -120,11 +120,11 @@ def chunk_flags(t: Tables) -> DataFrame:
     return C.flags(pairs(t), ["seqid", "off"], "ref", "weight")
 
 
-@query("concat_channels", f"WITH {VECTORS} SELECT vec_id, 3 AS n_channels, round(2 * p[3] + p[4] * p[4], 6) AS checked FROM vectors")
+@query("concat_channels", f"WITH {VECTORS} SELECT vec_id, 3 AS n_channels, round(2 * p[3] + p[4] * p[4], 9) AS checked FROM vectors")
 def concat_channels(t: Tables) -> DataFrame:
     p = F.col("p")
     x = C.concat_channels(F.transform(p, lambda v: F.array(v)), F.transform(p, lambda v: v * 2), F.transform(p, lambda v: v * v))
-    return vectors(t).select("vec_id", x.alias("x")).select("vec_id", F.size(F.get("x", F.lit(0))).alias("n_channels"), F.round(F.get(F.get("x", F.lit(2)), F.lit(1)) + F.get(F.get("x", F.lit(3)), F.lit(2)), 6).alias("checked"))
+    return vectors(t).select("vec_id", x.alias("x")).select("vec_id", F.size(F.get("x", F.lit(0))).alias("n_channels"), F.round(F.get(F.get("x", F.lit(2)), F.lit(1)) + F.get(F.get("x", F.lit(3)), F.lit(2)), 9).alias("checked"))
 
 
 @query(

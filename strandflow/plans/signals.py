@@ -31,13 +31,13 @@ def sliding_windows(t: Tables) -> DataFrame:
     f"""WITH {_TRACK_WINDOWS}, o AS (SELECT seqid, w_start, is_first, is_last, unnest(range(0, {_SIZE})) AS off FROM win),
     p AS (SELECT o.seqid, w_start + off AS pos, value + off AS a, 2 * value - off AS b FROM o JOIN track t ON t.seqid = o.seqid AND t.pos = w_start + off
       WHERE (is_first OR off >= {(_SIZE - _CORE) // 2}) AND (is_last OR off < {_SIZE - (_SIZE - _CORE) // 2}))
-    SELECT seqid, CAST(pos AS BIGINT) AS pos, round(avg(a), 4) AS p0, round(avg(b), 4) AS p1, count(*) AS n_windows FROM p GROUP BY ALL""",
+    SELECT seqid, CAST(pos AS BIGINT) AS pos, round(avg(a), 9) AS p0, round(avg(b), 9) AS p1, count(*) AS n_windows FROM p GROUP BY ALL""",
 )
 def overlap_mean(t: Tables) -> DataFrame:
     off = _windows(t).withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(_SIZE - 1)))).withColumn("pos", F.col("w_start") + F.col("off"))
     p = off.join(track(t).select("seqid", "pos", "value"), ["seqid", "pos"]).withColumn("p", F.array(F.col("value") + F.col("off"), 2 * F.col("value") - F.col("off")))
     mean = O.overlap_mean(p, ["seqid"], _SIZE, _CORE)
-    return mean.select("seqid", "pos", *[F.round(F.get("p", F.lit(k)), 4).alias(f"p{k}") for k in (0, 1)], "n_windows")
+    return mean.select("seqid", "pos", *[F.round(F.get("p", F.lit(k)), 9).alias(f"p{k}") for k in (0, 1)], "n_windows")
 
 
 _POOL = 10
@@ -53,9 +53,9 @@ def pool_timesteps(t: Tables) -> DataFrame:
     return _pooled(t, F.count("*").alias("n"), O.pool_weight(F.col("weight")).cast("long").alias("weight"))
 
 
-@query("class_weighting", f"WITH {_POOLED}, c AS (SELECT DISTINCT seqid, pool, ref FROM pooled) SELECT seqid, CAST(pool AS BIGINT) AS pool, round(sum([0.7, 1.6, 1.2, 1.2][ref + 1]), 4) AS weight FROM c GROUP BY ALL")
+@query("class_weighting", f"WITH {_POOLED}, c AS (SELECT DISTINCT seqid, pool, ref FROM pooled) SELECT seqid, CAST(pool AS BIGINT) AS pool, round(sum([0.7, 1.6, 1.2, 1.2][ref + 1]), 9) AS weight FROM c GROUP BY ALL")
 def class_weighting(t: Tables) -> DataFrame:
-    return _pooled(t, F.round(O.class_weight(F.col("ref"), (0.7, 1.6, 1.2, 1.2)), 4).alias("weight"))
+    return _pooled(t, F.round(O.class_weight(F.col("ref"), (0.7, 1.6, 1.2, 1.2)), 9).alias("weight"))
 
 
 @query(
@@ -73,16 +73,16 @@ def coverage_weighting(t: Tables) -> DataFrame:
     return _pooled(t, F.round(O.coverage_weight(F.col("l_tax"), 0.3), 8).alias("weight"))
 
 
-@query("coverage_norm", "SELECT event_id, round(ln(value + 1.1), 6) AS log_norm, round(value / 100, 6) AS linear_norm FROM events")
+@query("coverage_norm", "SELECT event_id, round(ln(value + 1.1), 9) AS log_norm, round(value / 100, 9) AS linear_norm FROM events")
 def coverage_norm(t: Tables) -> DataFrame:
     v = F.col("value")
-    return t.events.select("event_id", F.round(O.normalized_coverage(v, "log"), 6).alias("log_norm"), F.round(O.normalized_coverage(v, "linear"), 6).alias("linear_norm"))
+    return t.events.select("event_id", F.round(O.normalized_coverage(v, "log"), 9).alias("log_norm"), F.round(O.normalized_coverage(v, "linear"), 9).alias("linear_norm"))
 
 
 @query("cum_abs_diff", f"""WITH {TRACK}, d AS (SELECT seqid, pos, coalesce(abs(value - lag(value) OVER (PARTITION BY seqid ORDER BY pos)), 0) AS d FROM track)
-    SELECT seqid, pos, round(sum(d) OVER (PARTITION BY seqid ORDER BY pos ROWS UNBOUNDED PRECEDING), 4) AS cum FROM d""")
+    SELECT seqid, pos, round(sum(d) OVER (PARTITION BY seqid ORDER BY pos ROWS UNBOUNDED PRECEDING), 9) AS cum FROM d""")
 def cum_abs_diff(t: Tables) -> DataFrame:
-    return S.cumulative_change(track(t), ["seqid"], "value").select("seqid", "pos", F.round("cum", 4).alias("cum"))
+    return S.cumulative_change(track(t), ["seqid"], "value").select("seqid", "pos", F.round("cum", 9).alias("cum"))
 
 
 _TRACK_P = f"{TRACK}, v AS (SELECT seqid, pos, least(1.0, value / 60) AS q FROM track), s AS (SELECT seqid, pos, q, greatest((q + lead(q) OVER w) / 2, 1 - (q + lead(q) OVER w) / 2) AS s, count(*) OVER (PARTITION BY seqid) AS n FROM v WINDOW w AS (PARTITION BY seqid ORDER BY pos))"
@@ -104,11 +104,11 @@ def confident_regions(t: Tables) -> DataFrame:
     "candidate_regions",
     f"""WITH {TRACK}, s AS (SELECT seqid, pos, avg(CASE WHEN genic THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY seqid ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS s FROM track),
     k AS (SELECT *, pos - row_number() OVER (PARTITION BY seqid ORDER BY pos) AS k FROM s WHERE s >= 0.4)
-    SELECT seqid, min(pos) AS "start", max(pos) + 1 AS "end", round(max(s), 6) AS peak FROM k GROUP BY seqid, k HAVING max(s) >= 0.6""",
+    SELECT seqid, min(pos) AS "start", max(pos) + 1 AS "end", round(max(s), 9) AS peak FROM k GROUP BY seqid, k HAVING max(s) >= 0.6""",
 )
 def candidate_regions(t: Tables) -> DataFrame:
     rows = track(t).select("seqid", "pos", F.col("genic").cast("int").cast("double").alias("genic"))
-    return S.candidate_regions(rows, ["seqid"], 10, 0.4, 0.6).withColumn("peak", F.round("peak", 6))
+    return S.candidate_regions(rows, ["seqid"], 10, 0.4, 0.6).withColumn("peak", F.round("peak", 9))
 
 
 @query("next_genic", f"WITH {TRACK} SELECT seqid, pos, min(CASE WHEN genic THEN pos END) OVER (PARTITION BY seqid ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_row FROM track")
@@ -156,12 +156,12 @@ def divvy_hints(t: Tables) -> DataFrame:
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.2 THEN 8.0 WHEN x > 0.15 THEN 3.0 ELSE 1.0 END) AS w FROM embeddings),
     i AS (SELECT vec_id, w, unnest(range(1, 65)) AS i FROM v),
     c AS (SELECT vec_id, w, i, list_max(list_transform(range(greatest(1, i - 2), least(64, i + 2) + 1), lambda j: CASE WHEN w[j] > 1 AND j <> i THEN j END)) AS j FROM i)
-    SELECT vec_id, round(sum(i * CASE WHEN w[i] > 1 THEN w[i] WHEN j IS NULL THEN 1.0 ELSE greatest(1.0, w[j] / power(2, abs(j - i))) END), 4) AS checked FROM c GROUP BY vec_id""",
+    SELECT vec_id, round(sum(i * CASE WHEN w[i] > 1 THEN w[i] WHEN j IS NULL THEN 1.0 ELSE greatest(1.0, w[j] / power(2, abs(j - i))) END), 9) AS checked FROM c GROUP BY vec_id""",
 )
 def stretch_weights(t: Tables) -> DataFrame:
     w = t.embeddings.select("vec_id", F.transform("embedding", lambda x: F.when(x > 0.2, 8.0).when(x > 0.15, 3.0).otherwise(1.0)).alias("w"))
     spread = w.select("vec_id", F.posexplode(O.stretched(F.col("w"), 2)).alias("i", "x"))
-    return spread.groupBy("vec_id").agg(F.round(F.sum((F.col("i") + 1) * F.col("x")), 4).alias("checked"))
+    return spread.groupBy("vec_id").agg(F.round(F.sum((F.col("i") + 1) * F.col("x")), 9).alias("checked"))
 
 
 @query(
@@ -175,14 +175,14 @@ def greedy_pack(t: Tables) -> DataFrame:
     return O.greedy_pack(t.orders.select("o_custkey", "o_orderkey", (1 + F.col("o_orderkey") % 7).alias("size")), ["o_custkey"], "o_orderkey", "size", 12)
 
 
-@query("ensemble_mean", f"WITH {VECTORS} SELECT a.vec_id, 2 AS n_models, 'first,second' AS models, {', '.join(f'round((a.p[{k}] + a.p[{5 - k}]) / 2, 6) AS p{k - 1}' for k in range(1, 5))} FROM vectors a")
+@query("ensemble_mean", f"WITH {VECTORS} SELECT a.vec_id, 2 AS n_models, 'first,second' AS models, {', '.join(f'round((a.p[{k}] + a.p[{5 - k}]) / 2, 9) AS p{k - 1}' for k in range(1, 5))} FROM vectors a")
 def ensemble_mean(t: Tables) -> DataFrame:
     from strandflow.operators.dataset import ensemble
 
     first = vectors(t).select("vec_id", F.lit("first").alias("model"), "p")
     second = vectors(t).select("vec_id", F.lit("second").alias("model"), F.reverse("p").alias("p"))
     mean = ensemble([first, second], ["vec_id"])
-    return mean.select("vec_id", F.col("n_models").cast("int").alias("n_models"), "models", *[F.round(F.get("p", F.lit(k)), 6).alias(f"p{k}") for k in range(4)])
+    return mean.select("vec_id", F.col("n_models").cast("int").alias("n_models"), "models", *[F.round(F.get("p", F.lit(k)), 9).alias(f"p{k}") for k in range(4)])
 
 
 @query(
