@@ -33,6 +33,17 @@ def raster(features: DataFrame, keys: Sequence[str], length: Column | None = Non
     )
 
 
+def class_segments(features: DataFrame, keys: Sequence[str], length: Column | None = None, errors: Sequence[str] = (), width: int = intervals.BIN) -> DataFrame:
+    """The same flags and weight by stretch, (keys, start, end, transcript, cds, intron, sample_weight), from borders alone:
+    the cost follows the number of features and not of bases."""
+    plus = intervals.to_plus_frame(features).withColumn("type", checked_type(F.col("type"), errors))
+    clipped = intervals.clip(plus, F.lit(0), length if length is not None else F.lit((1 << 62)))
+    is_a = lambda *types: F.when(F.col("type").isin(*types), 1).otherwise(0)
+    runs = intervals.sweep(clipped, keys, {t: is_a(t) for t in TYPES} | {"masks": is_a(*errors)}, width=width)
+    flag = lambda t: F.when(F.col(t) > 0, 1).otherwise(0).alias(t)
+    return runs.select(*keys, "start", "end", *[flag(t) for t in TYPES], F.when(F.col("masks") > 0, 0).otherwise(1).alias("sample_weight"))
+
+
 def class_of(transcript: Column, cds: Column, intron: Column) -> Column:
     """0 intergenic, 1 untranslated, 2 coding, 3 intron; what lies outside of a transcript is intergenic."""
     return F.when(transcript == 0, 0).when(intron == 1, 3).when(cds == 1, 2).otherwise(1)

@@ -118,6 +118,13 @@ def most_certain(chunks: DataFrame, keep: float, stratum: Column, error: str = "
     return rows.withColumn("__rank", rank).withColumn("__n", F.count("*").over(of)).where(F.col("__rank") <= F.ceil(F.col("__n") * keep)).drop("__rank", "__n")
 
 
+def mer_rows(sequences: DataFrame, keys: Sequence[str], k: int, seq: str = "seq") -> DataFrame:
+    """(keys, mer): one row for each k-mer. Joining bases of a generated position stays in compiled code."""
+    bases = sequences.where(F.length(seq) >= k).select(*keys, F.split(seq, "").alias("__bases"), F.length(seq).alias("__n"))
+    at = bases.select(*keys, "__bases", F.explode(F.sequence(F.lit(0), F.col("__n") - k)).alias("__i"))
+    return at.select(*keys, F.concat(*[F.get("__bases", F.col("__i") + j) for j in range(k)]).alias("mer"))
+
+
 def canonical_mers(mers: DataFrame, by: Sequence[str], mer: str = "mer", n: str = "n") -> DataFrame:
     """Counts of k-mers and their reverse complements taken as one."""
     return mers.groupBy(*by, canonical(F.col(mer)).alias("mer")).agg(F.sum(n).cast("long").alias("n"))

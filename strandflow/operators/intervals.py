@@ -41,21 +41,27 @@ def bases(df: DataFrame, start: str = "p_start", end: str = "p_end", pos: str =
     return df.where(F.col(start) < F.col(end)).withColumn(pos, F.explode(F.sequence(F.col(start), F.col(end) - 1)))
 
 
-def depth(df: DataFrame, keys: Sequence[str], start: str = "p_start", end: str = "p_end", width: int = BIN) -> DataFrame:
-    """(keys, start, end, depth): maximal stretches between borders with the number of intervals over them, zeros left out."""
-    deltas = df.where(F.col(start) < F.col(end)).select(*keys, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("d")))).alias("x"))
-    at = deltas.groupBy(*keys, F.col("x.pos").cast("long").alias("pos")).agg(F.sum("x.d").alias("d")).withColumn("bin", F.floor(F.col("pos") / width))
+def sweep(df: DataFrame, keys: Sequence[str], counters: dict[str, Column], start: str = "p_start", end: str = "p_end", width: int = BIN) -> DataFrame:
+    """(keys, start, end, counters): stretches between borders, and for each counter the sum of its value over the
+    intervals that cover the stretch; stretches that nothing covers are left out."""
+    names = [*counters, "__covering"]
+    deltas = df.where(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), *[c.alias(n) for n, c in (counters | {"__covering": F.lit(1)}).items()])
+    ends = F.explode(F.array(F.struct(F.col("__s").alias("pos"), F.lit(1).alias("sign")), F.struct(F.col("__e").alias("pos"), F.lit(-1).alias("sign"))))
+    deltas = deltas.withColumn("x", ends)
+    at = deltas.groupBy(*keys, F.col("x.pos").cast("long").alias("pos")).agg(*[F.sum(F.col(n) * F.col("x.sign")).alias(n) for n in names]).withColumn("bin", F.floor(F.col("pos") / width))
     order = Window.partitionBy(*keys).orderBy("bin")
-    bins = at.groupBy(*keys, "bin").agg(F.sum("d").alias("total"), F.min("pos").alias("first"))
-    bins = bins.select(*keys, "bin", (F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"), F.lead("first").over(order).alias("next"))
+    bins = at.groupBy(*keys, "bin").agg(*[F.sum(n).alias(n) for n in names], F.min("pos").alias("first"))
+    carried = [(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)).alias(f"{n}_before") for n in names]
+    bins = bins.select(*keys, "bin", *carried, F.lead("first").over(order).alias("next"))
     within = Window.partitionBy(*keys, "bin").orderBy("pos")
-    runs = at.join(bins, [*keys, "bin"]).select(
-        *keys,
-        F.col("pos").alias("start"),
-        F.coalesce(F.lead("pos").over(within), F.col("next")).alias("end"),
-        (F.col("before") + F.sum("d").over(within.rowsBetween(Window.unboundedPreceding, 0))).cast("long").alias("depth"),
-    )
-    return runs.where("depth <> 0")
+    running = [(F.col(f"{n}_before") + F.sum(n).over(within.rowsBetween(Window.unboundedPreceding, 0))).cast("long").alias(n) for n in names]
+    runs = at.join(bins, [*keys, "bin"]).select(*keys, F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(within), F.col("next")).alias("end"), *running)
+    return runs.where("__covering <> 0").drop("__covering")
+
+
+def depth(df: DataFrame, keys: Sequence[str], start: str = "p_start", end: str = "p_end", width: int = BIN) -> DataFrame:
+    """(keys, start, end, depth): stretches between borders with the number of intervals over them, zeros left out."""
+    return sweep(df, keys, {"depth": F.lit(1)}, start, end, width)
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple[str, str], r: tuple[str, str], width: int = BIN) -> DataFrame:  # noqa: E741

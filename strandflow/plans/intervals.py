@@ -39,9 +39,9 @@ def clip_interval(t: Tables) -> DataFrame:
 
 @query("feature_raster", f"WITH {_BASES} SELECT seqid, is_plus, CAST(CASE WHEN tr = 0 THEN 0 WHEN intron = 1 THEN 3 WHEN cds = 1 THEN 2 ELSE 1 END AS BIGINT) AS cls, count(*) AS n FROM raster GROUP BY ALL")
 def feature_raster(t: Tables) -> DataFrame:
-    raster = A.raster(features(t), ["seqid", "is_plus"], F.lit(_CLIP))
+    runs = A.class_segments(features(t), ["seqid", "is_plus"], F.lit(_CLIP), width=512)
     cls = A.class_of(F.col("transcript"), F.col("cds"), F.col("intron")).cast("long")
-    return raster.groupBy("seqid", "is_plus", cls.alias("cls")).agg(F.count("*").alias("n"))
+    return runs.groupBy("seqid", "is_plus", cls.alias("cls")).agg(F.sum(F.col("end") - F.col("start")).alias("n"))
 
 
 @query("gene_lengths", f"WITH {_BASES} SELECT seqid, is_plus, CAST(sum(gene_length) AS BIGINT) AS total, max(gene_length) AS longest FROM raster GROUP BY ALL")
@@ -154,8 +154,9 @@ def bool_stretches(t: Tables) -> DataFrame:
 
 @query("coord_rates", f"""WITH {_BASES} SELECT seqid, count(*) AS n, round(avg(CASE WHEN tr = 0 THEN 1.0 ELSE 0.0 END), 9) AS intergenic_rate, round(avg(CASE WHEN intron = 1 THEN 1.0 ELSE 0.0 END), 9) AS masked_rate FROM raster GROUP BY seqid""")
 def coord_rates(t: Tables) -> DataFrame:
-    raster = A.raster(features(t), ["seqid", "is_plus"], F.lit(_CLIP))
-    return raster.groupBy("seqid").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("transcript") == 0) / F.count("*"), 9).alias("intergenic_rate"), F.round(F.count_if(F.col("intron") == 1) / F.count("*"), 9).alias("masked_rate"))
+    runs = A.class_segments(features(t), ["seqid", "is_plus"], F.lit(_CLIP), width=512).withColumn("n", F.col("end") - F.col("start"))
+    share = lambda keep: F.round(F.sum(F.when(keep, F.col("n")).otherwise(0)) / F.sum("n"), 9)
+    return runs.groupBy("seqid").agg(F.sum("n").alias("n"), share(F.col("transcript") == 0).alias("intergenic_rate"), share(F.col("intron") == 1).alias("masked_rate"))
 
 
 @query(

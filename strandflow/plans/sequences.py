@@ -43,14 +43,15 @@ _COUNT = "(length(seq) - length(replace(seq, '{0}', '')))"
 
 @query("base_onehot", f"WITH {SEQUENCES} SELECT seqid, " + ", ".join(f"round({_COUNT.format(b)} + 0.25 * {_COUNT.format('N')}, 9) AS sum_{b.lower()}" for b in "CATG") + ", true AS decodes FROM sequences")
 def base_onehot(t: Tables) -> DataFrame:
-    x = sequences(t).select("seqid", "seq", S.encode_all(F.col("seq")).alias("x"))
-    back = F.array_join(F.transform("x", S.decode), "")
-    channel = lambda i: F.aggregate("x", F.lit(0.0), lambda a, v: a + F.coalesce(F.get(v, F.lit(i)), F.lit(0.0)))
-    return x.select(
-        "seqid",
-        *[F.round(channel(i), 9).alias(f"sum_{b.lower()}") for i, b in enumerate("CATG")],
-        (back == F.col("seq")).alias("decodes"),
+    """Sums over channels; bases are counted first, so that a vector is made for each sequence and base only."""
+    n = sequences(t).select("seqid", F.explode(F.split("seq", "")).alias("base")).where("base <> ''").groupBy("seqid", "base").agg(F.count("*").alias("n"))
+    x = n.withColumn("x", S.encode(F.col("base")))
+    counted = x.groupBy("seqid").agg(
+        *[F.sum(F.get("x", F.lit(i)) * F.col("n")).alias(f"sum_{b.lower()}") for i, b in enumerate("CATG")],
+        F.bool_and(S.decode(F.col("x")) == F.col("base")).alias("decodes"),
     )
+    every = sequences(t).select("seqid").join(counted, "seqid", "left")
+    return every.select("seqid", *[F.round(F.coalesce(f"sum_{b}", F.lit(0.0)), 9).alias(f"sum_{b}") for b in "catg"], F.coalesce("decodes", F.lit(True)).alias("decodes"))
 
 
 @query("revcomp", f"WITH {SEQUENCES} SELECT seqid, md5(reverse(translate(seq, 'ACGTN', 'TGCAN'))) AS digest FROM sequences")
@@ -90,9 +91,9 @@ _MERS = f"""{SEQUENCES}, mers AS (SELECT species, unnest(list_transform(range(1,
 
 def _mers(t: Tables) -> DataFrame:
     """Counted by sequence of three letters first, so that few rows need their complement."""
-    from strandflow.operators.dataset import canonical_mers
+    from strandflow.operators.dataset import canonical_mers, mer_rows
 
-    mers = sequences(t).select("species", F.explode(S.kmers(F.col("seq"), 3)).alias("mer")).groupBy("species", "mer").agg(F.count("*").alias("n"))
+    mers = mer_rows(sequences(t), ["species"], 3).groupBy("species", "mer").agg(F.count("*").alias("n"))
     return canonical_mers(mers, ["species"])
 
 

@@ -47,6 +47,16 @@ def test_raster_classes_masks_and_lengths(spark):
     assert got == {0: (1, 3, 1), 1: (1, 3, 1), 2: (1, 8, 1), 3: (1, 8, 1), 4: (2, 8, 1), 5: (2, 8, 1), 6: (3, 8, 1), 7: (2, 8, 1), 8: (1, 8, 1), 9: (1, 8, 0), 10: (0, 0, 0)}
 
 
+def test_stretches_and_bases_agree(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(2), True, s, s + rng.randrange(0, 40), rng.choice([*A.TYPES, "err"]), 0) for s in (rng.randrange(150) for _ in range(80))]
+    df = spark.createDataFrame(rows, FEATURE)
+    flags = ["transcript", "cds", "intron", "sample_weight"]
+    by_base = {(r["seqid"], r["pos"]): tuple(r[f] for f in flags) for r in A.raster(df, ["seqid"], F.lit(160), ["err"]).collect()}
+    by_run = {(r["seqid"], p): tuple(r[f] for f in flags) for r in A.class_segments(df, ["seqid"], F.lit(160), ["err"], 32).collect() for p in range(r["start"], r["end"])}
+    assert by_base == by_run
+
+
 def test_phase_runs_in_reading_direction(spark):
     rows = [(1, p, p == 3, True, 1) for p in range(6)] + [(2, p, False, False, 0) for p in range(4)]
     df = spark.createDataFrame(rows, "f int, pos int, intron boolean, is_plus boolean, phase int")
