@@ -13,6 +13,8 @@ replaced; other columns pass through.
 from __future__ import annotations
 
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,14 +27,19 @@ from tokenizers import Tokenizer
 
 from strandflow.llm.common import bounded_batches
 
-#: Entries of each memo in a worker; a full memo is emptied, and all are at the end of a task.
-MEMO = 150_000
+#: Entries of each memo in a worker. A full memo of pieces becomes the old one, from which pieces in use are taken over, so
+#: that frequent ones stay; a full memo of fragments is emptied. All are emptied at the end of a task.
+MEMO = 250_000
 #: Characters of text that a worker handles at once (a single longer text is handled alone).
 SLICE_CHARS = 2_000_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: The same pieces in a text of code points below U+0250 without U+001C to U+001F, which only Python takes for white space.
+_LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
+_RARE = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
 _END = "</w>"
+_NONE = 1 << 60
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -53,76 +60,94 @@ class Codec:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.alphabet = {chr(b): c for b, c in byte_alphabet().items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        merges = spec["model"]["merges"]
+        self.ranks: dict[tuple[int, int], int] = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.made: list[int] = [self.vocab[a + b] for a, b in merges]
         tokens = self.vocab | self.special
         self.tokens = pa.array([t for t, _ in sorted(tokens.items(), key=lambda x: x[1])], pa.large_string())
         inside = {pair for t in self.vocab for s in (t.removesuffix(_END),) for pair in zip(s, s[1:], strict=False)}
         self.inside = {a + b for a, b in inside}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self._words: dict[str, bytes] = {}
+        self._fragments: dict[str, bytes] = {}
+        self._memo: dict[str, bytes] = {}
+        self._memo_before: dict[str, bytes] = {}
 
     def fragments(self, piece: str) -> list[str]:
         """A piece (in stand-ins) cut at every forced boundary."""
+        if self.inside.issuperset(map(str.__add__, piece, piece[1:])):
+            return [piece]
         cuts = [i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in self.inside]
-        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)] if cuts else [piece]
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
 
-    def _merged(self, fragment: str, last: bool) -> tuple[int, ...]:
+    def _merged(self, fragment: str, last: bool) -> bytes:
         """Ids of one fragment: the lowest-ranked pair is merged, leftmost first, until none is left."""
         ids = [self.vocab[c] for c in fragment]
         if last:
             ids[-1] = self.vocab[fragment[-1] + _END]
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, 0
-            for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                found = merges.get(pair)
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
+        rank_of, made = self.ranks.get, self.made
+        ranks = [rank_of(pair, _NONE) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            rank = min(ranks)
+            if rank == _NONE:
                 break
-            ids[at : at + 2] = [best[1]]
-        return tuple(ids)
-
-    def _pieces(self, word: str) -> list[str]:
-        """Pieces of a word, in stand-ins."""
-        if max(word) > "\u024f" and any(unicodedata.category(c) == "Cn" for c in word):
-            # Characters that this Python does not know yet may be letters to the library: its own rules, for this word.
-            if self._library is None:
-                self._library = Tokenizer.from_file(self.path)
-            return [piece for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(word))]
-        pieces = _PIECES.findall(word)
-        return pieces if word.isascii() and word.isprintable() else ["".join(map(self.alphabet.__getitem__, p.encode().decode("latin-1"))) for p in pieces]
-
-    def _word(self, word: str) -> bytes:
-        """Ids (int32) of a run of non-white-space characters, in normal form."""
-        out: list[int] = []
-        for stand_ins in self._pieces(word):
-            parts = self.fragments(stand_ins)
-            for k, fragment in enumerate(parts, 1 - len(parts)):
-                key = (fragment, not k)
-                ids = self._fragments.get(key)
+            at = ranks.index(rank)
+            ids[at : at + 2] = [made[rank]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of((ids[at - 1], ids[at]), _NONE)
+            if at < len(ranks):
+                ranks[at] = rank_of((ids[at], ids[at + 1]), _NONE)
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _piece(self, piece: str, stands_in: bool = False) -> bytes:
+        """Ids (int32) of a piece, from its fragments."""
+        if not stands_in and not (piece.isascii() and piece.isprintable()):
+            piece = "".join(map(self.alphabet.__getitem__, piece.encode().decode("latin-1")))
+        parts, out = self.fragments(piece), []
+        if len(parts) == 1:
+            return self._merged(piece, True)
+        for k, fragment in enumerate(parts, 1 - len(parts)):
+            key = fragment if k else fragment + " "  # no stand-in is a space
+            ids = self._fragments.get(key)
+            if ids is None:
+                if len(self._fragments) >= MEMO:
+                    self._fragments.clear()
+                ids = self._fragments[key] = self._merged(fragment, not k)
+            out.append(ids)
+        return b"".join(out)
+
+    def _unknown(self, word: str) -> bytes | None:
+        """Ids of a word with characters that this Python does not know yet, by the library's own rules for pieces."""
+        if all(unicodedata.category(c) != "Cn" for c in word):
+            return None
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return b"".join(self._piece(p, True) for p, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(word)))
+
+    def _known(self, pieces: list[str]) -> bytes:
+        memo = self._memo
+        out = list(map(memo.get, pieces))
+        if None in out:
+            for i, ids in enumerate(out):
                 if ids is None:
-                    if len(self._fragments) >= MEMO:
-                        self._fragments.clear()
-                    ids = self._fragments[key] = self._merged(*key)
-                out += ids
-        return pa.array(out, pa.int32()).buffers()[1].to_pybytes()[: 4 * len(out)] if len(out) > 64 else b"".join(i.to_bytes(4, "little") for i in out)
+                    piece = pieces[i]
+                    if len(memo) >= MEMO:
+                        self._memo_before, self._memo = memo, {}
+                        memo = self._memo
+                    ids = memo.get(piece) or self._memo_before.get(piece) or self._piece(piece)
+                    out[i] = memo[piece] = ids
+        return b"".join(out)
 
     def _plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text)
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space for Python alone
         text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
-        memo, out = self._words, []
-        for word in [w for w in _WHITE.split(text) if w] if odd else text.split():
-            ids = memo.get(word)
-            if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = memo[word] = self._word(word)
-            out.append(ids)
+        if not _RARE.search(text):
+            return self._known(_LATIN_PIECES.findall(text))
+        out = []
+        for word in _WHITE.split(text):
+            if word:
+                ids = self._unknown(word) if _RARE.search(word) else None
+                out.append(self._known(_PIECES.findall(word)) if ids is None else ids)
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
@@ -133,8 +158,7 @@ class Codec:
 
     def forget(self) -> None:
         """Empty the memos: workers outlive tasks, and others need the memory."""
-        self._words.clear()
-        self._fragments.clear()
+        self._memo, self._memo_before, self._fragments = {}, {}, {}
 
     def decode(self, ids: pa.Array | pa.ChunkedArray) -> pa.Array:
         """Texts of lists of ids: their tokens joined by spaces. A null list is an empty text."""

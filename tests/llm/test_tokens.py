@@ -58,6 +58,6 @@ def test_memos_are_bounded(monkeypatch):
     codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
     text = " ".join(f"word{i}" for i in range(50))
     assert np.frombuffer(codec.encode(text), "<i4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
-    assert len(codec._words) <= 3
+    assert len(codec._memo) <= 3
     codec.forget()
-    assert not codec._words and not codec._fragments
+    assert not codec._memo and not codec._fragments
