@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandflow.llm import bpe, decontaminate, langid, licenses, pii, quality, secrets, sharding, simhash, substring
 from strandflow.llm.common import id_and_text, read
+from strandflow.llm.oracles import ORACLE_SQL  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -91,5 +92,3 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_substring": op10_substring,
 }
-
-ORACLE_SQL: dict[str, str] = {}
