@@ -35,3 +35,32 @@ def predict(batches: DataFrame, load: Callable[[], Callable], x: str = "x", p: s
             yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, p])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(p, T.ArrayType(T.DoubleType()))]))
+
+
+def with_context(bases: DataFrame, keys: Sequence[str], base: str = "base", pos: str = "pos", reach: int = 3) -> DataFrame:
+    """Bases with the characters around them as columns c-reach … c+reach; N beyond the edges."""
+    window = Window.partitionBy(*keys).orderBy(pos)
+    around = [F.coalesce(F.lead(base, k).over(window) if k > 0 else F.lag(base, -k).over(window) if k < 0 else F.col(base), F.lit("N")).alias(f"c{k:+d}") for k in range(-reach, reach + 1)]
+    return bases.select("*", *around)
+
+
+def baseline(train: DataFrame, cls: str = "cls", reach: int = 3):
+    """A logistic regression on the characters around a base, fitted by Spark: a model for when there are no weights.
+
+    Takes rows of with_context(); predictions of the fitted model go through probabilities().
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+
+    names = [f"c{k:+d}" for k in range(-reach, reach + 1)]
+    index = StringIndexer(inputCols=names, outputCols=[f"i{n}" for n in names], handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=[f"i{n}" for n in names], outputCols=[f"h{n}" for n in names])
+    return Pipeline(stages=[index, hot, VectorAssembler(inputCols=[f"h{n}" for n in names], outputCol="features"), LogisticRegression(labelCol=cls, maxIter=30, regParam=1e-4)]).fit(train)
+
+
+def probabilities(model, rows: DataFrame, p: str = "p") -> DataFrame:
+    """Rows with the class probabilities of a fitted baseline as an array."""
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(rows).select(*rows.columns, vector_to_array("probability").alias(p))

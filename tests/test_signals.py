@@ -111,3 +111,25 @@ def test_models_run_in_tasks(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0])], "i int, x array<double>")
     rows = training.predict(df, lambda: lambda xs: [[sum(x), 1.0] for x in xs]).orderBy("i").collect()
     assert [r["p"] for r in rows] == [[3.0, 1.0], [3.0, 1.0]]
+
+
+def test_baseline_learns_from_context(spark):
+    seq = ("ATG" + "CCA" + "TAA" + "GGT") * 60
+    rows = [(k, i, b, int(seq[i : i + 3] == "ATG")) for k in (0, 1) for i, b in enumerate(seq)]
+    bases = training.with_context(spark.createDataFrame(rows, "k int, pos int, base string, cls int"), ["k"], reach=2)
+    model = training.baseline(bases.where("k = 0"), reach=2)
+    right = training.probabilities(model, bases.where("k = 1")).where(F.get("p", F.col("cls")) > 0.5).count()
+    assert right == len(seq)
+
+
+def test_settings():
+    from strandflow.config import settings
+
+    found = settings({"window_size": 50, "peak_threshold": 1}, {"window_size": 80, "species": None})
+    assert (found.window_size, found.peak_threshold, found.species) == (80, 1, "")
+    with pytest.raises(ValueError):
+        settings({"no_such": 1})
+    with pytest.raises(TypeError):
+        settings({"window_size": "80"})
+    with pytest.raises(ValueError):
+        settings(arguments={"overlap_offset": 7})
