@@ -37,9 +37,9 @@ def overlap_mean(predictions: DataFrame, keys: Sequence[str], size: int, core: i
     """
     trim = (size - core) // 2
     kept = predictions.where((F.col("is_first") | (F.col("off") >= trim)) & (F.col("is_last") | (F.col("off") < size - trim)))
-    flat = kept.select(*keys, (F.col("w_start") + F.col("off")).alias("pos"), F.posexplode(p).alias("k", "x"))
-    means = flat.groupBy(*keys, "pos", "k").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    return means.groupBy(*keys, "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias(p), F.max("n").alias("n_windows"))
+    flat = kept.select(*keys, (F.col("w_start") + F.col("off")).alias("pos"), F.posexplode(p).alias("__k", "__x"))
+    means = flat.groupBy(*keys, "pos", "__k").agg(F.avg("__x").alias("__x"), F.count("*").alias("__n"))
+    return means.groupBy(*keys, "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__x"))), lambda s: s["__x"]).alias(p), F.max("__n").alias("n_windows"))
 
 
 def pool(df: DataFrame, keys: Sequence[str], size: int, length: Column, aggregates: Sequence[Column], off: str = "off") -> DataFrame:

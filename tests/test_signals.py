@@ -78,7 +78,7 @@ def test_overlap_parameters():
 
 
 def test_stretched_weights(spark):
-    rows = spark.createDataFrame([([1.0, 1, 1, 8, 1, 1, 1, 1],), ([1.0, 20, 1, 1, 40, 1],)], "w array<double>").select(O.stretched(F.col("w"), 3).alias("x")).collect()
+    rows = spark.createDataFrame([([1.0, 1.0, 1.0, 8.0, 1.0, 1.0, 1.0, 1.0],), ([1.0, 20.0, 1.0, 1.0, 40.0, 1.0],)], "w array<double>").select(O.stretched(F.col("w"), 3).alias("x")).collect()
     assert rows[0]["x"] == [1, 2, 4, 8, 4, 2, 1, 1]
     assert rows[1]["x"] == [10, 20, 10, 20, 40, 20]
 
@@ -102,7 +102,7 @@ def test_candidate_regions(spark):
 
 
 def test_early_stopping(spark):
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate([1.0, 3, 2, 2, 2, 9])] + [(2, i, float(i)) for i in range(6)], "k int, step long, f1 double")
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate([1.0, 3.0, 2.0, 2.0, 2.0, 9.0])] + [(2, i, float(i)) for i in range(6)], "k int, step long, f1 double")
     rows = {r["k"]: (r["last_check"], r["best"], r["stopped"]) for r in training.early_stopping(df, ["k"], "step", "f1", 2).collect()}
     assert rows == {1: (4, 3.0, True), 2: (5, 5.0, False)}
 
