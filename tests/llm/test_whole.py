@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from strandflow.llm import resemblance
+from strandflow.llm import licenses, resemblance
 from tests.llm.conftest import prose
 
 
@@ -34,3 +34,29 @@ def test_near_duplicates_of_the_pipeline(spark, docs_of, odd_rows, rng, monkeypa
     assert not any(similar(a, b) for a, b in combinations(left, 2))
     assert all(any(similar(plain_shingles(t), k) for k in left) for _, t in rows)
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def wrapped(text, mark, width=9):
+    words = text.split()
+    return "\n".join(f"{mark} {' '.join(words[k : k + width])}" for k in range(0, len(words), width))
+
+
+def test_licences_in_running_text_and_comments():
+    templates = licenses.Templates()
+    found = lambda text: [(name, line, n) for name, _, line, n in licenses.matches(text, templates)]
+    assert found("Copyright 2020 Foo Corp. All rights reserved. Licensed under the MIT License. See LICENSE for details.") == [("MIT", 0, 1)]
+    assert found("x\nIt was Licensed under\nCC BY 4.0. And that: Released under the MIT License. Also licensed under the MIT license.\n") == [("CC-BY-4.0", 1, 2), ("MIT", 2, 1), ("MIT", 2, 1)]
+    for mark in (" *", "#", "//", "REM", ""):
+        for name, text in licenses.TEMPLATES[24:]:
+            lines = wrapped(f"Copyright 2020 Foo. {text}", mark)
+            assert [x for x, *_ in found(f"{mark}\n{lines}\n{mark}\nint main() {{}}")] == [name]
+    assert found("A licence is a thing of the law. " * 500) == []
+
+
+def test_every_window_that_matches_is_covered(rng):
+    templates = licenses.Templates(licenses.TEMPLATES[:1] + licenses.TEMPLATES[4:5] + licenses.TEMPLATES[7:8])
+    pool = "licensed released under the mit apache license version 2 0 gnu gpl v3 x".split()
+    for _ in range(150):
+        words = rng.choices(pool, k=rng.randrange(30))
+        any_window = any(templates.best(" ".join(words[a:b])) for a in range(len(words)) for b in range(a + 1, len(words) + 1))
+        assert bool(licenses.matches(" ".join(words), templates)) == any_window
