@@ -1,34 +1,37 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-A mask keeps some token positions of a span and ignores the others, so two passages still share a seed where a word under
-an ignored position was replaced. Every position of every document is hashed under each mask and joined to the seeds of
-the benchmark; around each hit, document and benchmark are compared word by word along the hit's diagonal, and an
-overlap stands if enough words agree, replaced ones being tolerated.
+A mask keeps some token positions and ignores the others, so two passages still share a seed where other words were
+replaced. Every position of every document is hashed under the masks of the benchmark's items and joined to their seeds;
+around each hit, document and benchmark are compared word by word along the hit's diagonal. An overlap stands if LEAST_MATCH
+of OVERLAP words (or of all of a shorter item) agree, in any window that holds the hit, or a run of VERBATIM words does.
+
+No overlap is without a hit: e replaced words leave e + 1 runs of words, so of n words one run has (n - e) / (e + 1), rounded
+up. An item's mask is that run: four words for most lengths, fewer for items of 1 to 3, 5 to 7, 10, 11 and 15 words.
 
 The benchmark's seeds are counted. Within SEED_ROWS they are broadcast: then hashing and probing run in one pass over the
 scan without a shuffle, and only verified overlaps, reduced by document and item in the task, are shuffled. Beyond that
 the seeds are joined by a shuffle of hashes (no texts), and only documents with hits are read again.
 
 Defined results: null or empty texts have no overlaps; rows that share a doc_id are reported together, null ids too;
-benchmark rows that repeat an item_id are separate passages of it; items shorter than the span count only where they
-appear whole, items under LEAST_TOKENS words are ignored; empty tables give an empty table; only id and text columns are
+benchmark rows that repeat an item_id are separate passages of it; items of under five words count where they appear
+whole; items without words have no overlaps; decontaminate() drops a row for its own text only; empty tables give an empty table; only id and text columns are
 used, so further columns cannot clash.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm.common import broadcast_if_small
 
-#: Kept positions of each mask, of SPAN tokens.
-MASKS = ((0, 1, 3, 6, 7, 9), (0, 2, 3, 5, 8, 9), (0, 1, 4, 5, 7, 9))
-SPAN = 10
 #: Words of the benchmark that are compared around a hit, and the share of them that must agree.
 OVERLAP = 20
 LEAST_MATCH = 0.8
-LEAST_TOKENS = 4
+#: Words in a row that are an overlap by themselves.
+VERBATIM = 10
 #: Seeds (three numbers each) that may be broadcast; items and documents with hits have bounds of their own.
 SEED_ROWS = 1_000_000
 ITEM_ROWS = 50_000
@@ -38,57 +41,82 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def _seeds(row: DataFrame, masks: list[tuple[int, ...]], kept: list[str], place: str, whole: bool = False) -> DataFrame:
-    """row (with `tokens`) to one row for each position and mask: kept columns, place, seed."""
-    span = max(m[-1] for m in masks) + 1
-    at = row.where(F.size("tokens") >= span).select(*kept, "tokens", F.explode(F.sequence(F.lit(0), F.lit(0) if whole else F.size("tokens") - span)).alias(place))
-    hashed = [F.xxhash64(F.lit(i if span == SPAN else 1000 + span), *[F.get("tokens", F.col(place) + k) for k in mask]) for i, mask in enumerate(masks)]
-    return at.select(*kept, "tokens", place, F.explode(F.array(*hashed)).alias("seed"))
+def span(n: int) -> int:
+    """Words in a row that agree in every overlap with an item of n words."""
+    n = min(n, OVERLAP)
+    agree = math.ceil(LEAST_MATCH * n - 1e-9)
+    return -(-agree // (n - agree + 1))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, seed_rows: int = SEED_ROWS) -> DataFrame:
-    """(doc_id, text) and (item_id, text) to (doc_id, item_id, n_hits, first_word, last_word, match)."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+def _seeds(row: DataFrame, width: int, kept: list[str], place: str) -> DataFrame:
+    """row (with `tokens`) to one row for each position: kept columns, tokens, place, seed."""
+    at = row.where(F.size("tokens") >= width).select(*kept, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - width)).alias(place))
+    return at.select(*kept, "tokens", place, F.xxhash64(F.lit(width), *[F.get("tokens", F.col(place) + k) for k in range(width)]).alias("seed"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, seed_rows: int) -> DataFrame:
+    """(doc_id, text) and (item_id, text) to (doc_id, tag, item_id, first_word, last_word, match) of every hit that stands."""
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     items = items.select(F.xxhash64("item_id", "tokens").alias("item"), "item_id", "tokens").dropDuplicates(["item"])
-    short = sorted(r[0] for r in items.where(F.size("tokens") < SPAN).select(F.size("tokens")).distinct().collect())  # fewer than SPAN
-    kinds = [(list(MASKS), None), *[([tuple(range(n))], n) for n in short]]
+    lengths: dict[int, list[int]] = {}
+    for n in range(1, OVERLAP + 1):
+        lengths.setdefault(span(n), []).append(n)
+    present = {r[0] for r in items.select(F.least(F.size("tokens"), F.lit(OVERLAP))).distinct().collect()}  # at most OVERLAP
     texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("tokens"))
 
     found = None
-    for masks, n in kinds:
-        own = items.where(F.size("tokens") == n) if n else items.where(F.size("tokens") >= SPAN)
-        seeds = _seeds(own, masks, ["item"], "j").select("seed", "item", "j")
+    for width in [w for w, some in lengths.items() if present & set(some)] or [span(OVERLAP)]:
+        own = items.where(F.least(F.size("tokens"), F.lit(OVERLAP)).isin(lengths[width]))
+        seeds = _seeds(own, width, ["item"], "j").select("seed", "item", "j")
         n_seeds = seeds.count()
         n_items = own.count()
         known = broadcast_if_small(own.select("item", "item_id", F.col("tokens").alias("passage")), n_items, ITEM_ROWS)
         if n_seeds <= seed_rows:
-            hits = _seeds(texts, masks, ["doc_id", "tag"], "i").join(F.broadcast(seeds), "seed")
+            hits = _seeds(texts, width, ["doc_id", "tag"], "i").join(F.broadcast(seeds), "seed")
         else:
-            places = _seeds(texts, masks, ["doc_id", "tag"], "i").select("doc_id", "tag", "i", "seed").join(seeds, "seed").alias("p")
+            places = _seeds(texts, width, ["doc_id", "tag"], "i").select("doc_id", "tag", "i", "seed").join(seeds, "seed").alias("p")
             again = texts.alias("t")
             same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.tag") == F.col("t.tag"))
             hits = places.join(again, same).select("p.*", "t.tokens")
-        checked = _verified(hits.join(known, "item"))
+        checked = _verified(hits.join(known, "item"), width)
         found = checked if found is None else found.unionByName(checked)
-    return found.groupBy("doc_id", "item_id").agg(
+    return found
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, seed_rows: int = SEED_ROWS) -> DataFrame:
+    """(doc_id, text) and (item_id, text) to (doc_id, item_id, n_hits, first_word, last_word, match)."""
+    return _found(docs, benchmark, seed_rows).groupBy("doc_id", "item_id").agg(
         F.count("*").alias("n_hits"), F.min("first_word").cast("long").alias("first_word"), F.max("last_word").cast("long").alias("last_word"), F.max("match").alias("match")
     )
 
 
-def _verified(hits: DataFrame) -> DataFrame:
-    """Hits whose surroundings agree: OVERLAP words of the passage around the seed, or all of a shorter passage."""
-    length, n = F.size("passage"), F.size("tokens")
-    start = F.greatest(F.lit(0), F.least(F.col("j") - (OVERLAP - SPAN) // 2, length - OVERLAP))
-    hits = hits.select("doc_id", "tag", "item_id", "tokens", "passage", (F.col("i") - F.col("j")).alias("shift"), start.alias("start"), F.least(length, start + OVERLAP).alias("end"))
-    hits = hits.where((F.col("shift") + F.col("end") > 0) & (F.col("shift") + F.col("start") < n))
-    agree = F.size(F.filter(F.sequence(F.col("start"), F.col("end") - 1), lambda p: F.coalesce(F.get("tokens", F.col("shift") + p) == F.get("passage", p), F.lit(False))))
-    match = agree / (F.col("end") - F.col("start"))
-    whole = F.col("shift") + F.col("end")
-    first = F.greatest(F.lit(0), F.col("shift") + F.col("start"))
-    return hits.select("doc_id", "tag", "item_id", first.alias("first_word"), (F.least(n, whole) - 1).alias("last_word"), match.alias("match")).where(F.col("match") >= LEAST_MATCH)
+def _verified(hits: DataFrame, width: int) -> DataFrame:
+    """Hits whose surroundings agree: the best OVERLAP words of the passage with the seed, or all of a shorter passage."""
+    length, n, shift = F.size("passage"), F.size("tokens"), F.col("i") - F.col("j")
+    short = length < OVERLAP
+    base = F.when(short, F.lit(0)).otherwise(F.col("j") + (width - OVERLAP))
+    hits = hits.select("doc_id", "tag", "item_id", "tokens", "passage", "j", shift.alias("shift"), base.alias("base"))
+    # Bit k tells whether word base + k agrees.
+    same = lambda p: (p >= 0) & (F.col("shift") + p >= 0) & F.coalesce(F.get("tokens", F.col("shift") + p) == F.get("passage", p), F.lit(False))
+    bits = F.aggregate(
+        F.sequence(F.lit(0), F.lit(2 * OVERLAP - width - 1)),
+        F.lit(0).cast("long"),
+        lambda x, k: F.shiftleft(x, 1).bitwiseOR(F.when(same(F.col("base") + (2 * OVERLAP - width - 1) - k), F.lit(1)).otherwise(F.lit(0)).cast("long")),
+    )
+    hits = hits.withColumn("bits", bits)
+    within = lambda s: F.bit_count(F.shiftrightunsigned("bits", s).bitwiseAND(F.lit((1 << OVERLAP) - 1)))
+    best = F.greatest(*[F.struct(within(s).alias("agree"), F.lit(-s).alias("s")) for s in range(OVERLAP - width + 1)])
+    best = F.when(short, F.struct(within(0).alias("agree"), F.lit(0).alias("s"))).otherwise(best)
+    run = F.forall(F.sequence(F.col("j"), F.col("j") + (VERBATIM - 1)), same)
+    hits = hits.select("*", best.alias("best"), F.least(length, F.lit(OVERLAP)).alias("size"), run.alias("run"))
+    match = F.col("best.agree") / F.col("size")
+    hits = hits.withColumn("match", match).where((F.col("match") >= LEAST_MATCH) | F.col("run"))
+    start = F.greatest(F.lit(0), F.least(F.col("base") - F.col("best.s"), length - F.col("size")))
+    first = F.greatest(F.lit(0), F.col("shift") + start)
+    return hits.select("doc_id", "tag", "item_id", first.alias("first_word"), (F.least(n, F.col("shift") + start + F.col("size")) - 1).alias("last_word"), "match")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, in the same columns, without those that overlap with the benchmark."""
-    hit = overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__hit_id")), "left_anti")
+    hit = _found(docs.select("doc_id", "text"), benchmark, SEED_ROWS).select(F.col("doc_id").alias("__hit_id"), F.col("tag").alias("__hit_tag")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs["text"]) == F.col("__hit_tag")), "left_anti")

@@ -6,7 +6,8 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from strandflow.llm import licenses, resemblance
+from strandflow.llm import decontaminate, licenses, resemblance
+from strandflow.llm.common import id_and_text
 from tests.llm.conftest import prose
 
 
@@ -60,3 +61,35 @@ def test_every_window_that_matches_is_covered(rng):
         words = rng.choices(pool, k=rng.randrange(30))
         any_window = any(templates.best(" ".join(words[a:b])) for a in range(len(words)) for b in range(a + 1, len(words) + 1))
         assert bool(licenses.matches(" ".join(words), templates)) == any_window
+
+
+@pytest.mark.parametrize("seeds", [decontaminate.SEED_ROWS, 0])
+def test_overlaps_with_any_words_replaced(spark, docs_of, rng, seeds):
+    items, rows, expected = [], [], set()
+    for n in [*range(1, 25), 40]:
+        items.append((n, " ".join(f"w{n}x{p}" for p in range(n))))
+        size = min(n, 20)
+        for k in range(12):
+            e = size // 5 + k % 2  # within the rule, and one beyond
+            at = rng.randrange(n - size + 1)
+            out = set(rng.sample(range(at, at + size), e)) | (set(range(n)) - set(range(at, at + size)))
+            text = [w if p not in out else "other" for p, w in enumerate(items[-1][1].split())]
+            run = max(map(len, re.findall("1+", "".join("0" if p in out else "1" for p in range(n)))), default=0)
+            i = 1000 * n + k
+            rows.append((i, f"{prose(rng, rng.randrange(3))} {' '.join(text)} {prose(rng, rng.randrange(3))}"))
+            if k % 2 == 0 or run >= decontaminate.VERBATIM:
+                expected.add((i, n))
+        if n >= 10:
+            words = items[-1][1].split()
+            rows.append((1000 * n + 500, f"a {' '.join(words[n - 10 :])} b"))
+            expected.add((1000 * n + 500, n))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.overlaps(id_and_text(docs_of(rows)), benchmark, seeds)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == expected
+
+
+def test_only_the_overlapping_row_goes(spark, docs_of, rng):
+    item = prose(rng, 25)
+    rows = [(None, item), (None, "clean words"), (7, item), (7, "clean words"), (None, None)]
+    kept = decontaminate.decontaminate(docs_of(rows), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, "clean words"), (7, "clean words")]
