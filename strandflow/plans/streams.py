@@ -44,4 +44,4 @@ def sliding_window_events(t: Tables) -> DataFrame:
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M') AS "start", count(*) AS n FROM k GROUP BY user_id, k""",
 )
 def session_islands(t: Tables) -> DataFrame:
-    return S.drain(S.sessions(_events(t), ["user_id"], "6 hours")).select("user_id", _stamp("start"), "n")
+    return S.drain(S.sessions(_events(t), ["user_id"], "6 hours", late=None)).select("user_id", _stamp("start"), "n")
