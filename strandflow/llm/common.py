@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandflow.scratch import materialise, release, scope  # noqa: F401
+
 #: Word separators of every contract here: space and U+0009 to U+000D.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
@@ -38,31 +37,11 @@ def words_of(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SEPARATORS, -1))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_strandflow_scratch", None) or f"file://{tempfile.mkdtemp(prefix='strandflow-')}"
-        spark._strandflow_scratch = found
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows once, as Parquet in the shared folder, and read them back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandflow/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table that materialise() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/strandflow/" in path:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def repeated(df: DataFrame, n: Column, nth: str = "__nth", block: int = 10_000) -> DataFrame:
+    """Each row n times, numbered from 0 in column nth; numbers are made in blocks, so no row holds a long array."""
+    zero, size = F.lit(0).cast("long"), F.lit(block).cast("long")
+    blocks = df.where(n > 0).withColumn("__from", F.explode(F.sequence(zero, n - 1, size)))
+    return blocks.withColumn(nth, F.explode(F.sequence(F.col("__from"), F.least(n, F.col("__from") + block) - 1))).drop("__from")
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -8,6 +8,9 @@ all together. The interval join of parts is a range window over the parts of a d
 Texts are scanned where they are read; only short records of matches are shuffled, once, by document, and the running
 offsets, the linking and the gathering all reuse that partitioning. Equal rows meet as one record with a count.
 
+No pattern repeats a group, and each run of characters is walked from its start only (schemes of addresses have at most 31
+characters), so the search is flat and linear in the text, whatever the text is.
+
 Defined results: a null or empty text has no spans; repeated rows each get their own, equal, row; null ids are kept;
 an empty table gives an empty table; only id and text are used, so further columns cannot clash.
 """
@@ -17,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.llm.common import repeated
+
 BASE_KINDS = ("assign", "access", "hex")
 LINKED_KINDS = ("bare_key", "identifier", "endpoint")
 KINDS = (*BASE_KINDS, *LINKED_KINDS)
@@ -27,10 +32,12 @@ PATTERNS = {
     "assign": r"""(?:(?i)(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"[0-9a-f]{16,}",
-    "identifier": r"""(?i)\b(?:user(?:name)?|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""",
+    "identifier": r"""(?i)(?<![a-z0-9_])(?:user(?:name)?|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""",
     "bare_key": r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])",
-    "endpoint": r"""(?i)(?:\b[a-z][a-z0-9+.-]*://[^\s"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)""",
+    "endpoint": r"""(?i)(?:(?<![a-z0-9_])[a-z][a-z0-9+.-]{0,30}://[^\s"'<>]++|(?<![a-z0-9.-])[a-z0-9.-]++:[0-9]{2,5}(?![a-z0-9_]))""",
 }
+#: An endpoint is an address with a scheme, or a host whose last two labels are not empty, and a port.
+ENDPOINT = r"(?i)(?:://|[a-z0-9-]\.[a-z0-9-]++:[0-9]+$)"
 LEAST_VALUE = 12
 SCOPE = 300
 
@@ -41,7 +48,12 @@ def _matches(text: Column, kind: str) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else whole
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("match"), value.alias("value"))
-    valid = lambda v: F.length(v) >= LEAST_VALUE if kind == "assign" else (v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]") if kind == "bare_key" else F.lit(True))
+    checks = {
+        "assign": lambda v: F.length(v) >= LEAST_VALUE,
+        "bare_key": lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]"),
+        "endpoint": lambda v: v.rlike(ENDPOINT),
+    }
+    valid = checks.get(kind, lambda v: F.lit(True))
     records = F.transform(
         F.filter(zipped, lambda x: x["match"].isNotNull()),
         lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("nth"), F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("size"), valid(x["value"]).alias("valid")),
@@ -75,7 +87,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     reported = F.col("valid") & (kind.isin(*range(len(BASE_KINDS))) | all_three | ((kind == KINDS.index("bare_key")) & F.col("near_access")))
     spans = F.sort_array(F.collect_list(F.when(reported, F.struct("start", "kind", "end"))))
     found = parts.groupBy(*key, "copies").agg(spans.alias("spans"))
-    return found.select("doc_id", "spans", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return repeated(found, F.col("copies")).select("doc_id", "spans")
 
 
 def written(spans: Column) -> Column:
