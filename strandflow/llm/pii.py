@@ -72,11 +72,17 @@ def luhn(digits: str) -> bool:
 
 def _iban(written: str) -> int:
     """Length of the longest valid account number at the start of what was written; 0 if there is none."""
-    for end in range(len(written), 14, -1):
-        s = written[:end].replace(" ", "")
-        if written[end - 1] != " " and 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
-            return end
-    return 0
+    head = int("".join(str(int(c, 36)) for c in written[:4]))  # two letters and two digits: six digits
+    body = n = longest = 0
+    for end, c in enumerate(written, 1):
+        if c != " ":
+            n += 1
+            if n > 4:
+                value = int(c, 36)
+                body = (body * (100 if value > 9 else 10) + value) % 97
+            if 15 <= n <= 34 and (body * 1_000_000 + head) % 97 == 1:
+                longest = end
+    return longest
 
 
 def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
@@ -98,7 +104,7 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
             if at >= ip_from:
                 quad = _IP.match(text, at)
                 ip_from = quad.end() if quad else _DIGITS.match(text, at).end()
-                if quad and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in quad[0].split(".")):
+                if quad and all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in quad[0].split("."))):
                     base.append((at, ip_from, "ip"))
         elif kind == "email":
             start = at
