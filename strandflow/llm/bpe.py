@@ -3,7 +3,8 @@
 A byte pair that occurs inside no token of the vocabulary can never be bridged by a merge, so a piece of text is cut
 there for certain. The fragments are encoded independently (and remembered, since they recur far more often than whole
 pieces) and their ids are concatenated. This is a narrow, map-only job: no shuffle, and memory bounded by the slices
-below, whatever the length of the texts or the size of the table.
+below or by one longer text. A fragment takes n log n steps, so one word of a million letters is no trouble either. The
+vocabulary file is read by the driver and broadcast (its size is that of the file, a few MB), so workers need no path.
 
 Defined results: a null or empty text, or one of separators only, has no ids and decodes to the empty string; repeated
 rows are encoded alike; an empty table gives an empty table; an input column with the name of an output column is
@@ -12,6 +13,8 @@ replaced; other columns pass through.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import json
 import re
 import struct
@@ -32,6 +35,8 @@ from strandflow.llm.common import bounded_batches
 MEMO = 250_000
 #: Characters of text that a worker handles at once (a single longer text is handled alone).
 SLICE_CHARS = 2_000_000
+#: Stand-ins of a fragment beyond which pairs wait in a heap and not in a list.
+LONG_FRAGMENT = 200
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -50,13 +55,12 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Codec:
-    """Encoder and decoder for one vocabulary file (JSON, BPE with word ends); lives in a worker."""
+    """Encoder and decoder for one vocabulary (the JSON of its file, BPE with word ends); lives in a worker."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, content: str):
+        self.content = content
         self._library: Tokenizer | None = None
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(content)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.alphabet = {chr(b): c for b, c in byte_alphabet().items()}
@@ -86,6 +90,8 @@ class Codec:
             ids[-1] = self.vocab[fragment[-1] + _END]
         rank_of, made = self.ranks.get, self.made
         ranks = [rank_of(pair, _NONE) for pair in zip(ids, ids[1:], strict=False)]
+        if len(ids) > LONG_FRAGMENT:
+            ids, ranks = self._merged_by_heap(ids, ranks), []
         while ranks:
             rank = min(ranks)
             if rank == _NONE:
@@ -99,6 +105,30 @@ class Codec:
                 ranks[at] = rank_of((ids[at], ids[at + 1]), _NONE)
         return struct.pack(f"<{len(ids)}i", *ids)
 
+    def _merged_by_heap(self, ids: list[int], ranks: list[int]) -> list[int]:
+        """The same merges in n log n steps: a heap of (rank, place) over a linked list, from which outdated pairs are skipped."""
+        rank_of, made, end = self.ranks.get, self.made, len(ids)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(rank, at) for at, rank in enumerate(ranks) if rank != _NONE]
+        heapq.heapify(heap)
+        ranks.append(_NONE)
+        while heap:
+            rank, at = heapq.heappop(heap)
+            if ranks[at] != rank:
+                continue
+            gone = after[at]
+            ids[at], ids[gone] = made[rank], -1
+            ranks[gone] = _NONE
+            after[at] = follows = after[gone]
+            if follows < end:
+                before[follows] = at
+            for a, b in ((before[at], at), (at, follows)):
+                if a >= 0:
+                    ranks[a] = rank = rank_of((ids[a], ids[b]), _NONE) if b < end else _NONE
+                    if rank != _NONE:
+                        heapq.heappush(heap, (rank, a))
+        return [i for i in ids if i >= 0]
+
     def _piece(self, piece: str, stands_in: bool = False) -> bytes:
         """Ids (int32) of a piece, from its fragments."""
         if not stands_in and not (piece.isascii() and piece.isprintable()):
@@ -121,7 +151,7 @@ class Codec:
         if all(unicodedata.category(c) != "Cn" for c in word):
             return None
         if self._library is None:
-            self._library = Tokenizer.from_file(self.path)
+            self._library = Tokenizer.from_str(self.content)
         return b"".join(self._piece(p, True) for p, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(word)))
 
     def _known(self, pieces: list[str]) -> bytes:
@@ -170,10 +200,16 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def codec(content: str) -> Codec:
+    key = hashlib.md5(content.encode()).hexdigest()
+    if key not in _CODECS:
+        _CODECS[key] = Codec(content)
+    return _CODECS[key]
+
+
+def vocabulary_of(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -205,11 +241,12 @@ def transcode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "
 
 def _coded(docs: DataFrame, vocabulary: str, text: str, ids: str, decoded: str | None) -> DataFrame:
     bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))
     kept = _without(docs, ids, *([decoded] if decoded else []))
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(vocabulary)
+        use = codec(shared.value)
         for whole in batches:
             for batch in _slices(whole, text, SLICE_CHARS):
                 coded = [use.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
@@ -228,10 +265,11 @@ def _coded(docs: DataFrame, vocabulary: str, text: str, ids: str, decoded: str |
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the text of its token ids, special tokens included."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))
     kept = _without(df, decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(vocabulary)
+        use = codec(shared.value)
         for whole in batches:
             for batch in _slices(whole, ids, SLICE_CHARS):
                 yield pa.RecordBatch.from_arrays([*batch.columns, use.decode(batch.column(ids))], names=[*batch.schema.names, decoded])
