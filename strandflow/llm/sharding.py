@@ -1,13 +1,15 @@
 """Balanced shards by Karmarkar-Karp differencing, under the law `bytes`: the shards' total sizes are near equal.
 
-Groups of equal texts are indivisible, except a group larger than a whole shard's fair share (at most as many groups as
-there are shards can be), which is dealt into pieces by a hash of the id, since no balance is possible otherwise. Units
-(groups and pieces) are hashed into buckets of bounded size. A task differences the units of one bucket: the two
-partial partitions with the largest spread are combined in opposite order, again and again, until one is left. What is
-left of the buckets, one row of shard sums each, is combined by the same rule level by level, with a bounded number of
-rows in a task, so nothing whole passes through one task or the driver.
+Groups of equal texts are indivisible, whatever their size: a group larger than a shard's fair share has a shard to itself,
+and the other shards are as near equal as that allows. Groups are taken in tiers, those of over 1/BUCKET_GROUPS of all bytes
+first, then those of over 1/BUCKET_GROUPS of that, and so on; a tier is hashed into buckets of about BUCKET_GROUPS groups.
+A task differences one bucket: the two partial partitions with the largest spread are combined in opposite order, again and
+again, until one is left. One of these partial partitions is the bucket's share of what the tiers before left uneven, so that
+small groups make up for large ones; a tier's last bucket has all that is left of the others. So nothing whole passes through
+one task, and the driver sees as many numbers as there are shards.
 
-Slots are numbered by counting rows in small (bucket, shard) cells and adding the cells' offsets, so no task holds a shard.
+Slots are numbered by counting rows in small (bucket, shard) cells and adding the cells' offsets, so no task holds a shard;
+rows that repeat id and text are counted before they are shuffled and numbered afterwards.
 
 Defined results: a null text has size 1, like an empty one, and both are one group; rows that repeat id and text get
 slots of their own; null ids are placed; fewer groups than shards leave shards empty; an empty table gives an empty table;
@@ -17,17 +19,17 @@ only id and text are used, so further columns cannot clash.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import broadcast_if_small, join_by_hot_key, materialise, release
+from strandflow.llm.common import broadcast_if_small, join_by_hot_key, materialise, repeated
 
-#: Units of a bucket, and buckets that one task combines, about.
-BUCKET_UNITS = 20_000
-FAN_IN = 5_000
+#: Groups of a bucket, about.
+BUCKET_GROUPS = 20_000
 #: Rows of a bucket in which slots are counted.
 SLOT_ROWS = 50_000
 
@@ -68,65 +70,55 @@ def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, total
 
 
-def _place_units(ways: int):
+def _differenced(left: list[int]):
+    """Groups of a bucket get the shard that differencing them together with the partial partition `left` puts them in."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "group", "piece"], ascending=[False, True, True], ignore_index=True)
-        sums = np.zeros((len(pdf), ways), np.int64)
-        sums[:, 0] = pdf["size"]
+        pdf = pdf.sort_values(["size", "group"], ascending=[False, True], ignore_index=True)
+        sums = np.zeros((len(pdf) + 1, len(left)), np.int64)
+        sums[0], sums[1:, 0] = left, pdf["size"]
         place, _ = difference(sums)
-        return pdf.assign(part=place[:, 0])
+        shard_of = np.argsort(place[0])  # the shard whose part of `left` is in each column
+        return pdf.assign(shard=shard_of[place[1:, 0]])[["group", "size", "n", "shard"]]
 
     return run
 
 
-def _place_buckets(ways: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket", ignore_index=True)
-        place, _ = difference(np.array(pdf["sums"].tolist(), np.int64).reshape(len(pdf), ways))
-        return pd.DataFrame({"bucket": pdf["bucket"], "up": pdf["up"], "place": list(place)})
-
-    return run
+def _place(groups: DataFrame, left: np.ndarray, buckets: int) -> tuple[list[DataFrame], np.ndarray]:
+    """Tables of (group, size, n, shard), and the bytes of each shard with them."""
+    bucket, placed = F.pmod(F.xxhash64("group"), F.lit(buckets)), []
+    for mine, share in [(bucket > 0, buckets)] * (buckets > 1) + [(bucket == 0, 1)]:
+        uneven = ((left - left.min()) // share).tolist()
+        placed.append(materialise(groups.where(mine).groupBy(bucket.alias("bucket")).applyInPandas(_differenced(uneven), "group binary, size long, n long, shard int")))
+        left = left.copy()
+        for r in placed[-1].groupBy("shard").agg(F.sum("size").alias("size")).collect():  # a row for each shard
+            left[r["shard"]] += r["size"]
+    return placed, left
 
 
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, text) to (doc_id, size, text_crc32, shard, slot)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = materialise(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("group")))
-    groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    n_rows, total, n_groups = groups.agg(F.sum("n"), F.sum("size"), F.count("*")).first()
-    fair = max(1, -(-(total or 0) // shards))
-    over = groups.where(F.col("size") > fair).select("group", F.least(F.col("n"), F.ceil(F.col("size") / fair)).cast("int").alias("pieces"))  # `shards` groups at most
-    rows = rows.join(F.broadcast(over), "group", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
-    buckets = max(1, -(-(n_groups or 0) // BUCKET_UNITS))
-    units = rows.groupBy("group", "piece").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    units = units.withColumn("bucket", F.pmod(F.xxhash64("group", "piece"), F.lit(buckets)))
-    placed = materialise(units.groupBy("bucket").applyInPandas(_place_units(shards), "group binary, piece int, size long, n long, bucket long, part int"))
-
-    # Levels: what is left of each bucket is combined until one is left; `to` tells where each bucket's parts go.
-    parts = F.array(*[F.coalesce(F.sum(F.when(F.col("part") == k, F.col("size"))), F.lit(0)) for k in range(shards)])
-    sums = placed.groupBy("bucket").agg(parts.alias("sums"))
-    to, left = None, buckets
-    while to is None or left > 1:
-        ups = max(1, -(-left // FAN_IN))
-        level = materialise(sums.withColumn("up", F.pmod("bucket", F.lit(ups))).groupBy("up").applyInPandas(_place_buckets(shards), "bucket long, up long, place array<int>"))
-        cells = sums.join(level, "bucket").select("up", F.explode(F.arrays_zip("sums", "place")).alias("x"))
-        turned = F.array(*[F.coalesce(F.sum(F.when(F.col("x.place") == k, F.col("x.sums"))), F.lit(0)) for k in range(shards)])
-        sums = cells.groupBy(F.col("up").alias("bucket")).agg(turned.alias("sums"))
-        if to is None:
-            to = level
-        else:
-            then = level.select(F.col("bucket").alias("up"), F.col("up").alias("next"), F.col("place").alias("turn"))
-            to = to.join(then, "up").select("bucket", F.col("next").alias("up"), F.transform("place", lambda j: F.get("turn", j)).alias("place"))
-        left = ups
-    shard_of = placed.join(broadcast_if_small(to.select("bucket", "place"), buckets), "bucket").select("group", "piece", "n", F.get("place", F.col("part")).alias("shard"))
-
-    keyed = rows.withColumn("unit", F.struct("group", "piece"))
-    found = join_by_hot_key(keyed, shard_of.select(F.struct("group", "piece").alias("unit"), "n", "shard"), "unit", "n")
+    groups = materialise(rows.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    n_rows, total = groups.agg(F.sum("n"), F.sum("size")).first()
+    least, tier, tiers = total or 0, F.lit(0), 0
+    while least := least // BUCKET_GROUPS:
+        tiers += 1
+        tier = F.when(F.col("size") <= least, tiers).otherwise(tier)
+    groups, left, placed = groups.withColumn("tier", tier), np.zeros(shards, np.int64), []
+    for r in groups.groupBy("tier").agg(F.count("*").alias("n")).orderBy("tier").collect():  # a row for each tier
+        more, left = _place(groups.where(F.col("tier") == r["tier"]).drop("tier"), left, -(-r["n"] // BUCKET_GROUPS))
+        placed += more
+    shard_of = reduce(DataFrame.unionByName, placed).drop("size") if placed else groups.select("group", "n", F.lit(0).alias("shard"))
+
+    found = join_by_hot_key(rows, shard_of, "group", "n")
     cells = max(1, -(-(n_rows or 0) // SLOT_ROWS))
-    found = materialise(found.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "group"), F.lit(cells)).alias("cell")))
-    release(placed)
-    counts = found.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    offsets = broadcast_if_small(counts.select("shard", "cell", before.alias("before")), cells * shards)
-    nth = F.row_number().over(Window.partitionBy("cell", "shard").orderBy("doc_id", "size", "text_crc32"))
-    return found.withColumn("nth", nth).join(offsets, ["shard", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"))
+    cell = F.pmod(F.xxhash64("doc_id", "group"), F.lit(cells)).alias("cell")
+    found = materialise(found.groupBy("shard", cell, "doc_id", "size", "text_crc32", "group").agg(F.count("*").alias("n")).drop("group"))
+    counts = found.groupBy("shard", "cell").agg(F.sum("n").alias("n"))
+    running = lambda *by: F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    offsets = broadcast_if_small(counts.select("shard", "cell", running("shard", ["cell"]).alias("before")), cells * shards)
+    numbered = found.withColumn("first", running("cell", "shard", ["doc_id", "size", "text_crc32"])).join(offsets, ["shard", "cell"])
+    slot = (F.col("before") + F.col("first") + F.col("__nth")).cast("long")
+    return repeated(numbered, F.col("n")).select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"))
