@@ -6,8 +6,8 @@ that language's rate of false positives, and the largest corrected count decides
 
 Fitting is a Spark job: n-grams are counted by document in the tasks, summed by a shuffle, and set into the slots by
 bit_or. What reaches the driver is the filter, whose size is a parameter. The classifier is fitted on a bounded sample:
-at most about `docs_per_language` labelled documents of each language, chosen by a hash of the id; all of them where
-there are fewer. Prediction is map-only.
+at most about `docs_per_language` labelled documents of each language, chosen by a hash of id and text, so that null ids
+are like any other; all of them where there are fewer. Rows equal in id and text count once. Prediction is map-only.
 
 Defined results: a text that is null or without a letter is `und` with score 0; without any labelled document every text
 is; ties go to the language with more labelled documents, then to the first by name; repeated rows are predicted alike;
@@ -33,6 +33,8 @@ HASHES = 3
 DOCS_PER_LANGUAGE = 4000
 #: An n-gram belongs to a language if this share of its sampled documents, and two at least, have it.
 LEAST_SHARE = 0.005
+#: Characters of a text that are hashed at once.
+SLICE = 1_000_000
 #: Distinct (n-gram, language) counts that a task gathers before it passes them on.
 FLUSH = 2_000_000
 UNDETERMINED = "und"
@@ -48,15 +50,26 @@ def letters() -> np.ndarray:
     return _LETTERS
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Hashes (uint64) of the n-grams of letters of a text in lower case, each run of other characters being one gap."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    is_letter = letters()[codes]
-    if not is_letter.any():
-        return np.empty(0, np.uint64)
-    codes = np.where(is_letter, codes, 0)
-    codes = codes[is_letter | np.concatenate([[True], is_letter[:-1]])]
-    codes = np.concatenate([[0], codes, [0] * max(1, N - 1 - len(codes))]).astype(np.uint64)
+def gram_slices(text: str) -> Iterator[np.ndarray]:
+    """Hashes (uint64) of the n-grams of letters of a text in lower case, each run of other characters being one gap; for
+    SLICE characters at a time, so that a long text takes no more memory than its own and a slice's arrays."""
+    text, any_letter = text.lower(), False
+    codes, after_letter = np.zeros(1, np.uint64), True
+    for at in range(0, len(text), SLICE):
+        new = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")
+        is_letter = letters()[new]
+        any_letter |= bool(is_letter.any())
+        new = np.where(is_letter, new, 0)[is_letter | np.concatenate([[after_letter], is_letter[:-1]])]
+        after_letter = bool(is_letter[-1])
+        codes = np.concatenate([codes, new.astype(np.uint64)])
+        if len(codes) >= N and at + SLICE < len(text):
+            yield _hashed(codes)
+            codes = codes[len(codes) - N + 1 :]
+    if any_letter:
+        yield _hashed(np.concatenate([codes, np.zeros(max(1, N - len(codes)), np.uint64)]))
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
     h = np.zeros(len(codes) - N + 1, np.uint64)
     for k in range(N):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - N + 1 + k]
@@ -65,6 +78,14 @@ def ngrams(text: str) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def ngrams(text: str) -> np.ndarray:
+    """Distinct hashes of a text's n-grams, in order."""
+    found = np.empty(0, np.uint64)
+    for part in gram_slices(text):
+        found = np.union1d(found, part)
+    return found
+
+
 def slots(grams: np.ndarray) -> list[np.ndarray]:
     return [(grams >> np.uint64(SLOT_BITS * k)).astype(np.int64) & ((1 << SLOT_BITS) - 1) for k in range(HASHES)]
 
@@ -77,15 +98,16 @@ class LanguageFilter:
 
     def counts(self, text: str) -> tuple[int, np.ndarray]:
         """Number of n-grams, and the corrected number in each language."""
-        grams = ngrams(text)
-        if not len(grams):
-            return 0, np.zeros(len(self.languages))
-        at = slots(grams)
-        masks = self.table[at[0]]
-        for more in at[1:]:
-            masks = masks & self.table[more]
-        hits = np.unpackbits(masks, axis=1, bitorder="little").sum(0, dtype=np.int64)[: len(self.languages)]
-        return len(grams), np.clip((hits - len(grams) * self.false_rate) / (1 - self.false_rate), 0, len(grams))
+        n, hits = 0, np.zeros(8 * self.table.shape[1], np.int64)
+        for grams in gram_slices(text):
+            at = slots(grams)
+            masks = self.table[at[0]]
+            for more in at[1:]:
+                masks = masks & self.table[more]
+            n += len(grams)
+            hits += np.unpackbits(masks, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        hits = hits[: len(self.languages)]
+        return n, np.clip((hits - n * self.false_rate) / (1 - self.false_rate), 0, n)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         n, counts = self.counts(text) if text and self.languages else (0, None)
@@ -122,7 +144,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting = 0
     for batch in batches:
         for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            grams = np.unique(ngrams(text))
+            grams = ngrams(text)
             held.setdefault(language, []).append(grams)
             waiting += len(grams)
             if waiting > FLUSH:
@@ -145,7 +167,8 @@ def fit(docs: DataFrame, language: str = "lang", key: str = "doc_id", docs_per_l
     if not languages:
         return LanguageFilter([], table, np.zeros(0))
     ranks = spark.createDataFrame([(x, i, min(1.0, docs_per_language / sizes[x]), max(2, int(LEAST_SHARE * min(sizes[x], docs_per_language)))) for i, x in enumerate(languages)], "language string, rank int, share double, least long")
-    sampled = labelled.join(F.broadcast(ranks), "language").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    drawn = labelled.join(F.broadcast(ranks), "language").withColumn("draw", F.xxhash64("key", "text"))
+    sampled = drawn.where(F.pmod("draw", F.lit(1_000_000)) < F.col("share") * 1_000_000).groupBy("rank", "draw").agg(F.first("text").alias("text"))
     counts = sampled.select("rank", "text").mapInArrow(_counted, "gram long, language int, n long").groupBy("gram", "language").agg(F.sum("n").alias("n"))
     known = counts.join(F.broadcast(ranks.select(F.col("rank").alias("language"), "least")), "language").where("n >= least")
     at = [F.shiftrightunsigned("gram", SLOT_BITS * k).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for k in range(HASHES)]

@@ -37,6 +37,8 @@ SHINGLE = 3
 DISTANCE = 2
 #: Members of a grid cell that are still paired.
 CELL = 64
+#: Shingles whose bits are laid out at once.
+SLICE = 100_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -51,8 +53,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         line = b" ".join(words)
         starts = [0, *ends[:-shingle].tolist()]
         hashes = [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    most = 2 * bits.sum(0, dtype=np.int64) > len(hashes)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        part = np.array(hashes[at : at + SLICE], np.uint64).view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    most = 2 * ones > len(hashes)
     return int(np.packbits(most, bitorder="little").view(np.int64)[0])
 
 
