@@ -1,10 +1,11 @@
 """BPE against the tokenizers library, and round trips."""
 
 import random
+import time
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -17,8 +18,11 @@ SPECIAL = [":\U0003d000", "\ua7dbX", "\U00010d50", "\U00010d42a", "<|endoftext|>
 texts = st.lists(st.one_of(st.text(max_size=30), st.sampled_from(SPECIAL)), max_size=6).map("".join)
 
 
+CONTENT = bpe.vocabulary_of(VOCABULARY)
+
+
 def ids_of(text):
-    return np.frombuffer(bpe.codec(VOCABULARY).encode(text), "<i4").tolist()
+    return np.frombuffer(bpe.codec(CONTENT).encode(text), "<i4").tolist()
 
 
 @settings(max_examples=400, deadline=None)
@@ -26,11 +30,11 @@ def ids_of(text):
 def test_same_as_the_library(text):
     want = LIBRARY.encode(text, add_special_tokens=False).ids
     assert ids_of(text) == want
-    assert bpe.codec(VOCABULARY).decode(pa.array([want], pa.list_(pa.int32()))).to_pylist() == [LIBRARY.decode(want, skip_special_tokens=False)]
+    assert bpe.codec(CONTENT).decode(pa.array([want], pa.list_(pa.int32()))).to_pylist() == [LIBRARY.decode(want, skip_special_tokens=False)]
 
 
 def test_fragments_are_cut_only_where_no_token_bridges():
-    codec = bpe.codec(VOCABULARY)
+    codec = bpe.codec(CONTENT)
     rng = random.Random(2)
     alphabet = list(codec.alphabet.values())
     for _ in range(300):
@@ -55,9 +59,27 @@ def test_operator(spark, docs_of, odd_rows):
 
 def test_memos_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 3)
-    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    codec = bpe.Codec(CONTENT)
     text = " ".join(f"word{i}" for i in range(50))
     assert np.frombuffer(codec.encode(text), "<i4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
     assert len(codec._memo) <= 3
     codec.forget()
     assert not codec._memo and not codec._fragments
+
+
+@pytest.mark.parametrize("least", [0, 200])
+def test_long_fragments(monkeypatch, least):
+    monkeypatch.setattr(bpe, "LONG_FRAGMENT", least)
+    codec, rng = bpe.Codec(CONTENT), random.Random(5)
+    words = ["".join(rng.choices(letters, k=n)) for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "aé", "-=", "0123456789") for n in (1, 2, 3, 50, 3000)]
+    for word in words:
+        assert np.frombuffer(codec.encode(word), "<i4").tolist() == LIBRARY.encode(word, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", ["a", "the", "aé", "=-", "0", "a.", "' ", "\n", "x" * 199 + " "])
+def test_a_megabyte_of(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    got = ids_of(text)
+    assert time.perf_counter() - began < 30
+    assert got == LIBRARY.encode(text, add_special_tokens=False).ids
