@@ -1,18 +1,19 @@
 """Exact substring dedup by level-wise doubling.
 
-Windows that are repeated at one length alone are extended to twice that length. The first level (half the window)
-looks only at sampled windows: of the short windows inside a full window the ones with the smallest hash, so that equal
-full windows always have equal samples, and about one position in six is shuffled at all. Documents with a repeated
-sample are read again, and only the full windows around repeated samples are compared. The contract's windows have one
-length, so levels end there: a candidate of the last level is a repeat, and nothing longer can change which words go.
+Levels double a length (5, 10 and 20 words for the contract's windows). At each level only what was repeated at the level
+before is looked at: of the short windows inside a full window the one with the smallest hash is its sample, so equal full
+windows have equal samples at every level, and a full window whose sample occurs once is done with. The first level shuffles
+one position in eight or so, the next ones only positions around samples that were repeated at half their length. The last
+level compares the full windows that are left by their hash and finds the earliest of each. A repeat of more words consists of
+repeated full windows, so longer levels could not change which words go.
 
 Skew: each task first decides among its own rows. Of equal windows within a task only the earliest stays undecided, so a
-passage that a third of all documents share costs one row for each task, not one for each document. Texts are shuffled
-by document, never by content. Windows are told apart by 95 bits of hash; of windows that
-agree in 63 bits alone, those unlike the earliest stay.
+passage that a third of all documents share costs one row for each task, not one for each document. What a task has decided
+travels by a hash of its document, apart from the windows it was decided by. Texts are shuffled by document, never by
+content. Windows are told apart by 95 bits of hash; of windows that agree in 63 bits alone, those unlike the earliest stay.
 
 Semantics: every word goes that is covered by a window whose word sequence also starts earlier, in a smaller doc_id or
-in the same document. Defined results: null or empty texts have no words; null ids count as larger than all others; rows
+in the same document. Defined results: null or empty texts have no words; null ids count like 2^63 - 1, the largest id; rows
 that share id and place of a window are equally early, so neither loses it; rows equal in id and text give equal rows; an
 empty table gives an empty table; only id and text are used, so further columns cannot clash.
 """
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import bounded_batches
 
 WINDOW = 20
+#: The first level has at least as many words (but at most half a window).
+LEAST = 5
 #: Rows that a task gathers before it decides among them.
 FLUSH = 2_000_000
 MEMO = 500_000
@@ -80,112 +83,147 @@ def _sliding(h: np.ndarray, width: int, least: bool) -> np.ndarray:
     return h
 
 
-def samples(h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the smallest of each `span` neighbouring hashes, the distinct places that are smallest somewhere)."""
+def samples(h: np.ndarray, span: int, alive: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(the smallest of each `span` neighbouring hashes, the distinct places that are smallest in one that is alive)."""
     least = _sliding(h, span, True)
+    shown = least if alive is None else np.where(alive, least, np.uint64(0))
     edge = np.zeros(span - 1, np.uint64)
-    return least, np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), span, False) == h)
+    return least, np.flatnonzero(_sliding(np.concatenate([edge, shown, edge]), span, False) == h)
+
+
+def levels(window: int) -> list[int]:
+    """Lengths from the first level's to the window's."""
+    first = window // 2
+    while first % 2 == 0 and first // 2 >= LEAST:
+        first //= 2
+    found = [first]
+    while found[-1] < window:
+        found.append(2 * found[-1])
+    if found[-1] != window:
+        raise ValueError("the window must be a number of at least two words, doubled from half of it")
+    return found
 
 
 def _hashes(words: list[bytes], memo: _WordHashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def _runs(ids: np.ndarray) -> np.ndarray:
-    """Where a new id begins, and the end."""
-    return np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
+def _grown(h: np.ndarray, first: int, length: int) -> np.ndarray:
+    """Hashes of windows of `length` words from those of the first level."""
+    while first < length:
+        h, first = doubled(h, first, 0), 2 * first
+    return h
+
+
+def _among(h: np.ndarray, known: pa.Scalar) -> np.ndarray:
+    return np.isin(h, known.values.to_numpy(zero_copy_only=False).view(np.uint64))
+
+
+def _spread(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """An odd number for each document: hashes of windows are even."""
+    return _mixed(ids.view(np.uint64) * _ODD[2] + tags.view(np.uint32) * _ODD[3]) | ~_EVEN
 
 
-def _sampled(window: int):
-    """(id, text) to sampled short windows: (g, id, again, known).
+def _listed(values: np.ndarray, ids: np.ndarray, tags: np.ndarray, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Distinct values by document: (ids, tags, lists)."""
+    order = np.lexsort((values, tags, ids))
+    values, ids, tags = values[order], ids[order], tags[order]
+    other = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
+    keep = other.copy()
+    keep[1:] |= values[1:] != values[:-1]
+    values, ids, tags, other = values[keep], ids[keep], tags[keep], other[keep]
+    at = np.flatnonzero(np.concatenate([other, [True]]))
+    return ids[at[:-1]], tags[at[:-1]], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, kind))
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str, pa.Scalar | None]]:
+    """(id, tag, text, repeated or None) of each row."""
+    ids, tags, texts = (batch.column(name).to_pylist() for name in ("id", "tag", "text"))
+    yield from zip(ids, tags, texts, batch.column("repeated") if "repeated" in batch.schema.names else [None] * len(ids), strict=True)
+
+
+def _sampled(window: int, first: int, length: int):
+    """(id, tag, text, repeated samples of half the length, but for the first level) to samples: (g, id, tag, again, known).
 
     One row of each hash (even) and task speaks for the task, `again` if the task has the hash twice. Other rows have, for
-    an id, all hashes known to be there twice; their g (odd) only spreads them.
+    a document, all hashes known to be there twice; their g (odd) only spreads them.
     """
-    half = window // 2
+    names = ["g", "id", "tag", "again", "known"]
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
-        g, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        g, ids, tags = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((ids, g))
-        g, ids = g[order], ids[order]
-        first = np.concatenate([[True], g[1:] != g[:-1]])
-        again = ~first
-        again[:-1] |= ~first[1:]
-        names = ["g", "id", "again", "known"]
-        none = pa.nulls(int(first.sum()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(ids[first]), pa.array(again[first]), none], names=names)
-        g, ids = g[again], ids[again]
-        if len(g):
-            order = np.lexsort((g, ids))
-            g, ids = g[order], ids[order]
-            at = _runs(ids)
-            known = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))
-            at = at[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array((g[at] | ~_EVEN).view(np.int64)), pa.array(ids[at]), pa.array(np.ones(len(at), bool)), known], names=names)
+        order = np.argsort(g, kind="stable")
+        g, ids, tags = g[order], ids[order], tags[order]
+        lead = np.concatenate([[True], g[1:] != g[:-1]])
+        again = ~lead
+        again[:-1] |= ~lead[1:]
+        none = pa.nulls(int(lead.sum()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(g[lead].view(np.int64)), pa.array(ids[lead]), pa.array(tags[lead]), pa.array(again[lead]), none], names=names)
+        if again.any():
+            ids, tags, known = _listed(g[again].view(np.int64), ids[again], tags[again], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(_spread(ids, tags).view(np.int64)), pa.array(ids), pa.array(tags), pa.array(np.ones(len(ids), bool)), known], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, waiting = _WordHashes(), [], 0
         for batch in batches:
-            for i, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+            for i, tag, text, repeated in _texts(batch):
                 words = _hashes(split(text), memo)
                 if len(words) < window:
                     continue
-                h = short_hashes(words, half) & _EVEN
-                g = h[samples(h, window - half + 1)[1]]
-                held.append((g, np.full(len(g), i, np.int64)))
+                h, alive = short_hashes(words, first), None
+                if repeated is not None:
+                    half = _grown(h, first, length // 2)
+                    alive = _among(_sliding(half & _EVEN, window - length // 2 + 1, True), repeated)
+                    h = doubled(half, length // 2, 0)
+                h = h & _EVEN
+                g = h[samples(h, window - length + 1, alive)[1]]
+                held.append((g, np.full(len(g), i, np.int64), np.full(len(g), tag, np.int32)))
                 waiting += len(g)
                 if waiting >= FLUSH:
                     waiting = 0
                     yield from settle(held)
-        if held:
+        if waiting:
             yield from settle(held)
 
     return run
 
 
-def _compared(window: int):
-    """(doc_id, id, tag, text, repeated samples) to full windows: (h, kt, id, start, late).
+def _compared(window: int, first: int):
+    """(id, tag, text, repeated samples of half a window) to full windows: (h, kt, id, start, late).
 
     Rows with a start are the earliest in the task with their hash: h (even), and k in the upper half of kt, whose lower
-    half is the tag. Other rows have, for a document, in `late` the places (start, then tag) of windows that start earlier
-    elsewhere; their h (odd) only spreads them.
+    half is the tag. Other rows have, for a document, in `late` the places of windows that start earlier elsewhere; their h
+    (odd) only spreads them.
     """
-    half = window // 2
+    half, names = window // 2, ["h", "kt", "id", "start", "late"]
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         h, k, ids, tags, starts = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((starts, ids, k, h))
+        order = np.lexsort((tags, starts, ids, k, h))
         h, k, ids, tags, starts = h[order], k[order], ids[order], tags[order], starts[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         late = (ids != ids[lead]) | (starts != starts[lead])
-        names, open_ = ["h", "kt", "id", "start", "late"], ~late
-        none = pa.nulls(int(open_.sum()), pa.list_(pa.int64()))
+        open_ = ~late  # the earliest, once for rows equal in id and text
+        open_[1:] &= new[1:] | (tags[1:] != tags[:-1])
+        none = pa.nulls(int(open_.sum()), pa.list_(pa.int32()))
         kt = (k[open_].astype(np.int64) << 32) | (tags[open_].astype(np.int64) & _LOW)
         yield pa.RecordBatch.from_arrays([pa.array(h[open_].view(np.int64)), pa.array(kt), pa.array(ids[open_]), pa.array(starts[open_]), none], names=names)
-        h, ids, tags, starts = h[late], ids[late], tags[late], starts[late]
-        if len(h):
-            order = np.lexsort((starts, tags, ids))
-            h, ids, tags, starts = h[order], ids[order], tags[order], starts[order]
-            at = _runs(ids)
-            places = (starts.astype(np.int64) << 32) | (tags.astype(np.int64) & _LOW)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(places))
-            at = at[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array((h[at] | ~_EVEN).view(np.int64)), pa.array(np.zeros(len(at), np.int64)), pa.array(ids[at]), pa.nulls(len(at), pa.int32()), lists], names=names)
+        if late.any():
+            ids, tags, places = _listed(starts[late], ids[late], tags[late], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(_spread(ids, tags).view(np.int64)), pa.array(tags.astype(np.int64) & _LOW), pa.array(ids), pa.nulls(len(ids), pa.int32()), places], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, waiting = _WordHashes(), [], 0
         for batch in batches:
-            ids, tags, texts = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            for i, tag, text, repeated in zip(ids, tags, texts, batch.column(4), strict=True):
+            for i, tag, text, repeated in _texts(batch):
                 words = _hashes(split(text), memo)
                 if len(words) < window:
                     continue
-                short = short_hashes(words, half)
-                least, _ = samples(short & _EVEN, window - half + 1)
-                at = np.flatnonzero(np.isin(least, repeated.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+                short = _grown(short_hashes(words, first), first, half)
+                at = np.flatnonzero(_among(_sliding(short & _EVEN, window - half + 1, True), repeated))
                 if not len(at):
                     continue
                 h = doubled(short, half, 0)[at] & _EVEN
@@ -195,26 +233,25 @@ def _compared(window: int):
                 if waiting >= FLUSH:
                     waiting = 0
                     yield from settle(held)
-        if held:
+        if waiting:
             yield from settle(held)
 
     return run
 
 
 def _cut(window: int):
-    """(doc_id, tag, text, places) to what is left."""
+    """(doc_id, text, places) to what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 n, removed, kept = [], [], []
-                for tag, text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                for text, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                     words = split(text)
                     n.append(len(words))
                     if places.is_valid:
-                        place = places.values.to_numpy()
-                        starts = np.unique(place[(place & _LOW) == (tag & _LOW)] >> 32)
+                        starts = np.unique(places.values.to_numpy())
                         ends = np.zeros(len(words) + 1, np.int32)
                         ends[starts] += 1
                         ends[starts + window] -= 1
@@ -234,24 +271,23 @@ def _gathered(one: Column, many: str) -> Column:
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text), text not null, to (doc_id, n_words, n_removed, kept_text)."""
-    if window < 2 or window % 2:
-        raise ValueError("the window must have an even number of words")
+    first, *more = levels(window)
     bounded_batches(docs.sparkSession)
-    last = (1 << 63) - 1
-    # The tag tells rows apart that share an id.
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(last)).alias("id"), F.hash("text").alias("tag"), "text")
-
-    sampled = docs.select("id", "text").mapInArrow(_sampled(window), "g long, id long, again boolean, known array<long>")
-    repeats = F.count("*").over(Window.partitionBy("g")) > 1
-    repeated = sampled.withColumn("repeats", repeats).where("repeats or again")
-    repeated = repeated.groupBy("id").agg(_gathered(F.col("g"), "known").alias("repeated"))
-
-    # Both joins shuffle the same columns of the documents by the same key, so that Spark does it once.
-    windows = docs.join(repeated, "id").select("doc_id", "id", "tag", "text", "repeated").mapInArrow(_compared(window), "h long, kt long, id long, start int, late array<long>")
+    # The tag tells rows apart that share an id. All joins shuffle the same columns by the same key, so that Spark does it once.
+    key = ["id", "tag"]
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.hash("text").alias("tag"), "text")
+    left = docs.select(*key, "text")
+    for length in (first, *more[:-1]):
+        sampled = left.mapInArrow(_sampled(window, first, length), "g long, id long, tag int, again boolean, known array<long>")
+        repeats = F.count("*").over(Window.partitionBy("g")) > 1
+        repeated = sampled.withColumn("repeats", repeats).where("repeats or again").groupBy(*key).agg(_gathered(F.col("g"), "known").alias("repeated"))
+        left = docs.join(repeated, key).select("doc_id", *key, "text", "repeated")
+
+    windows = left.mapInArrow(_compared(window, first), "h long, kt long, id long, start int, late array<int>")
     order = Window.partitionBy("h").orderBy("id", "start")
     k = F.shiftright("kt", 32)
     later = (F.rank().over(order) > 1) & (k == F.shiftright(F.first("kt").over(order), 32))
     late = windows.withColumn("later", later).where("later or late is not null")
-    place = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("kt").bitwiseAND(F.lit(_LOW)))
-    places = late.groupBy("id").agg(_gathered(place, "late").alias("places"))
-    return docs.join(places, "id", "left").select("doc_id", "tag", "text", "places").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    tag = F.shiftright(F.shiftleft("kt", 32), 32).cast("int").alias("tag")
+    places = late.groupBy("id", tag).agg(_gathered(F.col("start"), "late").alias("places"))
+    return docs.join(places, key, "left").select("doc_id", "text", "places").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
