@@ -126,7 +126,8 @@ def test_substring_dedup(spark, docs_of, odd_rows, rng, monkeypatch, flush):
     monkeypatch.setattr(substring, "FLUSH", flush)
     passage, plain = prose(rng, 55), [r for r in odd_rows if r[0] != 4]
     rows = plain + [(100 + i, f"{prose(rng, rng.randrange(30))} {passage} {prose(rng, 5)}" if i % 3 else " ".join(rng.choices("ab", k=rng.randrange(60)))) for i in range(60)] + [(300, passage), (300, passage), (None, passage), (301, "x " * 70)]
-    for window in (20, 4):
+    rows += [(None, f"{passage} {i // 2}") for i in range(20)] + [(400, f"{i} {passage}") for i in range(3)] + [(None, rows[60][1])] * 30
+    for window in (20, 4, 2):
         found = substring.dedup(id_and_text(docs_of(rows).repartition(5)), window)
         assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_text"]) for r in found.collect()) == removed(rows, window)
     assert substring.dedup(id_and_text(docs_of(rows).limit(0))).count() == 0
