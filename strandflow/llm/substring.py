@@ -10,7 +10,7 @@ repeated full windows, so longer levels could not change which words go.
 Skew: each task first decides among its own rows. Of equal windows within a task only the earliest stays undecided, so a
 passage that a third of all documents share costs one row for each task, not one for each document. What a task has decided
 travels by a hash of its document, apart from the windows it was decided by. Texts are shuffled by document, never by
-content. Windows are told apart by 95 bits of hash; of windows that agree in 63 bits alone, those unlike the earliest stay.
+content, and compressed. Windows are told apart by 95 bits of hash; of windows that agree in 63 bits alone, those unlike the earliest stay.
 
 Semantics: every word goes that is covered by a window whose word sequence also starts earlier, in a smaller doc_id or
 in the same document. Defined results: null or empty texts have no words; null ids count like 2^63 - 1, the largest id; rows
@@ -25,8 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandflow.llm.common import bounded_batches
 
@@ -40,6 +42,7 @@ MEMO = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _EVEN = ~np.uint64(1)
 _LOW = 0xFFFFFFFF
+_UNPACK = zstandard.ZstdDecompressor()
 
 
 class _WordHashes(dict):
@@ -50,8 +53,17 @@ class _WordHashes(dict):
         return h
 
 
-def split(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()  # bytes split at exactly the contract's separators
+def split(text: str | bytes) -> list[bytes]:
+    """Words of a text, or of one that _packed() made; bytes split at exactly the contract's separators."""
+    return (_UNPACK.decompress(text) if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).split()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, id, tag, text) with compressed texts, which make up most of what is shuffled."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], names=batch.schema.names)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -136,7 +148,7 @@ def _listed(values: np.ndarray, ids: np.ndarray, tags: np.ndarray, kind: pa.Data
     return ids[at[:-1]], tags[at[:-1]], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, kind))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str, pa.Scalar | None]]:
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str | bytes, pa.Scalar | None]]:
     """(id, tag, text, repeated or None) of each row."""
     ids, tags, texts = (batch.column(name).to_pylist() for name in ("id", "tag", "text"))
     yield from zip(ids, tags, texts, batch.column("repeated") if "repeated" in batch.schema.names else [None] * len(ids), strict=True)
@@ -153,13 +165,15 @@ def _sampled(window: int, first: int, length: int):
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         g, ids, tags = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        # In order of hashes to decide, back in order of documents to pass on, which compresses better.
         order = np.argsort(g, kind="stable")
-        g, ids, tags = g[order], ids[order], tags[order]
-        lead = np.concatenate([[True], g[1:] != g[:-1]])
-        again = ~lead
-        again[:-1] |= ~lead[1:]
-        none = pa.nulls(int(lead.sum()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(g[lead].view(np.int64)), pa.array(ids[lead]), pa.array(tags[lead]), pa.array(again[lead]), none], names=names)
+        new = np.concatenate([[True], g[order[1:]] != g[order[:-1]]])
+        twice = ~new
+        twice[:-1] |= ~new[1:]
+        again = np.empty(len(g), bool)
+        again[order] = twice
+        lead = np.sort(order[new])
+        yield pa.RecordBatch.from_arrays([pa.array(g[lead].view(np.int64)), pa.array(ids[lead]), pa.array(tags[lead]), pa.array(again[lead]), pa.nulls(len(lead), pa.list_(pa.int64()))], names=names)
         if again.any():
             ids, tags, known = _listed(g[again].view(np.int64), ids[again], tags[again], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(_spread(ids, tags).view(np.int64)), pa.array(ids), pa.array(tags), pa.array(np.ones(len(ids), bool)), known], names=names)
@@ -202,14 +216,16 @@ def _compared(window: int, first: int):
         h, k, ids, tags, starts = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order = np.lexsort((tags, starts, ids, k, h))
-        h, k, ids, tags, starts = h[order], k[order], ids[order], tags[order], starts[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        late = (ids != ids[lead]) | (starts != starts[lead])
-        open_ = ~late  # the earliest, once for rows equal in id and text
-        open_[1:] &= new[1:] | (tags[1:] != tags[:-1])
-        none = pa.nulls(int(open_.sum()), pa.list_(pa.int32()))
+        differs = lambda *of: np.concatenate([[True], np.any([x[order[1:]] != x[order[:-1]] for x in of], axis=0)])
+        new = differs(h, k)
+        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        is_late = (ids[order] != ids[lead]) | (starts[order] != starts[lead])
+        # The earliest, once for rows equal in id and text, in order of documents, which compresses better.
+        open_ = np.sort(order[~is_late & (new | differs(tags))])
+        late = np.zeros(len(h), bool)
+        late[order] = is_late
         kt = (k[open_].astype(np.int64) << 32) | (tags[open_].astype(np.int64) & _LOW)
+        none = pa.nulls(len(open_), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array(h[open_].view(np.int64)), pa.array(kt), pa.array(ids[open_]), pa.array(starts[open_]), none], names=names)
         if late.any():
             ids, tags, places = _listed(starts[late], ids[late], tags[late], pa.int32())
@@ -277,6 +293,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key = ["id", "tag"]
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.hash("text").alias("tag"), "text")
     left = docs.select(*key, "text")
+    docs = docs.mapInArrow(_packed, T.StructType([docs.schema["doc_id"], *[T.StructField(*f, False) for f in (("id", T.LongType()), ("tag", T.IntegerType()), ("text", T.BinaryType()))]]))
     for length in (first, *more[:-1]):
         sampled = left.mapInArrow(_sampled(window, first, length), "g long, id long, tag int, again boolean, known array<long>")
         repeats = F.count("*").over(Window.partitionBy("g")) > 1
