@@ -44,6 +44,16 @@ def class_segments(features: DataFrame, keys: Sequence[str], length: Column | No
     return runs.select(*keys, "start", "end", *[flag(t) for t in TYPES], F.when(F.col("masks") > 0, 0).otherwise(1).alias("sample_weight"))
 
 
+def gene_length_segments(features: DataFrame, keys: Sequence[str], length: Column | None = None, width: int = intervals.BIN) -> DataFrame:
+    """(keys, start, end, gene_length): stretches that a transcript covers, with the length, before clipping, of the longest
+    one over them. Other bases have length zero and no stretch."""
+    plus = intervals.to_plus_frame(features.where("type = 'transcript'"))
+    clipped = intervals.clip(plus, F.lit(0), length if length is not None else F.lit((1 << 62))).select(*keys, "p_start", "p_end", "full_length")
+    runs = intervals.depth(clipped, keys, width=width).drop("depth")
+    over = intervals.range_join(runs, clipped, keys, ("start", "end"), ("p_start", "p_end"), width)
+    return over.groupBy(*keys, "start", "end").agg(F.max("full_length").alias("gene_length"))
+
+
 def class_of(transcript: Column, cds: Column, intron: Column) -> Column:
     """0 intergenic, 1 untranslated, 2 coding, 3 intron; what lies outside of a transcript is intergenic."""
     return F.when(transcript == 0, 0).when(intron == 1, 3).when(cds == 1, 2).otherwise(1)
@@ -53,12 +63,14 @@ def merge_classes(cls: Column, from_: int = 1, to: int = 0) -> Column:
     return F.when(cls == from_, to).otherwise(cls)
 
 
-def transitions(df: DataFrame, keys: Sequence[str], value: str, pos: str = "pos") -> DataFrame:
+def transitions(df: DataFrame, keys: Sequence[str], value: str, pos: str = "pos", width: int = intervals.BIN) -> DataFrame:
     """A dense 0/1 track with columns rises and falls: both bases at a change are marked, none at the edges."""
-    window = Window.partitionBy(*keys).orderBy(pos)
+    rows = intervals.with_neighbours(df, pos, 1, 1, width)
+    window = Window.partitionBy(*keys, "__bin").orderBy(pos)
     up = lambda a, b: F.when(a < b, 1).otherwise(0)
     here, before, after = F.col(value), F.lag(value).over(window), F.lead(value).over(window)
-    return df.select("*", (up(here, after) + up(before, here)).alias("rises"), (up(after, here) + up(here, before)).alias("falls"))
+    marked = rows.select("*", (up(here, after) + up(before, here)).alias("rises"), (up(after, here) + up(here, before)).alias("falls"))
+    return marked.where("__own").drop("__bin", "__own")
 
 
 def transition_borders(segments: DataFrame, keys: Sequence[str], low: Column, high: Column) -> DataFrame:
@@ -77,6 +89,14 @@ def coding_phase(cds_bases: DataFrame, feature: Sequence[str], is_plus: Column,
     return coding.withColumn("base_phase", F.pmod(phase - (F.row_number().over(order) - 1), F.lit(3)).cast("long"))
 
 
+def phase_counts(cds: DataFrame, keys: Sequence[str], phase: Column, start: str = "p_start", end: str = "p_end") -> DataFrame:
+    """(keys, base_phase, n): the number of bases of each phase in features without introns, from their lengths alone."""
+    n = F.col(end) - F.col(start)
+    first = lambda r: F.pmod(phase - r, F.lit(3))  # noqa: E731  # the first base, from 0, of phase r
+    of = F.array(*[F.struct(F.lit(r).cast("long").alias("base_phase"), F.floor((n - first(r) + 2) / 3).alias("n")) for r in range(3)])
+    return cds.where(n > 0).select(*keys, F.inline(of)).groupBy(*keys, "base_phase").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def union_of(df: DataFrame, keys: Sequence[str], start: str = "p_start", end: str = "p_end") -> DataFrame:
     """(keys, start, end): maximal covered stretches."""
     window = Window.partitionBy(*keys).orderBy(start, end)

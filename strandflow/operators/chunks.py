@@ -41,6 +41,19 @@ def strand_slice(array: Column, start: Column, end: Column) -> Column:
     return F.when(start < end, cut).otherwise(F.reverse(cut))
 
 
+def strand_slices(sequences: DataFrame, size: int, seq: str = "seq") -> DataFrame:
+    """Every chunk of both strands with its part of the sequence: is_plus, chunk_idx, slice (reversed on minus).
+
+    The sequence is cut once, in linear time, and goes; its columns are carried to each chunk but for that.
+    """
+    kept = [c for c in sequences.columns if c != seq]
+    pieces = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    rows = sequences.select(*kept, pieces.alias("__pieces")).select(*kept, F.size("__pieces").alias("__n"), F.posexplode("__pieces").alias("__k", "__piece"))
+    both = rows.withColumn("is_plus", F.explode(F.array(F.lit(True), F.lit(False))))
+    idx = F.when(F.col("is_plus"), F.col("__k")).otherwise(F.col("__n") - 1 - F.col("__k"))
+    return both.select(*kept, "is_plus", idx.cast("long").alias("chunk_idx"), F.when(F.col("is_plus"), F.col("__piece")).otherwise(F.reverse("__piece")).alias("slice"))
+
+
 def padding_to_front(array: Column, n_valid: Column) -> Column:
     """A padded array with its padding moved to the front."""
     n = n_valid.cast("int")

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from strandflow.operators import intervals
 
 COVERED, SPLICED = "=XM", "ND"
-#: Operations that move along the reference.
-ON_REFERENCE = COVERED + SPLICED
 #: Shifts of cut sites by strand.
 TN5_PLUS, TN5_MINUS = 4, 5
 
@@ -22,16 +20,22 @@ def usable(df: DataFrame) -> DataFrame:
 
 
 def blocks(alignments: DataFrame, cigar: str = "cigar", pos: str = "pos") -> DataFrame:
-    """Each alignment's blocks on the reference: kind (covered or spliced), p_start, p_end. Other operations make none."""
-    pattern = F.lit("([0-9]+)([MIDNSHP=X])")
-    ops = F.arrays_zip(F.regexp_extract_all(F.col(cigar), pattern, F.lit(1)).alias("n"), F.regexp_extract_all(F.col(cigar), pattern, F.lit(2)).alias("op"))
-    moved = F.transform(ops, lambda o: F.struct(o["op"].alias("op"), F.when(F.instr(F.lit(ON_REFERENCE), o["op"]) > 0, o["n"].cast("long")).otherwise(0).alias("n")))
-    rows = alignments.withColumn("__ops", moved).withColumn("__i", F.explode(F.sequence(F.lit(0), F.size("__ops") - 1)))
-    op = F.get("__ops", F.col("__i"))
-    start = F.col(pos) + F.aggregate(F.slice("__ops", F.lit(1), F.col("__i")), F.lit(0).cast("long"), lambda a, o: a + o["n"])
-    kind = F.when(op["op"].isin(*COVERED), "covered").when(op["op"].isin(*SPLICED), "spliced")
-    found = rows.withColumn("kind", kind).withColumn("p_start", start).withColumn("p_end", start + op["n"])
-    return found.where("kind is not null and p_end > p_start").drop("__ops", "__i")
+    """Each alignment's blocks on the reference: kind (covered or spliced), p_start, p_end. Other operations make none.
+
+    One fold over an alignment's operations carries the position along and collects the blocks.
+    """
+    none = F.array().cast("array<struct<kind:string,p_start:bigint,p_end:bigint>>")
+    empty = F.struct(F.col(pos).cast("long").alias("at"), none.alias("out"))
+
+    def step(acc: Column, written: Column) -> Column:
+        op, n = F.right(written, F.lit(1)), F.substring(written, 1, F.length(written) - 1).cast("long")
+        kind = F.when(op.isin(*COVERED), "covered").when(op.isin(*SPLICED), "spliced")
+        end = acc["at"] + F.when(kind.isNotNull(), n).otherwise(0)
+        block = F.struct(kind.alias("kind"), acc["at"].alias("p_start"), end.alias("p_end"))
+        return F.struct(end.alias("at"), F.when(end > acc["at"], F.concat(acc["out"], F.array(block))).otherwise(acc["out"]).alias("out"))
+
+    ops = F.regexp_extract_all(F.col(cigar), F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
+    return alignments.select("*", F.inline(F.aggregate(ops, empty, step, lambda acc: acc["out"])))
 
 
 def sense_is_plus(is_plus: Column, second_in_pair: Column, stranded: bool = True, sense: int = 2) -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandflow.functions.sequence import canonical
+from strandflow.functions.sequence import CODES, canonical
+
+#: Letters of the longest k-mer that is counted by a code of 64 bits.
+MOST_MER = 16
 
 #: What each mode adds to the columns of a chunk.
 MODES = {"X": ["x"], "y": ["y", "phases", "sample_weights", "gene_lengths"], "anno_meta": ["err_sample", "fully_intergenic", "is_annotated"], "transitions": ["transitions"]}
@@ -125,6 +131,65 @@ def mer_rows(sequences: DataFrame, keys: Sequence[str], k: int, seq: str = "seq"
     return at.select(*keys, F.concat(*[F.get("__bases", F.col("__i") + j) for j in range(k)]).alias("mer"))
 
 
+def count_mers(sequences: DataFrame, keys: Sequence[str], k: int, seq: str = "seq") -> DataFrame:
+    """(keys, mer, n) of all k-mers, in upper case, of at most MOST_MER letters.
+
+    A task counts codes of four bits a letter, batch by batch, so a row leaves it for each k-mer and batch and not for each
+    base. Letters that are no code count as N.
+    """
+    if not 1 <= k <= MOST_MER:
+        raise ValueError(f"k-mers have 1 to {MOST_MER} letters")
+    kept = sequences.select(*keys, seq)
+    letters = np.frombuffer(CODES.encode(), np.uint8)
+    code = np.full(256, CODES.index("N"), np.uint64)
+    code[letters] = code[np.char.lower(letters.view("S1")).view(np.uint8)] = np.arange(len(letters))
+    piece = 1 << 22
+
+    def codes(text: str) -> Iterator[np.ndarray]:
+        raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+        for at in range(0, len(raw) - k + 1, piece):
+            c = code[raw[at : at + piece + k - 1]]
+            h = np.zeros(len(c) - k + 1, np.uint64)
+            for j in range(k):
+                h = (h << np.uint64(4)) | c[j : j + len(h)]
+            yield h
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: dict[tuple, int] = {}
+            held: dict[tuple, list] = {}
+            sums: dict[tuple, tuple] = {}
+            waiting = 0
+
+            def settle() -> None:
+                for key, parts in held.items():
+                    mers, n = sums.get(key, (np.empty(0, np.uint64), np.empty(0, np.int64)))
+                    weights = np.concatenate([n, np.ones(sum(map(len, parts)), np.int64)])
+                    distinct, inverse = np.unique(np.concatenate([mers, *parts]), return_inverse=True)
+                    sums[key] = distinct, np.bincount(inverse, weights, len(distinct)).astype(np.int64)
+                held.clear()
+
+            columns = [batch.column(c).to_pylist() for c in range(len(keys))]
+            for row, text in enumerate(batch.column(len(keys)).to_pylist()):
+                key = tuple(c[row] for c in columns)
+                at.setdefault(key, row)
+                for h in codes(text or ""):
+                    held.setdefault(key, []).append(h)
+                    waiting += len(h)
+                    if waiting > piece:
+                        settle()
+                        waiting = 0
+            settle()
+            for key, (mers, n) in sums.items():
+                shifts = np.arange(4 * (k - 1), -1, -4, dtype=np.uint64)
+                text = letters[((mers[:, None] >> shifts) & np.uint64(15)).astype(np.int64)].tobytes().decode()
+                own = [batch.column(c).take(pa.array([at[key]] * len(mers))) for c in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([text[i : i + k] for i in range(0, len(text), k)]), pa.array(n)], names=[*keys, "mer", "n"])
+
+    schema = T.StructType([*[kept.schema[c] for c in keys], T.StructField("mer", T.StringType()), T.StructField("n", T.LongType())])
+    return kept.mapInArrow(run, schema).groupBy(*keys, "mer").agg(F.sum("n").alias("n"))
+
+
 def canonical_mers(mers: DataFrame, by: Sequence[str], mer: str = "mer", n: str = "n") -> DataFrame:
     """Counts of k-mers and their reverse complements taken as one."""
     return mers.groupBy(*by, canonical(F.col(mer)).alias("mer")).agg(F.sum(n).cast("long").alias("n"))

@@ -30,10 +30,15 @@ def intron_chains(introns: DataFrame, transcript: Sequence[str]) -> DataFrame:
     return rows.select(*transcript, F.array_join(F.transform("c", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("chain"), F.size("c").cast("long").alias("n_introns"))
 
 
-def intron_chain_matches(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Transcripts of two annotations with the same chain of introns."""
-    left = a.select(*by, "chain", F.col("transcript").alias("transcript_a"))
-    return left.join(b.select(*by, "chain", F.col("transcript").alias("transcript_b")), [*by, "chain"])
+def intron_chain_matches(chains: DataFrame, side: str, by: Sequence[str] = ()) -> DataFrame:
+    """Transcripts of two annotations with the number of the other annotation's transcripts that have the same chain.
+
+    chains: by, chain and a column `side` that tells the annotation. Equal chains make a class; no pairs are made.
+    """
+    key = [*by, "chain"]
+    counts = chains.groupBy(*key, side).agg(F.count("*").alias("__same"))
+    counts = counts.groupBy(*key).agg(F.sum("__same").alias("__all"), F.map_from_entries(F.collect_list(F.struct(side, "__same"))).alias("__by_side"))  # two entries
+    return chains.join(counts, key).withColumn("n_matches", (F.col("__all") - F.element_at("__by_side", F.col(side))).cast("long")).drop("__all", "__by_side")
 
 
 def strand_mates(chunks: DataFrame, keys: Sequence[str] = ("species", "seqid")) -> DataFrame:
@@ -48,8 +53,9 @@ def gene_wise(bases: DataFrame, genes: DataFrame, keys: Sequence[str], width: in
 
     bases: keys, pos, ref, pred, sample_weight; genes: keys, gene, start, end.
     """
-    points = bases.where("sample_weight <> 0").select(*keys, F.col("pos").alias("b_start"), (F.col("pos") + 1).alias("b_end"), "ref", "pred")
+    counted = bases.where("sample_weight <> 0").groupBy(*keys, "pos", "ref", "pred").agg(F.count("*").alias("n"))
+    points = counted.select(*keys, F.col("pos").alias("b_start"), (F.col("pos") + 1).alias("b_end"), "ref", "pred", "n")
     spans = genes.select(*keys, "gene", F.col("start").alias("g_start"), F.col("end").alias("g_end"))
     inside = intervals.range_join(points, spans, keys, ("b_start", "b_end"), ("g_start", "g_end"), width)
-    cm = metrics.confusion(inside, 4, [*keys, "gene"])
+    cm = metrics.confusion(inside, 4, [*keys, "gene"], n="n")
     return metrics.score(cm, metrics.class_cells(metrics.GENIC) | metrics.genic_composites(), [*keys, "gene"])

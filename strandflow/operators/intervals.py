@@ -82,14 +82,39 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Co
     return df.withColumn("__new", F.when(F.coalesce(breaks, F.lit(False)), 1).otherwise(0)).withColumn(name, F.sum("__new").over(window).cast("long")).drop("__new")
 
 
-def runs_of(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """(keys, value, start, end, n): stretches of equal consecutive values."""
-    window = Window.partitionBy(*keys).orderBy(order)
-    numbered = islands(df, keys, [order], ~F.col(value).eqNullSafe(F.lag(value).over(window)) & F.lag(order).over(window).isNotNull())
-    return numbered.groupBy(*keys, value, "island").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end"), F.count("*").alias("n")).drop("island")
-
-
-def contiguous_segments(chunks: DataFrame, size: int, keys: Sequence[str] = (), adjacent: bool = True, order: str = "row_id") -> DataFrame:
+def with_neighbours(df: DataFrame, pos: str, before: int, after: int, width: int = BIN) -> DataFrame:
+    """Rows of a dense track by bin (__bin) of positions, with those of the bins beside it that are at most `before` ahead of
+    it or `after` behind it (__own is false for them): a window over a bin then sees what a window over all would."""
+    p = F.col(pos)
+    own = F.floor(p / width)
+    bins = F.sequence(F.floor((p - after) / width), F.floor((p + before) / width))
+    return df.withColumn("__bin", F.explode(bins)).withColumn("__own", F.col("__bin") == own)
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str, width: int = BIN) -> DataFrame:
+    """Rows with the sum of a value up to their position: bins are summed on their own and carry in what is before them."""
+    rows = df.withColumn("__bin", F.floor(F.col(pos) / width)).withColumn("__v", value)
+    order = Window.partitionBy(*keys).orderBy("__bin")
+    carried = F.sum("__t").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")
+    before = rows.groupBy(*keys, "__bin").agg(F.sum("__v").alias("__t")).select(*keys, "__bin", carried.alias("__before"))
+    within = Window.partitionBy(*keys, "__bin").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("__in", F.sum("__v").over(within)).join(before, [*keys, "__bin"])
+    return summed.select(*df.columns, (F.col("__before") + F.col("__in")).alias(name))
+
+
+def runs_of(df: DataFrame, keys: Sequence[str], order: str, value: str, width: int = BIN) -> DataFrame:
+    """(keys, value, start, end, n): stretches of equal consecutive values, by a whole number. Runs are found in bins of it,
+    and runs, not rows, are then joined across the bins' borders."""
+    differs = lambda w: ~F.col(value).eqNullSafe(F.lag(value).over(w)) & F.lag("start").over(w).isNotNull()
+    in_bins = [*keys, "__bin"]
+    rows = df.select(*keys, value, F.col(order).alias("start"), F.floor(F.col(order) / width).alias("__bin"))
+    numbered = islands(rows, in_bins, ["start"], differs(Window.partitionBy(*in_bins).orderBy("start")))
+    parts = numbered.groupBy(*in_bins, value, "island").agg(F.min("start").alias("start"), (F.max("start") + 1).alias("end"), F.count("*").alias("n")).drop("island", "__bin")
+    joined = islands(parts, keys, ["start"], differs(Window.partitionBy(*keys).orderBy("start")))
+    return joined.groupBy(*keys, value, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
+
+
+def contiguous_segments(chunks: DataFrame, size: int, keys: Sequence[str], adjacent: bool = True, order: str = "row_id") -> DataFrame:
     """Runs of chunks (row_id, seqid, start, end): broken at strand flips, at chunks that are not full, and, if adjacent,
     at gaps and changes of sequence. (keys, first_row, end_row)."""
     window = Window.partitionBy(*keys).orderBy(order)
@@ -107,7 +132,7 @@ def key_ranges(df: DataFrame, keys: Sequence[str], order: str = "row_id") -> Dat
 
 
 def single_stretch(df: DataFrame, order: str, flag: str) -> DataFrame:
-    """The one run of true values; an error if there is none or more than one."""
-    found = runs_of(df.select(order, flag), [], order, flag).where(F.col(flag)).select("start", "end")
-    only = F.count("*").over(Window.partitionBy())
-    return found.withColumn("__n", only).where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("more than one stretch")).cast("boolean"))).drop("__n")
+    """(start, end) of the one run of true values by position; an error if there is none or more than one."""
+    found = df.where(F.col(flag)).agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end"), F.countDistinct(order).alias("__n"))
+    one = F.when(F.col("__n") == F.col("end") - F.col("start"), F.lit(True)).otherwise(F.raise_error(F.lit("not one stretch")).cast("boolean"))
+    return found.where(one).drop("__n")

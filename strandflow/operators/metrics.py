@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import scores
 
+#: Names of the classes.
 GENIC = ("ig", "utr", "exon", "intron")
 PHASES = ("no_phase", "phase_0", "phase_1", "phase_2")
 
@@ -45,9 +46,9 @@ def phase_composites() -> dict[str, tuple[Cells, Cells, Cells]]:
     return {"any_phase": _merged([1, 2, 3], 4), "internal_phase": ([(c, c) for c in (1, 2, 3)], off, off), "phase": _summed([1, 2, 3], 4)}
 
 
-def confusion(df: DataFrame, n_classes: int, by: Sequence[str] = (), ref: str = "ref", pred: str = "pred", complete: bool = True) -> DataFrame:
-    """Counts of (ref, pred) in each group, with zeros for cells that do not occur if complete."""
-    counts = df.groupBy(*by, F.col(ref).cast("long").alias("ref"), F.col(pred).cast("long").alias("pred")).agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, n_classes: int, by: Sequence[str] = (), ref: str = "ref", pred: str = "pred", complete: bool = True, n: str | None = None) -> DataFrame:
+    """Counts of (ref, pred) in each group, with zeros for cells that do not occur if complete; column n, if named, counts a row so often."""
+    counts = df.groupBy(*by, F.col(ref).cast("long").alias("ref"), F.col(pred).cast("long").alias("pred")).agg((F.sum(n) if n else F.count("*")).alias("n"))
     if not complete:
         return counts
     grid = F.array(*[F.struct(F.lit(r).cast("long").alias("ref"), F.lit(p).cast("long").alias("pred")) for r in range(n_classes) for p in range(n_classes)])

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def check_parameters(chunk: int, offset: int | None = None, core: int | None = None) -> tuple[int, int]:
@@ -84,30 +87,29 @@ def stretched(weights: Column, reach: int) -> Column:
     Of neighbours that several weights reach, the one written last, from the greater index, stays; centres keep their own.
     """
 
-    def spread(acc: Column, i: Column) -> Column:
-        center = F.get(weights, i)
-        return F.when(
-            center > 1,
-            F.transform(acc, lambda x, j: F.when((F.abs(j - i) <= reach) & (j != i), F.greatest(F.lit(1.0), center / F.pow(F.lit(2.0), F.abs(j - i)))).otherwise(x)),
-        ).otherwise(acc)
+    def spread(_: Column, j: Column) -> Column:
+        reached = [F.when(F.get(weights, j + d) > 1, F.greatest(F.lit(1.0), F.get(weights, j + d) / 2.0 ** abs(d))) for d in range(reach, -reach - 1, -1) if d]
+        return F.coalesce(*[F.when(j + d >= 0, x) for d, x in zip([d for d in range(reach, -reach - 1, -1) if d], reached, strict=True)], F.get(weights, j))
 
-    around = F.aggregate(F.sequence(F.lit(0), F.size(weights) - 1), weights, spread)
-    return F.zip_with(weights, around, lambda w, s: F.when(w > 1, w).otherwise(s))
+    return F.transform(weights, lambda w, j: F.when(w > 1, w).otherwise(spread(w, j)))
 
 
 def greedy_pack(df: DataFrame, keys: Sequence[str], order: str, size: str, most: int) -> DataFrame:
-    """Items in order into batches of at most `most`: a batch closes when the next item would not fit."""
-    items = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("items"))
-    empty = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,batch:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["used"] + x["s"] <= most) | (acc["used"] == 0)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        out = F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), batch.alias("batch"))))
-        return F.struct(batch.alias("batch"), F.when(fits, acc["used"] + x["s"]).otherwise(x["s"]).alias("used"), out.alias("out"))
-
-    packed = items.withColumn("packed", F.aggregate("items", empty, step, lambda acc: acc["out"]))
-    return packed.select(*keys, F.explode("packed").alias("x")).select(*keys, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
+    """Items in order into batches of at most `most`: a batch closes when the next item would not fit. One fold over the
+    items of a key, which are sequential by nature and meet in one task."""
+    items = df.select(*keys, order, F.col(size).cast("long").alias("__size"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([order, "__size"], ignore_index=True)
+        batch, used, out = 0, 0, []
+        for n in pdf["__size"].tolist():
+            if used and used + n > most:
+                batch, used = batch + 1, 0
+            used += n
+            out.append(batch)
+        return pdf.assign(batch=np.array(out, np.int64))[[*keys, order, "batch"]]
+
+    return items.groupBy(*keys).applyInPandas(pack, T.StructType([*[items.schema[c] for c in (*keys, order)], T.StructField("batch", T.LongType())]))
 
 
 def position_means(df: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandflow.operators import intervals
 
@@ -17,63 +20,62 @@ STEPS = (100, 10, 10, 10)
 MOST = (10000, 500, 500, 500)
 
 
-def confident_regions(track: DataFrame, keys: Sequence[str], pad: int = PAD, least: float = CONFIDENT, p: str = "p", pos: str = "pos") -> DataFrame:
+def confident_regions(track: DataFrame, keys: Sequence[str], pad: int = PAD, least: float = CONFIDENT, p: str = "p", pos: str = "pos", width: int = intervals.BIN) -> DataFrame:
     """(keys, start, end): stretches in which one class is certain, of more than 2 * pad bases.
 
-    A base is low if the larger class mean of it and the next one is below `least`. Positions count from 0 in each key.
+    A base is low if the larger class mean of it and the next one is below `least`. Positions count from 0 in each key and
+    leave none out; a stretch after a low base counts that base in its length.
     """
-    window = Window.partitionBy(*keys).orderBy(pos)
+    rows = intervals.with_neighbours(track.select(*keys, F.col(pos).cast("long").alias("pos"), p), "pos", 0, 1, width)
+    window = Window.partitionBy(*keys, "__bin").orderBy("pos")
     both = F.zip_with(F.col(p), F.lead(p).over(window), lambda a, b: (a + b) / 2)
-    size = F.count("*").over(Window.partitionBy(*keys))
-    rows = track.select(*keys, F.col(pos).alias("pos"), F.array_max(both).alias("s"), size.alias("n"))
-    low = rows.where(F.col("s") < least).select(*keys, "pos", "n")
-    order = Window.partitionBy(*keys).orderBy("pos")
-    lows = low.select(*keys, "n", "pos", F.lag("pos").over(order).alias("before"), F.lead("pos").over(order).alias("after"))
-    first = F.when(F.col("before").isNull() & (F.col("pos") > 2 * pad), F.struct(F.lit(0).cast("long").alias("start"), F.col("pos").cast("long").alias("end")))
-    middle = F.when(F.col("pos") - F.col("before") > 2 * pad, F.struct((F.col("before") + 1).cast("long").alias("start"), F.col("pos").cast("long").alias("end")))
-    last = F.when(F.col("after").isNull() & (F.col("n") - F.col("pos") > 2 * pad), F.struct((F.col("pos") + 1).cast("long").alias("start"), F.col("n").cast("long").alias("end")))
-    found = lows.select(*keys, F.explode(F.array_compact(F.array(first, middle, last))).alias("x")).select(*keys, "x.start", "x.end")
-    whole = rows.groupBy(*keys).agg(F.count_if(F.col("s") < least).alias("low"), F.max("n").alias("n")).where("low = 0")
-    return found.unionByName(whole.select(*keys, F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end")))
-
-
-def cumulative_change(track: DataFrame, keys: Sequence[str], value: str, pos: str = "pos") -> DataFrame:
-    """Running sum of absolute changes."""
-    window = Window.partitionBy(*keys).orderBy(pos)
-    change = F.abs(F.col(value) - F.lag(value).over(window))
-    return track.withColumn("__change", F.coalesce(change, F.lit(0.0))).withColumn("cum", F.sum("__change").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("__change")
+    low = rows.select(*keys, "pos", "__own", F.coalesce(F.array_max(both) < least, F.lit(False)).alias("low")).where("__own")
+    runs = intervals.runs_of(low, keys, "pos", "low", width)
+    sizes = runs.groupBy(*keys).agg(F.max("end").alias("__size"))
+    wide = F.col("end") - F.col("start") + F.when(F.col("start") > 0, 1).otherwise(0) > 2 * pad
+    whole = (F.col("start") == 0) & (F.col("end") == F.col("__size"))
+    return runs.where("not low").join(sizes, list(keys)).where(wide | whole).select(*keys, "start", "end")
+
+
+def cumulative_change(track: DataFrame, keys: Sequence[str], value: str, pos: str = "pos", width: int = intervals.BIN) -> DataFrame:
+    """Running sum of absolute changes of a dense track."""
+    rows = intervals.with_neighbours(track, pos, 1, 0, width)
+    window = Window.partitionBy(*keys, "__bin").orderBy(pos)
+    changed = rows.withColumn("__change", F.coalesce(F.abs(F.col(value) - F.lag(value).over(window)), F.lit(0.0))).where("__own").drop("__bin", "__own")
+    return intervals.running_sum(changed, keys, pos, F.col("__change"), "cum", width).drop("__change")
 
 
 def divided(regions: DataFrame, values: str, step: Column, most: Column, pad: int = PAD, stable: float = 0.1) -> DataFrame:
     """Each region (an array of its class's probabilities) cut where they have changed by more than `stable` since the last
     cut, where a piece would grow beyond `most`, and at its end: columns start, end, score. State passes from cut to cut,
-    so each region is one fold over its steps."""
-    p = F.col(values)
-    n = F.size(p)
-    cum = F.aggregate(
-        F.sequence(F.lit(1), n - 1),
-        F.array(F.lit(0.0)),
-        lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.abs(F.get(p, i) - F.get(p, i - 1)))),
-    )
-    rows = regions.withColumn("__n", n).where(F.col("__n") > 2 * pad).withColumn("__cum", cum).withColumn("__step", step).withColumn("__most", most)
-    starts = F.sequence(F.lit(pad), F.col("__n") - pad - 1, F.col("__step"))
-    empty = F.struct(F.lit(pad).alias("last"), F.get("__cum", F.lit(pad)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def cut(acc: Column, i: Column) -> Column:
-        end = F.least(i + F.col("__step"), F.col("__n") - pad)
-        here = F.get("__cum", F.least(end, F.col("__n") - 1))
-        yes = (here - acc["at"] > stable) | (end - acc["last"] > F.col("__most")) | (end == F.col("__n") - pad)
-        return F.struct(
-            F.when(yes, end).otherwise(acc["last"]).alias("last"),
-            F.when(yes, here).otherwise(acc["at"]).alias("at"),
-            F.when(yes, F.concat(acc["out"], F.array(F.struct(acc["last"].alias("start"), end.alias("end"))))).otherwise(acc["out"]).alias("out"),
-        )
-
-    pieces = rows.withColumn("__x", F.explode(F.aggregate(starts, empty, cut, lambda acc: acc["out"])))
-    piece = F.slice(values, F.col("__x.start") + 1, F.col("__x.end") - F.col("__x.start"))
-    score = F.aggregate(piece, F.lit(0.0), lambda a, x: a + x) / F.size(piece)
+    so each region is one fold over its steps, within its row."""
     kept = [c for c in regions.columns if c != values]
-    return pieces.select(*kept, F.col("__x.start").cast("long").alias("start"), F.col("__x.end").cast("long").alias("end"), score.alias("score"))
+    rows = regions.where(F.size(values) > 2 * pad).select(*kept, step.cast("int").alias("__step"), most.cast("int").alias("__most"), F.col(values).cast("array<double>").alias("__p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, starts, ends, scores = [], [], [], []
+            steps, limits, lists = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2)
+            for i, (by, limit) in enumerate(zip(steps, limits, strict=True)):
+                p = lists[i].values.to_numpy(zero_copy_only=False)
+                n, last = len(p), pad
+                cum = np.concatenate([[0.0], np.cumsum(np.abs(np.diff(p)))])
+                at = cum[pad]
+                for start in range(pad, n - pad, by):
+                    end = min(start + by, n - pad)
+                    here = cum[min(end, n - 1)]
+                    if here - at > stable or end - last > limit or end == n - pad:
+                        row.append(i)
+                        starts.append(last)
+                        ends.append(end)
+                        scores.append(float(p[last:end].sum() / (end - last)) if end > last else None)
+                        last, at = end, here
+            own = batch.take(pa.array(row, pa.int64()))
+            made = [pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*own.columns[: len(kept)], *made], names=[*kept, "start", "end", "score"])
+
+    fields = [T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], *fields]))
 
 
 def gff_start(chunk_start: Column, start: Column, end: Column, is_plus: Column, as_before: bool = False) -> Column:
@@ -102,22 +104,29 @@ def hints(regions: DataFrame, source: str, as_before: bool = False) -> DataFrame
     )
 
 
-def candidate_regions(track: DataFrame, keys: Sequence[str], window_size: int, edge: float, peak: float, value: str = "genic", pos: str = "pos", least_coding: int = 0, coding: str | None = None) -> DataFrame:
-    """Runs in which the sliding genic score reaches `edge`, kept if it reaches `peak` somewhere: (keys, start, end, peak).
+def candidate_regions(track: DataFrame, keys: Sequence[str], window_size: int, edge: float, peak: float, value: str = "genic", pos: str = "pos", least_coding: int = 0, coding: str | None = None, width: int = intervals.BIN) -> DataFrame:
+    """Runs of a dense track in which the sliding genic score reaches `edge`, kept if it reaches `peak` somewhere: (keys, start, end, peak).
 
     With `coding`, a run must hold `least_coding` bases of it.
     """
     half = window_size // 2
-    around = Window.partitionBy(*keys).orderBy(pos).rowsBetween(-half, window_size - half - 1)
-    scored = track.select(*keys, F.col(pos).alias("pos"), F.avg(value).over(around).alias("score"), (F.col(coding) if coding else F.lit(0)).alias("coding"))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    high = scored.where(F.col("score") >= edge)
-    numbered = intervals.islands(high, keys, ["pos"], F.col("pos") != F.lag("pos").over(order) + 1)
-    found = numbered.groupBy(*keys, "island").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.max("score").alias("peak"), F.sum("coding").alias("coding"))
-    return found.where((F.col("peak") >= peak) & (F.col("coding") >= least_coding)).drop("island", "coding")
-
-
-def next_where(df: DataFrame, keys: Sequence[str], order: str, flag: str, name: str = "next_row") -> DataFrame:
-    """For each row, the place of the next row with the flag."""
-    after = Window.partitionBy(*keys).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(name, F.min(F.when(F.col(flag), F.col(order))).over(after))
+    rows = intervals.with_neighbours(track.select(*keys, F.col(pos).alias("pos"), F.col(value).alias("value"), (F.col(coding) if coding else F.lit(0)).alias("coding")), "pos", half, window_size - half - 1, width)
+    in_bins = [*keys, "__bin"]
+    around = Window.partitionBy(*in_bins).orderBy("pos").rowsBetween(-half, window_size - half - 1)
+    high = rows.withColumn("score", F.avg("value").over(around)).where(F.col("__own") & (F.col("score") >= edge))
+    gap = lambda by, end: F.col("start") != F.lag(end).over(Window.partitionBy(*by).orderBy("start"))
+    ones = high.select(*in_bins, F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "score", "coding")
+    runs = [F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), F.sum("coding").alias("coding")]
+    parts = intervals.islands(ones, in_bins, ["start"], gap(in_bins, "end")).groupBy(*in_bins, "island").agg(*runs).drop("__bin", "island")
+    found = intervals.islands(parts, keys, ["start"], gap(keys, "end")).groupBy(*keys, "island").agg(*runs)
+    return found.where((F.col("score") >= peak) & (F.col("coding") >= least_coding)).select(*keys, "start", "end", F.col("score").alias("peak"))
+
+
+def next_where(df: DataFrame, keys: Sequence[str], order: str, flag: str, name: str = "next_row", width: int = intervals.BIN) -> DataFrame:
+    """For each row, the place (a whole number) of the next row with the flag: in its bin, or the first of a later bin."""
+    rows = df.withColumn("__bin", F.floor(F.col(order) / width)).withColumn("__at", F.when(F.col(flag), F.col(order)))
+    following = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    bins = rows.groupBy(*keys, "__bin").agg(F.min("__at").alias("__first"))
+    later = bins.select(*keys, "__bin", F.min("__first").over(following(Window.partitionBy(*keys).orderBy("__bin"))).alias("__later"))
+    here = rows.withColumn("__here", F.min("__at").over(following(Window.partitionBy(*keys, "__bin").orderBy(order))))
+    return here.join(later, [*keys, "__bin"]).select(*df.columns, F.coalesce("__here", "__later").alias(name))

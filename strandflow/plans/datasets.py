@@ -149,14 +149,13 @@ def longest_transcript(t: Tables) -> DataFrame:
     return G.longest_transcript(_graph(t).where("type = 'N'"), ["gene"])
 
 
-_CHAINS = "chains AS (SELECT l_orderkey AS transcript, l_linestatus AS src, string_agg(l_linenumber || '-' || (l_linenumber + 1), ',' ORDER BY l_linenumber, l_linenumber + 1) AS chain, count(*) AS n_introns FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY ALL)"
+_CHAINS = "chains AS (SELECT l_orderkey AS transcript, l_linestatus AS src, string_agg(l_linenumber || '-' || (l_linenumber + 1), ',' ORDER BY l_linenumber, l_linenumber + 1) AS chain, count(*) AS n_introns FROM lineitem GROUP BY ALL)"
 
 
-@query("intron_chain_match", f"WITH {_CHAINS} SELECT a.chain, a.transcript AS transcript_a, b.transcript AS transcript_b FROM chains a JOIN chains b USING (chain) WHERE a.src = 'O' AND b.src = 'F'")
+@query("intron_chain_match", f"WITH {_CHAINS} SELECT transcript, src, chain, n_introns, count(*) OVER (PARTITION BY chain) - count(*) OVER (PARTITION BY chain, src) AS n_matches FROM chains")
 def intron_chain_match(t: Tables) -> DataFrame:
-    introns = t.lineitem.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("transcript"), F.col("l_linestatus").alias("src"), F.col("l_linenumber").cast("long").alias("start"), (F.col("l_linenumber") + 1).cast("long").alias("end"))
-    chains = G.intron_chains(introns, ["transcript", "src"])
-    return G.intron_chain_matches(chains.where("src = 'O'"), chains.where("src = 'F'"))
+    introns = t.lineitem.select(F.col("l_orderkey").alias("transcript"), F.col("l_linestatus").alias("src"), F.col("l_linenumber").cast("long").alias("start"), (F.col("l_linenumber") + 1).cast("long").alias("end"))
+    return G.intron_chain_matches(G.intron_chains(introns, ["transcript", "src"]), "src")
 
 
 @query("strand_mates", f"""WITH {_GRID} SELECT p.seqid, p."start", p."end", p.chunk_idx AS plus_row, m.chunk_idx AS minus_row FROM grid p JOIN grid m ON m.seqid = p.seqid AND m."start" = p."end" AND m."end" = p."start" WHERE p.is_plus AND NOT m.is_plus""")
@@ -169,7 +168,7 @@ def single_genome_check(t: Tables) -> DataFrame:
     return D.require_one(t.region.where("r_regionkey = 0"), "genomes")
 
 
-_GENES = "genes AS (SELECT o_custkey % 100 AS seqid, o_orderkey AS gene, o_orderkey % 380 AS g_start, o_orderkey % 380 + 20 AS g_end FROM orders)"
+_GENES = "genes AS (SELECT o_custkey % (SELECT max(l_suppkey) + 1 FROM lineitem) AS seqid, o_orderkey AS gene, o_orderkey % 380 AS g_start, o_orderkey % 380 + 20 AS g_end FROM orders)"
 
 
 @query(
@@ -179,8 +178,8 @@ _GENES = "genes AS (SELECT o_custkey % 100 AS seqid, o_orderkey AS gene, o_order
 )
 def gene_wise_scores(t: Tables) -> DataFrame:
     bases = pairs(t).select("seqid", F.col("off").alias("pos"), "ref", "pred", F.col("weight").alias("sample_weight"))
-    at = F.col("o_orderkey") % 380
-    genes = t.orders.select((F.col("o_custkey") % 100).alias("seqid"), F.col("o_orderkey").alias("gene"), at.alias("start"), (at + 20).alias("end"))
+    at, sequences = F.col("o_orderkey") % 380, t.lineitem.agg(F.max("l_suppkey") + 1).first()[0]
+    genes = t.orders.select((F.col("o_custkey") % sequences).alias("seqid"), F.col("o_orderkey").alias("gene"), at.alias("start"), (at + 20).alias("end"))
     return G.gene_wise(bases, genes, ["seqid"], 20).where("name = 'exon'").select("seqid", "gene", "tp", "fp", "fn")
 
 
@@ -218,11 +217,14 @@ def sense_strand(t: Tables) -> DataFrame:
 
 @query(
     "tn5_shift",
-    f"""WITH {_ALIGN}, s AS (SELECT seqid, is_plus, greatest(0, CASE WHEN is_plus THEN p_start + 4 ELSE p_start END) AS s, least(1500, CASE WHEN is_plus THEN p_end ELSE p_end - 5 END) AS e FROM blocks WHERE kind = 'covered')
+    f"""WITH {_ALIGN}, s AS (SELECT seqid, is_plus, greatest(0, CASE WHEN is_plus THEN p_start + 4 ELSE p_start END) AS s, least(length, CASE WHEN is_plus THEN p_end ELSE p_end - 5 END) AS e
+      FROM blocks JOIN (SELECT seqid, max(p_end) - 2 AS length FROM blocks GROUP BY seqid) USING (seqid) WHERE kind = 'covered')
     SELECT seqid, is_plus, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS bases FROM s WHERE s < e GROUP BY ALL""",
 )
 def tn5_shift(t: Tables) -> DataFrame:
-    cut = V.tn5_shift(V.blocks(V.usable(_alignments(t))).where("kind = 'covered'"), F.lit(1500))
+    found = V.blocks(V.usable(_alignments(t)))
+    lengths = found.groupBy("seqid").agg((F.max("p_end") - 2).alias("length"))  # two bases short of the last block, so that it is clipped
+    cut = V.tn5_shift(found.where("kind = 'covered'").join(lengths, "seqid"), F.col("length"))
     return cut.groupBy("seqid", "is_plus").agg(F.count("*").alias("n"), F.sum(F.col("p_end") - F.col("p_start")).alias("bases"))
 
 

@@ -63,8 +63,9 @@ def coordinates(t: Tables) -> DataFrame:
 
 
 def sequences(t: Tables) -> DataFrame:
-    """Sequences over A, C, G, T, N: from documents."""
-    return t.documents.select(F.col("doc_id").alias("seqid"), F.col("source").alias("species"), F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "acgt", "ACGT"), "[^ACGT]", "N").alias("seq"))
+    """Sequences over A, C, G, T, N, one letter for each of the text: from documents."""
+    text = F.coalesce("text", F.lit(""))
+    return t.documents.select(F.col("doc_id").alias("seqid"), F.col("source").alias("species"), F.regexp_replace(F.translate(text, "acgt", "ACGT"), "[^ACGT]", "N").alias("seq"), F.length(text).cast("long").alias("length"))
 
 
 SEQUENCES = """sequences AS (SELECT doc_id AS seqid, source AS species,

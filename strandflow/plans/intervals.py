@@ -46,7 +46,11 @@ def feature_raster(t: Tables) -> DataFrame:
 
 @query("gene_lengths", f"WITH {_BASES} SELECT seqid, is_plus, CAST(sum(gene_length) AS BIGINT) AS total, max(gene_length) AS longest FROM raster GROUP BY ALL")
 def gene_lengths(t: Tables) -> DataFrame:
-    return A.raster(features(t), ["seqid", "is_plus"], F.lit(_CLIP)).groupBy("seqid", "is_plus").agg(F.sum("gene_length").alias("total"), F.max("gene_length").alias("longest"))
+    key = ["seqid", "is_plus"]
+    runs = A.gene_length_segments(features(t), key, F.lit(_CLIP), width=512)
+    found = runs.groupBy(*key).agg(F.sum((F.col("end") - F.col("start")) * F.col("gene_length")).alias("total"), F.max("gene_length").alias("longest"))
+    every = _plus(t).where(F.col("p_start") < _CLIP).select(*key).distinct()
+    return every.join(found, key, "left").select(*key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "longest")])
 
 
 @query(
@@ -116,8 +120,8 @@ def transitions(t: Tables) -> DataFrame:
 )
 def cds_phase(t: Tables) -> DataFrame:
     key = ["seqid", "gene", "transcript", "is_plus", "phase", "p_start", "p_end"]
-    cds = I.bases(_plus(t).where("type = 'cds'").select(*key).distinct())
-    return A.coding_phase(cds, key, F.col("is_plus"), F.col("phase")).groupBy("is_plus", "base_phase").agg(F.count("*").alias("n"))
+    cds = _plus(t).where("type = 'cds'").select(*key).distinct()
+    return A.phase_counts(cds, ["is_plus"], F.col("phase"))
 
 
 @query(

@@ -17,12 +17,29 @@ def _cm(t: Tables) -> DataFrame:
     return M.confusion(pairs(t).where("weight <> 0"), 4)
 
 
-def _sql_scores(cells: dict, names: str = "cm") -> str:
-    def total(chosen) -> str:
-        return f"CAST(coalesce(sum(CASE WHEN {' OR '.join(f'(ref = {r} AND pred = {p})' for r, p in chosen)} THEN n ELSE 0 END), 0) AS BIGINT)"
-
-    each = " UNION ALL ".join(f"SELECT '{name}' AS name, {total(tp)} AS tp, {total(fp)} AS fp, {total(fn)} AS fn FROM {names}" for name, (tp, fp, fn) in cells.items())
-    return f"""s AS ({each}),
+#: Conditions on (ref, pred) under which a base is a true positive, false positive or false negative of each score.
+_CLASS = "{0}: ref = {1} AND pred = {1}; ref <> {1} AND pred = {1}; ref = {1} AND pred <> {1}"
+_GENIC_SQL = [_CLASS.format(name, k) for k, name in enumerate(("ig", "utr", "exon", "intron"))]
+_GENIC_COMPOSITES_SQL = [
+    "legacy_cds: ref IN (2, 3) AND pred IN (2, 3); ref IN (0, 1) AND pred IN (2, 3); ref IN (2, 3) AND pred IN (0, 1)",
+    "sub_genic: ref = pred AND ref IN (2, 3); ref <> pred AND pred IN (2, 3); ref <> pred AND ref IN (2, 3)",
+    "genic: ref = pred AND ref > 0; ref <> pred AND pred > 0; ref <> pred AND ref > 0",
+]
+_PHASE_SQL = [_CLASS.format(name, k) for k, name in enumerate(("no_phase", "phase_0", "phase_1", "phase_2"))]
+_PHASE_COMPOSITES_SQL = [
+    "any_phase: ref > 0 AND pred > 0; ref = 0 AND pred > 0; ref > 0 AND pred = 0",
+    "internal_phase: ref = pred AND ref > 0; ref <> pred AND ref > 0 AND pred > 0; ref <> pred AND ref > 0 AND pred > 0",
+    "phase: ref = pred AND ref > 0; ref <> pred AND pred > 0; ref <> pred AND ref > 0",
+]
+
+
+def _sql_scores(rows: list[str]) -> str:
+    each = []
+    for row in rows:
+        name, conditions = row.split(": ")
+        counts = [f"CAST(coalesce(sum(n) FILTER (WHERE {c}), 0) AS BIGINT) AS {what}" for what, c in zip(("tp", "fp", "fn"), conditions.split("; "), strict=True)]
+        each.append(f"SELECT '{name}' AS name, {', '.join(counts)} FROM cm")
+    return f"""s AS ({" UNION ALL ".join(each)}),
       pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM s)
       SELECT name, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM pr"""
 
@@ -41,17 +58,17 @@ def cm_normalized(t: Tables) -> DataFrame:
     return M.normalized(_cm(t)).select("ref", "pred", "n", F.round("share", 9).alias("share"))
 
 
-@query("class_prf", _MASKED + ", " + _sql_scores(M.class_cells(M.GENIC)))
+@query("class_prf", _MASKED + ", " + _sql_scores(_GENIC_SQL))
 def class_prf(t: Tables) -> DataFrame:
     return _rounded(M.score(_cm(t), M.class_cells(M.GENIC)))
 
 
-@query("composite_prf", _MASKED + ", " + _sql_scores(M.class_cells(M.GENIC) | M.genic_composites()))
+@query("composite_prf", _MASKED + ", " + _sql_scores(_GENIC_SQL + _GENIC_COMPOSITES_SQL))
 def composite_prf(t: Tables) -> DataFrame:
     return _rounded(M.score(_cm(t), M.class_cells(M.GENIC) | M.genic_composites()))
 
 
-@query("phase_prf", _MASKED + ", " + _sql_scores(M.class_cells(M.PHASES) | M.phase_composites()))
+@query("phase_prf", _MASKED + ", " + _sql_scores(_PHASE_SQL + _PHASE_COMPOSITES_SQL))
 def phase_prf(t: Tables) -> DataFrame:
     return _rounded(M.score(_cm(t), M.class_cells(M.PHASES) | M.phase_composites()))
 

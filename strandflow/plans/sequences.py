@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ _GRID = f"""{SEQUENCES}, low AS (SELECT seqid, seq, length(seq) AS len, unnest(r
 
 
 def grid(t: Tables) -> DataFrame:
-    return C.grid(sequences(t).withColumn("length", F.length("seq").cast("long")), CHUNK)
+    return C.grid(sequences(t), CHUNK)
 
 
 @query("seq_scan", f"WITH {SEQUENCES} SELECT seqid, length(seq) AS length, length(seq) - length(replace(seq, 'N', '')) AS n_unknown FROM sequences")
@@ -43,15 +45,11 @@ _COUNT = "(length(seq) - length(replace(seq, '{0}', '')))"
 
 @query("base_onehot", f"WITH {SEQUENCES} SELECT seqid, " + ", ".join(f"round({_COUNT.format(b)} + 0.25 * {_COUNT.format('N')}, 9) AS sum_{b.lower()}" for b in "CATG") + ", true AS decodes FROM sequences")
 def base_onehot(t: Tables) -> DataFrame:
-    """Sums over channels; bases are counted first, so that a vector is made for each sequence and base only."""
-    n = sequences(t).select("seqid", F.explode(F.split("seq", "")).alias("base")).where("base <> ''").groupBy("seqid", "base").agg(F.count("*").alias("n"))
-    x = n.withColumn("x", S.encode(F.col("base")))
-    counted = x.groupBy("seqid").agg(
-        *[F.sum(F.get("x", F.lit(i)) * F.col("n")).alias(f"sum_{b.lower()}") for i, b in enumerate("CATG")],
-        F.bool_and(S.decode(F.col("x")) == F.col("base")).alias("decodes"),
-    )
-    every = sequences(t).select("seqid").join(counted, "seqid", "left")
-    return every.select("seqid", *[F.round(F.coalesce(f"sum_{b}", F.lit(0.0)), 9).alias(f"sum_{b}") for b in "catg"], F.coalesce("decodes", F.lit(True)).alias("decodes"))
+    """Sums over channels from the numbers of letters, and whether each letter comes back from its vector."""
+    seq = F.col("seq")
+    sums = [F.round(s, 9).alias(f"sum_{b}") for b, s in zip("catg", S.channel_sums(seq), strict=True)]
+    decodes = [(S.count_of(seq, b) == 0) | (S.decode(S.encode(F.lit(b))) == b) for b in "ACGTN"]
+    return sequences(t).select("seqid", *sums, reduce(lambda a, b: a & b, decodes).alias("decodes"))
 
 
 @query("revcomp", f"WITH {SEQUENCES} SELECT seqid, md5(reverse(translate(seq, 'ACGTN', 'TGCAN'))) AS digest FROM sequences")
@@ -69,10 +67,9 @@ def pad_chunk(t: Tables) -> DataFrame:
     return last.select("seqid", (CHUNK - (F.col("end") - F.col("start"))).alias("n_padding"), F.md5(F.array_join(C.pad(bases, CHUNK, F.lit("-")), "")).alias("digest"))
 
 
-@query("strand_slice", f"""WITH {_GRID} SELECT seqid, is_plus, md5(CASE WHEN is_plus THEN substr(seq, "start" + 1, "end" - "start") ELSE reverse(substr(seq, "end" + 1, "start" - "end")) END) AS digest FROM grid WHERE chunk_idx = 0""")
+@query("strand_slice", f"""WITH {_GRID} SELECT seqid, is_plus, chunk_idx, md5(CASE WHEN is_plus THEN substr(seq, "start" + 1, "end" - "start") ELSE reverse(substr(seq, "end" + 1, "start" - "end")) END) AS digest FROM grid""")
 def strand_slice(t: Tables) -> DataFrame:
-    first = grid(t).where("chunk_idx = 0").withColumn("bases", F.split("seq", ""))
-    return first.select("seqid", "is_plus", F.md5(F.array_join(C.strand_slice(F.col("bases"), F.col("start"), F.col("end")), "")).alias("digest"))
+    return C.strand_slices(sequences(t).select("seqid", "seq"), CHUNK).select("seqid", "is_plus", "chunk_idx", F.md5("slice").alias("digest"))
 
 
 @query(
@@ -91,10 +88,9 @@ _MERS = f"""{SEQUENCES}, mers AS (SELECT species, unnest(list_transform(range(1,
 
 def _mers(t: Tables) -> DataFrame:
     """Counted by sequence of three letters first, so that few rows need their complement."""
-    from strandflow.operators.dataset import canonical_mers, mer_rows
+    from strandflow.operators.dataset import canonical_mers, count_mers
 
-    mers = mer_rows(sequences(t), ["species"], 3).groupBy("species", "mer").agg(F.count("*").alias("n"))
-    return canonical_mers(mers, ["species"])
+    return canonical_mers(count_mers(sequences(t), ["species"], 3), ["species"])
 
 
 @query("kmer_canonical", f"WITH {_MERS} SELECT species, mer, n FROM canon")

@@ -69,7 +69,7 @@ def test_contiguous_segments(spark):
     plus = [(0, 0, 20000), (1, 20000, 40000), (2, 60000, 80000), (3, 80000, 100000), (4, 120000, 133333)]
     plus[3] = (3, 100000, 120000)
     rows = [("chr1", *r) for r in plus] + [("chr1", 5, 133333, 120000), ("chr1", 6, 120000, 100000), ("chr1", 7, 100000, 80000), ("chr1", 8, 60000, 40000), ("chr1", 9, 20000, 0)]
-    found = I.contiguous_segments(spark.createDataFrame(rows, "seqid string, row_id long, start long, end long"), 20000)
+    found = I.contiguous_segments(spark.createDataFrame(rows, "seqid string, row_id long, start long, end long"), 20000, ["seqid"])
     assert sorted((r["first_row"], r["end_row"]) for r in found.collect()) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 8), (8, 9), (9, 10)]
 
 
@@ -138,3 +138,68 @@ def test_results_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(rng.randrange(3), True, s, s + rng.randrange(1, 30), "transcript", 0) for s in (rng.randrange(100) for _ in range(200))], FEATURE)
     one, many = (sorted(map(tuple, A.raster(df.repartition(n), ["seqid", "is_plus"]).collect())) for n in (1, 13))
     assert one == many
+
+
+def rows_of(df):
+    return sorted(tuple(x if not isinstance(x, float) else round(x, 9) for x in r) for r in df.collect())
+
+
+def test_bins_make_no_difference(spark):
+    import random
+
+    from strandflow.operators import segment
+
+    rng = random.Random(3)
+    rows = []
+    for key in range(3):
+        for pos in range(rng.randrange(90, 150)):
+            x = [rng.random() ** 4 for _ in range(3)]
+            rows.append((key, pos, int(rng.random() < 0.3 + 0.4 * (pos // 20 % 2)), rng.random(), [v / sum(x) for v in x], rng.random() < 0.1))
+    df = spark.createDataFrame(rows, "k long, pos long, m int, v double, p array<double>, flag boolean").repartition(3)
+    for width in (1, 2, 7, 64):
+        for f in (
+            lambda w: A.transitions(df, ["k"], "m", width=w).drop("p"),
+            lambda w: I.runs_of(df, ["k"], "pos", "m", w),
+            lambda w: segment.cumulative_change(df, ["k"], "v", width=w).drop("p"),
+            lambda w: segment.confident_regions(df, ["k"], pad=2, least=0.6, width=w),
+            lambda w: segment.candidate_regions(df, ["k"], 9, 0.45, 0.6, value="m", coding="m", least_coding=2, width=w),
+            lambda w: segment.next_where(df, ["k"], "pos", "flag", width=w).drop("p"),
+        ):
+            assert rows_of(f(width)) == rows_of(f(1 << 16)) != []
+
+
+def test_one_stretch(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, 3 <= i < 7) for i in range(10)], "pos long, on boolean")
+    assert I.single_stretch(df, "pos", "on").collect() == [(3, 7)]
+    for bad in (df.where("pos <> 5"), df.where("not on")):
+        with pytest.raises(Exception, match="not one stretch"):
+            I.single_stretch(bad, "pos", "on").collect()
+
+
+def test_mers_in_pieces(spark):
+    import random
+    from collections import Counter
+
+    from strandflow.operators.dataset import count_mers
+
+    rng = random.Random(4)
+    rows = [(k % 3, "".join(rng.choices("ACGTNacgtX", k=rng.randrange(60)))) for k in range(50)] + [(None, "ACGTACGT"), (1, None), (2, "")]
+    for k in (1, 3, 16):
+        want = Counter()
+        for key, seq in rows:
+            s = (seq or "").upper().replace("X", "N")
+            want.update((key, s[i : i + k]) for i in range(len(s) - k + 1))
+        found = count_mers(spark.createDataFrame(rows, "species int, seq string"), ["species"], k)
+        assert {(r["species"], r["mer"]): r["n"] for r in found.collect()} == dict(want)
+
+
+def test_phases_from_lengths(spark):
+    rows = [(i, i % 3, 10, 10 + i) for i in range(1, 12)]
+    found = A.phase_counts(spark.createDataFrame(rows, "f long, phase int, p_start long, p_end long"), ["f"], F.col("phase"))
+    want = {}
+    for f, phase, start, end in rows:
+        for k in range(end - start):
+            want[f, (phase - k) % 3] = want.get((f, (phase - k) % 3), 0) + 1
+    assert {(r["f"], r["base_phase"]): r["n"] for r in found.collect()} == want
