@@ -14,8 +14,8 @@ the seeds are joined by a shuffle of hashes (no texts), and only documents with
 
 Defined results: null or empty texts have no overlaps; rows that share a doc_id are reported together, null ids too;
 benchmark rows that repeat an item_id are separate passages of it; items of under five words count where they appear
-whole; items without words have no overlaps; decontaminate() drops a row for its own text only; empty tables give an empty table; only id and text columns are
-used, so further columns cannot clash.
+whole; items without words have no overlaps; decontaminate() drops a row for its own text only; empty tables give an empty
+table; only id and text columns are used, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import broadcast_if_small
+from strandflow.llm.common import broadcast_if_small, materialise, tagged, with_pairs
 
 #: Words of the benchmark that are compared around a hit, and the share of them that must agree.
 OVERLAP = 20
@@ -34,7 +34,10 @@ LEAST_MATCH = 0.8
 VERBATIM = 10
 #: Seeds (three numbers each) that may be broadcast; items and documents with hits have bounds of their own.
 SEED_ROWS = 1_000_000
-ITEM_ROWS = 50_000
+#: Words of all items together that may be broadcast with them.
+ITEM_WORDS = 1_000_000
+#: Tasks to which the texts' positions with one seed are dealt, where seeds are shuffled.
+SALTS = 16
 
 
 def tokens(text: Column) -> Column:
@@ -48,39 +51,43 @@ def span(n: int) -> int:
     return -(-agree // (n - agree + 1))
 
 
-def _seeds(row: DataFrame, width: int, kept: list[str], place: str) -> DataFrame:
-    """row (with `tokens`) to one row for each position: kept columns, tokens, place, seed."""
-    at = row.where(F.size("tokens") >= width).select(*kept, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - width)).alias(place))
-    return at.select(*kept, "tokens", place, F.xxhash64(F.lit(width), *[F.get("tokens", F.col(place) + k) for k in range(width)]).alias("seed"))
+def _seeds(rows: DataFrame, widths: list[int], kept: list[str], place: str) -> DataFrame:
+    """rows (with `tokens`) to one row for each position and width: kept columns, tokens, place, width, seed."""
+    at = rows.where(F.size("tokens") >= min(widths)).select(*kept, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - min(widths))).alias(place))
+    seed = lambda w: F.xxhash64(F.lit(w), *[F.get("tokens", F.col(place) + k) for k in range(w)])
+    if len(widths) == 1:
+        return at.select(*kept, "tokens", place, F.lit(widths[0]).alias("width"), seed(widths[0]).alias("seed"))
+    fits = [F.when(F.col(place) + w <= F.size("tokens"), F.struct(F.lit(w).alias("width"), seed(w).alias("seed"))) for w in widths]
+    return at.select(*kept, "tokens", place, F.inline(F.array(*fits))).where("seed is not null")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, seed_rows: int) -> DataFrame:
     """(doc_id, text) and (item_id, text) to (doc_id, tag, item_id, first_word, last_word, match) of every hit that stands."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     items = items.select(F.xxhash64("item_id", "tokens").alias("item"), "item_id", "tokens").dropDuplicates(["item"])
-    lengths: dict[int, list[int]] = {}
-    for n in range(1, OVERLAP + 1):
-        lengths.setdefault(span(n), []).append(n)
-    present = {r[0] for r in items.select(F.least(F.size("tokens"), F.lit(OVERLAP))).distinct().collect()}  # at most OVERLAP
+    size = F.least(F.size("tokens"), F.lit(OVERLAP))
+    own = F.element_at(F.array(*[F.lit(span(n)) for n in range(1, OVERLAP + 1)]), size)
+    items = materialise(items.withColumn("own", own))
+    widths = sorted(r["own"] for r in items.select("own").distinct().collect()) or [span(OVERLAP)]  # a few numbers
+    seeds = materialise(_seeds(items, widths, ["item", "own"], "j").where("width = own").select("seed", "item", "j"))
+    known = items.select("item", "item_id", F.col("tokens").alias("passage"))
+    known = broadcast_if_small(known, known.agg(F.sum(F.size("passage"))).first()[0] or 0, ITEM_WORDS)
     texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("tokens"))
-
-    found = None
-    for width in [w for w, some in lengths.items() if present & set(some)] or [span(OVERLAP)]:
-        own = items.where(F.least(F.size("tokens"), F.lit(OVERLAP)).isin(lengths[width]))
-        seeds = _seeds(own, width, ["item"], "j").select("seed", "item", "j")
-        n_seeds = seeds.count()
-        n_items = own.count()
-        known = broadcast_if_small(own.select("item", "item_id", F.col("tokens").alias("passage")), n_items, ITEM_ROWS)
-        if n_seeds <= seed_rows:
-            hits = _seeds(texts, width, ["doc_id", "tag"], "i").join(F.broadcast(seeds), "seed")
-        else:
-            places = _seeds(texts, width, ["doc_id", "tag"], "i").select("doc_id", "tag", "i", "seed").join(seeds, "seed").alias("p")
-            again = texts.alias("t")
-            same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.tag") == F.col("t.tag"))
-            hits = places.join(again, same).select("p.*", "t.tokens")
-        checked = _verified(hits.join(known, "item"), width)
-        found = checked if found is None else found.unionByName(checked)
-    return found
+    if seeds.count() <= seed_rows:
+        hits = _seeds(texts, widths, ["doc_id", "tag"], "i").join(F.broadcast(seeds), "seed")
+    else:
+        # A seed that many texts share is dealt to SALTS tasks; the benchmark's seeds are copied to each.
+        salt = F.pmod(F.xxhash64("tag", "i"), F.lit(SALTS)).cast("int")
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        places = _seeds(texts, widths, ["doc_id", "tag"], "i").select("doc_id", "tag", "i", "width", "seed", salt.alias("salt")).join(salted, ["seed", "salt"]).alias("p")
+        again = texts.alias("t")
+        same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.tag") == F.col("t.tag"))
+        hits = places.join(again.dropDuplicates(["doc_id", "tag"]), same).select("p.*", "t.tokens")
+    # Of a hit's text only the words around it go on: in compiled code the rows of a text's hits are held at once.
+    low = F.greatest(F.lit(0), F.col("i") - OVERLAP)
+    near = F.slice("tokens", low + 1, F.lit(2 * OVERLAP + VERBATIM)).alias("near")
+    hits = hits.select("doc_id", "tag", "item", "i", "j", "width", low.alias("low"), near, F.size("tokens").alias("n"))
+    return _verified(hits.join(known, "item"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, seed_rows: int = SEED_ROWS) -> DataFrame:
@@ -90,22 +97,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seed_rows: int = SEED_ROWS)
     )
 
 
-def _verified(hits: DataFrame, width: int) -> DataFrame:
+def _verified(hits: DataFrame) -> DataFrame:
     """Hits whose surroundings agree: the best OVERLAP words of the passage with the seed, or all of a shorter passage."""
-    length, n, shift = F.size("passage"), F.size("tokens"), F.col("i") - F.col("j")
+    length, n, shift = F.size("passage"), F.col("n"), F.col("i") - F.col("j")
     short = length < OVERLAP
-    base = F.when(short, F.lit(0)).otherwise(F.col("j") + (width - OVERLAP))
-    hits = hits.select("doc_id", "tag", "item_id", "tokens", "passage", "j", shift.alias("shift"), base.alias("base"))
+    width = F.col("width")
+    base = F.when(short, F.lit(0)).otherwise(F.col("j") + width - OVERLAP)
+    hits = hits.select("doc_id", "tag", "item_id", "near", "low", "n", "passage", "j", "width", shift.alias("shift"), base.alias("base"))
     # Bit k tells whether word base + k agrees.
-    same = lambda p: (p >= 0) & (F.col("shift") + p >= 0) & F.coalesce(F.get("tokens", F.col("shift") + p) == F.get("passage", p), F.lit(False))
+    same = lambda p: (p >= 0) & (F.col("shift") + p >= 0) & F.coalesce(F.get("near", F.col("shift") + p - F.col("low")) == F.get("passage", p), F.lit(False))
     bits = F.aggregate(
-        F.sequence(F.lit(0), F.lit(2 * OVERLAP - width - 1)),
+        F.sequence(F.lit(0), F.lit(2 * OVERLAP - 1) - width),
         F.lit(0).cast("long"),
-        lambda x, k: F.shiftleft(x, 1).bitwiseOR(F.when(same(F.col("base") + (2 * OVERLAP - width - 1) - k), F.lit(1)).otherwise(F.lit(0)).cast("long")),
+        lambda x, k: F.shiftleft(x, 1).bitwiseOR(F.when(same(F.col("base") + (2 * OVERLAP - 1) - F.col("width") - k), F.lit(1)).otherwise(F.lit(0)).cast("long")),
     )
     hits = hits.withColumn("bits", bits)
     within = lambda s: F.bit_count(F.shiftrightunsigned("bits", s).bitwiseAND(F.lit((1 << OVERLAP) - 1)))
-    best = F.greatest(*[F.struct(within(s).alias("agree"), F.lit(-s).alias("s")) for s in range(OVERLAP - width + 1)])
+    best = F.greatest(*[F.when(s <= OVERLAP - width, F.struct(within(s).alias("agree"), F.lit(-s).alias("s"))) for s in range(OVERLAP)])
     best = F.when(short, F.struct(within(0).alias("agree"), F.lit(0).alias("s"))).otherwise(best)
     run = F.forall(F.sequence(F.col("j"), F.col("j") + (VERBATIM - 1)), same)
     hits = hits.select("*", best.alias("best"), F.least(length, F.lit(OVERLAP)).alias("size"), run.alias("run"))
@@ -118,5 +126,5 @@ def _verified(hits: DataFrame, width: int) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, in the same columns, without those that overlap with the benchmark."""
-    hit = _found(docs.select("doc_id", "text"), benchmark, SEED_ROWS).select(F.col("doc_id").alias("__hit_id"), F.col("tag").alias("__hit_tag")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs["text"]) == F.col("__hit_tag")), "left_anti")
+    hit = materialise(_found(docs.select("doc_id", "text"), benchmark, SEED_ROWS).select("doc_id", "tag").distinct())
+    return with_pairs(tagged(docs, F.col("text")), hit, "left_anti").drop("__tag")
