@@ -44,6 +44,22 @@ def repeated(df: DataFrame, n: Column, nth: str = "__nth", block: int = 10_000)
     return blocks.withColumn(nth, F.explode(F.sequence(F.col("__from"), F.least(n, F.col("__from") + block) - 1))).drop("__from")
 
 
+#: The same for pairs of an id and a tag.
+BROADCAST_PAIRS = 200_000
+
+
+def tagged(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with __tag, a hash of the text, which with doc_id tells rows apart."""
+    return docs.withColumn("__tag", F.xxhash64(text))
+
+
+def with_pairs(docs: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+    """Tagged documents that are (left_semi) or are not (left_anti) among the pairs (doc_id, tag), a written table. Texts are
+    shuffled only if the pairs are too many to be broadcast."""
+    side = broadcast_if_small(pairs.select(F.col("doc_id").alias("__pair_id"), F.col("tag").alias("__pair_tag")), pairs.count(), BROADCAST_PAIRS)
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("__pair_id")) & (docs["__tag"] == F.col("__pair_tag")), how)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit; Spark's shuffled join handles the rest."""
     return F.broadcast(df) if rows <= limit else df

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import bounded_batches, join_by_hot_key, materialise
+from strandflow.llm.common import bounded_batches, join_by_hot_key, materialise, tagged, with_pairs
 from strandflow.llm.components import components
 
 SEED = 42
@@ -141,7 +141,5 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     text = F.coalesce(F.col("text"), F.lit(""))
     found = near_duplicates(docs.select("doc_id", text.alias("text")), shingle, distance)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
-    tagged = docs.withColumn("__text_tag", F.xxhash64(text))
-    kept = tagged.join(first, tagged["doc_id"].eqNullSafe(F.col("__id")) & (tagged["__text_tag"] == F.col("__tag")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_tag"]).drop("__text_tag")
+    first = materialise(first.select("first.doc_id", "first.tag"))
+    return with_pairs(tagged(docs, text), first, "left_semi").dropDuplicates(["doc_id", "__tag"]).drop("__tag")
