@@ -44,8 +44,8 @@ def repeated(df: DataFrame, n: Column, nth: str = "__nth", block: int = 10_000)
     return blocks.withColumn(nth, F.explode(F.sequence(F.col("__from"), F.least(n, F.col("__from") + block) - 1))).drop("__from")
 
 
-#: The same for pairs of an id and a tag.
-BROADCAST_PAIRS = 200_000
+#: The same for rows of two numbers.
+BROADCAST_PAIRS = 1_000_000
 
 
 def tagged(docs: DataFrame, text: Column) -> DataFrame:
@@ -65,13 +65,16 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
-def join_by_hot_key(left: DataFrame, lookup: DataFrame, key: str, weight: str, share: int = 2000) -> DataFrame:
-    """left joined (inner) to lookup, which is unique on key; weight in lookup is the number of left rows of the key.
+def join_by_hot_key(left: DataFrame, lookup: DataFrame, key: str, weight: str, share: int = 2000, narrow: bool = True) -> DataFrame:
+    """left joined (inner) to lookup, a written table, unique on key; weight in lookup is the number of left rows of the key.
 
-    Keys with over 1/share of all left rows are at most `share` keys, so that part of the lookup is broadcast, and no
-    task gathers a hot key. The rest, of which no key is large, goes by a shuffled join.
+    A lookup of few rows (of a few numbers, if narrow) is broadcast. Of a larger one, keys with over 1/share of all left rows
+    are at most `share` keys, so that part is broadcast, and no task gathers a hot key. The rest, of which no key is large,
+    goes by a shuffled join.
     """
-    total = lookup.agg(F.sum(weight)).first()[0] or 0
+    total, rows = lookup.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count("*")).first()
+    if narrow and rows <= BROADCAST_PAIRS:
+        return left.join(F.broadcast(lookup), key)
     limit = max(1000, total // share)
     hot = lookup.where(F.col(weight) > limit)
     if not hot.take(1):

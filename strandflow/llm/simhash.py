@@ -130,9 +130,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     classes = materialise(found.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = materialise(components(links(classes.select("fingerprint"), distance)))
     rooted = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint")
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    groups = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
     linked = join_by_hot_key(rooted, groups, "root", "members").select("fingerprint", "root", "component_id")
     lookup = classes.join(linked, "fingerprint", "left").select("fingerprint", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fingerprint").alias("component"))
+    lookup = materialise(lookup)
     return join_by_hot_key(found, lookup, "fingerprint", "n").select("doc_id", "tag", "fingerprint", "component_id", "component")
 
 
