@@ -93,3 +93,18 @@ def test_only_the_overlapping_row_goes(spark, docs_of, rng):
     rows = [(None, item), (None, "clean words"), (7, item), (7, "clean words"), (None, None)]
     kept = decontaminate.decontaminate(docs_of(rows), spark.createDataFrame([(0, item)], "item_id long, text string"))
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, "clean words"), (7, "clean words")]
+
+
+def test_pipeline_of_odd_rows(spark, docs_of, odd_rows, rng, tmp_path):
+    item, clean = prose(rng, 30), prose(rng, 60)
+    rows = [*odd_rows, (None, clean), (None, clean), (None, f"{prose(rng, 9)} {item}"), (7, f"{item} {prose(rng, 9)}"), (8, prose(rng, 50)), (8, prose(rng, 50)), (9, "mail a@b.org " + prose(rng, 40))]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, item), (1, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = [r["text"] for r in final]
+    assert texts.count(clean) == 1 and not any(item in t for t in texts) and all(t and t.strip() for t in texts)
+    assert sum(r["doc_id"] == 8 for r in final) == 2 and any(t.startswith("mail [EMAIL]") for t in texts)
+    empty = tmp_path / "empty"
+    docs_of(rows).limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
