@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandflow.operators import intervals
 
 COVERED, SPLICED = "=XM", "ND"
+KINDS = dict.fromkeys(COVERED, "covered") | dict.fromkeys(SPLICED, "spliced")
+OPERATION = re.compile("([0-9]+)([MIDNSHP=X])")
 #: Shifts of cut sites by strand.
 TN5_PLUS, TN5_MINUS = 4, 5
 
@@ -21,21 +26,33 @@ def usable(df: DataFrame) -> DataFrame:
 
 def blocks(alignments: DataFrame, cigar: str = "cigar", pos: str = "pos") -> DataFrame:
     """Each alignment's blocks on the reference: kind (covered or spliced), p_start, p_end. Other operations make none.
+    The CIGAR itself goes, the other columns stay.
 
-    One fold over an alignment's operations carries the position along and collects the blocks.
+    Positions are sums of the lengths before them, in time linear in the operations: long reads have 100,000 of them.
     """
-    none = F.array().cast("array<struct<kind:string,p_start:bigint,p_end:bigint>>")
-    empty = F.struct(F.col(pos).cast("long").alias("at"), none.alias("out"))
-
-    def step(acc: Column, written: Column) -> Column:
-        op, n = F.right(written, F.lit(1)), F.substring(written, 1, F.length(written) - 1).cast("long")
-        kind = F.when(op.isin(*COVERED), "covered").when(op.isin(*SPLICED), "spliced")
-        end = acc["at"] + F.when(kind.isNotNull(), n).otherwise(0)
-        block = F.struct(kind.alias("kind"), acc["at"].alias("p_start"), end.alias("p_end"))
-        return F.struct(end.alias("at"), F.when(end > acc["at"], F.concat(acc["out"], F.array(block))).otherwise(acc["out"]).alias("out"))
-
-    ops = F.regexp_extract_all(F.col(cigar), F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
-    return alignments.select("*", F.inline(F.aggregate(ops, empty, step, lambda acc: acc["out"])))
+    kept = [c for c in alignments.columns if c != cigar]
+    rows = alignments.select(*kept, F.col(cigar).alias("__cigar"), F.col(pos).cast("long").alias("__pos"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, kinds, starts, ends = [], [], [], []
+            for i, (text, at) in enumerate(zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True)):
+                if at is None:
+                    continue
+                for n, op in OPERATION.findall(text or ""):
+                    kind, size = KINDS.get(op), int(n)
+                    if kind and size:
+                        row.append(i)
+                        kinds.append(kind)
+                        starts.append(at)
+                        at += size
+                        ends.append(at)
+            own = batch.select(list(range(len(kept)))).take(pa.array(row, pa.int64()))
+            made = [pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*kept, "kind", "p_start", "p_end"])
+
+    fields = [T.StructField("kind", T.StringType()), T.StructField("p_start", T.LongType()), T.StructField("p_end", T.LongType())]
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], *fields]))
 
 
 def sense_is_plus(is_plus: Column, second_in_pair: Column, stranded: bool = True, sense: int = 2) -> Column:

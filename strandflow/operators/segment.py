@@ -70,9 +70,9 @@ def divided(regions: DataFrame, values: str, step: Column, most: Column, pad: in
                         ends.append(end)
                         scores.append(float(p[last:end].sum() / (end - last)) if end > last else None)
                         last, at = end, here
-            own = batch.take(pa.array(row, pa.int64()))
+            own = batch.select(list(range(len(kept)))).take(pa.array(row, pa.int64()))
             made = [pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*own.columns[: len(kept)], *made], names=[*kept, "start", "end", "score"])
+            yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*kept, "start", "end", "score"])
 
     fields = [T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]
     return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], *fields]))
