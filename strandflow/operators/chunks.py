@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,37 @@ def split_points(length: Column, write_by: int, size: int) -> Column:
     """Ends of the pieces in which a coordinate is written: write_by rounded to a multiple of the chunk size."""
     step = max(1, round(write_by / size)) * size
     return F.concat(F.filter(F.sequence(F.lit(0).cast("long"), length, F.lit(step).cast("long")), lambda x: (x > 0) & (x < length)), F.array(length))
+
+
+def safe_splits(coordinates: DataFrame, features: DataFrame, keys: Sequence[str], write_by: int, size: int, length: str = "length", as_before: bool = False) -> DataFrame:
+    """(keys, start, end): the pieces in which coordinates are written, cut where no feature is disturbed.
+
+    A cut is wanted at every multiple of write_by, itself rounded down to a multiple of the chunk size. It moves on by
+    chunks while it is at a border of a feature or within a CDS, and is left out if there is none before the next one.
+    features: keys, is_plus, start, end (minus: start above end), type. as_before: borders on minus are taken two bases
+    lower, as in files written earlier. Only chunk ends that are taken are shuffled, as places within their step.
+    """
+    step = write_by // size * size
+    if step <= 0:
+        raise ValueError(f"pieces of {write_by} hold no chunk of {size}")
+    shift = -1 if as_before else 1
+    plus = F.col("is_plus")
+    low = F.when(plus, F.col("start")).otherwise(F.col("end") + shift)
+    high = F.when(plus, F.col("end")).otherwise(F.col("start") + shift)
+    n_low, n_high = F.ceil(F.col("__low") / size), F.ceil(F.col("__high") / size)
+    inside = F.when((F.col("type") == "cds") & (n_low < n_high), F.sequence(n_low, n_high - 1)).otherwise(F.array().cast("array<bigint>"))
+    borders = F.filter(F.array("__low", "__high"), lambda x: x % size == 0)
+    taken = F.array_union(inside, F.transform(borders, lambda x: F.floor(x / size)))
+    per = step // size
+    spans = features.select(*keys, "type", low.cast("long").alias("__low"), high.cast("long").alias("__high"))
+    ends = spans.select(*keys, F.explode(taken).alias("__n")).select(*keys, F.floor(F.col("__n") / per).alias("__step"), (F.col("__n") % per).alias("__k"))
+    blocked = ends.where("__step > 0").groupBy(*keys, "__step").agg(F.collect_set("__k").alias("__taken"))
+    wanted = coordinates.where(F.col(length) > 0).select(*keys, F.col(length).cast("long").alias("__length"))
+    steps = F.sequence(F.lit(0).cast("long"), F.floor((F.col("__length") - 1) / step))
+    rows = wanted.withColumn("__step", F.explode(steps)).join(blocked, [*keys, "__step"], "left")
+    places = F.sequence(F.lit(0).cast("long"), F.lit(per - 1).cast("long"))
+    free = F.array_min(F.array_except(places, F.coalesce("__taken", F.array().cast("array<bigint>"))))
+    at = F.when(F.col("__step") == 0, 0).otherwise(F.col("__step") * step + free * size)
+    starts = rows.select(*keys, "__length", at.cast("long").alias("start")).where(F.col("start") < F.col("__length"))
+    following = F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))
+    return starts.select(*keys, "start", F.coalesce(following, F.col("__length")).alias("end"))

@@ -86,6 +86,13 @@ def sample(df: DataFrame, keys: Sequence[str], n: int, seed: str = "") -> DataFr
     return df.withColumn("__digest", digest).orderBy("__digest").limit(n).drop("__digest")
 
 
+def epoch_order(df: DataFrame, keys: Sequence[str], seed: int, epoch: int) -> DataFrame:
+    """All rows with all their columns in an order that seed, epoch and key fix; every epoch has another. The rows are
+    partitioned by ranges of a hash, so no task sees them all; rows of equal keys stay together."""
+    mixed = F.xxhash64(F.lit(seed), F.lit(epoch), *keys)
+    return df.orderBy(mixed, *keys)
+
+
 def first_rows(df: DataFrame, n: int, order: Sequence) -> DataFrame:
     return df.orderBy(*order).limit(n)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import sequence as S
 from strandflow.operators import chunks as C
-from strandflow.plans.inputs import CHUNK, PAIRS, SEQUENCES, VECTORS, pairs, sequences, vectors
+from strandflow.plans.inputs import CHUNK, FEATURES, LENGTH, PAIRS, SEQUENCES, VECTORS, coordinates, features, pairs, sequences, vectors
 from strandflow.plans.registry import Tables, query
 
 _GRID = f"""{SEQUENCES}, low AS (SELECT seqid, seq, length(seq) AS len, unnest(range(0, length(seq), {CHUNK})) AS lo FROM sequences),
@@ -130,3 +130,15 @@ def concat_channels(t: Tables) -> DataFrame:
 )
 def write_splits(t: Tables) -> DataFrame:
     return sequences(t).select("seqid", F.array_join(C.split_points(F.length("seq").cast("long"), 1000, CHUNK).cast("array<string>"), ",").alias("ends"))
+
+
+@query(
+    "safe_splits",
+    f"""WITH {FEATURES}, taken AS (SELECT seqid, unnest([p_start, p_end]) AS at FROM features
+      UNION SELECT seqid, unnest(range(CAST(ceil(p_start / 100) AS BIGINT), CAST(ceil(p_end / 100) AS BIGINT))) * 100 FROM features WHERE type = 'cds'),
+    free AS (SELECT s_suppkey AS seqid, w + k AS at, w FROM supplier, range(800, {LENGTH}, 800) a(w), range(0, 800, 100) b(k) WHERE w + k < {LENGTH} AND NOT EXISTS (SELECT 1 FROM taken WHERE taken.seqid = s_suppkey AND taken.at = w + k)),
+    cut AS (SELECT seqid, min(at) AS at FROM free GROUP BY seqid, w UNION ALL SELECT s_suppkey, 0 FROM supplier)
+    SELECT seqid, CAST(at AS BIGINT) AS "start", CAST(coalesce(lead(at) OVER (PARTITION BY seqid ORDER BY at), {LENGTH}) AS BIGINT) AS "end" FROM cut""",
+)
+def safe_splits(t: Tables) -> DataFrame:
+    return C.safe_splits(coordinates(t).select("seqid", "length"), features(t), ["seqid"], 890, 100)

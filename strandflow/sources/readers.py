@@ -5,6 +5,7 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -98,6 +99,20 @@ def chunk_files(spark: SparkSession, paths: Sequence[str], array: str = "x") ->
     return rows.select("*", F.col("_metadata.file_path").alias("file"))
 
 
+def chunk_sets(spark: SparkSession, folder: str, array: str = "x") -> tuple[DataFrame, DataFrame]:
+    """Training and validation chunks: the data sets in a folder named training_data… and validation_data…; an error if
+    there is none of either, or if their chunks differ in size."""
+    found = []
+    for kind in ("training", "validation"):
+        try:
+            found.append(chunk_files(spark, [f"{folder}/{kind}_data*"], array))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+                raise
+            raise ValueError(f"no {kind} data found in {folder}") from e
+    return found[0], found[1]
+
+
 def reports(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Whole text reports with the file they come from, and the two folders above it."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))

@@ -13,6 +13,11 @@ def append_chunks(chunks: DataFrame, path: str, by: Sequence[str] = ("species",)
     chunks.write.mode("append").partitionBy(*by).parquet(path)
 
 
+def predictions(rows: DataFrame, path: str, by: Sequence[str] = ("species",), p: str = "p") -> None:
+    """Add predictions to a data set, as numbers of 32 bits; order is in their keys, as with chunks."""
+    append_chunks(rows.withColumn(p, F.col(p).cast("array<float>")), path, by)
+
+
 def hint_files(hints: DataFrame, path: str, files: int | None = None) -> None:
     """Tab-separated hints; each file holds a range of sequences, sorted by sequence and start, both strands together."""
     order = ["seqid", "start"]
