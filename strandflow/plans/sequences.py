@@ -134,11 +134,11 @@ def write_splits(t: Tables) -> DataFrame:
 
 @query(
     "safe_splits",
-    f"""WITH {FEATURES}, taken AS (SELECT seqid, unnest([p_start, p_end]) AS at FROM features
+    f"""WITH {FEATURES}, taken AS (SELECT seqid, unnest([p_start, p_end]) AS place FROM features
       UNION SELECT seqid, unnest(range(CAST(ceil(p_start / 100) AS BIGINT), CAST(ceil(p_end / 100) AS BIGINT))) * 100 FROM features WHERE type = 'cds'),
-    free AS (SELECT s_suppkey AS seqid, w + k AS at, w FROM supplier, range(800, {LENGTH}, 800) a(w), range(0, 800, 100) b(k) WHERE w + k < {LENGTH} AND NOT EXISTS (SELECT 1 FROM taken WHERE taken.seqid = s_suppkey AND taken.at = w + k)),
-    cut AS (SELECT seqid, min(at) AS at FROM free GROUP BY seqid, w UNION ALL SELECT s_suppkey, 0 FROM supplier)
-    SELECT seqid, CAST(at AS BIGINT) AS "start", CAST(coalesce(lead(at) OVER (PARTITION BY seqid ORDER BY at), {LENGTH}) AS BIGINT) AS "end" FROM cut""",
+    free AS (SELECT s_suppkey AS seqid, w + k AS place, w FROM supplier, range(800, {LENGTH}, 800) a(w), range(0, 800, 100) b(k) WHERE w + k < {LENGTH} AND NOT EXISTS (SELECT 1 FROM taken WHERE taken.seqid = s_suppkey AND taken.place = w + k)),
+    cut AS (SELECT seqid, min(place) AS place FROM free GROUP BY seqid, w UNION ALL SELECT s_suppkey, 0 FROM supplier)
+    SELECT seqid, CAST(place AS BIGINT) AS "start", CAST(coalesce(lead(place) OVER (PARTITION BY seqid ORDER BY place), {LENGTH}) AS BIGINT) AS "end" FROM cut""",
 )
 def safe_splits(t: Tables) -> DataFrame:
     return C.safe_splits(coordinates(t).select("seqid", "length"), features(t), ["seqid"], 890, 100)
