@@ -206,7 +206,7 @@ def align_scan(t: Tables) -> DataFrame:
 
 @query("cigar_intervals", f"WITH {_ALIGN} SELECT seqid, kind, count(*) AS n, CAST(sum(p_start) AS BIGINT) AS starts, CAST(sum(p_end) AS BIGINT) AS ends FROM blocks GROUP BY ALL")
 def cigar_intervals(t: Tables) -> DataFrame:
-    return V.blocks(V.usable(_alignments(t))).groupBy("seqid", "kind").agg(F.count("*").alias("n"), F.sum("p_start").alias("starts"), F.sum("p_end").alias("ends"))
+    return V.blocks(V.usable(_alignments(t)).select("seqid", "pos", "cigar")).groupBy("seqid", "kind").agg(F.count("*").alias("n"), F.sum("p_start").alias("starts"), F.sum("p_end").alias("ends"))
 
 
 @query("sense_strand", f"WITH {_ALIGN} SELECT is_plus, second, CASE WHEN second THEN is_plus ELSE NOT is_plus END AS sense, CASE WHEN second THEN NOT is_plus ELSE is_plus END AS sense_first, count(*) AS n FROM usable GROUP BY ALL")
@@ -222,7 +222,7 @@ def sense_strand(t: Tables) -> DataFrame:
     SELECT seqid, is_plus, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS bases FROM s WHERE s < e GROUP BY ALL""",
 )
 def tn5_shift(t: Tables) -> DataFrame:
-    found = V.blocks(V.usable(_alignments(t)))
+    found = V.blocks(V.usable(_alignments(t)).select("seqid", "is_plus", "pos", "cigar"))
     lengths = found.groupBy("seqid").agg((F.max("p_end") - 2).alias("length"))  # two bases short of the last block, so that it is clipped
     cut = V.tn5_shift(found.where("kind = 'covered'").join(lengths, "seqid"), F.col("length"))
     return cut.groupBy("seqid", "is_plus").agg(F.count("*").alias("n"), F.sum(F.col("p_end") - F.col("p_start")).alias("bases"))
