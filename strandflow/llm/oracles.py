@@ -46,4 +46,28 @@ kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.p) AS text, count(*)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL = {"op9_quality": QUALITY.strip(), "op10_substring": SUBSTRING.strip()}
+
+
+def _round(n: int) -> str:
+    """Assignment to the codebook of round n, and the codebook of round n + 1."""
+    return f"""
+a{n} AS MATERIALIZED (SELECT vec_id, part, min(16 * d + entry) AS m FROM (SELECT p.vec_id, p.part, entry,
+    list_sum(list_transform(range(1, len(p.z) + 1), lambda i: (p.z[i] - b.z[i]) * (p.z[i] - b.z[i]))) AS d FROM p JOIN b{n} b USING (part)) GROUP BY ALL),
+s{n} AS (SELECT part, m % 16 AS entry, i, sum(z[i]) AS s, count(*) AS n FROM (SELECT p.part, m, z, unnest(range(1, len(z) + 1)) AS i FROM p JOIN a{n} USING (vec_id, part)) GROUP BY ALL),
+m{n} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS z FROM s{n} GROUP BY ALL),
+b{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.z, b.z) AS z FROM b{n} b LEFT JOIN m{n} m USING (part, entry))"""
+
+
+VECTOR_CODES = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS z FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS MATERIALIZED (SELECT vec_id, label, part, z[part * (len(z) // 8) + 1:(part + 1) * (len(z) // 8)] AS z FROM v, range(8) r(part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, z FROM p QUALIFY entry < 16),
+{",".join(map(_round, range(6)))},
+{_round(6).partition("s6 AS")[0].strip().rstrip(",")},
+c AS (SELECT vec_id, string_agg(format('{{:02x}}', m % 16), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a6 GROUP BY vec_id)
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(z, ','), ',' ORDER BY part, entry)) FROM b6) AS codebooks_sha256 FROM c JOIN v USING (vec_id)
+"""
+
+ORACLE_SQL = {"op9_quality": QUALITY.strip(), "op10_substring": SUBSTRING.strip(), "op13_vector_codes": VECTOR_CODES.strip()}
