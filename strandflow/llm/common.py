@@ -81,3 +81,14 @@ def join_by_hot_key(left: DataFrame, lookup: DataFrame, key: str, weight: str, s
         return left.join(lookup, key)
     hot_keys = F.broadcast(hot.select(key))
     return left.join(F.broadcast(hot), key).unionByName(left.join(hot_keys, key, "left_anti").join(lookup.where(F.col(weight) <= limit), key))
+
+
+def join_by_copies(left: DataFrame, lookup: DataFrame, key: str, weight: str, spread: Column, share: int = 2000) -> DataFrame:
+    """The same for a lookup with wide rows, which are never broadcast: a row whose key has over 1/share of all left rows is
+    copied once for each such share, and left rows are dealt to the copies by the hash of `spread`. The copies are at most
+    `share` more than the rows, and only keys and numbers of copies, of at most `share` keys, are broadcast."""
+    total = lookup.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    copies = F.ceil(F.col(weight) / max(1000, total // share)).cast("int")
+    hot = lookup.select(key, copies.alias("__copies")).where("__copies > 1")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__copy", F.pmod(F.xxhash64(spread), F.coalesce("__copies", F.lit(1))).cast("int")).drop("__copies")
+    return dealt.join(lookup.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1))), [key, "__copy"]).drop("__copy")

@@ -70,4 +70,34 @@ SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGIN
   (SELECT sha256(string_agg(array_to_string(z, ','), ',' ORDER BY part, entry)) FROM b6) AS codebooks_sha256 FROM c JOIN v USING (vec_id)
 """
 
-ORACLE_SQL = {"op9_quality": QUALITY.strip(), "op10_substring": SUBSTRING.strip(), "op13_vector_codes": VECTOR_CODES.strip()}
+MINHASH = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SEPARATORS}'), lambda x: x <> '') AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS s FROM d),
+classes AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS k, any_value(s) AS s, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY 1),
+grams AS (SELECT k, len(s) AS n, unnest(s) AS g FROM classes),
+common AS (SELECT a.k AS a, b.k AS b, a.n + b.n AS n, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.k <> b.k AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * c >= 80 * (n - c)),
+reach(a, b) AS (SELECT k, k FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS k, min(least) AS component_id FROM reach JOIN classes ON classes.k = reach.b GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM sets LEFT JOIN least ON len(s) > 0 AND least.k = md5(array_to_string(list_sort(s), chr(10)))
+"""
+
+# CRC-32 of the decimal id, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+CONVERSATION_TRIE = f"""
+WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS o FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.o, a.o[1:0])[1:h], a.o[h + 1:]) AS p FROM (SELECT *, {_CRC32} % 4 AS h FROM own) a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+pre AS (SELECT conv_id, len(p) AS size, d, md5(CAST(p[1:d] AS VARCHAR) || d) AS k, md5(CAST(p[1:d - 1] AS VARCHAR) || (d - 1)) AS up, p[d].text AS text, p FROM (SELECT *, unnest(range(len(p) + 1)) AS d FROM r)),
+node AS (SELECT k, d, any_value(up) AS up, min(conv_id) AS c, count(*) AS n, any_value(text) AS text, any_value(p[1:d]) AS p,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256 FROM pre GROUP BY k, d),
+kids AS (SELECT up AS k, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+each AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len({_WORDS}) END AS own FROM node LEFT JOIN kids USING (k, d)),
+sums AS (SELECT a AS d, md5(CAST(p[1:a] AS VARCHAR) || a) AS k, sum(own) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(d + 1)) AS a FROM each) GROUP BY ALL)
+SELECT e.c AS conv_id, CAST(e.d AS BIGINT) AS depth, q.c AS parent_conv_id, e.n AS n_convs, e.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, e.ends_sha256
+FROM each e JOIN sums s ON s.k = e.k AND s.d = e.d LEFT JOIN node q ON q.k = e.up AND q.d = e.d - 1
+"""
+
+ORACLE_SQL = {"op9_quality": QUALITY.strip(), "op10_substring": SUBSTRING.strip(), "op11_minhash": MINHASH.strip(), "op12_conversation_trie": CONVERSATION_TRIE.strip(), "op13_vector_codes": VECTOR_CODES.strip()}

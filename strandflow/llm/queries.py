@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, decontaminate, langid, licenses, pii, quality, secrets, sharding, simhash, substring, vectorcodes
+from strandflow.llm import bpe, decontaminate, langid, licenses, minhash, pii, quality, secrets, sharding, simhash, substring, tries, vectorcodes
 from strandflow.llm.common import id_and_text, read
 from strandflow.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -80,6 +80,14 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(id_and_text(read(spark, sf_dir, "documents"))).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vectorcodes.compress(read(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", vectorcodes.hexadecimal(F.col("codes")).alias("code"), "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"))
@@ -96,5 +104,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_substring": op10_substring,
+    "op11_minhash": op11_minhash,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_vector_codes": op13_vector_codes,
 }

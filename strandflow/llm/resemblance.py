@@ -129,7 +129,7 @@ def _prefixes(docs: DataFrame, shingle: int, frequent: np.ndarray, similarity: t
     return _mapped(docs, make, "key bigint, n bigint, prefix array<bigint>, sketch array<bigint>")
 
 
-def _open(n: Column, x: Column, m: Column, y: Column, similarity: tuple[int, int]) -> Column:
+def may_be_similar(n: Column, x: Column, m: Column, y: Column, similarity: tuple[int, int]) -> Column:
     """Whether sets of n and m shingles with sketches x and y may be similar."""
     over, under = similarity
     near = (over * n <= under * m) & (over * m <= under * n)
@@ -142,7 +142,7 @@ def _led(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> D
     side = lambda name, size, bits: classes.select(F.col("key").alias(name), F.col("n").alias(size), F.col("sketch").alias(bits))
     uses = materialise(side("b", "m", "y").join(pairs.groupBy("b").agg(F.count("*").alias("uses")), "b"))
     both = join_by_hot_key(pairs.join(side("a", "n", "x"), "a"), uses, "b", "uses", narrow=False)
-    open_ = materialise(both.where(_open(F.col("n"), F.col("x"), F.col("m"), F.col("y"), similarity)).select("a", "b"))
+    open_ = materialise(both.where(may_be_similar(F.col("n"), F.col("x"), F.col("m"), F.col("y"), similarity)).select("a", "b"))
     release(pairs)
     release(uses)
     return open_
@@ -202,7 +202,7 @@ def dropped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int]
     rest = join_by_hot_key(cells, leads, "cell", "members").select("key", "cell")
     rest = materialise(rest.join(classes.select("key", "n", "sketch"), "key"))
     other = rest.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"), "cell")
-    both = rest.join(other, "cell").where((F.col("key") > F.col("b")) & _open(F.col("n"), F.col("sketch"), F.col("m"), F.col("y"), similarity))
+    both = rest.join(other, "cell").where((F.col("key") > F.col("b")) & may_be_similar(F.col("n"), F.col("sketch"), F.col("m"), F.col("y"), similarity))
     edges = _similar(materialise(both.select(F.col("key").alias("a"), "b").distinct()), classes, texts, shingle, similarity)
     while edges.take(1):  # a is after b in order; what is never after another is kept
         first = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
