@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.operators import intervals
+from strandflow.operators import intervals, scans
 
 TYPES = ("transcript", "cds", "intron")
 
@@ -97,9 +97,10 @@ def phase_counts(cds: DataFrame, keys: Sequence[str], phase: Column, start: str
     return cds.where(n > 0).select(*keys, F.inline(of)).groupBy(*keys, "base_phase").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def union_of(df: DataFrame, keys: Sequence[str], start: str = "p_start", end: str = "p_end") -> DataFrame:
-    """(keys, start, end): maximal covered stretches."""
-    window = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(window.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = intervals.islands(df.where(F.col(start) < F.col(end)).withColumn("__reach", reach), keys, [start, end], F.col(start) > F.col("__reach"))
-    return numbered.groupBy(*keys, "island").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("island")
+def union_of(df: DataFrame, keys: Sequence[str], start: str = "p_start", end: str = "p_end", width: int = intervals.BIN) -> DataFrame:
+    """(keys, start, end): maximal covered stretches. Intervals with the same start are one before they are shuffled, so a
+    bin of starts has at most `width` rows, and how far those before it reach is carried in."""
+    first = df.where(F.col(start) < F.col(end)).groupBy(*keys, F.col(start).alias("start")).agg(F.max(end).alias("end"))
+    reached = scans.with_running(scans.binned(first, "start", width), keys, "start", F.col("end"), "reach", F.max, own=False)
+    numbered = scans.with_runs(reached, keys, "start", F.col("start") > F.col("reach"))
+    return numbered.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")

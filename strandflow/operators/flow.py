@@ -47,15 +47,12 @@ def predicted(sequences: DataFrame, load: Callable[[], Callable], n_classes: int
 
 def hints_of(track: DataFrame, source: str, width: int = intervals.BIN) -> DataFrame:
     """Hints of the confident regions of a track, as predicted() gives it. Each region is of one class: neighbours in it
-    agree, as the mean of every two is over three quarters."""
+    agree, as the mean of every two is over three quarters. Regions are cut from rows of bases, and never gathered."""
     keys = ["seqid", "is_plus", "length"]
     regions = segment.confident_regions(track, keys, width=width).withColumnsRenamed({"start": "r_start", "end": "r_end"})
-    bases = track.select(*keys, "pos", (F.col("pos") + 1).alias("pos_end"), "p")
+    bases = track.select(*keys, "pos", (F.col("pos") + 1).alias("pos_end"), scores.argmax(F.col("p")).cast("int").alias("cls"), F.array_max("p").alias("best"))
     inside = intervals.range_join(regions, bases, keys, ("r_start", "r_end"), ("pos", "pos_end"), width)
-    best = F.struct(scores.argmax(F.col("p")).alias("cls"), F.array_max("p").alias("p"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", best.alias("best"))))
-    whole = inside.groupBy(*keys, "r_start").agg(ordered.alias("__b")).select(*keys, "r_start", F.get("__b", F.lit(0))["best"]["cls"].alias("cls"), F.transform("__b", lambda b: b["best"]["p"]).alias("__p"))
-    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("cls").cast("int"))
-    cut = segment.divided(whole, "__p", of(segment.STEPS), of(segment.MOST))
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("cls"))
+    cut = segment.cuts(inside, [*keys, "cls"], "best", of(segment.STEPS), of(segment.MOST), max(segment.STEPS) + max(segment.MOST), width=width)
     placed = cut.withColumn("start", F.col("start") + F.col("r_start")).withColumn("end", F.col("end") + F.col("r_start"))
     return segment.hints(placed.withColumn("chunk_start", F.when(F.col("is_plus"), 0).otherwise(F.col("length")).cast("long")), source)

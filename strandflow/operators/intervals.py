@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.operators import scans
+
 BIN = 1 << 16
 
 
@@ -105,25 +107,27 @@ def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, nam
 def runs_of(df: DataFrame, keys: Sequence[str], order: str, value: str, width: int = BIN) -> DataFrame:
     """(keys, value, start, end, n): stretches of equal consecutive values, by a whole number. Runs are found in bins of it,
     and runs, not rows, are then joined across the bins' borders."""
-    differs = lambda w: ~F.col(value).eqNullSafe(F.lag(value).over(w)) & F.lag("start").over(w).isNotNull()
     in_bins = [*keys, "__bin"]
+    within = Window.partitionBy(*in_bins).orderBy("start")
     rows = df.select(*keys, value, F.col(order).alias("start"), F.floor(F.col(order) / width).alias("__bin"))
-    numbered = islands(rows, in_bins, ["start"], differs(Window.partitionBy(*in_bins).orderBy("start")))
-    parts = numbered.groupBy(*in_bins, value, "island").agg(F.min("start").alias("start"), (F.max("start") + 1).alias("end"), F.count("*").alias("n")).drop("island", "__bin")
-    joined = islands(parts, keys, ["start"], differs(Window.partitionBy(*keys).orderBy("start")))
+    numbered = islands(rows, in_bins, ["start"], ~F.col(value).eqNullSafe(F.lag(value).over(within)) & F.lag("start").over(within).isNotNull())
+    parts = numbered.groupBy(*in_bins, value, "island").agg(F.min("start").alias("start"), (F.max("start") + 1).alias("end"), F.count("*").alias("n")).drop("island")
+    before = scans.with_before(parts, keys, "start", [value])
+    joined = scans.with_runs(before, keys, "start", F.col("before").isNotNull() & ~F.col(value).eqNullSafe(F.col("before")[value]), "island")
     return joined.groupBy(*keys, value, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
 
 
-def contiguous_segments(chunks: DataFrame, size: int, keys: Sequence[str], adjacent: bool = True, order: str = "row_id") -> DataFrame:
+def contiguous_segments(chunks: DataFrame, size: int, keys: Sequence[str], adjacent: bool = True, order: str = "row_id", width: int = BIN) -> DataFrame:
     """Runs of chunks (row_id, seqid, start, end): broken at strand flips, at chunks that are not full, and, if adjacent,
-    at gaps and changes of sequence. (keys, first_row, end_row)."""
-    window = Window.partitionBy(*keys).orderBy(order)
-    before = lambda c: F.lag(c).over(window)
+    at gaps and changes of sequence. (keys, first_row, end_row). A key's rows are scanned in bins of their order."""
+    before = lambda c: F.col("before")[c]
     full = F.abs(F.col("end") - F.col("start")) == size
     breaks = ((F.col("start") < F.col("end")) != (before("start") < before("end"))) | ~full | (F.abs(before("end") - before("start")) != size)
     if adjacent:
         breaks = breaks | (F.col("start") != before("end")) | (F.col("seqid") != before("seqid"))
-    return islands(chunks, keys, [order], breaks).groupBy(*keys, "island").agg(F.min(order).alias("first_row"), (F.max(order) + 1).alias("end_row")).drop("island")
+    rows = scans.with_before(scans.binned(chunks, order, width), keys, order, ["start", "end", "seqid"])
+    numbered = scans.with_runs(rows, keys, order, F.col("before").isNotNull() & breaks, "island")
+    return numbered.groupBy(*keys, "island").agg(F.min(order).alias("first_row"), (F.max(order) + 1).alias("end_row")).drop("island")
 
 
 def key_ranges(df: DataFrame, keys: Sequence[str], order: str = "row_id") -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from strandflow.operators import chains, intervals, scans
 
 
 def check_parameters(chunk: int, offset: int | None = None, core: int | None = None) -> tuple[int, int]:
@@ -94,22 +94,24 @@ def stretched(weights: Column, reach: int) -> Column:
     return F.transform(weights, lambda w, j: F.when(w > 1, w).otherwise(spread(w, j)))
 
 
-def greedy_pack(df: DataFrame, keys: Sequence[str], order: str, size: str, most: int) -> DataFrame:
-    """Items in order into batches of at most `most`: a batch closes when the next item would not fit. One fold over the
-    items of a key, which are sequential by nature and meet in one task."""
-    items = df.select(*keys, order, F.col(size).cast("long").alias("__size"))
+def greedy_pack(df: DataFrame, keys: Sequence[str], order: str, size: str, most: int, width: int = intervals.BIN) -> DataFrame:
+    """Items in order (a whole number) into batches of at most `most`: a batch closes when the next item would not fit. An
+    item that is larger than that has a batch to itself.
+
+    Where a batch ends depends on where it begins alone, so batches are a chain over running sums of the sizes, followed in
+    blocks of them: no task holds all items of a key. Sizes are not negative.
+    """
+    rows = df.select(*keys, order, F.least(F.col(size).cast("long"), F.lit(most + 1)).alias("__size"))
+    binned, by = scans.binned(rows, order, width), [order, "__size"]
+    summed = scans.with_running(scans.with_running(binned, keys, by, F.col("__size"), "__sum"), keys, by, F.lit(1), "__nth").drop(scans.BIN)
+    items = summed.withColumn("__from", F.col("__sum") - F.col("__size"))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, "__size"], ignore_index=True)
-        batch, used, out = 0, 0, []
-        for n in pdf["__size"].tolist():
-            if used and used + n > most:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        return pdf.assign(batch=np.array(out, np.int64))[[*keys, order, "batch"]]
+    def following(x: dict[str, np.ndarray]) -> np.ndarray:
+        start = x["__from"]
+        return np.maximum(np.searchsorted(x["__sum"], start + most, "right"), np.searchsorted(start, start, "right"))
 
-    return items.groupBy(*keys).applyInPandas(pack, T.StructType([*[items.schema[c] for c in (*keys, order)], T.StructField("batch", T.LongType())]))
+    packed = chains.followed(items, keys, "__nth", "__from", most + 2, following, ["__sum", "__from"])
+    return packed.select(*keys, order, (F.col("picks") - 1).alias("batch"))
 
 
 def position_means(df: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandflow.operators import intervals
+from strandflow.operators import chains, intervals, scans
 
 CONFIDENT = 0.75001
 PAD = 5
@@ -78,6 +78,44 @@ def divided(regions: DataFrame, values: str, step: Column, most: Column, pad: in
     return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], *fields]))
 
 
+def cuts(bases: DataFrame, keys: Sequence[str], value: str, step: Column, most: Column, reach: int, pad: int = PAD, stable: float = 0.1, width: int = intervals.BIN, blocks: int | None = None) -> DataFrame:
+    """What divided() gives, from a row for each base (keys, r_start, r_end, pos, value; regions of a key do not overlap), so that
+    no row holds a region: (keys, r_start, start, end, score), the last three within the region.
+
+    Cuts can lie at every `step` bases. Changes are summed in bins, in whole numbers (units of 2**-32), so sums do not depend on
+    the bins; the places where a cut can lie, with their sums, are a chain in which each cut leads to the next one. step, most:
+    whole numbers, the same for all bases of a region; reach: at least the largest step + most. pad is 1 or more.
+    """
+    if pad < 1:
+        raise ValueError("a region keeps a base at either end")
+    unit = float(1 << 32)
+    named = bases.select(*keys, "r_start", "r_end", "pos", F.col(value).cast("double").alias("__v"), step.cast("long").alias("__step"), most.cast("long").alias("most"))
+    rows = scans.with_before(scans.binned(named, "pos", width), keys, "pos", ["r_start", "__v"], "__before")
+    change = F.when(F.col("__before.r_start") == F.col("r_start"), F.abs(F.col("__v") - F.col("__before.__v"))).otherwise(0.0)
+    whole = lambda x: F.round(x * unit).cast("long")
+    summed = scans.with_running(rows.withColumn("__change", whole(change)).drop("__before"), keys, "pos", F.col("__change"), "changed")
+    summed = scans.with_running(summed, keys, "pos", whole(F.col("__v")), "__total")
+    place, last = F.col("pos") - F.col("r_start"), F.col("r_end") - F.col("r_start") - pad
+    grid = ((place >= pad) & ((place - pad) % F.col("__step") == 0) & (place < last)) | (place == last)
+    points = summed.where((F.col("r_end") - F.col("r_start") > 2 * pad) & grid)
+    points = points.select(*keys, "r_start", place.alias("at"), "changed", "most", (F.col("__total") - whole(F.col("__v"))).alias("total"), (place == last).cast("int").alias("ends"))
+    most_change = int(stable * unit)
+
+    def following(x: dict[str, np.ndarray]) -> np.ndarray:
+        n = len(x["at"])
+        by_change = np.searchsorted(x["changed"], x["changed"] + most_change, "right")
+        by_size = np.searchsorted(x["at"], x["at"] + x["most"], "right")
+        end = np.flatnonzero(x["ends"])
+        found = np.minimum(np.minimum(by_change, by_size), end[0] if len(end) else n)
+        return np.where(np.arange(n) < found, found, n)  # nothing follows the end
+
+    region = [*keys, "r_start"]
+    picked = chains.followed(points, region, "at", "at", reach, following, ["at", "changed", "most", "ends"], blocks).where("picked")
+    pairs = scans.with_before(scans.binned(picked, "at", width), region, "at", ["at", "total"]).where("before is not null")
+    score = (F.col("total") - F.col("before.total")) / unit / (F.col("at") - F.col("before.at"))
+    return pairs.select(*region, F.col("before.at").alias("start"), F.col("at").alias("end"), score.alias("score"))
+
+
 def gff_start(chunk_start: Column, start: Column, end: Column, is_plus: Column, as_before: bool = False) -> Column:
     """First base, counted from 1, of a region [start, end) of offsets in a chunk. On minus the chunk's start is its
     exclusive plus end. as_before: minus regions two bases wider, as in files written earlier."""
@@ -114,11 +152,12 @@ def candidate_regions(track: DataFrame, keys: Sequence[str], window_size: int, e
     in_bins = [*keys, "__bin"]
     around = Window.partitionBy(*in_bins).orderBy("pos").rowsBetween(-half, window_size - half - 1)
     high = rows.withColumn("score", F.avg("value").over(around)).where(F.col("__own") & (F.col("score") >= edge))
-    gap = lambda by, end: F.col("start") != F.lag(end).over(Window.partitionBy(*by).orderBy("start"))
+    within = Window.partitionBy(*in_bins).orderBy("start")
     ones = high.select(*in_bins, F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "score", "coding")
     runs = [F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), F.sum("coding").alias("coding")]
-    parts = intervals.islands(ones, in_bins, ["start"], gap(in_bins, "end")).groupBy(*in_bins, "island").agg(*runs).drop("__bin", "island")
-    found = intervals.islands(parts, keys, ["start"], gap(keys, "end")).groupBy(*keys, "island").agg(*runs)
+    parts = intervals.islands(ones, in_bins, ["start"], F.col("start") != F.lag("end").over(within)).groupBy(*in_bins, "island").agg(*runs).drop("island")
+    joined = scans.with_runs(scans.with_before(parts, keys, "start", ["end"]), keys, "start", F.col("start") != F.col("before.end"))
+    found = joined.groupBy(*keys, "run").agg(*runs)
     return found.where((F.col("score") >= peak) & (F.col("coding") >= least_coding)).select(*keys, "start", "end", F.col("score").alias("peak"))
 
 
