@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import materialise, release
+from strandflow.llm.common import BROADCAST_PAIRS, broadcast_if_small, materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,14 +19,17 @@ def components(edges: DataFrame) -> DataFrame:
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     edges = materialise(edges.where("a <> b").select(*pair(F.col("a"), F.col("b"))).distinct())
     moves: list[DataFrame] = []
+    most = 0  # nodes of the first round, and so of any
     while edges.take(1):
         seed = F.lit(len(moves))
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c, seed=seed: F.struct(F.xxhash64(c, seed).alias("o"), c.alias("n"))
         first = ends.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
         moves.append(materialise(first.select(F.col("a").alias("node"), F.least("m", order(F.col("a")))["n"].alias("to"))))
-        to_a = moves[-1].select(F.col("node").alias("a"), F.col("to").alias("x"))
-        to_b = moves[-1].select(F.col("node").alias("b"), F.col("to").alias("y"))
+        most = most or moves[-1].count()
+        near = broadcast_if_small(moves[-1], most, BROADCAST_PAIRS)
+        to_a = near.select(F.col("node").alias("a"), F.col("to").alias("x"))
+        to_b = near.select(F.col("node").alias("b"), F.col("to").alias("y"))
         left = materialise(edges.join(to_a, "a").join(to_b, "b").where("x <> y").select(*pair(F.col("x"), F.col("y"))).distinct())
         release(edges)
         edges = left
@@ -34,6 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = moves.pop().withColumnRenamed("to", "root")
     for move in reversed(moves):
-        above = roots.withColumnRenamed("node", "to")
+        above = broadcast_if_small(roots.withColumnRenamed("node", "to"), most, BROADCAST_PAIRS)
         roots = move.join(above, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     return roots

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import BROADCAST_PAIRS, bounded_batches, broadcast_if_small, join_by_copies, join_by_hot_key, materialise
 from strandflow.llm.components import components
 from strandflow.llm.resemblance import may_be_similar, shingles, sketch
+from strandflow.operators.batches import whole_groups
 
 SHINGLE = 2
 #: The least similarity, as a fraction of whole numbers.
@@ -46,8 +47,8 @@ SIMILARITY = (4, 5)
 BANDS, ROWS = 40, 5
 #: Nodes of a cell that are still paired.
 CELL = 32
-#: Rounds of leads go on while they join at least this share of what is still apart.
-JOINED = 0.5
+#: Rounds of leads go on while they take at least this share from what is still apart.
+JOINED = 0.1
 #: Nodes of a salted block of a frequent shingle.
 BLOCK = 1000
 
@@ -104,7 +105,9 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(node, blob), a written table: the compressed text of one document of each node, once its set was found to be the node's."""
-    some = materialise(nodes.distinct().join(classes.select("node", "key", F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")), "node"))
+    nodes = materialise(nodes.distinct())
+    known = classes.select("node", "key", F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
+    some = materialise(known.join(broadcast_if_small(nodes, nodes.count(), BROADCAST_PAIRS), "node"))
     some = broadcast_if_small(some, some.count(), BROADCAST_PAIRS)
     texts = docs.withColumn("tag", F.xxhash64("text"))
     again = texts.join(some, texts["doc_id"].eqNullSafe(F.col("__id")) & (texts["tag"] == F.col("__tag"))).select("node", "key", "text")
@@ -126,14 +129,18 @@ def _shingle_set(blob: bytes, shingle: int) -> set[bytes]:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of nodes that are similar, as a written table: first by sizes and parities, then by the whole sets."""
     over, under = similarity
-    side = lambda node, n, parities: classes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("parities").alias(parities))
-    pairs = materialise(pairs)
-    counted = lambda df: df.groupBy("b").agg(F.count("*").alias("__uses"))
-    both = join_by_copies(pairs.join(side("a", "n", "x"), "a"), side("b", "m", "y").join(counted(pairs), "b"), "b", "__uses", F.col("a"))
-    open_ = materialise(both.where(may_be_similar(F.col("n"), F.col("x"), F.col("m"), F.col("y"), similarity)).select("a", "b"))
-    blobs = _texts(open_.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, shingle)
-    left = open_.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a")
-    both = join_by_copies(left, blobs.select(F.col("node").alias("b"), F.col("blob").alias("y")).join(counted(open_), "b"), "b", "__uses", F.col("a"))
+
+    def meeting(pairs: DataFrame, rows: DataFrame, left: dict[str, str], right: dict[str, str]) -> DataFrame:
+        """Pairs, a written table, with columns of both nodes' rows."""
+        number, uses = pairs.count(), materialise(pairs.groupBy("b").agg(F.count("*").alias("__uses")))
+        named = lambda node, names: rows.select(F.col("node").alias(node), *[F.col(c).alias(n) for c, n in names.items()])
+        one = named("a", left).join(broadcast_if_small(pairs, number, BROADCAST_PAIRS), "a")
+        other = named("b", right).join(broadcast_if_small(uses, number, BROADCAST_PAIRS), "b")
+        return join_by_copies(one, other, "b", "__uses", F.col("a"))
+
+    near = meeting(materialise(pairs), classes, {"n": "n", "parities": "x"}, {"n": "m", "parities": "y"})
+    open_ = materialise(near.where(may_be_similar(F.col("n"), F.col("x"), F.col("m"), F.col("y"), similarity)).select("a", "b"))
+    both = meeting(open_, _texts(open_.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, shingle), {"blob": "x"}, {"blob": "y"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)
@@ -151,35 +158,78 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
     return materialise(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
+def _folded(parities: np.ndarray, words: int) -> np.ndarray:
+    while parities.shape[1] > words:
+        half = parities.shape[1] // 2
+        parities = parities[:, :half] ^ parities[:, half:]
+    return parities
+
+
+def _open_pairs(similarity: tuple[int, int]):
+    """Pairs (a, b) of blocks of nodes, sorted by (gram, i, j), that sizes and parities leave open: early nodes with larger ones."""
+    over, under = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, borders in whole_groups(batches, 3):
+            early, node, root, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("early", "node", "root", "n"))
+            found: set[tuple[int, int]] = set()
+            for lo, hi in zip(borders, borders[1:], strict=False):
+                first, other = (lo + np.flatnonzero(early[lo:hi] == k) for k in (True, False))
+                if not len(first) or not len(other):
+                    continue
+                flat = batch.column("parities").slice(lo, hi - lo)
+                size = np.diff(flat.offsets.to_numpy())
+                by_size = {w: np.stack([flat[int(k) - lo].values.to_numpy() for k in np.concatenate([first, other]) if size[k - lo] == w]) for w in np.unique(size)}
+                row = {int(k): i for w in by_size for i, k in enumerate(k for k in np.concatenate([first, other]) if size[k - lo] == w)}
+                groups = {w: other[size[other - lo] == w] for w in by_size}
+                for x in first:
+                    own = by_size[size[x - lo]][row[int(x)]][None, :]
+                    for w, ys in groups.items():
+                        m = n[ys]
+                        ys = ys[((n[x] < m) | ((n[x] == m) & (node[x] < node[ys]))) & (n[x] * under >= m * over) & (root[x] != root[ys])]
+                        if not len(ys):
+                            continue
+                        words = min(w, own.shape[1])
+                        unlike = np.bitwise_count(_folded(own, words) ^ _folded(by_size[w][[row[int(y)] for y in ys]], words)).sum(1, dtype=np.int64)
+                        near = ys[(over + under) * unlike <= (under - over) * (n[x] + n[ys])]
+                        found.update((int(min(node[x], node[y])), int(max(node[x], node[y]))) for y in near)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def prefix_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """(node, root) to a superset of the similar pairs (a, b) of different roots: pairs that share one of their rarest shingles."""
+    """(node, root) to a superset of the similar pairs (a, b) of different roots: pairs that share one of their rarest shingles,
+    and whose sizes and parities leave them open. Nodes that share a frequent one meet in blocks of bounded size."""
     over, under = similarity
     blobs = _texts(members.select("node"), classes, docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(zlib.decompress(b).decode("utf-8", "surrogatepass"), shingle).view(np.int64) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+            sets = [shingles(zlib.decompress(b).decode("utf-8", "surrogatepass"), shingle) for b in batch.column(1).to_pylist()]
+            lists = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (sets, [sketch(x, 2) for x in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "grams", "parities"])
 
-    grams = materialise(blobs.mapInArrow(run, "node long, grams array<bigint>").select("node", F.explode("grams").alias("gram")))
+    sets = materialise(blobs.mapInArrow(run, "node long, grams array<bigint>, parities array<bigint>"))
+    grams = sets.select("node", F.explode("grams").alias("gram"))
     shared = materialise(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
     known = join_by_hot_key(grams, shared, "gram", "df").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    rows = known.join(classes.select("node", "n"), "node").join(members, "node")
     # Shingles of one node alone come first in order, so the shared ones begin after them.
+    rows = known.join(classes.select("node", "n"), "node").join(members, "node").join(sets.select("node", "parities"), "node")
     n, own = F.col("n"), F.col("n") - F.size("grams")
     late = F.greatest(F.lit(0), n - F.ceil(n * over / under) + 1 - own).cast("int")
-    marks = rows.select("node", "root", "n", own.alias("own"), F.posexplode(F.slice("grams", F.lit(1), late)).alias("nth", "g"))
+    marks = rows.select("node", "root", "n", "parities", own.alias("own"), F.posexplode(F.slice("grams", F.lit(1), late)).alias("nth", "g"))
     early = F.col("own") + F.col("nth") <= n - F.ceil(n * 2 * over / (over + under))
-    marks = materialise(marks.select("node", "root", "n", F.col("g.gram").alias("gram"), early.alias("early")))
-    index, probe = marks.where("early"), marks.select("gram", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"))
-    blocks = index.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    blocks = materialise(blocks)
-    blocks = broadcast_if_small(blocks, blocks.count(), BROADCAST_PAIRS)
-    dealt = index.join(blocks, "gram", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int")).drop("blocks")
-    copied = probe.join(blocks, "gram", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))).drop("blocks")
-    first = (n < F.col("m")) | ((n == F.col("m")) & (F.col("node") < F.col("other")))
-    near = first & (n * under >= F.col("m") * over) & (F.col("root") != F.col("other_root"))
-    return dealt.join(copied, ["gram", "block"]).where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    marks = materialise(marks.select("node", "root", "n", "parities", F.col("g.gram").alias("gram"), early.alias("early")))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    counts = marks.groupBy("gram").agg(blocks(F.count_if("early")).alias("is"), blocks(F.count("*")).alias("js"), F.count("*").alias("members"))
+    dealt = join_by_hot_key(marks, materialise(counts.where("is > 0 and members > 1")), "gram", "members")
+    at = lambda size: F.pmod(F.xxhash64("node"), F.col(size)).cast("int")
+    each = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    index = dealt.where("early").withColumn("i", at("is")).withColumn("j", each("js"))
+    probe = dealt.withColumn("early", F.lit(False)).withColumn("j", at("js")).withColumn("i", each("is"))
+    meet = index.unionByName(probe).select("gram", "i", "j", "early", "node", "root", "n", "parities")
+    return meet.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(_open_pairs(similarity), "a long, b long").distinct()
 
 
 def links(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -200,6 +250,7 @@ def links(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarit
         found = verified(pairs, classes, docs, shingle, similarity)
         edges = edges.unionByName(found) if edges else found
         roots = materialise(components(edges)).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+        roots = broadcast_if_small(roots, roots.count(), BROADCAST_PAIRS)
         cells = materialise(led.join(roots, F.col("node") == F.col("__node"), "left").select("cell", "node", F.coalesce("__root", "root").alias("root")))
     if edges is None:
         return classes.sparkSession.createDataFrame([], "a long, b long")

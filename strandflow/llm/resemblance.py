@@ -89,10 +89,10 @@ def _among(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams
 
 
-def sketch(grams: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of grams in hash buckets, the least power of two of them that is at least n and 64, as words of 64."""
+def sketch(grams: np.ndarray, times: int = 1) -> np.ndarray:
+    """Parities of the numbers of grams in hash buckets, the least power of two of them that is at least `times` n and 64, as words of 64."""
     words = 1
-    while 64 * words < len(grams):
+    while 64 * words < times * len(grams):
         words *= 2
     bucket = (grams >> np.uint64(20)) & np.uint64(64 * words - 1)
     odd = np.bincount(bucket.astype(np.int64), minlength=64 * words) & 1
