@@ -179,7 +179,7 @@ def _open_pairs(similarity: tuple[int, int]):
                     continue
                 flat = batch.column("parities").slice(lo, hi - lo)
                 size = np.diff(flat.offsets.to_numpy())
-                by_size = {w: np.stack([flat[int(k) - lo].values.to_numpy() for k in np.concatenate([first, other]) if size[k - lo] == w]) for w in np.unique(size)}
+                by_size = {w: np.stack([flat[int(k) - lo].values.to_numpy().view(np.uint64) for k in np.concatenate([first, other]) if size[k - lo] == w]) for w in np.unique(size)}
                 row = {int(k): i for w in by_size for i, k in enumerate(k for k in np.concatenate([first, other]) if size[k - lo] == w)}
                 groups = {w: other[size[other - lo] == w] for w in by_size}
                 for x in first:

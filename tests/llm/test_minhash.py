@@ -4,7 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
-import pytest
+import pyarrow as pa
 
 from strandflow.llm import minhash, resemblance
 from strandflow.llm.common import id_and_text
@@ -34,10 +34,9 @@ def near_copies(rng, n, words, share, first):
     return [(first + i, " ".join(w if rng.random() > share else f"other{i}" for w in base)) for i in range(n)]
 
 
-@pytest.mark.parametrize(("cell", "block"), [(32, 1000), (2, 3)])
-def test_components_are_those_of_all_pairs(spark, docs_of, odd_rows, rng, monkeypatch, tmp_path, cell, block):
-    monkeypatch.setattr(minhash, "CELL", cell)
-    monkeypatch.setattr(minhash, "BLOCK", block)
+def test_components_are_those_of_all_pairs(spark, docs_of, odd_rows, rng, monkeypatch, tmp_path):
+    monkeypatch.setattr(minhash, "CELL", 2)  # the next test has the usual limits
+    monkeypatch.setattr(minhash, "BLOCK", 3)
     rows = list(odd_rows) + near_copies(rng, 60, 200, 0.04, 100) + near_copies(rng, 60, 60, 0.06, 200) + near_copies(rng, 40, 300, 0.01, 300)
     rows += [(400 + i, f"{prose(rng, 4)} {' '.join(rows[12][1].split()[:60])} {prose(rng, 4)}") for i in range(60)]  # of one template
     rows += [(500, rows[30][1].upper()), (501, "word"), (502, "WORD"), (503, "word word"), (504, "word word word"), (505, "a b c d e f"), (506, "a b c d e f g"), (507, "a b c d e")]
@@ -82,3 +81,19 @@ def test_a_long_text(spark, docs_of, rng):
     found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(id_and_text(docs_of(rows))).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 4} and len(long) > 10_000_000
     assert len(resemblance.shingles(long, 2)) > 250_000
+
+
+def test_blocks_of_open_pairs_lose_none():
+    """The comparison in blocks, without Spark: pairs that share a rare shingle and are similar are among those it leaves open."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 120).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(k) > 0.05, base[:k], rng.integers(0, 1 << 63, k).astype(np.uint64))) for k in rng.choice([60, 120], 40)]
+    rows = [(7, 0, 0, early, i, i, len(s)) for early in (True, False) for i, s in enumerate(sets)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+    parities = pa.array([resemblance.sketch(sets[r[4]], 2) for r in rows], pa.list_(pa.int64()))
+    batch = pa.record_batch([*columns, parities], names=["gram", "i", "j", "early", "node", "root", "n", "parities"])
+    for size in (9, 100):
+        got = {x for out in minhash._open_pairs((4, 5))(iter([batch.slice(k, size) for k in range(0, len(rows), size)])) for x in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+        common = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in combinations(range(40), 2)}
+        similar = {p for p, c in common.items() if 9 * c >= 4 * (len(sets[p[0]]) + len(sets[p[1]]))}
+        assert similar <= got and len(got) < 2 * len(similar) < len(common)
