@@ -13,9 +13,10 @@ travels by a hash of its document, apart from the windows it was decided by. Tex
 content, and compressed. Windows are told apart by 95 bits of hash; of windows that agree in 63 bits alone, those unlike the earliest stay.
 
 Semantics: every word goes that is covered by a window whose word sequence also starts earlier, in a smaller doc_id or
-in the same document. Defined results: null or empty texts have no words; null ids count like 2^63 - 1, the largest id; rows
-that share id and place of a window are equally early, so neither loses it; rows equal in id and text give equal rows; an
-empty table gives an empty table; only id and text are used, so further columns cannot clash.
+in the same document. Defined results: null or empty texts have no words; null ids count like 2^63 - 1, the largest id, and
+rows of one id are told apart by 64 bits of hash of their texts; rows that share id and place of a window are equally early,
+so neither loses it; rows equal in id and text give equal rows; an empty table gives an empty table; only id and text are
+used, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -41,7 +42,6 @@ MEMO = 500_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _EVEN = ~np.uint64(1)
-_LOW = 0xFFFFFFFF
 _UNPACK = zstandard.ZstdDecompressor()
 
 
@@ -133,7 +133,7 @@ def _among(h: np.ndarray, known: pa.Scalar) -> np.ndarray:
 
 def _spread(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
     """An odd number for each document: hashes of windows are even."""
-    return _mixed(ids.view(np.uint64) * _ODD[2] + tags.view(np.uint32) * _ODD[3]) | ~_EVEN
+    return _mixed(ids.view(np.uint64) * _ODD[2] + tags.view(np.uint64) * _ODD[3]) | ~_EVEN
 
 
 def _listed(values: np.ndarray, ids: np.ndarray, tags: np.ndarray, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -192,7 +192,7 @@ def _sampled(window: int, first: int, length: int):
                     h = doubled(half, length // 2, 0)
                 h = h & _EVEN
                 g = h[samples(h, window - length + 1, alive)[1]]
-                held.append((g, np.full(len(g), i, np.int64), np.full(len(g), tag, np.int32)))
+                held.append((g, np.full(len(g), i, np.int64), np.full(len(g), tag, np.int64)))
                 waiting += len(g)
                 if waiting >= FLUSH:
                     waiting = 0
@@ -204,13 +204,12 @@ def _sampled(window: int, first: int, length: int):
 
 
 def _compared(window: int, first: int):
-    """(id, tag, text, repeated samples of half a window) to full windows: (h, kt, id, start, late).
+    """(id, tag, text, repeated samples of half a window) to full windows: (h, k, id, tag, start, late).
 
-    Rows with a start are the earliest in the task with their hash: h (even), and k in the upper half of kt, whose lower
-    half is the tag. Other rows have, for a document, in `late` the places of windows that start earlier elsewhere; their h
-    (odd) only spreads them.
+    Rows with a start are the earliest in the task with their hash: h (even) and k. Other rows have, for a document, in `late`
+    the places of windows that start earlier elsewhere; their h (odd) only spreads them.
     """
-    half, names = window // 2, ["h", "kt", "id", "start", "late"]
+    half, names = window // 2, ["h", "k", "id", "tag", "start", "late"]
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         h, k, ids, tags, starts = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -224,12 +223,12 @@ def _compared(window: int, first: int):
         open_ = np.sort(order[~is_late & (new | differs(tags))])
         late = np.zeros(len(h), bool)
         late[order] = is_late
-        kt = (k[open_].astype(np.int64) << 32) | (tags[open_].astype(np.int64) & _LOW)
         none = pa.nulls(len(open_), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(h[open_].view(np.int64)), pa.array(kt), pa.array(ids[open_]), pa.array(starts[open_]), none], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(h[open_].view(np.int64)), *[pa.array(x[open_]) for x in (k, ids, tags, starts)], none], names=names)
         if late.any():
             ids, tags, places = _listed(starts[late], ids[late], tags[late], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(_spread(ids, tags).view(np.int64)), pa.array(tags.astype(np.int64) & _LOW), pa.array(ids), pa.nulls(len(ids), pa.int32()), places], names=names)
+            none = pa.nulls(len(ids), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(_spread(ids, tags).view(np.int64)), none, pa.array(ids), pa.array(tags), none, places], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, waiting = _WordHashes(), [], 0
@@ -244,7 +243,7 @@ def _compared(window: int, first: int):
                     continue
                 h = doubled(short, half, 0)[at] & _EVEN
                 k = (doubled(short, half, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                held.append((h, k, np.full(len(at), i, np.int64), np.full(len(at), tag, np.int32), at.astype(np.int32)))
+                held.append((h, k, np.full(len(at), i, np.int64), np.full(len(at), tag, np.int64), at.astype(np.int32)))
                 waiting += len(at)
                 if waiting >= FLUSH:
                     waiting = 0
@@ -268,6 +267,7 @@ def _cut(window: int):
                     n.append(len(words))
                     if places.is_valid:
                         starts = np.unique(places.values.to_numpy())
+                        starts = starts[starts + window <= len(words)]  # all are, unless two texts of one id agree in 64 bits of hash
                         ends = np.zeros(len(words) + 1, np.int32)
                         ends[starts] += 1
                         ends[starts + window] -= 1
@@ -291,20 +291,18 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bounded_batches(docs.sparkSession)
     # The tag tells rows apart that share an id. All joins shuffle the same columns by the same key, so that Spark does it once.
     key = ["id", "tag"]
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.hash("text").alias("tag"), "text")
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("tag"), "text")
     left = docs.select(*key, "text")
-    docs = docs.mapInArrow(_packed, T.StructType([docs.schema["doc_id"], *[T.StructField(*f, False) for f in (("id", T.LongType()), ("tag", T.IntegerType()), ("text", T.BinaryType()))]]))
+    docs = docs.mapInArrow(_packed, T.StructType([docs.schema["doc_id"], *[T.StructField(*f, False) for f in (("id", T.LongType()), ("tag", T.LongType()), ("text", T.BinaryType()))]]))
     for length in (first, *more[:-1]):
-        sampled = left.mapInArrow(_sampled(window, first, length), "g long, id long, tag int, again boolean, known array<long>")
+        sampled = left.mapInArrow(_sampled(window, first, length), "g long, id long, tag long, again boolean, known array<long>")
         repeats = F.count("*").over(Window.partitionBy("g")) > 1
         repeated = sampled.withColumn("repeats", repeats).where("repeats or again").groupBy(*key).agg(_gathered(F.col("g"), "known").alias("repeated"))
         left = docs.join(repeated, key).select("doc_id", *key, "text", "repeated")
 
-    windows = left.mapInArrow(_compared(window, first), "h long, kt long, id long, start int, late array<int>")
+    windows = left.mapInArrow(_compared(window, first), "h long, k int, id long, tag long, start int, late array<int>")
     order = Window.partitionBy("h").orderBy("id", "start")
-    k = F.shiftright("kt", 32)
-    later = (F.rank().over(order) > 1) & (k == F.shiftright(F.first("kt").over(order), 32))
+    later = (F.rank().over(order) > 1) & (F.col("k") == F.first("k").over(order))
     late = windows.withColumn("later", later).where("later or late is not null")
-    tag = F.shiftright(F.shiftleft("kt", 32), 32).cast("int").alias("tag")
-    places = late.groupBy("id", tag).agg(_gathered(F.col("start"), "late").alias("places"))
+    places = late.groupBy(*key).agg(_gathered(F.col("start"), "late").alias("places"))
     return docs.join(places, key, "left").select("doc_id", "text", "places").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
