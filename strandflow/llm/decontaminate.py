@@ -1,16 +1,25 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-A mask keeps some token positions and ignores the others, so two passages still share a seed where other words were
-replaced. Every position of every document is hashed under the masks of the benchmark's items and joined to their seeds;
-around each hit, document and benchmark are compared word by word along the hit's diagonal. An overlap stands if LEAST_MATCH
-of OVERLAP words (or of all of a shorter item) agree, in any window that holds the hit, or a run of VERBATIM words does.
-
-No overlap is without a hit: e replaced words leave e + 1 runs of words, so of n words one run has (n - e) / (e + 1), rounded
-up. An item's mask is that run: four words for most lengths, fewer for items of 1 to 3, 5 to 7, 10, 11 and 15 words.
+A mask keeps some token positions and ignores the others, so two passages still share a seed where ignored words, or words
+beside the mask, were replaced. Every position of every document is hashed under the masks of the benchmark's items and
+joined to their seeds; around each hit, document and benchmark are compared word by word along the hit's diagonal. An overlap
+stands if LEAST_MATCH of OVERLAP words (or of all of a shorter item) agree, in any window that holds the hit, or a run of
+VERBATIM words does.
+
+No overlap is without a hit: a family of masks serves an item if, whichever words of its window are replaced, as many as the
+rule allows, one of the masks fits somewhere between them. That is found by going through all ways to replace them (4,845 for
+20 words); the most selective family that serves is taken: two masks of five words for 20.
+
+A seed that more than HOT places of the benchmark share (questions that begin alike) is no hit by itself, or each document
+with the phrase would be compared with each item. Of such a seed only one row is joined. A place that has it is joined again by
+the seed and one more word at its distance, for each distance at which a window with the seed can have words, and among these
+second seeds only those of few places count. That loses nothing: an overlap holds more agreeing words than the seed, and only
+if nearly all of them could be ones that many items share at that distance is the seed's own row of the item kept as well.
 
 The benchmark's seeds are counted. Within SEED_ROWS they are broadcast: then hashing and probing run in one pass over the
 scan without a shuffle, and only verified overlaps, reduced by document and item in the task, are shuffled. Beyond that
-the seeds are joined by a shuffle of hashes (no texts), and only documents with hits are read again.
+seeds and hashes of places are joined by a shuffle (without texts; adaptive execution splits what is skewed), and only the
+documents with hits, which are counted and broadcast if few, are read and tokenised again.
 
 Defined results: null or empty texts have no overlaps; rows that share a doc_id are reported together, null ids too;
 benchmark rows that repeat an item_id are separate passages of it; items of under five words count where they appear
@@ -21,6 +30,8 @@ table; only id and text columns are used, so further columns cannot clash.
 from __future__ import annotations
 
 import math
+from functools import cache
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,64 +47,107 @@ VERBATIM = 10
 SEED_ROWS = 1_000_000
 #: Words of all items together that may be broadcast with them.
 ITEM_WORDS = 1_000_000
-#: Tasks to which the texts' positions with one seed are dealt, where seeds are shuffled.
-SALTS = 16
+#: Places of the benchmark that may share a seed.
+HOT = 8
+
+#: Families of masks (positions that are kept), the most selective first; an item of few words has one mask of all of them.
+FAMILIES = (((0, 1, 2, 4, 5), (0, 1, 2, 3, 5)), ((0, 1, 2, 4),), ((0, 1, 3),), ((0, 2),))
 
 
 def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def span(n: int) -> int:
-    """Words in a row that agree in every overlap with an item of n words."""
+def agreeing(n: int) -> int:
+    """Words that agree in every overlap of n words."""
+    return math.ceil(LEAST_MATCH * n - 1e-9)
+
+
+def serves(family: tuple[tuple[int, ...], ...], n: int) -> bool:
+    """Whether a mask of the family fits between the replaced words of n, however they lie."""
+    fits = [sum(1 << (at + k) for k in mask) for mask in family for at in range(n - mask[-1])]
+    return all(any(not where & fit for fit in fits) for lost in combinations(range(n), n - agreeing(n)) for where in [sum(1 << k for k in lost)])
+
+
+@cache
+def masks_of(n: int) -> tuple[tuple[int, ...], ...]:
+    """The masks of an item of n words."""
     n = min(n, OVERLAP)
-    agree = math.ceil(LEAST_MATCH * n - 1e-9)
-    return -(-agree // (n - agree + 1))
+    return next((f for f in FAMILIES if serves(f, n)), (tuple(range(n)),))
 
 
-def _seeds(rows: DataFrame, widths: list[int], kept: list[str], place: str) -> DataFrame:
-    """rows (with `tokens`) to one row for each position and width: kept columns, tokens, place, width, seed."""
-    at = rows.where(F.size("tokens") >= min(widths)).select(*kept, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - min(widths))).alias(place))
-    seed = lambda w: F.xxhash64(F.lit(w), *[F.get("tokens", F.col(place) + k) for k in range(w)])
-    if len(widths) == 1:
-        return at.select(*kept, "tokens", place, F.lit(widths[0]).alias("width"), seed(widths[0]).alias("seed"))
-    fits = [F.when(F.col(place) + w <= F.size("tokens"), F.struct(F.lit(w).alias("width"), seed(w).alias("seed"))) for w in widths]
-    return at.select(*kept, "tokens", place, F.inline(F.array(*fits))).where("seed is not null")
+def _seeds(rows: DataFrame, masks: list[tuple[int, ...]], kept: list[str], place: str) -> DataFrame:
+    """rows (with `tokens`) to one row for each position and mask that fits: kept columns, tokens, place, mask, span, seed."""
+    least = min(m[-1] for m in masks) + 1
+    at = rows.where(F.size("tokens") >= least).select(*kept, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - least)).alias(place))
+
+    def one(nth: int, mask: tuple[int, ...]) -> Column:
+        seed = F.xxhash64(F.lit(nth), *[F.get("tokens", F.col(place) + k) for k in mask])
+        row = F.struct(F.lit(nth).alias("mask"), F.lit(mask[-1] + 1).alias("span"), seed.alias("seed"))
+        return F.when(F.col(place) + mask[-1] < F.size("tokens"), row)
+
+    return at.select(*kept, "tokens", place, F.inline(F.array(*[one(*m) for m in enumerate(masks)]))).where("seed is not null")
+
+
+def _second(span: Column, place: str) -> Column:
+    """(distance, key) for the words around a place with a seed: all that a window or run which holds the seed can hold."""
+    around = F.sequence(span - OVERLAP, F.lit(OVERLAP - 1))
+    word = lambda d: F.get("tokens", F.col(place) + d)
+    key = lambda d: F.when((F.col(place) + d >= 0) & (F.col(place) + d < F.size("tokens")), F.xxhash64("seed", d, word(d)))
+    return F.array_compact(F.transform(around, key))
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, seed_rows: int) -> DataFrame:
-    """(doc_id, text) and (item_id, text) to (doc_id, tag, item_id, first_word, last_word, match) of every hit that stands."""
+    """(doc_id, text) and (item_id, text) to (doc_id, tag, item_id, i, j, first_word, last_word, match) of every hit that stands."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     items = items.select(F.xxhash64("item_id", "tokens").alias("item"), "item_id", "tokens").dropDuplicates(["item"])
-    size = F.least(F.size("tokens"), F.lit(OVERLAP))
-    own = F.element_at(F.array(*[F.lit(span(n)) for n in range(1, OVERLAP + 1)]), size)
-    items = materialise(items.withColumn("own", own))
-    widths = sorted(r["own"] for r in items.select("own").distinct().collect()) or [span(OVERLAP)]  # a few numbers
-    seeds = materialise(_seeds(items, widths, ["item", "own"], "j").where("width = own").select("seed", "item", "j"))
+    items = materialise(items.withColumn("size", F.least(F.size("tokens"), F.lit(OVERLAP))))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [OVERLAP]  # at most OVERLAP numbers
+    masks = sorted({m for n in sizes for m in masks_of(n)})
+    own = F.element_at(F.create_map(*[x for n in sizes for x in (F.lit(n), F.array(*[F.lit(masks.index(m)) for m in masks_of(n)]))]), F.col("size"))
+    seeds = _seeds(items, masks, ["item", "size"], "j").where(F.array_contains(own, F.col("mask")))
+    counts = seeds.groupBy("seed").agg(F.count("*").alias("places")).where(F.col("places") > HOT)
+    seeds = materialise(seeds.join(counts, "seed", "left"))
+    hot = seeds.where("places is not null").select("seed", "item", "j", "span", "size", "tokens", F.explode(_second(F.col("span"), "j")).alias("key"))
+    crowded = hot.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    hot = materialise(hot.join(crowded, "key", "left").select("key", "seed", "item", "j", "size", F.col("n").isNotNull().alias("crowded")))
+    second = materialise(hot.where("not crowded").select("key", F.col("item").alias("item2"), F.col("j").alias("j2")))
+    # An item that could agree in words alone which many share keeps its own row of the seed. The mask's words are among them.
+    enough = F.least(F.lit(VERBATIM), F.element_at(F.array(*[F.lit(agreeing(n)) for n in range(1, OVERLAP + 1)]), F.col("size")))
+    shared = hot.groupBy("seed", "item", "j").agg(F.count_if("crowded").alias("n"), F.first("size").alias("size")).where(F.col("n") >= enough)
+    places = seeds.where("places is null").select("seed", "item", "j").unionByName(shared.select("seed", "item", "j"))
+    places = materialise(places.unionByName(seeds.where("places is not null").select("seed", F.lit(None).cast("long").alias("item"), F.lit(None).cast("int").alias("j")).distinct()))
+
     known = items.select("item", "item_id", F.col("tokens").alias("passage"))
     known = broadcast_if_small(known, known.agg(F.sum(F.size("passage"))).first()[0] or 0, ITEM_WORDS)
     texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("tokens"))
-    if seeds.count() <= seed_rows:
-        hits = _seeds(texts, widths, ["doc_id", "tag"], "i").join(F.broadcast(seeds), "seed")
+    few = places.count() + second.count() <= seed_rows
+    own_key = F.when(F.col("item").isNull(), _second(F.col("span"), "i")).otherwise(F.array(F.lit(None).cast("long")))
+    if few:
+        hits = _seeds(texts, masks, ["doc_id", "tag"], "i").join(F.broadcast(places), "seed")
+        hits = hits.select("doc_id", "tag", "tokens", "i", "span", "item", "j", F.explode(own_key).alias("key")).join(F.broadcast(second), "key", "left")
     else:
-        # A seed that many texts share is dealt to SALTS tasks; the benchmark's seeds are copied to each.
-        salt = F.pmod(F.xxhash64("tag", "i"), F.lit(SALTS)).cast("int")
-        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        places = _seeds(texts, widths, ["doc_id", "tag"], "i").select("doc_id", "tag", "i", "width", "seed", salt.alias("salt")).join(salted, ["seed", "salt"]).alias("p")
-        again = texts.alias("t")
-        same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.tag") == F.col("t.tag"))
-        hits = places.join(again.dropDuplicates(["doc_id", "tag"]), same).select("p.*", "t.tokens")
+        thin = _seeds(texts, masks, ["doc_id", "tag"], "i").select("doc_id", "tag", "i", "span", "seed").join(places, "seed")
+        thin = materialise(thin)
+        pairs = materialise(thin.select("doc_id", "tag").distinct())
+        again = with_pairs(tagged(docs, F.col("text")), pairs, "left_semi").dropDuplicates(["doc_id", "__tag"])
+        again = again.select(F.col("doc_id").alias("__doc"), "__tag", tokens(F.col("text")).alias("tokens"))
+        hits = thin.join(again, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("tag") == F.col("__tag"))).drop("__doc", "__tag")
+        hits = hits.select("doc_id", "tag", "tokens", "i", "span", "item", "j", F.explode(own_key).alias("key"))
+        plain = hits.where("key is null").withColumns({"item2": F.lit(None).cast("long"), "j2": F.lit(None).cast("int")})
+        hits = plain.unionByName(hits.where("key is not null").join(second, "key"))
+    hits = hits.select("doc_id", "tag", "tokens", "i", "span", F.coalesce("item", "item2").alias("item"), F.coalesce("j", "j2").alias("j")).where("item is not null")
     # Of a hit's text only the words around it go on: in compiled code the rows of a text's hits are held at once.
     low = F.greatest(F.lit(0), F.col("i") - OVERLAP)
     near = F.slice("tokens", low + 1, F.lit(2 * OVERLAP + VERBATIM)).alias("near")
-    hits = hits.select("doc_id", "tag", "item", "i", "j", "width", low.alias("low"), near, F.size("tokens").alias("n"))
+    hits = hits.select("doc_id", "tag", "item", "i", "j", F.col("span").alias("width"), low.alias("low"), near, F.size("tokens").alias("n"))
     return _verified(hits.join(known, "item"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, seed_rows: int = SEED_ROWS) -> DataFrame:
     """(doc_id, text) and (item_id, text) to (doc_id, item_id, n_hits, first_word, last_word, match)."""
     return _found(docs, benchmark, seed_rows).groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_hits"), F.min("first_word").cast("long").alias("first_word"), F.max("last_word").cast("long").alias("last_word"), F.max("match").alias("match")
+        F.count_distinct("tag", "i", "j").alias("n_hits"), F.min("first_word").cast("long").alias("first_word"), F.max("last_word").cast("long").alias("last_word"), F.max("match").alias("match")
     )
 
 
@@ -103,7 +157,7 @@ def _verified(hits: DataFrame) -> DataFrame:
     short = length < OVERLAP
     width = F.col("width")
     base = F.when(short, F.lit(0)).otherwise(F.col("j") + width - OVERLAP)
-    hits = hits.select("doc_id", "tag", "item_id", "near", "low", "n", "passage", "j", "width", shift.alias("shift"), base.alias("base"))
+    hits = hits.select("doc_id", "tag", "item_id", "i", "near", "low", "n", "passage", "j", "width", shift.alias("shift"), base.alias("base"))
     # Bit k tells whether word base + k agrees.
     same = lambda p: (p >= 0) & (F.col("shift") + p >= 0) & F.coalesce(F.get("near", F.col("shift") + p - F.col("low")) == F.get("passage", p), F.lit(False))
     bits = F.aggregate(
@@ -121,7 +175,7 @@ def _verified(hits: DataFrame) -> DataFrame:
     hits = hits.withColumn("match", match).where((F.col("match") >= LEAST_MATCH) | F.col("run"))
     start = F.greatest(F.lit(0), F.least(F.col("base") - F.col("best.s"), length - F.col("size")))
     first = F.greatest(F.lit(0), F.col("shift") + start)
-    return hits.select("doc_id", "tag", "item_id", first.alias("first_word"), (F.least(n, F.col("shift") + start + F.col("size")) - 1).alias("last_word"), "match")
+    return hits.select("doc_id", "tag", "item_id", "i", "j", first.alias("first_word"), (F.least(n, F.col("shift") + start + F.col("size")) - 1).alias("last_word"), "match")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

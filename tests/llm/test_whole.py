@@ -4,9 +4,10 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandflow.llm import decontaminate, licenses, resemblance
+from strandflow.llm import decontaminate, licenses, resemblance, substring
 from strandflow.llm.common import id_and_text
 from tests.llm.conftest import prose
 
@@ -88,6 +89,43 @@ def test_overlaps_with_any_words_replaced(spark, docs_of, rng, seeds):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == expected
 
 
+def test_masks_serve_every_way_to_lose_words():
+    for n in range(1, 21):
+        masks, agree = decontaminate.masks_of(n), decontaminate.agreeing(n)
+        fits = [{at + k for k in m} for m in masks for at in range(n - m[-1])]
+        assert all(any(fit <= set(kept) for fit in fits) for kept in combinations(range(n), agree))
+        assert n < 3 or all(len(m) < m[-1] + 1 for m in masks)  # positions inside are ignored
+        assert n < 10 or all(m[-1] < decontaminate.VERBATIM for m in masks)
+
+
+@pytest.mark.parametrize("seeds", [decontaminate.SEED_ROWS, 0])
+def test_items_that_share_words(spark, docs_of, rng, seeds):
+    """Seeds of many items: phrases of 7 and of 14 words that 30 items begin with, items that are nearly alike, short items."""
+    long, short = [f"p{k}" for k in range(14)], [f"q{k}" for k in range(7)]
+    passages = [[*long, *prose(rng, 16).split()] for _ in range(30)] + [[*short, *prose(rng, 20).split()] for _ in range(30)]
+    alike = prose(rng, 22).split()
+    passages += [[*alike[:k], "other", *alike[k + 1 :]] for k in range(20)] + [[f"t{k % 2}", "u", "v"] for k in range(20)]
+    texts = [p[:] for p in passages]
+    for p in texts[:60]:
+        for k in rng.sample(range(4, len(p)), rng.randrange(12)):
+            p[k] = "x"
+    texts += [[*long[:k], "y", *long[k + 1 :]] for k in range(14)] + [long, short, alike, ["t0", "u", "v", "t1", "u"]] + [[*short, *prose(rng, 20).split()] for _ in range(200)]
+    rows = [(i, " ".join([*prose(rng, 3).split(), *p, *prose(rng, rng.randrange(3)).split()])) for i, p in enumerate(texts)]
+
+    def overlap(words, passage):
+        n = min(len(passage), 20)
+        for shift in range(-len(words), len(passage)):
+            same = [0 <= k - shift < len(words) and words[k - shift] == w for k, w in enumerate(passage)]
+            if any(sum(same[a : a + n]) >= decontaminate.agreeing(n) for a in range(len(passage) - n + 1)) or any(all(same[a : a + 10]) for a in range(len(passage) - 9)):
+                return True
+        return False
+
+    expected = {(i, j) for i, text in rows for j, p in enumerate(passages) if overlap(text.split(), p)}
+    benchmark = spark.createDataFrame([(j, " ".join(p)) for j, p in enumerate(passages)], "item_id long, text string")
+    found = decontaminate.overlaps(id_and_text(docs_of(rows)), benchmark, seeds).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected and len(expected) > 500
+
+
 def test_only_the_overlapping_row_goes(spark, docs_of, rng):
     item = prose(rng, 25)
     rows = [(None, item), (None, "clean words"), (7, item), (7, "clean words"), (None, None)]
@@ -108,3 +146,15 @@ def test_pipeline_of_odd_rows(spark, docs_of, odd_rows, rng, tmp_path):
     docs_of(rows).limit(0).write.parquet(str(empty / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_rows_that_share_an_id_and_32_bits_of_hash(spark, docs_of):
+    """Two texts without id, a long one whose end repeats a passage and a short one of its own, that F.hash() does not tell apart."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    own = lambda letter, n: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.concat(F.lit(letter), F.col("id"), F.lit("x"), k)), " ")
+    ids = spark.range(150_000)
+    short = ids.select(own("s", 22).alias("short")).withColumn("h", F.hash("short"))
+    long = ids.select(F.concat(own("l", 25), F.lit(f" {passage}")).alias("long")).withColumn("h", F.hash("long"))
+    pair = short.join(long, "h").first()
+    found = {r["kept_text"]: (r["n_words"], r["n_removed"]) for r in substring.dedup(id_and_text(docs_of([(1, passage), (None, pair["long"]), (None, pair["short"])]))).collect()}
+    assert found == {passage: (20, 0), pair["short"]: (22, 0), pair["long"].removesuffix(f" {passage}"): (45, 20)}
