@@ -50,8 +50,7 @@ def gene_length_segments(features: DataFrame, keys: Sequence[str], length: Colum
     plus = intervals.to_plus_frame(features.where("type = 'transcript'"))
     clipped = intervals.clip(plus, F.lit(0), length if length is not None else F.lit((1 << 62))).select(*keys, "p_start", "p_end", "full_length")
     runs = intervals.depth(clipped, keys, width=width).drop("depth")
-    over = intervals.range_join(runs, clipped, keys, ("start", "end"), ("p_start", "p_end"), width)
-    return over.groupBy(*keys, "start", "end").agg(F.max("full_length").alias("gene_length"))
+    return intervals.greatest_over(runs, clipped, keys, "full_length").select(*keys, "start", "end", F.col("full_length").alias("gene_length"))
 
 
 def class_of(transcript: Column, cds: Column, intron: Column) -> Column:
@@ -97,6 +96,35 @@ def phase_counts(cds: DataFrame, keys: Sequence[str], phase: Column, start: str
     return cds.where(n > 0).select(*keys, F.inline(of)).groupBy(*keys, "base_phase").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def coding_pieces(cds: DataFrame, introns: DataFrame, keys: Sequence[str], width: int = intervals.BIN) -> DataFrame:
+    """Coding features (keys, is_plus, p_start, p_end, ...) cut where introns (keys, p_start, p_end) lie over them: a row for each
+    piece, with start, end and `offset`, the feature's coding bases before the piece in reading direction. No base is made a row."""
+    covered = union_of(introns, keys, width=width).withColumnsRenamed({"start": "i_start", "end": "i_end"})
+    names = [c for c in cds.columns if c not in keys]
+    feature = F.struct(*names)
+    spans = cds.where("p_start < p_end").select(*keys, feature.alias("__f"), "p_start", "p_end")
+    over = intervals.range_join(spans, covered, keys, ("p_start", "p_end"), ("i_start", "i_end"), width)
+    cuts = over.select(*keys, "__f", "p_start", F.greatest("i_start", "p_start").alias("low"), F.least("i_end", "p_end").alias("high"))
+    cuts = cuts.unionByName(spans.select(*keys, "__f", "p_start", F.col("p_end").alias("low"), F.col("p_end").alias("high")))
+    along = Window.partitionBy(*keys, "__f").orderBy("low", "high")
+    pieces = cuts.withColumn("start", F.coalesce(F.lag("high").over(along), "p_start")).withColumn("end", F.col("low")).where(F.col("start") < F.col("end"))
+    before = lambda w: F.coalesce(F.sum(F.col("end") - F.col("start")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = Window.partitionBy(*keys, "__f")
+    forward = F.col("is_plus" if "is_plus" in keys else "__f.is_plus")
+    offset = F.when(forward, before(by.orderBy("start"))).otherwise(before(by.orderBy(F.desc("start"))))
+    return pieces.select(*keys, "__f.*", "start", "end", offset.alias("offset"))
+
+
+def phase_positions(pieces: DataFrame, phase: Column) -> DataFrame:
+    """Pieces, with a row for each phase that occurs in them: base_phase, n, and the first and last position of that phase."""
+    n = F.col("end") - F.col("start")
+    first = lambda r: F.pmod(phase - F.col("offset") - r, F.lit(3))  # noqa: E731  # the first base of the piece, from 0, of phase r
+    found = lambda r: F.floor((n - first(r) + 2) / 3)
+    place = lambda r, k: F.when(F.col("is_plus"), F.col("start") + first(r) + 3 * k).otherwise(F.col("end") - 1 - first(r) - 3 * k)
+    of = [F.struct(F.lit(r).cast("long").alias("base_phase"), found(r).alias("n"), place(r, F.lit(0)).alias("first"), place(r, found(r) - 1).alias("last")) for r in range(3)]
+    return pieces.select("*", F.inline(F.array(*of))).where("n > 0")
+
+
 def union_of(df: DataFrame, keys: Sequence[str], start: str = "p_start", end: str = "p_end", width: int = intervals.BIN) -> DataFrame:
     """(keys, start, end): maximal covered stretches. Intervals with the same start are one before they are shuffled, so a
     bin of starts has at most `width` rows, and how far those before it reach is carried in."""

@@ -48,14 +48,25 @@ def strand_mates(chunks: DataFrame, keys: Sequence[str] = ("species", "seqid"))
     return plus.join(minus, [*keys, "start", "end"])
 
 
-def gene_wise(bases: DataFrame, genes: DataFrame, keys: Sequence[str], width: int = intervals.BIN) -> DataFrame:
+def gene_wise(bases: DataFrame, genes: DataFrame, keys: Sequence[str], width: int = intervals.BIN, n_classes: int = 4) -> DataFrame:
     """Scores of each gene over the bases within its borders; genes without an unmasked base are left out.
 
-    bases: keys, pos, ref, pred, sample_weight; genes: keys, gene, start, end.
+    bases: keys, pos, ref, pred, sample_weight; genes: keys, gene, start, end. Matrices are summed along a sequence, in bins, and
+    read at both borders of a gene, so the cost follows bases and genes, and not how many genes lie over a base.
     """
-    counted = bases.where("sample_weight <> 0").groupBy(*keys, "pos", "ref", "pred").agg(F.count("*").alias("n"))
-    points = counted.select(*keys, F.col("pos").alias("b_start"), (F.col("pos") + 1).alias("b_end"), "ref", "pred", "n")
-    spans = genes.select(*keys, "gene", F.col("start").alias("g_start"), F.col("end").alias("g_end"))
-    inside = intervals.range_join(points, spans, keys, ("b_start", "b_end"), ("g_start", "g_end"), width)
-    cm = metrics.confusion(inside, 4, [*keys, "gene"], n="n")
-    return metrics.score(cm, metrics.class_cells(metrics.GENIC) | metrics.genic_composites(), [*keys, "gene"])
+    cells = [(r, p) for r in range(n_classes) for p in range(n_classes)]
+    names = [f"c{r}_{p}" for r, p in cells]
+    in_cell = [F.count_if((F.col("ref") == r) & (F.col("pred") == p)).alias(n) for (r, p), n in zip(cells, names, strict=True)]
+    counted = bases.where("sample_weight <> 0").groupBy(*keys, F.col("pos").cast("long").alias("pos")).agg(*in_cell)
+    # A border comes before the base at its place: it reads what lies before it.
+    borders = F.inline(F.array(*[F.struct(F.col(c).cast("long").alias("pos"), F.lit(sign).alias("sign")) for c, sign in (("start", -1), ("end", 1))]))
+    marks = genes.where("start < end").select(*keys, "gene", borders)
+    rows = marks.unionByName(counted.withColumn("sign", F.lit(2)), allowMissingColumns=True).withColumn("__bin", F.floor(F.col("pos") / width))
+    at = [*keys, "__bin"]
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*at).orderBy("pos", "sign").rowsBetween(Window.unboundedPreceding, 0)
+    bins = rows.groupBy(*at).agg(*[F.sum(n).alias(n) for n in names]).select(*at, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in names])
+    running = [(F.coalesce(F.sum(n).over(within), F.lit(0)) + F.col(f"{n}_before")).alias(n) for n in names]
+    read = rows.join(bins, at).select(*keys, "gene", "sign", *running).where("sign < 2")
+    wide = read.groupBy(*keys, "gene").agg(*[F.sum(F.col(n) * F.col("sign")).alias(n) for n in names])
+    return metrics.wide_scores(wide, metrics.class_cells(metrics.GENIC) | metrics.genic_composites(), [*keys, "gene"], names)

@@ -78,6 +78,42 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple[
     return a.join(b, [*keys, "bin"]).where(overlap & once).drop("bin")
 
 
+def dyadic_nodes(start: Column, end: Column) -> Column:
+    """An interval cut into dyadic nodes, [node * 2**level, (node + 1) * 2**level): an array of (level, node), at most two of a level."""
+    shifted = lambda x, level: F.call_function("shiftright", x, level)
+
+    def of_level(level: Column) -> Column:
+        low, high = -shifted(-start, level), shifted(end, level)
+        own = lambda odd, node: F.when((low < high) & (odd % 2 != 0), F.struct(level.alias("level"), node.alias("node")))
+        return F.array(own(low, low), own(high, high - 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2(end - start)).cast("int")), of_level)))
+
+
+def greatest_over(stretches: DataFrame, spans: DataFrame, keys: Sequence[str], value: str, start: str = "p_start", end: str = "p_end", levels: int = 16) -> DataFrame:
+    """Stretches (keys, start, end, ...) of which no border of a span lies inside, with the greatest value of the spans over
+    each; stretches under no span go. spans: keys, start, end, value, as named.
+
+    Each span is cut into dyadic nodes, and of a node only its greatest value is kept, so spans that lie over each other cost
+    nothing more. A stretch looks up the nodes of its first position: those of the lower levels on its own, those of higher
+    ones, which many stretches share, once for its bin of 2**levels positions. So no node is joined to more than a bin's rows.
+    """
+    by = [*keys, "level", "node"]
+    cut = spans.where(F.col(start) < F.col(end)).select(*keys, F.col(value).alias("__value"), F.inline(dyadic_nodes(F.col(start).cast("long"), F.col(end).cast("long"))))
+    nodes = cut.groupBy(*by).agg(F.max("__value").alias("__value"))
+    longest = spans.agg(F.max(F.col(end) - F.col(start))).first()[0] or 1
+    top = max(0, int(longest).bit_length() - 1)
+    low = min(levels - 1, top)
+    rows = stretches.withColumn("__bin", F.floor(F.col("start") / (1 << levels)))
+    up = lambda df, at, first, last, less: df.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("node", F.call_function("shiftright", at, F.col("level") - less))
+    near = up(rows, F.col("start").cast("long"), 0, low, 0).join(nodes, by)
+    if top >= levels:
+        bins = up(rows.select(*keys, "__bin").distinct(), F.col("__bin").cast("long"), levels, top, levels)
+        far = bins.join(nodes, by).groupBy(*keys, "__bin").agg(F.max("__value").alias("__value"))
+        near = near.drop("level", "node").unionByName(rows.join(far, [*keys, "__bin"]))
+    return near.groupBy(*stretches.columns).agg(F.max("__value").alias(value))
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Column, name: str = "island") -> DataFrame:
     """Rows numbered by run: a row where `breaks` holds begins a new one. `breaks` may use lag() over the same order."""
     window = Window.partitionBy(*keys).orderBy(*order)

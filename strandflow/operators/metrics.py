@@ -77,6 +77,16 @@ def score(cm: DataFrame, cells: dict[str, tuple[Cells, Cells, Cells]], by: Seque
     return rows.select("*", scores.precision(tp, fp).alias("precision"), scores.recall(tp, fn).alias("recall"), scores.f1(tp, fp, fn).alias("f1"))
 
 
+def wide_scores(wide: DataFrame, cells: dict[str, tuple[Cells, Cells, Cells]], by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The same from matrices that are one row each, with a column c{ref}_{pred} for each cell; empty matrices go."""
+    total = lambda columns: sum((F.col(c) for c in columns), F.lit(0)).cast("long")
+    count = lambda chosen: total(f"c{r}_{p}" for r, p in chosen)
+    each = F.array(*[F.struct(F.lit(name).alias("name"), count(tp).alias("tp"), count(fp).alias("fp"), count(fn).alias("fn")) for name, (tp, fp, fn) in cells.items()])
+    rows = wide.where(total(names) > 0).select(*by, F.inline(each))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return rows.select("*", scores.precision(tp, fp).alias("precision"), scores.recall(tp, fn).alias("recall"), scores.f1(tp, fp, fn).alias("f1"))
+
+
 def accuracy(cm: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     right = F.sum(F.when(F.col("ref") == F.col("pred"), F.col("n")).otherwise(0))
     return cm.groupBy(*by).agg(F.try_divide(right.cast("double"), F.sum("n")).alias("accuracy"), F.sum("n").cast("long").alias("n"))

@@ -92,7 +92,7 @@ def cuts(bases: DataFrame, keys: Sequence[str], value: str, step: Column, most:
     named = bases.select(*keys, "r_start", "r_end", "pos", F.col(value).cast("double").alias("__v"), step.cast("long").alias("__step"), most.cast("long").alias("most"))
     rows = scans.with_before(scans.binned(named, "pos", width), keys, "pos", ["r_start", "__v"], "__before")
     change = F.when(F.col("__before.r_start") == F.col("r_start"), F.abs(F.col("__v") - F.col("__before.__v"))).otherwise(0.0)
-    whole = lambda x: F.round(x * unit).cast("long")
+    whole = lambda x: F.floor(x * unit + 0.5).cast("long")
     summed = scans.with_running(rows.withColumn("__change", whole(change)).drop("__before"), keys, "pos", F.col("__change"), "changed")
     summed = scans.with_running(summed, keys, "pos", whole(F.col("__v")), "__total")
     place, last = F.col("pos") - F.col("r_start"), F.col("r_end") - F.col("r_start") - pad

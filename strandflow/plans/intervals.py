@@ -124,6 +124,23 @@ def cds_phase(t: Tables) -> DataFrame:
     return A.phase_counts(cds, ["is_plus"], F.col("phase"))
 
 
+@query(
+    "cds_phase_spliced",
+    f"""WITH {FEATURES}, f AS (SELECT DISTINCT seqid, gene, transcript, is_plus, phase, p_start, p_end FROM features WHERE type = 'cds'),
+    i AS (SELECT DISTINCT seqid, is_plus, unnest(range(p_start, p_end)) AS pos FROM features WHERE type = 'intron'),
+    b AS (SELECT *, unnest(range(p_start, p_end)) AS pos FROM f),
+    c AS (SELECT b.* FROM b ANTI JOIN i USING (seqid, is_plus, pos)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY seqid, gene, transcript, is_plus, phase, p_start, p_end ORDER BY CASE WHEN is_plus THEN pos ELSE -pos END) - 1 AS k FROM c)
+    SELECT seqid, is_plus, CAST(((phase - k) % 3 + 3) % 3 AS BIGINT) AS base_phase, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM k GROUP BY ALL""",
+)
+def cds_phase_spliced(t: Tables) -> DataFrame:
+    key = ["seqid", "is_plus"]
+    cds = _plus(t).where("type = 'cds'").select(*key, "gene", "transcript", "phase", "p_start", "p_end").distinct()
+    introns = _plus(t).where("type = 'intron'").select(*key, "p_start", "p_end")
+    found = A.phase_positions(A.coding_pieces(cds, introns, key), F.col("phase"))
+    return found.groupBy(*key, "base_phase").agg(F.sum("n").alias("n"), F.sum((F.col("first") + F.col("last")) * F.col("n") / 2).cast("long").alias("places"))
+
+
 @query(
     "contig_segments",
     f"""WITH {_GRID}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY seqid ORDER BY NOT is_plus, chunk_idx) - 1 AS BIGINT) AS row_id FROM grid),

@@ -151,6 +151,25 @@ def divvy_hints(t: Tables) -> DataFrame:
     return cut.withColumn("score", F.round("score", 8))
 
 
+@query(
+    "region_cuts",
+    f"""WITH RECURSIVE {TRACK}, v AS (SELECT seqid, list(least(1.0, value / 60) ORDER BY pos) AS p FROM track GROUP BY seqid HAVING count(*) > 4),
+    d AS (SELECT seqid, p, list_prepend(0, list_transform(range(2, len(p) + 1), lambda i: CAST(floor(abs(p[i] - p[i - 1]) * 4294967296 + 0.5) AS BIGINT))) AS d FROM v),
+    c AS (SELECT seqid, p, len(p) - 2 AS n, list_transform(range(1, len(p) + 1), lambda i: list_sum(d[1:i])) AS cum FROM d),
+    f(seqid, p, n, cum, i, prior, base, e, hit, s) AS (
+      SELECT seqid, p, n, cum, 2, 2, cum[3], CAST(NULL AS INTEGER), false, CAST(NULL AS INTEGER) FROM c
+      UNION ALL
+      SELECT seqid, p, n, cum, i + 3, CASE WHEN y THEN e2 ELSE prior END, CASE WHEN y THEN cum[e2 + 1] ELSE base END, e2, y, prior FROM (
+        SELECT *, (cum[e2 + 1] - base > {int(0.8 * (1 << 32))} OR e2 - prior > 12 OR e2 = n) AS y FROM (SELECT seqid, p, n, cum, i, prior, base, least(i + 3, n) AS e2 FROM f WHERE i < n)))
+    SELECT seqid, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", round(list_sum(p[s + 1:e]) / (e - s), 6) AS score FROM f WHERE hit""",
+)
+def region_cuts(t: Tables) -> DataFrame:
+    rows = track(t).select("seqid", "pos", F.least(F.lit(1.0), F.col("value") / 60).alias("v"))
+    sizes = rows.groupBy("seqid").agg(F.lit(0).cast("long").alias("r_start"), F.count("*").alias("r_end"))
+    cut = S.cuts(rows.join(sizes, "seqid"), ["seqid"], "v", F.lit(3), F.lit(12), reach=15, pad=2, stable=0.8)
+    return cut.select("seqid", "start", "end", F.round("score", 6).alias("score"))
+
+
 @query(
     "stretch_weights",
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.2 THEN 8.0 WHEN x > 0.15 THEN 3.0 ELSE 1.0 END) AS w FROM embeddings),

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -203,3 +204,47 @@ def test_phases_from_lengths(spark):
         for k in range(end - start):
             want[f, (phase - k) % 3] = want.get((f, (phase - k) % 3), 0) + 1
     assert {(r["f"], r["base_phase"]): r["n"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("levels", [3, 16])
+def test_greatest_over_stretches(spark, levels):
+    import random
+
+    rng = random.Random(levels)
+    spans = [(0, 5 * i, 4000 - 3 * i, i) for i in range(400)] + [(0, -40, 3, 7), (1, 5, 5, 1), (2, 9, 10, 4)]  # nested, and negative places
+    spans += [(k, s, s + rng.choice([1, 2, 9, 64, 700]), rng.randrange(1000)) for k in (3, 4) for s in rng.choices(range(2000), k=150)]
+    df = spark.createDataFrame(spans, "k int, p_start long, p_end long, v int")
+    runs = I.depth(df, ["k"]).drop("depth")
+    found = {(r["k"], r["start"]): r["v"] for r in I.greatest_over(runs, df, ["k"], "v", levels=levels).collect()}
+    want = {(r["k"], r["start"]): max(v for k, s, e, v in spans if k == r["k"] and s <= r["start"] < e) for r in runs.collect()}
+    assert found == want and len(want) > 800
+
+
+def test_dyadic_nodes_cover_a_span_once(spark):
+    cases = [(s, e) for s in range(-9, 12) for e in range(s + 1, s + 20)]
+    rows = spark.createDataFrame(cases, "s long, e long").select("s", "e", I.dyadic_nodes(F.col("s"), F.col("e")).alias("n")).collect()
+    for r in rows:
+        covered = sorted(p for level, node in r["n"] for p in range(node << level, (node + 1) << level))
+        assert covered == list(range(r["s"], r["e"]))
+
+
+@pytest.mark.parametrize("width", [7, 1 << 16])
+def test_scores_of_overlapping_genes(spark, width):
+    import random
+
+    from strandflow.operators import genes as G
+
+    rng = random.Random(width)
+    bases = [(k, p, rng.randrange(4), rng.randrange(4), rng.randrange(3)) for k in (1, 2) for p in range(0, 300, 1 + k) for _ in range(rng.randrange(3))]
+    genes = [(k, g, s, s + rng.choice([0, 1, 5, 60, 250])) for k in (1, 2, 3) for g, s in enumerate(rng.choices(range(-20, 320), k=40))]
+    found = G.gene_wise(spark.createDataFrame(bases, "k int, pos int, ref int, pred int, sample_weight int"), spark.createDataFrame(genes, "k int, gene int, start long, end long"), ["k"], width)
+    got = {(r["k"], r["gene"], r["name"]): (r["tp"], r["fp"], r["fn"]) for r in found.collect()}
+    want = {}
+    for k, g, s, e in genes:
+        inside = [(r, p) for q, pos, r, p, w in bases if q == k and w and s <= pos < e]
+        if inside:
+            count = lambda keep, inside=inside: sum(keep(r, p) for r, p in inside)
+            for c, name in enumerate(("ig", "utr", "exon", "intron")):
+                want[k, g, name] = (count(lambda r, p, c=c: r == p == c), count(lambda r, p, c=c: r != c and p == c), count(lambda r, p, c=c: r == c and p != c))
+            want[k, g, "legacy_cds"] = (count(lambda r, p: r >= 2 and p >= 2), count(lambda r, p: r < 2 <= p), count(lambda r, p: p < 2 <= r))
+    assert {x: v for x, v in got.items() if x[2] not in ("sub_genic", "genic")} == want
