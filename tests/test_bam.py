@@ -40,6 +40,28 @@ def record(name: str, ref: int, pos: int, flag: int, ops: list) -> bytes:
     return struct.pack("<i", len(data)) + data
 
 
+def csi(virtual: list[int], shift: int = 12, depth: int = 3) -> bytes:
+    """The index with bins of its own width, deflated: each bin has the offset of the first record over it."""
+    data = b"CSI\1" + struct.pack("<3i", shift, depth, 4) + b"aux!" + struct.pack("<i", len(LENGTHS))
+    for ref in range(len(LENGTHS)):
+        bins, first = {}, {}
+        for i, (_, r, pos, _, ops) in enumerate(alignments()):
+            if r != ref:
+                continue
+            end = pos + sum(n for n, op in ops if op in "MDN=X")
+            level = next(x for x in range(depth, -1, -1) if pos >> shift + 3 * (depth - x) == end - 1 >> shift + 3 * (depth - x))
+            number = lambda x, at: ((1 << 3 * x) - 1) // 7 + (at >> shift + 3 * (depth - x))
+            bins.setdefault(number(level, pos), []).append((virtual[i], virtual[i + 1]))
+            for x in range(depth + 1):
+                for at in range(pos >> shift + 3 * (depth - x), (end - 1 >> shift + 3 * (depth - x)) + 1):
+                    first.setdefault(((1 << 3 * x) - 1) // 7 + at, virtual[i])
+        data += struct.pack("<i", len(bins) + 1)
+        for number_, chunks in bins.items():
+            data += struct.pack("<IQi", number_, first[number_], len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        data += struct.pack("<IQi4Q", ((1 << 3 * (depth + 1)) - 1) // 7 + 1, 0, 2, 1, 2, 3, 4)
+    return b"".join(block(data[k : k + 500]) for k in range(0, len(data), 500)) + block(b"")
+
+
 @pytest.fixture(scope="module")
 def files(tmp_path_factory):
     """A file whose records cross the borders of blocks, its index, and the alignments as text."""
@@ -76,6 +98,8 @@ def files(tmp_path_factory):
         index += struct.pack("<i", max(first) + 1 if first else 0) + b"".join(struct.pack("<Q", first.get(w, 0)) for w in range(max(first, default=-1) + 1))
     (folder / "a.bam.bai").write_bytes(index)
     (folder / "bare.bam").write_bytes(out)
+    (folder / "long.bam").write_bytes(out)
+    (folder / "long.bam.csi").write_bytes(csi(virtual))
     names = [n for n, _ in LENGTHS] + ["*"]
     text = ["\t".join([q, str(f), names[ref], str(pos + 1), "9", "".join(f"{n}{op}" for n, op in ops) or "*", "*", "0", "0", "AC", "II"]) for q, ref, pos, f, ops in alignments()]
     (folder / "a.sam").write_text("\n".join(text) + "\n")
@@ -86,15 +110,15 @@ def rows(df) -> list[tuple]:
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["a.bam", "bare.bam"])
+@pytest.mark.parametrize("name", ["a.bam", "bare.bam", "long.bam"])
 def test_equals_the_text(spark, files, name):
     df = B.bam(spark, str(files / name), split=2000)
-    assert (df.rdd.getNumPartitions() > 3) == (name == "a.bam")
+    assert df.rdd.getNumPartitions() > 3
     assert rows(df) == rows(R.sam(spark, str(files / "a.sam")))
     assert [tuple(r) for r in B.bam_lengths(spark, str(files / name)).collect()] == LENGTHS
 
 
-@pytest.mark.parametrize("name", ["a.bam", "bare.bam"])
+@pytest.mark.parametrize("name", ["a.bam", "bare.bam", "long.bam"])
 @pytest.mark.parametrize("region", ["c1", "c1:1-1", "c1:60000-61000", "c1:199999-200000", "c2:20,001-40,000", "c2:49500", "c:3"])
 def test_regions(spark, files, name, region):
     ref, low, high = B.region_of(region, [n for n, _ in LENGTHS])
@@ -118,3 +142,46 @@ def test_refusals(spark, files, tmp_path):
     (tmp_path / "cut.bam").write_bytes((files / "a.bam").read_bytes()[:3000])
     with pytest.raises(Exception, match="ends within|deflated|incomplete|Error"):
         B.bam(spark, str(tmp_path / "cut.bam")).collect()
+
+
+@pytest.mark.parametrize("split", [1, 37, 500, 701, 5000, 1 << 20])
+def test_any_split_without_an_index_gives_each_record_once(files, split):
+    reader = B._BamReader({"path": str(files / "bare.bam"), "split": str(split)})
+    names = [r[0].as_py() for p in reader.partitions() for batch in reader.read(p) for r in zip(batch.column(0), strict=True)]
+    assert names == [a[0] for a in alignments()]
+
+
+def test_a_guess_is_a_record_of_the_index(files):
+    sequences, first = B.header(str(files / "bare.bam"))
+    guess = B.Guess(str(files / "bare.bam"), [n for _, n in sequences])
+    known = sorted({s for of in B.Index(str(files / "long.bam.csi")).starts for s in of} | {first})
+    size = (files / "bare.bam").stat().st_size
+    for offset in range(0, size, 97):
+        found = guess.record(offset, size)
+        assert found is None or found in known or found >= known[-1]
+    assert guess.record(size - 5, 1 << 62) is None
+
+
+def test_conditions_narrow_what_is_read(files):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan, StringContains
+
+    for name in ("a.bam", "long.bam", "bare.bam"):
+        whole = B._BamReader({"path": str(files / name), "split": "2000"})
+        some = B._NarrowedBamReader({"path": str(files / name), "split": "2000"})
+        filters = [EqualTo(("seqid",), "c2"), GreaterThanOrEqual(("pos",), 20_000), LessThan(("pos",), 30_000), StringContains(("qname",), "r")]
+        assert list(some.pushFilters(filters)) == filters
+        found = [q.as_py() for p in some.partitions() for batch in some.read(p) for q in batch.column(0)]
+        assert found == [q for q, ref, pos, *_ in alignments() if ref == 1 and 20_000 <= pos < 30_000]
+        assert name == "bare.bam" or len(some.partitions()) < len(whole.partitions())
+        both = B._NarrowedBamReader({"path": str(files / name), "split": "2000"})
+        list(both.pushFilters([In(("seqid",), ("c2", "*"))]))
+        assert {q.as_py() for p in both.partitions() for batch in both.read(p) for q in batch.column(0)} == {q for q, ref, *_ in alignments() if ref in (1, -1)}
+
+
+def test_pushed_filters_in_a_query(spark, files):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        found = B.bam(spark, str(files / "long.bam"), split=2000).where("seqid = 'c1' and pos >= 150000")
+        assert {r["qname"] for r in found.collect()} == {q for q, ref, pos, *_ in alignments() if ref == 0 and pos >= 150_000}
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
