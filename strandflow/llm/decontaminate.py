@@ -30,7 +30,7 @@ table; only id and text columns are used, so further columns cannot clash.
 from __future__ import annotations
 
 import math
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -78,15 +78,14 @@ def masks_of(n: int) -> tuple[tuple[int, ...], ...]:
 
 def _seeds(rows: DataFrame, masks: list[tuple[int, ...]], kept: list[str], place: str) -> DataFrame:
     """rows (with `tokens`) to one row for each position and mask that fits: kept columns, tokens, place, mask, span, seed."""
-    least = min(m[-1] for m in masks) + 1
-    at = rows.where(F.size("tokens") >= least).select(*kept, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - least)).alias(place))
-
-    def one(nth: int, mask: tuple[int, ...]) -> Column:
-        seed = F.xxhash64(F.lit(nth), *[F.get("tokens", F.col(place) + k) for k in mask])
-        row = F.struct(F.lit(nth).alias("mask"), F.lit(mask[-1] + 1).alias("span"), seed.alias("seed"))
-        return F.when(F.col(place) + mask[-1] < F.size("tokens"), row)
-
-    return at.select(*kept, "tokens", place, F.inline(F.array(*[one(*m) for m in enumerate(masks)]))).where("seed is not null")
+    least, many = min(m[-1] for m in masks) + 1, len(masks)
+    # Masks are numbered along with the positions: one generator, and no row is built for a seed before it is joined.
+    at = rows.where(F.size("tokens") >= least).select(*kept, "tokens", F.explode(F.sequence(F.lit(0), (F.size("tokens") - least + 1) * many - 1)).alias("__k"))
+    at = at.select(*kept, "tokens", F.floor(F.col("__k") / many).cast("int").alias(place), (F.col("__k") % many).alias("mask"))
+    of_mask = lambda of: reduce(lambda x, m: F.when(F.col("mask") == m[0], of(*m)).otherwise(x), list(enumerate(masks))[1:], of(0, masks[0]))
+    span = of_mask(lambda _, mask: F.lit(mask[-1] + 1))
+    seed = of_mask(lambda nth, mask: F.xxhash64(F.lit(nth), *[F.get("tokens", F.col(place) + k) for k in mask]))
+    return at.select(*kept, "tokens", place, "mask", span.alias("span"), seed.alias("seed")).where(F.col(place) + F.col("span") <= F.size("tokens"))
 
 
 def _second(span: Column, place: str) -> Column:
@@ -141,7 +140,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, seed_rows: int) -> DataFrame:
     low = F.greatest(F.lit(0), F.col("i") - OVERLAP)
     near = F.slice("tokens", low + 1, F.lit(2 * OVERLAP + VERBATIM)).alias("near")
     hits = hits.select("doc_id", "tag", "item", "i", "j", F.col("span").alias("width"), low.alias("low"), near, F.size("tokens").alias("n"))
-    return _verified(hits.join(known, "item"))
+    # Hits are written before they are compared, so that the pass over all positions stays one short piece of compiled code.
+    return _verified(materialise(hits).join(known, "item"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, seed_rows: int = SEED_ROWS) -> DataFrame:
@@ -165,12 +165,13 @@ def _verified(hits: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
         lambda x, k: F.shiftleft(x, 1).bitwiseOR(F.when(same(F.col("base") + (2 * OVERLAP - 1) - F.col("width") - k), F.lit(1)).otherwise(F.lit(0)).cast("long")),
     )
-    hits = hits.withColumn("bits", bits)
+    run = F.forall(F.sequence(F.col("j"), F.col("j") + (VERBATIM - 1)), same)
+    # A generator of one row keeps Spark from writing the comparison out anew for each of its uses below.
+    hits = hits.select("*", F.inline(F.array(F.struct(bits.alias("bits"), run.alias("run")))))
     within = lambda s: F.bit_count(F.shiftrightunsigned("bits", s).bitwiseAND(F.lit((1 << OVERLAP) - 1)))
     best = F.greatest(*[F.when(s <= OVERLAP - width, F.struct(within(s).alias("agree"), F.lit(-s).alias("s"))) for s in range(OVERLAP)])
     best = F.when(short, F.struct(within(0).alias("agree"), F.lit(0).alias("s"))).otherwise(best)
-    run = F.forall(F.sequence(F.col("j"), F.col("j") + (VERBATIM - 1)), same)
-    hits = hits.select("*", best.alias("best"), F.least(length, F.lit(OVERLAP)).alias("size"), run.alias("run"))
+    hits = hits.select("*", best.alias("best"), F.least(length, F.lit(OVERLAP)).alias("size"))
     match = F.col("best.agree") / F.col("size")
     hits = hits.withColumn("match", match).where((F.col("match") >= LEAST_MATCH) | F.col("run"))
     start = F.greatest(F.lit(0), F.least(F.col("base") - F.col("best.s"), length - F.col("size")))
