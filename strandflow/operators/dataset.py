@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandflow.functions.sequence import CODES, canonical
+from strandflow.operators.overlap import classes_of, mean_vector
 
 #: Letters of the longest k-mer that is counted by a code of 64 bits.
 MOST_MER = 16
@@ -75,9 +76,8 @@ def ensemble(predictions: Sequence[DataFrame], keys: Sequence[str], p: str = "p"
     rows = predictions[0]
     for more in predictions[1:]:
         rows = rows.unionByName(more)
-    flat = rows.select(*keys, "model", F.posexplode(p).alias("k", "x"))
-    means = flat.groupBy(*keys, "k").agg(F.avg("x").alias("x"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
-    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias(p), F.max("n").alias("n_models"), F.max("models").alias("models"))
+    mean = mean_vector(p, classes_of(predictions[0], p))
+    return rows.groupBy(*keys).agg(mean.alias(p), F.count("*").alias("n_models"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
 
 
 def sample(df: DataFrame, keys: Sequence[str], n: int, seed: str = "") -> DataFrame:

@@ -42,7 +42,7 @@ def predicted(sequences: DataFrame, load: Callable[[], Callable], n_classes: int
     flat = training.predict(dealt, load).drop("x")
     vectors = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.slice("p", i * n_classes + 1, F.lit(n_classes)))
     bases = flat.select(*keys, "w_start", "is_first", "is_last", F.posexplode(vectors).alias("off", "p"))
-    return overlap.overlap_mean(bases, keys, size, core).where("pos < length").select(*keys, "pos", "p")
+    return overlap.overlap_mean(bases, keys, size, core, n_classes=n_classes).where("pos < length").select(*keys, "pos", "p")
 
 
 def hints_of(track: DataFrame, source: str, width: int = intervals.BIN) -> DataFrame:

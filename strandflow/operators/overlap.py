@@ -32,17 +32,27 @@ def windows(ranges: DataFrame, size: int, offset: int, length: str = "length") -
     return rows.withColumn("w_end", F.col("w_start") + size).withColumn("is_first", F.col("w") == 0).withColumn("is_last", F.col("w") == F.size("__starts") - 1).drop("__starts")
 
 
-def overlap_mean(predictions: DataFrame, keys: Sequence[str], size: int, core: int, p: str = "p") -> DataFrame:
+def mean_vector(p: str, n_classes: int) -> Column:
+    """Mean of arrays of n_classes numbers, as an aggregate."""
+    return F.array(*[F.avg(F.get(p, F.lit(k))) for k in range(n_classes)])
+
+
+def classes_of(df: DataFrame, p: str) -> int:
+    """Length of the arrays of a column, from one row."""
+    first = df.select(F.size(p).alias("n")).first()
+    return first["n"] if first else 0
+
+
+def overlap_mean(predictions: DataFrame, keys: Sequence[str], size: int, core: int, p: str = "p", n_classes: int | None = None) -> DataFrame:
     """Mean vector at each position over the trimmed windows that cover it.
 
     predictions: keys, w_start, is_first, is_last, off, p. Windows lose (size - core) // 2 at either end, but not at the
-    outer edges of their range. The only shuffle is by position and combines in the tasks.
+    outer edges of their range. The one shuffle is by position and combines in the tasks. n_classes is read from a row if not given.
     """
     trim = (size - core) // 2
     kept = predictions.where((F.col("is_first") | (F.col("off") >= trim)) & (F.col("is_last") | (F.col("off") < size - trim)))
-    flat = kept.select(*keys, (F.col("w_start") + F.col("off")).alias("pos"), F.posexplode(p).alias("__k", "__x"))
-    means = flat.groupBy(*keys, "pos", "__k").agg(F.avg("__x").alias("__x"), F.count("*").alias("__n"))
-    return means.groupBy(*keys, "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__x"))), lambda s: s["__x"]).alias(p), F.max("__n").alias("n_windows"))
+    mean = mean_vector(p, n_classes or classes_of(predictions, p))
+    return kept.groupBy(*keys, (F.col("w_start") + F.col("off")).alias("pos")).agg(mean.alias(p), F.count("*").alias("n_windows"))
 
 
 def pool(df: DataFrame, keys: Sequence[str], size: int, length: Column, aggregates: Sequence[Column], off: str = "off") -> DataFrame:

@@ -77,8 +77,9 @@ def strand_slice(t: Tables) -> DataFrame:
     f"""WITH {_GRID} SELECT seqid, md5(lpad(reverse(substr(seq, "end" + 1, "start" - "end")), {CHUNK}, '-')) AS digest FROM grid WHERE NOT is_plus AND "start" = len""",
 )
 def reverse_pad_fix(t: Tables) -> DataFrame:
-    last = grid(t).where("not is_plus and start = length").withColumn("bases", F.split("seq", ""))
-    padded = last.select("seqid", "start", "end", C.pad(C.strand_slice(F.col("bases"), F.col("start"), F.col("end")), CHUNK, F.lit("-")).alias("x"))
+    last = grid(t).where("not is_plus and start = length")
+    bases = F.split(F.substring("seq", F.col("end").cast("int") + 1, (F.col("start") - F.col("end")).cast("int")), "")  # only these are cut into letters
+    padded = last.select("seqid", "start", "end", C.pad(F.reverse(bases), CHUNK, F.lit("-")).alias("x"))
     return padded.select("seqid", F.md5(F.array_join(C.padding_to_front(F.col("x"), F.col("start") - F.col("end")), "")).alias("digest"))
 
 
@@ -98,6 +99,18 @@ def kmer_canonical(t: Tables) -> DataFrame:
     return _mers(t)
 
 
+@query("kmer_pieces", f"""WITH {SEQUENCES}, mers AS (SELECT seqid, unnest(list_transform(range(1, length(seq) - 3), lambda i: substr(seq, i, 5))) AS mer FROM sequences)
+    SELECT mer, count(*) AS n, count(DISTINCT seqid) AS n_sequences FROM mers GROUP BY mer""")
+def kmer_pieces(t: Tables) -> DataFrame:
+    """Counts of five letters over sequences in pieces, of which none is a whole row."""
+    from strandflow.operators import pieces as P
+    from strandflow.operators.dataset import count_mers
+
+    cut = P.with_edges(P.cut(sequences(t).select("seqid", "seq"), ["seqid"], 1000, "seq"), ["seqid"], 4)
+    counted = count_mers(cut.select("seqid", F.col("bases").alias("seq")), ["seqid"], 5)
+    return counted.groupBy("mer").agg(F.sum("n").alias("n"), F.count("*").alias("n_sequences"))
+
+
 @query("kmer_fraction", f"WITH {_MERS} SELECT species, mer, round(n / sum(n) OVER (PARTITION BY species), 9) AS fraction FROM canon")
 def kmer_fraction(t: Tables) -> DataFrame:
     from strandflow.operators.dataset import fraction_of_total
@@ -107,9 +120,9 @@ def kmer_fraction(t: Tables) -> DataFrame:
 
 @query("drop_padding", f"""WITH {_GRID} SELECT seqid, CAST(sum(abs("end" - "start")) AS BIGINT) AS n_bases, CAST(sum({CHUNK} - abs("end" - "start")) AS BIGINT) AS n_padding FROM grid GROUP BY seqid""")
 def drop_padding(t: Tables) -> DataFrame:
-    offsets = grid(t).select("seqid", "start", "end", F.explode(F.sequence(F.lit(0), F.lit(CHUNK - 1))).alias("off"))
-    real = C.valid(F.col("off"), F.col("start"), F.col("end"))
-    return offsets.groupBy("seqid").agg(F.count_if(real).alias("n_bases"), F.count_if(~real).alias("n_padding"))
+    # What C.valid() says of each offset, counted: the first end - start offsets of a chunk are bases.
+    real = F.abs(F.col("end") - F.col("start"))
+    return grid(t).groupBy("seqid").agg(F.sum(real).alias("n_bases"), F.sum(CHUNK - real).alias("n_padding"))
 
 
 @query("chunk_flags", f"WITH {PAIRS} SELECT seqid, off, bool_or(weight <> 0) AS err_sample, bool_and(ref = 0) AS fully_intergenic, true AS is_annotated FROM pairs GROUP BY ALL")

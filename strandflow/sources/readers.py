@@ -6,10 +6,11 @@ import sqlite3
 from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandflow.operators import pieces
 from strandflow.operators.dataset import require_unique
 
 GFF_SCHEMA = "seqid string, source string, type string, start bigint, end bigint, score string, strand string, phase string, attributes string"
@@ -30,6 +31,35 @@ def fasta(spark: SparkSession, path: str | Sequence[str], unique: bool = True) -
     return require_unique(rows, ["seqid"]) if unique else rows
 
 
+def fasta_pieces(spark: SparkSession, path: str | Sequence[str], size: int = 1 << 20) -> DataFrame:
+    """(seqid, piece, offset, bases), upper case, with `size` bases in each piece but a record's last: no record is ever a row.
+
+    Lines are numbered within the blocks of bytes in which tasks read them; of each block only the last name and the numbers of
+    bases before and after its names go into the order of blocks, which tells every block what record and place it begins at.
+    A name that occurs in several records gives pieces that overlap; `pieces.lengths` and a count tell.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    name = F.when(F.startswith("value", F.lit(">")), F.get(F.split(F.trim(F.substring("value", 2, 1 << 20)), r"\s+"), F.lit(0)))
+    bases = F.when(name.isNull(), F.upper(F.regexp_replace("value", r"\s+", ""))).otherwise("")
+    rows = lines.select("file", "block", "line", name.alias("name"), bases.alias("bases"))
+    within = Window.partitionBy("file", "block").orderBy("line")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.select("*", F.last("name", ignorenulls=True).over(upto).alias("own"), F.count("name").over(upto).alias("nth"), F.length("bases").cast("long").alias("n"))
+    runs = placed.groupBy("file", "block", "nth").agg(F.max("own").alias("own"), F.sum("n").alias("n"))
+    last = runs.groupBy("file", "block").agg(F.max_by(F.struct("own", "n"), "nth").alias("last"))
+    # A block without a name goes on with the record before it: its bases are added up from the last block that has one.
+    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    named = last.select("file", "block", "last.own", "last.n", F.count("last.own").over(order).alias("group"), F.last("last.own", ignorenulls=True).over(order).alias("name"))
+    summed = named.withColumn("sum", F.sum("n").over(Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy("file").orderBy("block")
+    carried = summed.select("file", "block", F.lag("name").over(before).alias("b_name"), F.coalesce(F.lag("sum").over(before), F.lit(0)).alias("b_bases"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("file", "block", "nth").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = placed.withColumn("ahead", ahead).join(carried, ["file", "block"])
+    offset = F.col("ahead") + F.when(F.col("nth") == 0, F.col("b_bases")).otherwise(0)
+    parts = found.where("n > 0").select(F.coalesce("own", "b_name").alias("seqid"), offset.alias("offset"), "bases")
+    return pieces.joined(parts, ["seqid"], size)
+
+
 def gff3(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """The nine columns, with attributes as a map."""
     rows = spark.read.schema(GFF_SCHEMA).csv(path, sep="\t", comment="#", quote="")
