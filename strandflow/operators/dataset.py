@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandflow.functions.sequence import CODES, canonical
+from strandflow.operators import selection
 from strandflow.operators.overlap import classes_of, mean_vector
 
 #: Letters of the longest k-mer that is counted by a code of 64 bits.
@@ -80,10 +81,24 @@ def ensemble(predictions: Sequence[DataFrame], keys: Sequence[str], p: str = "p"
     return rows.groupBy(*keys).agg(mean.alias(p), F.count("*").alias("n_models"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
 
 
+#: Rows of a sample that one task may sort.
+SMALL_SAMPLE = 1000
+
+
 def sample(df: DataFrame, keys: Sequence[str], n: int, seed: str = "") -> DataFrame:
-    """n rows in an order that a hash of the key fixes: the same sample from any partitioning."""
+    """n rows (all, if there are fewer), those first in an order that a hash of the key fixes: the same sample from any
+    partitioning. For a larger n the n-th hash is found by counting, and rows are then taken where they are."""
     digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
-    return df.withColumn("__digest", digest).orderBy("__digest").limit(n).drop("__digest")
+    rows = df.withColumn("__digest", digest)
+    if n <= SMALL_SAMPLE:
+        return rows.orderBy("__digest").limit(n).drop("__digest")
+    rows = rows.withColumn("__key", F.conv(F.substring("__digest", 1, 13), 16, 10).cast("double"))  # 52 bits: whole in a double
+    last = selection.nth_values(rows, [], "__key", {"at": F.least(F.lit(n), F.col("n")) - 1}).first()
+    if last is None:
+        return df
+    below = rows.where(F.col("__key") < last["at"])
+    ties = rows.where(F.col("__key") == last["at"]).orderBy("__digest").limit(max(0, n - below.count()))
+    return below.unionByName(ties).drop("__digest", "__key")
 
 
 def epoch_order(df: DataFrame, keys: Sequence[str], seed: int, epoch: int) -> DataFrame:
@@ -213,3 +228,13 @@ def summary(df: DataFrame, by: Sequence[str], value: str, filters: dict[str, Col
         v = F.when(keep, F.col(value))
         out += [F.median(v).alias(f"{name}_median"), F.avg(v).alias(f"{name}_mean"), F.stddev_pop(v).alias(f"{name}_std")]
     return df.groupBy(*by).agg(*out)
+
+
+def large_summary(df: DataFrame, by: Sequence[str], value: str, filters: dict[str, Column]) -> DataFrame:
+    """The same for groups whose values no task should hold: medians are selected by histograms that are refined."""
+    tagged = F.array_compact(F.array(*[F.when(keep, F.lit(name)) for name, keep in filters.items()]))
+    rows = df.select(*by, F.col(value).alias("__x"), F.explode(tagged).alias("__filter"))
+    moments = df.groupBy(*by).agg(*[a(F.when(keep, F.col(value))).alias(f"{name}_{what}") for name, keep in filters.items() for what, a in (("mean", F.avg), ("std", F.stddev_pop))])
+    middle = selection.medians(rows, [*by, "__filter"], "__x")
+    wide = middle.groupBy(*by).agg(*[F.max(F.when(F.col("__filter") == name, F.col("median"))).alias(f"{name}_median") for name in filters])
+    return moments.join(wide, list(by), "left")

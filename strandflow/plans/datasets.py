@@ -306,7 +306,7 @@ def species_stats(t: Tables) -> DataFrame:
     round(avg(value) FILTER (WHERE user_id % 2 = 0), 9) AS held_out_mean, round(stddev_pop(value) FILTER (WHERE user_id % 2 = 0), 9) AS held_out_std FROM events GROUP BY event_type""",
 )
 def large_eval_summary(t: Tables) -> DataFrame:
-    found = D.summary(t.events, ["event_type"], "value", {"all": F.lit(True), "held_out": F.col("user_id") % 2 == 0})
+    found = D.large_summary(t.events, ["event_type"], "value", {"all": F.lit(True), "held_out": F.col("user_id") % 2 == 0})
     return found.select("event_type", *[F.round(c, 9).alias(c) for c in found.columns[1:]])
 
 
