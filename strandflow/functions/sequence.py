@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,19 +43,6 @@ def encode_all(seq: Column) -> Column:
     return F.transform(F.split(F.upper(seq), ""), lambda b: F.element_at(table, b))
 
 
-def count_of(seq: Column, base: str) -> Column:
-    """Number of a letter in a sequence."""
-    return F.length(seq) - F.length(F.replace(seq, F.lit(base), F.lit("")))
-
-
-def channel_sums(seq: Column) -> list[Column]:
-    """Sums over a sequence's vectors, by channel, from the numbers of its letters; an error for a letter that is no code."""
-    n = {b: count_of(F.upper(seq), b) for b in BASES}
-    every = reduce(lambda a, b: a + b, n.values())
-    sums = [reduce(lambda a, b: a + b, [n[b] * F.lit(v[i]) for b, v in BASES.items() if v[i]]) for i in range(4)]
-    return [F.when(every == F.length(seq), s).otherwise(F.raise_error(F.lit("no base in a sequence")).cast("double")) for s in sums]
-
-
 def decode(vector: Column) -> Column:
     """The code of a vector; null for padding."""
     text = lambda v: F.array_join(F.transform(v, lambda x: F.format_number(x, 2)), ",")

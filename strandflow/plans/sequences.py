@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +41,16 @@ def chunk_grid(t: Tables) -> DataFrame:
 _COUNT = "(length(seq) - length(replace(seq, '{0}', '')))"
 
 
-@query("base_onehot", f"WITH {SEQUENCES} SELECT seqid, " + ", ".join(f"round({_COUNT.format(b)} + 0.25 * {_COUNT.format('N')}, 9) AS sum_{b.lower()}" for b in "CATG") + ", true AS decodes FROM sequences")
+@query("base_onehot", f"WITH {SEQUENCES} SELECT seqid, " + ", ".join(f"round({_COUNT.format(b)} + 0.25 * {_COUNT.format('N')}, 9) AS sum_{b.lower()}" for b in "CATG") + f", length(seq) = {' + '.join(_COUNT.format(b) for b in 'ACGTN')} AS decodes FROM sequences")
 def base_onehot(t: Tables) -> DataFrame:
-    """Sums over channels from the numbers of letters, and whether each letter comes back from its vector."""
-    seq = F.col("seq")
-    sums = [F.round(s, 9).alias(f"sum_{b}") for b, s in zip("catg", S.channel_sums(seq), strict=True)]
-    decodes = [(S.count_of(seq, b) == 0) | (S.decode(S.encode(F.lit(b))) == b) for b in "ACGTN"]
-    return sequences(t).select("seqid", *sums, reduce(lambda a, b: a & b, decodes).alias("decodes"))
+    """Sums over channels, and whether each base of a sequence comes back from its vector. Bases are counted by sequence in the
+    tasks first, so that a vector is made, and read, for each letter that occurs in a sequence."""
+    n = sequences(t).select("seqid", F.explode(F.split("seq", "")).alias("base")).where("base <> ''").groupBy("seqid", "base").agg(F.count("*").alias("n"))
+    x = n.withColumn("x", S.encode(F.col("base")))
+    sums = [F.sum(F.get("x", F.lit(i)) * F.col("n")).alias(f"sum_{b}") for i, b in enumerate("catg")]
+    found = x.groupBy("seqid").agg(*sums, F.bool_and(F.coalesce(S.decode(F.col("x")) == F.col("base"), F.lit(False))).alias("decodes"))
+    every = sequences(t).select("seqid").join(found, "seqid", "left")
+    return every.select("seqid", *[F.round(F.coalesce(f"sum_{b}", F.lit(0.0)), 9).alias(f"sum_{b}") for b in "catg"], F.coalesce("decodes", F.lit(True)).alias("decodes"))
 
 
 @query("revcomp", f"WITH {SEQUENCES} SELECT seqid, md5(reverse(translate(seq, 'ACGTN', 'TGCAN'))) AS digest FROM sequences")
