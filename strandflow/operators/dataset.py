@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandflow.functions.sequence import CODES, canonical
-from strandflow.operators import selection
+from strandflow.operators import ranks, selection
 from strandflow.operators.overlap import classes_of, mean_vector
 
 #: Letters of the longest k-mer that is counted by a code of 64 bits.
@@ -139,11 +139,8 @@ def n90_split(sequences: DataFrame, by: Sequence[str], share: float = 0.9, valid
 
 
 def most_certain(chunks: DataFrame, keep: float, stratum: Column, error: str = "error", tie: str = "chunk") -> DataFrame:
-    """The share of chunks with the least error within each stratum."""
-    rows = chunks.withColumn("stratum", stratum)
-    of = Window.partitionBy("stratum")
-    rank = F.row_number().over(of.orderBy(error, tie))
-    return rows.withColumn("__rank", rank).withColumn("__n", F.count("*").over(of)).where(F.col("__rank") <= F.ceil(F.col("__n") * keep)).drop("__rank", "__n")
+    """The share of chunks with the least error within each stratum; chunks of a few strata are ranked by many tasks."""
+    return ranks.first_share(chunks.withColumn("stratum", stratum), ["stratum"], [error, tie], keep)
 
 
 def mer_rows(sequences: DataFrame, keys: Sequence[str], k: int, seq: str = "seq") -> DataFrame:

@@ -11,6 +11,7 @@ from strandflow.operators import coverage as V
 from strandflow.operators import dataset as D
 from strandflow.operators import genes as G
 from strandflow.operators import meta as T
+from strandflow.operators import ranks
 from strandflow.plans.inputs import FEATURES, PAIRS, features, pairs, track
 from strandflow.plans.registry import Tables, query
 from strandflow.plans.sequences import _GRID, grid
@@ -74,8 +75,8 @@ def species_subset_sorted(t: Tables) -> DataFrame:
 @query("lexsort_chunks", f"""WITH {_GRID}, s AS (SELECT g.*, d.source AS species FROM grid g JOIN documents d ON d.doc_id = g.seqid)
     SELECT species, seqid, is_plus, "start", "end", CAST(row_number() OVER (PARTITION BY species ORDER BY seqid, "start" > "end", "start", "end") AS BIGINT) AS row_no FROM s""")
 def lexsort_chunks(t: Tables) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("species").orderBy("seqid", F.col("start") > F.col("end"), "start", "end"))
-    return D.lexsorted(grid(t)).select("species", "seqid", "is_plus", "start", "end", nth.cast("long").alias("row_no"))
+    ranked = ranks.numbered(grid(t), ["species"], ["seqid", F.col("start") > F.col("end"), "start", "end"], "row_no")
+    return D.lexsorted(ranked).select("species", "seqid", "is_plus", "start", "end", "row_no")
 
 
 @query("gff_type_filter", f"WITH {FEATURES} SELECT seqid, count(*) AS n FROM features WHERE type NOT IN ('cds', 'intron') GROUP BY seqid")
