@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandflow.functions import scores
 from strandflow.functions import sequence as S
 from strandflow.operators import intervals, overlap, segment, training
+from strandflow.scratch import materialise
 
 
 def strand_windows(sequences: DataFrame, size: int, offset: int) -> DataFrame:
@@ -49,9 +50,10 @@ def hints_of(track: DataFrame, source: str, width: int = intervals.BIN) -> DataF
     """Hints of the confident regions of a track, as predicted() gives it. Each region is of one class: neighbours in it
     agree, as the mean of every two is over three quarters. Regions are cut from rows of bases, and never gathered."""
     keys = ["seqid", "is_plus", "length"]
+    track = materialise(track)  # a model runs once
     regions = segment.confident_regions(track, keys, width=width).withColumnsRenamed({"start": "r_start", "end": "r_end"})
     bases = track.select(*keys, "pos", (F.col("pos") + 1).alias("pos_end"), scores.argmax(F.col("p")).cast("int").alias("cls"), F.array_max("p").alias("best"))
-    inside = intervals.range_join(regions, bases, keys, ("r_start", "r_end"), ("pos", "pos_end"), width)
+    inside = materialise(intervals.range_join(regions, bases, keys, ("r_start", "r_end"), ("pos", "pos_end"), width))
     of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("cls"))
     cut = segment.cuts(inside, [*keys, "cls"], "best", of(segment.STEPS), of(segment.MOST), max(segment.STEPS) + max(segment.MOST), width=width)
     placed = cut.withColumn("start", F.col("start") + F.col("r_start")).withColumn("end", F.col("end") + F.col("r_start"))

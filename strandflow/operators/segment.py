@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandflow.operators import chains, intervals, scans
+from strandflow.scratch import materialise
 
 CONFIDENT = 0.75001
 PAD = 5
@@ -99,6 +100,7 @@ def cuts(bases: DataFrame, keys: Sequence[str], value: str, step: Column, most:
     grid = ((place >= pad) & ((place - pad) % F.col("__step") == 0) & (place < last)) | (place == last)
     points = summed.where((F.col("r_end") - F.col("r_start") > 2 * pad) & grid)
     points = points.select(*keys, "r_start", place.alias("at"), "changed", "most", (F.col("__total") - whole(F.col("__v"))).alias("total"), (place == last).cast("int").alias("ends"))
+    points = materialise(points)  # few beside the bases; several steps read them
     most_change = int(stable * unit)
 
     def following(x: dict[str, np.ndarray]) -> np.ndarray:
