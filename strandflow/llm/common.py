@@ -26,7 +26,7 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches for Python workers, where the session still has Spark's defaults: texts may be long."""
-    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")):
+    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")):
         if spark.conf.get(key, None) == default:
             spark.conf.set(key, ours)
 

@@ -1,4 +1,9 @@
-"""Near-duplicates by Jaccard similarity of word shingles, exactly: a prefix join, verified pair by pair.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash by segment-popcount embedding, then an exact prefix join for
+what is beyond its reach; pairs of both are verified on whole sets.
+
+First, the fingerprints of the sets are linked in the grid of their embeddings (`simhash.links`), and what is similar to a linked
+text that is certain to stay goes. Certain to stay is a text that comes first in all of its cells, see below. SimHash links
+near copies of two bits, so pairs down to the least similarity are left; all of them are found in a second way.
 
 A text's shingles are brought into one order of all shingles, and of n of them the first n - ceil(t n) + 1 are kept: two
 sets with a similarity of t or more share one of those, so pairs that share a cell (a kept shingle) are a superset of the
@@ -30,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm import simhash
 from strandflow.llm.common import BROADCAST_PAIRS, bounded_batches, broadcast_if_small, join_by_hot_key, materialise, release, tagged, with_pairs
 
 SHINGLE = 5
@@ -37,6 +43,8 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 #: Members of a cell that are still paired.
 CELL = 32
+#: Texts whose sets a task holds at once.
+SLICE = 100
 #: Documents of the sample in which frequent shingles are counted, and how many of those are told apart.
 SAMPLE, FREQUENT = 10_000, 100_000
 
@@ -62,8 +70,10 @@ def _mapped(docs: DataFrame, make, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*before, *make(batch.column(len(before)).to_pylist())], names=names)
+            for at in range(0, len(batch), SLICE):  # few texts and their sets at a time
+                part = batch.slice(at, SLICE)
+                before = part.columns[:-1]
+                yield pa.RecordBatch.from_arrays([*before, *make(part.column(len(before)).to_pylist())], names=names)
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
     return docs.mapInArrow(run, ", ".join(x for x in (types, schema) if x))
@@ -108,25 +118,27 @@ def _difference(x: Column, y: Column) -> Column:
 
 
 def _prefixes(docs: DataFrame, shingle: int, frequent: np.ndarray, similarity: tuple[int, int]) -> DataFrame:
-    """(.., text) to (.., key, n, prefix, sketch): a hash of the set, its size, its shingles that lead to cells, its sketch."""
+    """(.., text) to (.., key, n, fingerprint, prefix, sketch): a hash of the set, its size, its SimHash, its shingles that lead to
+    cells, its sketch."""
     over, under = similarity
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make(texts: list[str]) -> list[pa.Array]:
-        keys, sizes, prefixes, sketches = [], [], [], []
+        keys, sizes, prints, prefixes, sketches = [], [], [], [], []
         for text in texts:
             grams = shingles(text, shingle)
             n = len(grams)
             keys.append(xxhash.xxh64_intdigest(grams.tobytes()))
             sizes.append(n)
+            prints.append(simhash.majority(grams))
             late = _among(grams, shared.value)
             first = n - -(-over * n // under) + 1 if n else 0
             prefixes.append(np.concatenate([grams[~late], grams[late]])[:first].view(np.int64))
             sketches.append(sketch(grams))
         lists = pa.list_(pa.int64())
-        return [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, lists), pa.array(sketches, lists)]
+        return [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(prefixes, lists), pa.array(sketches, lists)]
 
-    return _mapped(docs, make, "key bigint, n bigint, prefix array<bigint>, sketch array<bigint>")
+    return _mapped(docs, make, "key bigint, n bigint, fingerprint bigint, prefix array<bigint>, sketch array<bigint>")
 
 
 def may_be_similar(n: Column, x: Column, m: Column, y: Column, similarity: tuple[int, int]) -> Column:
@@ -166,27 +178,48 @@ def _similar(open_: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     return found
 
 
+def _near_prints(cells: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints are equal or linked; b is certain to stay, a is not. One b stands for a fingerprint,
+    so texts of one fingerprint cost a row each."""
+    leads = materialise(cells.groupBy("cell").agg(F.min("key").alias("lead"), F.count("*").alias("members")))
+    first = join_by_hot_key(cells, leads, "cell", "members").groupBy("key").agg(F.min(F.col("key") == F.col("lead")).alias("stays"))
+    known = materialise(first.join(classes.select("key", "fingerprint"), "key"))
+    release(leads)
+    stays = materialise(known.where("stays").groupBy("fingerprint").agg(F.min("key").alias("b")))
+    links = materialise(simhash.links(known.select("fingerprint").distinct()))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("fingerprint"), F.col("b").alias("other"))
+    near = both.join(stays.withColumnRenamed("fingerprint", "other"), "other").select("fingerprint", "b").unionByName(stays.select("fingerprint", "b"))
+    open_ = known.where("not stays").select(F.col("key").alias("a"), "fingerprint")
+    counts = open_.groupBy("fingerprint").agg(F.count("*").alias("uses"))
+    at = materialise(near.join(counts, "fingerprint").groupBy("fingerprint").agg(F.collect_set("b").alias("bs"), F.first("uses").alias("uses")))
+    pairs = join_by_hot_key(open_, at, "fingerprint", "uses", narrow=False)
+    return pairs.select("a", F.explode("bs").alias("b"))
+
+
 def dropped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, text), text not null, to every row (doc_id, tag, key of its set), one row of each set (key, none, doc_id, tag),
     and the keys (a) that are dropped for a kept one (b)."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     found = materialise(_prefixes(texts, shingle, _frequent(docs, shingle), similarity))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    classes = found.groupBy("key").agg(F.min(row).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes.select("key", "r.*", "n", "sketch"))
+    classes = found.groupBy("key").agg(F.min(row).alias("r"), F.first("n").alias("n"), F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes.select("key", "r.*", "n", "fingerprint", "sketch"))
     marks = found.select("key", "n", F.explode("prefix").alias("cell"))
     shared = marks.groupBy("cell").agg(F.count("*").alias("members"), F.min("key").alias("low"), F.max("key").alias("high"))
     shared = materialise(shared.where("low <> high").select("cell", "members"))
     cells = materialise(join_by_hot_key(marks, shared, "cell", "members").select("key", "n", "cell").distinct())
     release(shared)
 
-    gone: list[DataFrame] = []
+    gone: list[DataFrame] = [_similar(_led(_near_prints(cells, classes), classes, similarity), classes, texts, shingle, similarity)]
+    left = materialise(cells.join(gone[0].select(F.col("a").alias("key")).distinct(), "key", "left_anti"))
+    release(cells)
+    cells, rounds = left, 0
     while True:
         leads = materialise(cells.groupBy("cell").agg(F.min("key").alias("lead"), F.count("*").alias("members")).where("members > 1"))
         dense = leads.where(F.col("members") > CELL).agg(F.sum("members")).first()[0] or 0
-        if not dense or (gone and dense > 0.9 * before):  # noqa: F821
+        if not dense or (rounds and dense > 0.9 * before):  # noqa: F821
             break
-        before = dense
+        before, rounds = dense, rounds + 1
         rows = materialise(join_by_hot_key(cells, leads, "cell", "members"))
         kept = rows.groupBy("key").agg(F.min((F.col("key") == F.col("lead"))).alias("all")).where("all").select("key")
         led = rows.where("key <> lead")

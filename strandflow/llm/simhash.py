@@ -53,9 +53,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         line = b" ".join(words)
         starts = [0, *ends[:-shingle].tolist()]
         hashes = [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, signed, of which each is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), SLICE):
-        part = np.array(hashes[at : at + SLICE], np.uint64).view(np.uint8).reshape(-1, 8)
+        part = hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
     most = 2 * ones > len(hashes)
     return int(np.packbits(most, bitorder="little").view(np.int64)[0])

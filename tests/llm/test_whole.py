@@ -3,7 +3,9 @@
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -38,6 +40,23 @@ def test_near_duplicates_of_the_pipeline(spark, docs_of, odd_rows, rng, monkeypa
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_near_duplicates_go_through_fingerprints_first(spark, docs_of, rng, monkeypatch, tmp_path):
+    linked, found = [], []
+    links, similar_pairs = resemblance.simhash.links, resemblance._similar
+    monkeypatch.setattr(resemblance.simhash, "links", lambda *a: linked.append(links(*a)) or linked[-1])
+    monkeypatch.setattr(resemblance, "_similar", lambda *a: found.append(similar_pairs(*a).collect()) or similar_pairs(*a))
+    rows = []
+    for i in range(30):
+        words = prose(rng, 800).split()
+        rows += [(4 * i + k, " ".join([*words, f"x{i}y{k}"])) for k in range(4)]
+    assert corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), str(tmp_path)).count() == 30
+    sets = [resemblance.shingles(t) for _, t in rows]
+    prints = {int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)): resemblance.simhash.majority(s) for s in sets}
+    links = {(r["a"], r["b"]) for r in linked[0].collect()}
+    first = [(prints[r["a"]], prints[r["b"]]) for r in found[0]]
+    assert len(first) > 60 and all(a == b or (a, b) in links or (b, a) in links for a, b in first)
+
+
 def wrapped(text, mark, width=9):
     words = text.split()
     return "\n".join(f"{mark} {' '.join(words[k : k + width])}" for k in range(0, len(words), width))
