@@ -75,7 +75,8 @@ def species_subset_sorted(t: Tables) -> DataFrame:
 @query("lexsort_chunks", f"""WITH {_GRID}, s AS (SELECT g.*, d.source AS species FROM grid g JOIN documents d ON d.doc_id = g.seqid)
     SELECT species, seqid, is_plus, "start", "end", CAST(row_number() OVER (PARTITION BY species ORDER BY seqid, "start" > "end", "start", "end") AS BIGINT) AS row_no FROM s""")
 def lexsort_chunks(t: Tables) -> DataFrame:
-    ranked = ranks.numbered(grid(t), ["species"], ["seqid", F.col("start") > F.col("end"), "start", "end"], "row_no")
+    chunks = grid(t).select("species", "seqid", "is_plus", "start", "end")  # a written table keeps what it is given, so not the bases
+    ranked = ranks.numbered(chunks, ["species"], ["seqid", F.col("start") > F.col("end"), "start", "end"], "row_no")
     return D.lexsorted(ranked).select("species", "seqid", "is_plus", "start", "end", "row_no")
 
 

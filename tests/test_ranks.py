@@ -29,3 +29,13 @@ def test_ranks_of_few_large_keys(spark):
     some = [(r["k"], r["v"], r["i"]) for r in ranks.first_share(df.where("k is not null"), ["k"], ["v", "i"], 0.3).collect()]
     assert sorted(some) == sorted(x for k, n in (("a", 600), ("b", 1), ("c", 210)) for x in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:])[:n])
     assert ranks.numbered(df.limit(0), ["k"], ["v", "i"]).count() == 0
+
+
+def test_ranked_chunks_are_written_without_their_sequence(spark, tmp_path, monkeypatch):
+    from strandflow.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(ranks, "materialise", lambda df: seen.append(df.columns) or df.cache())
+    spark.createDataFrame([(1, "acgt" * 300, "a"), (2, "t" * 900, "b")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.QUERIES["lexsort_chunks"](spark, str(tmp_path)).collect()
+    assert len(rows) == 12 and seen == [["species", "seqid", "is_plus", "start", "end", "__part"]]
