@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from strandflow.functions.sequence import CODES, canonical
 from strandflow.operators import ranks, selection
 from strandflow.operators.overlap import classes_of, mean_vector
 
+#: K-mers that a task holds before it sums them up.
+PIECE = 1 << 22
 #: Letters of the longest k-mer that is counted by a code of 64 bits.
 MOST_MER = 16
 
@@ -150,29 +152,41 @@ def mer_rows(sequences: DataFrame, keys: Sequence[str], k: int, seq: str = "seq"
     return at.select(*keys, F.concat(*[F.get("__bases", F.col("__i") + j) for j in range(k)]).alias("mer"))
 
 
-def count_mers(sequences: DataFrame, keys: Sequence[str], k: int, seq: str = "seq") -> DataFrame:
-    """(keys, mer, n) of all k-mers, in upper case, of at most MOST_MER letters.
-
-    A task counts codes of four bits a letter, batch by batch, so a row leaves it for each k-mer and batch and not for each
-    base. Letters that are no code count as N.
-    """
-    if not 1 <= k <= MOST_MER:
-        raise ValueError(f"k-mers have 1 to {MOST_MER} letters")
-    kept = sequences.select(*keys, seq)
+def mer_codes(k: int) -> Callable[[str], Iterator[np.ndarray]]:
+    """Codes, of four bits a letter, of the k-mers of a text, in slices of bounded length."""
     letters = np.frombuffer(CODES.encode(), np.uint8)
     code = np.full(256, CODES.index("N"), np.uint64)
     code[letters] = code[np.char.lower(letters.view("S1")).view(np.uint8)] = np.arange(len(letters))
-    piece = 1 << 22
 
     def codes(text: str) -> Iterator[np.ndarray]:
         raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-        for at in range(0, len(raw) - k + 1, piece):
-            c = code[raw[at : at + piece + k - 1]]
+        for at in range(0, len(raw) - k + 1, PIECE):
+            c = code[raw[at : at + PIECE + k - 1]]
             h = np.zeros(len(c) - k + 1, np.uint64)
             for j in range(k):
                 h = (h << np.uint64(4)) | c[j : j + len(h)]
             yield h
 
+    return codes
+
+
+def mer_texts(mers: np.ndarray, k: int) -> pa.Array:
+    letters, shifts = np.frombuffer(CODES.encode(), np.uint8), np.arange(4 * (k - 1), -1, -4, dtype=np.uint64)
+    text = letters[((mers[:, None] >> shifts) & np.uint64(15)).astype(np.int64)].tobytes().decode()
+    return pa.array([text[i : i + k] for i in range(0, len(text), k)], pa.string())
+
+
+def count_mers(sequences: DataFrame, keys: Sequence[str], k: int, seq: str = "seq") -> DataFrame:
+    """(keys, mer, n) of all k-mers, in upper case, of at most MOST_MER letters.
+
+    A task counts codes of four bits a letter, batch by batch, so a row leaves it for each k-mer and batch and not for each
+    base. Letters that are no code count as N.
+    """
+    if not 1 <= k <= MOST_MER:
+        raise ValueError(f"k-mers have 1 to {MOST_MER} letters")
+    kept = sequences.select(*keys, seq)
+    codes, piece = mer_codes(k), PIECE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at: dict[tuple, int] = {}
@@ -200,15 +214,77 @@ def count_mers(sequences: DataFrame, keys: Sequence[str], k: int, seq: str = "se
                         waiting = 0
             settle()
             for key, (mers, n) in sums.items():
-                shifts = np.arange(4 * (k - 1), -1, -4, dtype=np.uint64)
-                text = letters[((mers[:, None] >> shifts) & np.uint64(15)).astype(np.int64)].tobytes().decode()
                 own = [batch.column(c).take(pa.array([at[key]] * len(mers))) for c in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([text[i : i + k] for i in range(0, len(text), k)]), pa.array(n)], names=[*keys, "mer", "n"])
+                yield pa.RecordBatch.from_arrays([*own, mer_texts(mers, k), pa.array(n)], names=[*keys, "mer", "n"])
 
     schema = T.StructType([*[kept.schema[c] for c in keys], T.StructField("mer", T.StringType()), T.StructField("n", T.LongType())])
     return kept.mapInArrow(run, schema).groupBy(*keys, "mer").agg(F.sum("n").alias("n"))
 
 
+def mers_and_holders(pieces: DataFrame, keys: Sequence[str], k: int, block: int = 1000) -> DataFrame:
+    """(mer, n, n_sequences): all k-mers, and how many sequences (with keys that are not null) have them.
+
+    pieces: keys, piece, n_pieces (of the sequence), bases (with an edge of k - 1). They are shuffled by sequence and block of
+    pieces. A task sums up the sequences of one block, so what leaves it for them is a row for each k-mer; only of longer
+    sequences does a row leave for each k-mer and block, to be told apart by sequence.
+    """
+    if not 1 <= k <= MOST_MER:
+        raise ValueError(f"k-mers have 1 to {MOST_MER} letters")
+    codes, width = mer_codes(k), len(keys)
+    dealt = pieces.select(*keys, F.floor(F.col("piece") / block).alias("__block"), (F.col("n_pieces") > block).alias("__long"), "bases")
+    dealt = dealt.repartition(*keys, "__block").sortWithinPartitions(*keys, "__block")
+    schema = T.StructType([*[T.StructField(c, pieces.schema[c].dataType) for c in keys], T.StructField("split", T.BooleanType()), T.StructField("mer", T.StringType()), T.StructField("n", T.LongType()), T.StructField("holders", T.LongType())])
+
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        distinct, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return distinct, *[np.bincount(inverse, np.concatenate([p[j] for p in parts]), len(distinct)).astype(np.int64) for j in (1, 2)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: list[tuple[np.ndarray, ...]] = []  # of sequences of one block: mers, counts, holders
+        own: list[tuple[np.ndarray, ...]] = []  # of the sequence and block at hand
+        now, split, held, waiting, kinds = None, False, 0, 0, None
+
+        def rows(of: tuple[np.ndarray, ...], key: tuple, split: bool) -> pa.RecordBatch:
+            sides = [pa.array([x] * len(of[0]), kind) for x, kind in zip(key, kinds, strict=True)]
+            values = [pa.array([split] * len(of[0]), pa.bool_()), mer_texts(of[0], k), pa.array(of[1]), pa.array(of[2])]
+            return pa.RecordBatch.from_arrays([*sides, *values], names=schema.names)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal own, whole, waiting
+            if not own:
+                return
+            mers, n, _ = summed(own)
+            own = []
+            found = mers, n, np.full(len(mers), int(all(x is not None for x in now[:width])), np.int64)
+            if split:
+                yield rows(found, now[:width], True)
+            else:
+                whole.append(found)
+                waiting += len(mers)
+                if waiting > PIECE // 4:
+                    whole, waiting = [summed(whole)], 0
+
+        for batch in batches:
+            kinds = [batch.column(c).type for c in range(width)]
+            columns = [batch.column(c).to_pylist() for c in range(width + 3)]
+            for *key, long, bases in zip(*columns, strict=True):
+                if tuple(key) != now:
+                    yield from done()
+                    now, split, held = tuple(key), False, 0
+                split = split or long
+                for h in codes(bases):
+                    own.append((h, np.ones(len(h), np.int64), np.zeros(len(h), np.int64)))
+                    held += len(h)
+                    if held > PIECE:
+                        own, held = [summed(own)], 0
+        yield from done()
+        if whole:
+            yield rows(summed(whole), (None,) * width, False)
+
+    counted = dealt.mapInArrow(run, schema).groupBy("split", *keys, "mer").agg(F.sum("n").alias("n"), F.when(F.col("split"), F.max("holders")).otherwise(F.sum("holders")).alias("holders"))
+    return counted.groupBy("mer").agg(F.sum("n").alias("n"), F.sum("holders").alias("n_sequences"))
+
+
 def canonical_mers(mers: DataFrame, by: Sequence[str], mer: str = "mer", n: str = "n") -> DataFrame:
     """Counts of k-mers and their reverse complements taken as one."""
     return mers.groupBy(*by, canonical(F.col(mer)).alias("mer")).agg(F.sum(n).cast("long").alias("n"))

@@ -28,6 +28,15 @@ def cut(sequences: DataFrame, keys: Sequence[str], size: int, seq: str = "sequen
     return rows.select(*keys, F.col("piece").cast("long").alias("piece"), (F.col("piece").cast("long") * size).alias("offset"), "bases")
 
 
+def cut_with_edges(sequences: DataFrame, keys: Sequence[str], size: int, edge: int, seq: str = "sequence") -> DataFrame:
+    """The same with the first `edge` bases of the next piece behind each one, and n_pieces, without a join; an edge is at most a
+    piece long."""
+    found = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    edged = F.transform("__pieces", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("__pieces", i + 1), 1, edge), F.lit(""))))
+    rows = sequences.select(*keys, found.alias("__pieces")).select(*keys, F.size("__pieces").cast("long").alias("n_pieces"), F.posexplode(edged).alias("piece", "bases"))
+    return rows.select(*keys, F.col("piece").cast("long").alias("piece"), "n_pieces", (F.col("piece").cast("long") * size).alias("offset"), "bases")
+
+
 def with_edges(pieces: DataFrame, keys: Sequence[str], edge: int) -> DataFrame:
     """Pieces with the first `edge` bases of the next one behind them, so that what begins in a piece can be read from it alone:
     k-mers with an edge of k - 1, windows with one of their size less one. An edge is at most a piece long."""

@@ -42,3 +42,16 @@ def test_edges_windows_and_lengths(spark, records):
     assert found == {(n, k): s[k : k + 50] for n, s in records.items() for k in range(0, len(s) - 49, 30)}
     again = P.joined(cut.drop("piece").repartition(5), ["seqid"], 100)
     assert {(r["seqid"], r["offset"]): r["bases"] for r in again.collect()} == {(n, k): s[k : k + 100] for n, s in records.items() for k in range(0, len(s), 100)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_mers_and_their_sequences(spark, records, block):
+    from strandflow.operators.dataset import mers_and_holders
+
+    rows = [*records.items(), ("one", "ACGTACGTT"), ("six", "ACGTT" * 50), (None, "ACGTTACGTT"), (None, "GGGGG" * 40)]
+    cut = P.cut_with_edges(spark.createDataFrame(rows, "seqid string, sequence string"), ["seqid"], 64, 4)
+    n = Counter(s[k : k + 5] for _, s in rows for k in range(len(s) - 4))
+    of = {mer: {name for name, s in rows if name and mer in s} for mer in n}
+    found = mers_and_holders(cut, ["seqid"], 5, block).collect()
+    assert {r["mer"]: (r["n"], r["n_sequences"]) for r in found} == {mer: (n[mer], len(of[mer])) for mer in n} and len(found) == len(n)
+
