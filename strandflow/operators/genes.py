@@ -48,15 +48,24 @@ def strand_mates(chunks: DataFrame, keys: Sequence[str] = ("species", "seqid"))
     return plus.join(minus, [*keys, "start", "end"])
 
 
-def gene_wise(bases: DataFrame, genes: DataFrame, keys: Sequence[str], width: int = intervals.BIN, n_classes: int = 4) -> DataFrame:
-    """Scores of each gene over the bases within its borders; genes without an unmasked base are left out.
+def gene_wise(bases: DataFrame, genes: DataFrame, keys: Sequence[str], width: int = intervals.BIN, n_classes: int = 4, only: Sequence[str] | None = None) -> DataFrame:
+    """Scores of each gene over the bases within its borders, of all classes and composites or only those named; genes without an
+    unmasked base are left out. Cells that all scores asked for treat alike are one running count, so few scores make narrow rows.
 
     bases: keys, pos, ref, pred, sample_weight; genes: keys, gene, start, end. Matrices are summed along a sequence, in bins, and
     read at both borders of a gene, so the cost follows bases and genes, and not how many genes lie over a base.
     """
-    cells = [(r, p) for r in range(n_classes) for p in range(n_classes)]
-    names = [f"c{r}_{p}" for r, p in cells]
-    in_cell = [F.count_if((F.col("ref") == r) & (F.col("pred") == p)).alias(n) for (r, p), n in zip(cells, names, strict=True)]
+    scored = metrics.class_cells(metrics.GENIC) | metrics.genic_composites()
+    scored = {name: parts for name, parts in scored.items() if only is None or name in only}
+    alike: dict[tuple, list[tuple[int, int]]] = {}
+    for cell in ((r, p) for r in range(n_classes) for p in range(n_classes)):
+        alike.setdefault(tuple(cell in part for parts in scored.values() for part in parts), []).append(cell)
+    firsts = {cells[0] for cells in alike.values()}
+    scored = {name: tuple([c for c in part if c in firsts] for part in parts) for name, parts in scored.items()}
+    names = [f"c{cells[0][0]}_{cells[0][1]}" for cells in alike.values()]
+    at_cell = F.col("ref") * n_classes + F.col("pred")
+    in_class = (F.col("ref") >= 0) & (F.col("ref") < n_classes) & (F.col("pred") >= 0) & (F.col("pred") < n_classes)
+    in_cell = [F.count_if(in_class & at_cell.isin([r * n_classes + p for r, p in cells])).alias(n) for cells, n in zip(alike.values(), names, strict=True)]
     counted = bases.where("sample_weight <> 0").groupBy(*keys, F.col("pos").cast("long").alias("pos")).agg(*in_cell)
     # A border comes before the base at its place: it reads what lies before it.
     borders = F.inline(F.array(*[F.struct(F.col(c).cast("long").alias("pos"), F.lit(sign).alias("sign")) for c, sign in (("start", -1), ("end", 1))]))
@@ -69,4 +78,4 @@ def gene_wise(bases: DataFrame, genes: DataFrame, keys: Sequence[str], width: in
     running = [(F.coalesce(F.sum(n).over(within), F.lit(0)) + F.col(f"{n}_before")).alias(n) for n in names]
     read = rows.join(bins, at).select(*keys, "gene", "sign", *running).where("sign < 2")
     wide = read.groupBy(*keys, "gene").agg(*[F.sum(F.col(n) * F.col("sign")).alias(n) for n in names])
-    return metrics.wide_scores(wide, metrics.class_cells(metrics.GENIC) | metrics.genic_composites(), [*keys, "gene"], names)
+    return metrics.wide_scores(wide, scored, [*keys, "gene"], names)

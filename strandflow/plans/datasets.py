@@ -182,7 +182,7 @@ def gene_wise_scores(t: Tables) -> DataFrame:
     bases = pairs(t).select("seqid", F.col("off").alias("pos"), "ref", "pred", F.col("weight").alias("sample_weight"))
     at, sequences = F.col("o_orderkey") % 380, t.lineitem.agg(F.max("l_suppkey") + 1).first()[0]
     genes = t.orders.select((F.col("o_custkey") % sequences).alias("seqid"), F.col("o_orderkey").alias("gene"), at.alias("start"), (at + 20).alias("end"))
-    return G.gene_wise(bases, genes, ["seqid"]).where("name = 'exon'").select("seqid", "gene", "tp", "fp", "fn")
+    return G.gene_wise(bases, genes, ["seqid"], only=["exon"]).select("seqid", "gene", "tp", "fp", "fn")
 
 
 _ALIGN = """align AS (SELECT l_orderkey AS qname, l_suppkey AS seqid, CAST(l_partkey AS BIGINT) AS pos, l_linestatus = 'O' AS is_plus, l_linenumber % 2 = 0 AS second, l_discount > 0.09 AS secondary, l_tax > 0.07 AS qcfail,

@@ -1,6 +1,7 @@
 """Interval, annotation and chunk operators: hand-made values, and properties against plain loops."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -248,3 +249,16 @@ def test_scores_of_overlapping_genes(spark, width):
                 want[k, g, name] = (count(lambda r, p, c=c: r == p == c), count(lambda r, p, c=c: r != c and p == c), count(lambda r, p, c=c: r == c and p != c))
             want[k, g, "legacy_cds"] = (count(lambda r, p: r >= 2 and p >= 2), count(lambda r, p: r < 2 <= p), count(lambda r, p: p < 2 <= r))
     assert {x: v for x, v in got.items() if x[2] not in ("sub_genic", "genic")} == want
+
+
+def test_few_scores_of_genes_make_few_counts(spark):
+    from strandflow.operators import genes as G
+
+    bases = spark.range(200).selectExpr("1 AS k", "id AS pos", "id % 4 AS ref", "id % 3 AS pred", "1 AS sample_weight")
+    genes = spark.range(20).selectExpr("1 AS k", "id AS gene", "id * 5 AS start", "id * 5 + 37 AS end")
+    every, some = G.gene_wise(bases, genes, ["k"]), G.gene_wise(bases, genes, ["k"], only=["exon", "genic"])
+    assert sorted(some.collect()) == sorted(every.where("name IN ('exon', 'genic')").collect())
+    one = G.gene_wise(bases, genes, ["k"], only=["exon"])
+    counts = set(re.findall(r"AS (c\d_\d)#", one._jdf.queryExecution().analyzed().toString()))
+    assert counts == {"c0_0", "c0_2", "c2_0", "c2_2"} and one.count() == 20
+
