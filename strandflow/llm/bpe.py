@@ -34,7 +34,7 @@ from strandflow.llm.common import bounded_batches
 #: that frequent ones stay; a full memo of fragments is emptied. All are emptied at the end of a task.
 MEMO = 250_000
 #: Characters of text that a worker handles at once (a single longer text is handled alone).
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 #: Stand-ins of a fragment beyond which pairs wait in a heap and not in a list.
 LONG_FRAGMENT = 200
 

@@ -25,10 +25,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for Python workers, where the session still has Spark's defaults: texts may be long."""
-    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")):
-        if spark.conf.get(key, None) == default:
-            spark.conf.set(key, ours)
+    """Arrow batches of about 1 MB for Python workers, where the session still has Spark's default (64 MB, which is a whole task's
+    texts): an executor holds several batches of each task on and off its heap, and gives back little of what it once took."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "1m")
 
 
 def words_of(text: Column) -> Column:

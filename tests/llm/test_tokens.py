@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from strandflow.llm import bpe
+from strandflow.llm.common import bounded_batches
 from strandflow.llm.queries import VOCABULARY
 
 LIBRARY = Tokenizer.from_file(VOCABULARY)
@@ -57,6 +58,20 @@ def test_operator(spark, docs_of, odd_rows):
     assert bpe.transcode(docs.limit(0), VOCABULARY).count() == 0
 
 
+def test_workers_get_long_texts_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    bounded_batches(spark)
+    docs = spark.range(0, 800, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 400) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == 800
+    assert max(r["bytes"] for r in got) < 1_100_000
+
+
 def test_memos_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 3)
     codec = bpe.Codec(CONTENT)
