@@ -16,9 +16,11 @@ sample come last, so cells stay small.
 One text of each set of shingles takes part. What is dropped is defined by pairs and not by chains: no two kept texts are
 similar, and each dropped one is similar to a kept one. Ties go by a hash of the set, so the rounds are few.
 
-Skew: a cell with over CELL members is not paired. In rounds, a text that comes first in all of its cells is kept and
-compared with their members, one row for each; what is similar goes. When a round clears less than a tenth of the rows in
-such cells (many texts that share a shingle without being similar), the rest is paired.
+Skew: cells are not paired. A text that comes first in all of its cells is kept and compared with their members, one row for
+each; what is similar goes. Then, in rounds, the cells of one first text are a group, of which about CELL texts, chosen by a hash,
+are held against its members, in tasks and in blocks of bounded size; of the chosen ones that are similar the first is kept.
+When a round clears less than a tenth of the rows in larger groups (many texts that share a shingle without being similar), or
+few are left, all are held against each other in the same way. Only what sketches leave open leaves a task.
 
 Defined results: words are separated like in op7 and compared without the case of ASCII letters; a text of fewer words
 than a shingle is one shingle; texts without words are equal; null ids come last; repeated rows leave one; an empty table
@@ -32,17 +34,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.llm import simhash
-from strandflow.llm.common import BROADCAST_PAIRS, bounded_batches, broadcast_if_small, join_by_hot_key, materialise, release, tagged, with_pairs
+from strandflow.llm.common import BROADCAST_PAIRS, bounded_batches, broadcast_if_small, join_by_copies, join_by_hot_key, materialise, release, tagged, with_pairs
+from strandflow.operators.batches import whole_groups
 
 SHINGLE = 5
 #: The least similarity, as a fraction of whole numbers.
 SIMILARITY = (4, 5)
-#: Members of a cell that are still paired.
+#: Members of a group that others of it are held against in a round.
 CELL = 32
+#: Members of a block, of which two meet in a task.
+BLOCK = 500
 #: Texts whose sets a task holds at once.
 SLICE = 100
 #: Documents of the sample in which frequent shingles are counted, and how many of those are told apart.
@@ -168,9 +173,11 @@ def _similar(open_: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     some = broadcast_if_small(some, some.count(), BROADCAST_PAIRS)
     again = texts.join(some, texts["doc_id"].eqNullSafe(F.col("__id")) & (texts["tag"] == F.col("__tag"))).select("key", "text")
     sets = materialise(_sets(again, shingle).dropDuplicates(["key"]))
-    left = open_.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
-    uses = materialise(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")).join(open_.groupBy("b").agg(F.count("*").alias("uses")), "b"))
-    both = join_by_hot_key(left, uses, "b", "uses", narrow=False)
+    uses = materialise(open_.groupBy("b").agg(F.count("*").alias("uses")))
+    number = open_.count()
+    one = sets.select(F.col("key").alias("a"), F.col("grams").alias("x")).join(broadcast_if_small(open_, number, BROADCAST_PAIRS), "a")
+    other = sets.select(F.col("key").alias("b"), F.col("grams").alias("y")).join(broadcast_if_small(uses, number, BROADCAST_PAIRS), "b")
+    both = join_by_copies(one, other, "b", "uses", F.col("a"))
     common = F.size(F.array_intersect("x", "y"))
     found = materialise(both.where((over + under) * common >= over * (F.size("x") + F.size("y"))).select("a", "b"))
     release(sets)
@@ -196,47 +203,122 @@ def _near_prints(cells: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select("a", F.explode("bs").alias("b"))
 
 
-def dropped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, text), text not null, to every row (doc_id, tag, key of its set), one row of each set (key, none, doc_id, tag),
-    and the keys (a) that are dropped for a kept one (b)."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    found = materialise(_prefixes(texts, shingle, _frequent(docs, shingle), similarity))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    classes = found.groupBy("key").agg(F.min(row).alias("r"), F.first("n").alias("n"), F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes.select("key", "r.*", "n", "fingerprint", "sketch"))
-    marks = found.select("key", "n", F.explode("prefix").alias("cell"))
-    shared = marks.groupBy("cell").agg(F.count("*").alias("members"), F.min("key").alias("low"), F.max("key").alias("high"))
-    shared = materialise(shared.where("low <> high").select("cell", "members"))
-    cells = materialise(join_by_hot_key(marks, shared, "cell", "members").select("key", "n", "cell").distinct())
-    release(shared)
+def _one_row_each(found: DataFrame) -> DataFrame:
+    """The rows of found, a written table, without those whose set is that of a row before. Only keys are shuffled, and a set
+    that very many rows have is no task's alone."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "row")
+    firsts = materialise(found.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("key", F.col("first.row").alias("first"), "copies"))
+    more = materialise(join_by_hot_key(found.select("key", "row"), firsts, "key", "copies").where("row <> first").select("row"))
+    return found.join(broadcast_if_small(more, more.count(), BROADCAST_PAIRS), "row", "left_anti")
 
-    gone: list[DataFrame] = [_similar(_led(_near_prints(cells, classes), classes, similarity), classes, texts, shingle, similarity)]
-    left = materialise(cells.join(gone[0].select(F.col("a").alias("key")).distinct(), "key", "left_anti"))
-    release(cells)
-    cells, rounds = left, 0
-    while True:
-        leads = materialise(cells.groupBy("cell").agg(F.min("key").alias("lead"), F.count("*").alias("members")).where("members > 1"))
-        dense = leads.where(F.col("members") > CELL).agg(F.sum("members")).first()[0] or 0
-        if not dense or (rounds and dense > 0.9 * before):  # noqa: F821
-            break
-        before, rounds = dense, rounds + 1
-        rows = materialise(join_by_hot_key(cells, leads, "cell", "members"))
-        kept = rows.groupBy("key").agg(F.min((F.col("key") == F.col("lead"))).alias("all")).where("all").select("key")
-        led = rows.where("key <> lead")
-        uses = materialise(led.groupBy("lead").agg(F.count("*").alias("uses")).join(kept.withColumnRenamed("key", "lead"), "lead"))
-        pairs = join_by_hot_key(led.drop("members"), uses, "lead", "uses").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
-        gone.append(_similar(_led(pairs, classes, similarity), classes, texts, shingle, similarity))
-        decided = kept.unionByName(gone[-1].select(F.col("a").alias("key"))).distinct()
-        left = materialise(rows.select("key", "n", "cell").join(decided, "key", "left_anti"))
-        release(rows)
-        release(cells)
-        cells = left
-    # What is left is paired within cells; sketches are held against each other in the join, so only open pairs leave it.
-    rest = join_by_hot_key(cells, leads, "cell", "members").select("key", "cell")
-    rest = materialise(rest.join(classes.select("key", "n", "sketch"), "key"))
-    other = rest.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"), "cell")
-    both = rest.join(other, "cell").where((F.col("key") > F.col("b")) & may_be_similar(F.col("n"), F.col("sketch"), F.col("m"), F.col("y"), similarity))
-    edges = _similar(materialise(both.select(F.col("key").alias("a"), "b").distinct()), classes, texts, shingle, similarity)
+
+def _without(cells: DataFrame, keys: DataFrame) -> DataFrame:
+    """Cells, as a written table, of other keys than these."""
+    keys = materialise(keys.distinct())
+    left = materialise(cells.join(broadcast_if_small(keys, keys.count(), BROADCAST_PAIRS), "key", "left_anti"))
+    release(keys)
+    return left
+
+
+def _first(rows: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Of (key, cell, lead): keys that come first in all of their cells, and the pairs (a, b) to compare of what shares a cell with
+    one of these (b)."""
+    chosen = materialise(rows.groupBy("key").agg(F.min(F.col("key") == F.col("lead")).alias("all")).where("all").select("key"))
+    led = rows.where("key <> lead").select("key", "lead").distinct()
+    uses = materialise(led.groupBy("lead").agg(F.count("*").alias("uses")).join(chosen.withColumnRenamed("key", "lead"), "lead"))
+    pairs = join_by_hot_key(led, uses, "lead", "uses").select(F.col("key").alias("a"), F.col("lead").alias("b"))
+    return chosen, _led(pairs, classes, similarity)
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _by_size(batch: pa.RecordBatch, at: np.ndarray, size: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows `at` of a batch by the length of their sketches: (words, rows, sketches)."""
+    column = batch.column("sketch")
+    flat, starts = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    groups = ((int(w), at[size[at] == w]) for w in np.unique(size[at]))
+    return [(w, rows, flat[starts[rows][:, None] + np.arange(w)]) for w, rows in groups]
+
+
+def _open_pairs(similarity: tuple[int, int]):
+    """Pairs (a, b) that sizes and sketches leave open, of blocks of rows sorted by (lead, i, j): b is an index row, a another row."""
+    over, under = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, borders in whole_groups(batches, 3):
+            index, probe, key, n, chosen = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("index", "probe", "key", "n", "chosen"))
+            size = np.diff(batch.column("sketch").offsets.to_numpy())
+            found: set[tuple[int, int]] = set()
+            for lo, hi in zip(borders, borders[1:], strict=False):
+                first, other = (lo + np.flatnonzero(role[lo:hi]) for role in (index, probe))
+                if not len(first) or not len(other):
+                    continue
+                others = _by_size(batch, other, size)
+                for w, xs, own in _by_size(batch, first, size):
+                    for v, ys, theirs in others:
+                        if w > 2 * v or v > 2 * w:  # over twice as many shingles
+                            continue
+                        x_words, y_words = _folded(own, min(w, v)), _folded(theirs, min(w, v))
+                        for x, words in zip(xs, x_words, strict=True):
+                            m = n[ys]
+                            near = (over * n[x] <= under * m) & (over * m <= under * n[x]) & (~chosen[ys] | (key[ys] > key[x]))
+                            at = np.flatnonzero(near)
+                            if not len(at):
+                                continue
+                            unlike = np.bitwise_count(y_words[at] ^ words).sum(1, dtype=np.int64)
+                            at = at[(over + under) * unlike <= (under - over) * (n[x] + m[at])]
+                            found.update((int(k), int(key[x])) for k in key[ys[at]])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _chosen(rows: DataFrame, classes: DataFrame, similarity: tuple[int, int], turn: int, before: int) -> tuple[DataFrame, DataFrame, int]:
+    """Of (key, cell, lead): keys of which a group has about CELL at most, the pairs (a, b) to compare of what shares a group with
+    one of these (b), and the number of members of larger groups. A group is the cells of one lead, as similar texts share many
+    cells. If that number is hardly less than `before`, or all their pairs are few beside it, all keys are taken. Pairs are compared in the
+    tasks, in blocks."""
+    members = materialise(rows.select("lead", "key").distinct())
+    sizes = materialise(members.groupBy("lead").agg(F.count("*").alias("members")))
+    m = F.col("members")
+    dense, pairs = (x or 0 for x in sizes.where(m > CELL).agg(F.sum(m), F.sum(m * m)).first())
+    every = not dense or (before and (dense > 0.9 * before or pairs <= BLOCK * before))
+    sized = materialise(join_by_hot_key(members, sizes, "lead", "members"))
+    share = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 32)) * F.col("members") < F.lit(CELL << 32)
+    taken = F.lit(True) if every else F.min(share | (F.col("members") <= CELL))
+    keys = materialise(sized.groupBy("key").agg(taken.alias("chosen")))
+    narrow = broadcast_if_small(keys, keys.count(), BROADCAST_PAIRS)
+    flagged = materialise(members.join(narrow, "key"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    counts = flagged.groupBy("lead").agg(blocks(F.count_if("chosen")).alias("is"), blocks(F.count("*")).alias("js"), F.count("*").alias("members"))
+    counts = materialise(counts.where("is > 0"))
+    dealt = join_by_hot_key(flagged, counts, "lead", "members")
+    at = lambda size: F.pmod(F.xxhash64("key", F.lit(-1)), F.col(size)).cast("int")
+    each = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    single = (F.col("is") == 1) & (F.col("js") == 1)  # one row is both
+    both = dealt.where(single).select("lead", F.lit(0).alias("i"), F.lit(0).alias("j"), "key", "chosen", F.col("chosen").alias("index"), F.lit(True).alias("probe"))
+    index = dealt.where(~single & F.col("chosen")).select("lead", at("is").alias("i"), each("js").alias("j"), "key", "chosen", F.lit(True).alias("index"), F.lit(False).alias("probe"))
+    probe = dealt.where(~single).select("lead", each("is").alias("i"), at("js").alias("j"), "key", "chosen", F.lit(False).alias("index"), F.lit(True).alias("probe"))
+    own = classes.select("key", "n", "sketch").join(narrow.select("key"), "key")
+    bounded_batches(rows.sparkSession)
+    meet = own.join(both.unionByName(index).unionByName(probe), "key").select("lead", "i", "j", "index", "probe", "key", "n", "chosen", "sketch")
+    open_ = meet.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(_open_pairs(similarity), "a long, b long")
+    open_ = materialise(open_.distinct())
+    for done in (members, sizes, sized, flagged, counts):
+        release(done)
+    return keys.where("chosen").select("key"), open_, dense
+
+
+def _settled(near: DataFrame, chosen: DataFrame) -> list[DataFrame]:
+    """Tables (a, b) of what is dropped for a kept one, of similar pairs (a, b) with b chosen; a comes later if it is chosen, too."""
+    edges = materialise(near.join(chosen.withColumnRenamed("key", "a"), "a", "left_semi"))
+    others = near.join(chosen.withColumnRenamed("key", "a"), "a", "left_anti")
+    gone: list[DataFrame] = []
     while edges.take(1):  # a is after b in order; what is never after another is kept
         first = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
         gone.append(materialise(edges.join(first, "b").groupBy("a").agg(F.min("b").alias("b"))))
@@ -244,7 +326,49 @@ def dropped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int]
         left = materialise(edges.join(out, "a", "left_anti").join(out.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"))
         release(edges)
         edges = left
-    for more in gone:
+    for more in list(gone):
+        others = others.join(more.select(F.col("a").alias("b")), "b", "left_anti")
+    gone.append(materialise(others.groupBy("a").agg(F.min("b").alias("b"))))
+    return gone
+
+
+def dropped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text), text not null, to every row (doc_id, tag, key of its set), one row of each set (key, none, doc_id, tag),
+    and the keys (a) that are dropped for a kept one (b)."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    made = _prefixes(texts, shingle, _frequent(docs, shingle), similarity)
+    found = materialise(made.withColumn("row", F.monotonically_increasing_id()))
+    once = _one_row_each(found)
+    classes = materialise(once.select("key", F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "n", "fingerprint", "sketch"))
+    # Cells are counted where their marks lie, so marks, most of which are of one set alone, are dealt out once.
+    marks = once.select("key", F.explode("prefix").alias("cell")).withColumn("members", F.count("*").over(Window.partitionBy("cell")))
+    cells = materialise(marks.where("members > 1").select("key", "cell"))
+
+    gone: list[DataFrame] = [_similar(_led(_near_prints(cells, classes), classes, similarity), classes, texts, shingle, similarity)]
+    cells = _without(cells, gone[0].select(F.col("a").alias("key")))
+    before, turn = 0, 0
+    while cells.take(1):
+        leads = materialise(cells.groupBy("cell").agg(F.min("key").alias("lead"), F.count("*").alias("members")).where("members > 1"))
+        rows = materialise(join_by_hot_key(cells, leads, "cell", "members").select("key", "cell", "lead"))
+        release(cells)
+        release(leads)
+        if turn:
+            chosen, open_, dense = _chosen(rows, classes, similarity, turn, before)
+            before = dense
+        else:
+            chosen, open_ = _first(rows, classes, similarity)
+        near = _similar(open_, classes, texts, shingle, similarity)
+        settled = _settled(near, chosen)
+        gone += settled
+        decided = chosen
+        for more in settled:
+            decided = decided.unionByName(more.select(F.col("a").alias("key")))
+        cells, turn = _without(rows.select("key", "cell"), decided), turn + 1
+        release(rows)
+        release(open_)
+        release(near)
+    edges = gone[0].select("a", "b")
+    for more in gone[1:]:
         edges = edges.unionByName(more)
     return found.select("doc_id", "tag", "key"), classes.select("key", "none", "doc_id", "tag"), edges
 

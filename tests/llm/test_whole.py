@@ -57,6 +57,21 @@ def test_near_duplicates_go_through_fingerprints_first(spark, docs_of, rng, monk
     assert len(first) > 60 and all(a == b or (a, b) in links or (b, a) in links for a, b in first)
 
 
+def test_near_copies_that_are_not_all_similar_are_no_square_of_pairs(spark, docs_of, rng, monkeypatch, tmp_path):
+    compared = []
+    similar_pairs = resemblance._similar
+    monkeypatch.setattr(resemblance, "_similar", lambda open_, *a: compared.append(open_.count()) or similar_pairs(open_, *a))
+    monkeypatch.setattr(resemblance, "BLOCK", 20, raising=False)
+    base, rows = prose(rng, 120).split(), []
+    for i in range(300):  # similarities between 0.6 and 0.9
+        other = set(rng.sample(range(5, 115), rng.choice([1, 1, 2, 2, 3])))
+        rows.append((i, " ".join(f"other{i}" if k in other else w for k, w in enumerate(base))))
+    left = [plain_shingles(r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), str(tmp_path)).collect()]
+    assert not any(similar(a, b) for a, b in combinations(left, 2))
+    assert all(any(similar(plain_shingles(t), k) for k in left) for _, t in rows)
+    assert sum(compared) < 20 * len(rows)
+
+
 def wrapped(text, mark, width=9):
     words = text.split()
     return "\n".join(f"{mark} {' '.join(words[k : k + width])}" for k in range(0, len(words), width))
