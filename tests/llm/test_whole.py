@@ -160,6 +160,49 @@ def test_items_that_share_words(spark, docs_of, rng, seeds):
     assert {(r["doc_id"], r["item_id"]) for r in found} == expected and len(expected) > 500
 
 
+@pytest.mark.parametrize("seeds", [decontaminate.SEED_ROWS, 0])
+def test_long_text_of_passages(spark, docs_of, seeds):
+    """A text of 24,000 words, all of them of the benchmark: its 40,000 hits are held without the text."""
+    items = [(p, " ".join(f"w{p}x{k}" for k in range(30))) for p in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.overlaps(id_and_text(docs_of([(1, " ".join(t for _, t in items * 40)), (2, "clean words")])), benchmark, seeds)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, p, 25 * 40, 30 * p, 30 * (20 * 39 + p) + 29, 1.0) for p in range(20)]
+
+
+@pytest.mark.parametrize("block", [1, 7, 50])
+def test_overlaps_over_the_borders_of_blocks(spark, docs_of, rng, monkeypatch, block):
+    items = [(n, prose(rng, n)) for n in (3, 12, 20, 33, 60)]
+    rows = [(k, " ".join(prose(rng, rng.randrange(9)) + f" {w} " for _, t in items for w in [t.replace(t.split()[1], "x") if k % 2 else t])) for k in range(6)]
+    of = lambda: sorted(tuple(r) for r in decontaminate.overlaps(id_and_text(docs_of(rows)), spark.createDataFrame(items, "item_id long, text string")).collect())
+    whole = of()
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    assert of() == whole and len(whole) >= 3 * len(items)
+
+
+def test_ids_of_one_passage(spark, docs_of, rng, monkeypatch):
+    """A passage that 40 ids have is looked for once; an id of several passages has the hits of all of them."""
+    passages = [prose(rng, 30) for _ in range(5)]
+    rows = [(k, f"{prose(rng, k)} {passages[k % 5]} {prose(rng, 3)} {passages[(k + 1) % 5]}") for k in range(20)]
+    hits: list[int] = []
+
+    def written(df, write=decontaminate.materialise):
+        table = write(df)
+        hits.extend([table.count()] if "near" in df.columns and "tag" in df.columns else [])
+        return table
+
+    monkeypatch.setattr(decontaminate, "materialise", written)
+    of = lambda ids: decontaminate.overlaps(id_and_text(docs_of(rows)), spark.createDataFrame(ids, "item_id string, text string"))
+    single = {(r["doc_id"], int(r["item_id"])): tuple(r)[2:] for r in of([(str(p), t) for p, t in enumerate(passages)]).collect()}
+    several = [("both", passages[0]), ("both", passages[1]), (None, passages[2]), (None, passages[3])]
+    got = of([(f"{p} {k}", t) for p, t in enumerate(passages) for k in range(40)] + several).collect()
+    expected = [(i, f"{p} {k}", *x) for (i, p), x in single.items() for k in range(40)]
+    for name, pair in (("both", (0, 1)), (None, (2, 3))):
+        for i, _ in rows:
+            if x := [single[i, p] for p in pair if (i, p) in single]:
+                expected.append((i, name, sum(a[0] for a in x), min(a[1] for a in x), max(a[2] for a in x), max(a[3] for a in x)))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected)) and hits[0] == hits[1]
+
+
 def test_only_the_overlapping_row_goes(spark, docs_of, rng):
     item = prose(rng, 25)
     rows = [(None, item), (None, "clean words"), (7, item), (7, "clean words"), (None, None)]
