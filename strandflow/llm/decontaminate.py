@@ -16,8 +16,8 @@ the seed and one more word at its distance, for each distance at which a window
 second seeds only those of few places count. That loses nothing: an overlap holds more agreeing words than the seed, and only
 if nearly all of them could be ones that many items share at that distance is the seed's own row of the item kept as well.
 
-A row of a hit holds the words around it and never its text, and positions are gone through in blocks, so memory does not grow with
-the length of a text or its number of hits. Rows of the benchmark with the same words are one item; its ids join what was summed up.
+A row of a hit holds the words around it and never its text, and positions are gone through in blocks, so a task holds the words of
+one text and the hits of one block. Rows of the benchmark with the same words are one item; its ids join what was summed up.
 
 The benchmark's seeds are counted. Within SEED_ROWS they are broadcast: then hashing and probing run in one pass over the
 scan without a shuffle, and only verified overlaps, reduced by document and item in the task, are shuffled. Beyond that
